@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import exact_dedup
+from cairn.llm import exact_dedup, line_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
 SQL: dict[str, str] = {
+    "op5_line_dedup": line_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
