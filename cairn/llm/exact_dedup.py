@@ -28,6 +28,8 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
+    # A store is closed once its batch is committed, so executors hold no open store, and no disk for it, per partition.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 
