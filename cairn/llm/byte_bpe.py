@@ -96,7 +96,7 @@ class Coder:
     def _may_follow(self, first: int, second: int) -> bool:
         """Whether the joined bytes of two tokens encode to the two; first -1: whether the second's own bytes encode to it."""
         a, b = self.tokens.get(first, b""), self.tokens[second]
-        if len(self._follows) >= 4 * MEMO_SIZE:
+        if len(self._follows) >= 2 * MEMO_SIZE:
             self._follows.clear()
         known = self._follows[(first << 32) + second] = self._merged(a + b) == ([a, b] if a else [b])
         return known

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import exact_dedup, line_dedup
+from cairn.llm import byte_bpe, exact_dedup, line_dedup, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op7_packing": packing.op7_packing,
+    "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
