@@ -107,8 +107,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same_id = texts.doc_id.eqNullSafe(F.col("keep_id")) & (texts.digest == F.col("g_digest"))
     keepers = texts.join(shared, same_id, "inner").select("g_digest", F.col("norm").alias("keep_norm")).dropDuplicates(["g_digest"])
     clashes = save(
-        texts.join(keepers, texts.digest == F.col("g_digest"), "inner").where(F.col("norm") != F.col("keep_norm")).select("digest").distinct(), "dedup-clashes"
-    ).df
+        texts.join(keepers, texts.digest == F.col("g_digest"), "inner").where(F.col("norm") != F.col("keep_norm")).select("digest"), "dedup-clashes"
+    ).df.distinct()
 
     rows = features.df.join(groups, "digest", "left").select("doc_id", "keep_id", "group_size", F.col("digest").alias("text_sha256"), "keep_locator")
     if not clashes.isEmpty():
