@@ -33,7 +33,7 @@ from cairn.llm.shared import documents
 MAX_ROWS = 50_000
 MAX_LEXICON = 20_000
 MIN_ROWS_WITH = 5
-MIN_WEIGHT = 2.5
+MIN_WEIGHT = 3.5
 STEMS = (4, 5, 6)
 HEAD = 3
 THREAT_WEIGHT = 2.0
@@ -213,7 +213,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
 
     in_toxic = {r.feature: r.n for r in count(1, None).where(F.col("n") >= MIN_ROWS_WITH).collect()}
     in_other = {r.feature: r.n for r in count(0, frozenset(in_toxic)).collect()}
-    odds = {f: math.log((k + 0.5) / (n[1] + 1)) - math.log((in_other.get(f, 0) + 0.5) / (n[0] + 1)) for f, k in in_toxic.items()}
+    odds = {f: math.log((k + 0.5) / (n[1] + 1)) - math.log((in_other.get(f, 0) + 1) / (n[0] + 2)) for f, k in in_toxic.items()}
     best = sorted((f for f in odds if odds[f] >= MIN_WEIGHT), key=lambda f: (-odds[f] * in_toxic[f], f))[:MAX_LEXICON]
     model = Model({f: odds[f] for f in best}, [])
     scored = rows.mapInArrow(partial(_feature_rows, model=model), "toxic int, x array<double>").toPandas()
