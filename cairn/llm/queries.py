@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import byte_bpe, exact_dedup, line_dedup, packing, toxicity
+from cairn.llm import ann, byte_bpe, exact_dedup, line_dedup, packing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op6_ann": ann.op6_ann,
     "op2_toxicity": toxicity.op2_toxicity,
     "op7_packing": packing.op7_packing,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
