@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import heapq
 import os
+import string
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache, partial
 
@@ -35,9 +37,9 @@ from cairn.llm.shared import documents, save
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 CAPACITY = 2048
-GROUP_DOCS = 1024
+GROUP_DOCS = 512
 MEMO_SIZE = 600_000
-MARKS = ".,;:!?"
+MARKS = string.punctuation.encode()
 
 
 class WordIds:
@@ -50,29 +52,47 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self._known: dict[bytes, bytes] = {}
-        self._marks = dict(zip(MARKS, self._encode_runs(list(MARKS))))
 
     def _encode_runs(self, runs: list[str]) -> Iterator[bytes]:
         for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False):
             yield array("I", e.ids).tobytes()
 
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+        """Words of letters alone, which the tokenizer doesn't split: many at once, as a text of words."""
+        for k in range(0, len(words), 256):
+            some = words[k : k + 256]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, ends = array("I", e.ids), Counter(e.word_ids)
+            if len(ends) != len(some):  # letters to Python, but not to the tokenizer
+                yield from self._encode_runs(some)
+                continue
+            at = 0
+            for j in range(len(some)):
+                yield ids[at : at + ends[j]].tobytes()
+                at += ends[j]
+
     def _learn(self, runs: set[bytes]) -> None:
-        """Encode runs that aren't known. A word and one punctuation mark after it are encoded apart, as the tokenizer splits them."""
-        known, whole, apart = self._known, {}, []
+        """Encode runs that aren't known. Letters and the ASCII marks after them are encoded apart, as the tokenizer splits them."""
+        known, words, others, apart = self._known, {}, {}, []
         for run in runs:
-            text = run.decode("utf-8", "replace")
-            if text[-1] in MARKS and text[:-1].isalpha():
-                apart.append((run, text))
-                if (word := run[:-1]) not in known:
-                    whole[word] = text[:-1]
-            else:
-                whole[run] = text
-        known.update(zip(whole, self._encode_runs(list(whole.values()))))
-        known.update((run, known[run[:-1]] + self._marks[text[-1]]) for run, text in apart)
+            word = run.rstrip(MARKS)
+            text = word.decode("utf-8", "replace")
+            if not text.isalpha():
+                others[run] = run.decode("utf-8", "replace")
+                continue
+            if word not in known:
+                words[word] = text
+            if len(word) < len(run):
+                apart.append((run, word, marks := run[len(word) :]))
+                if marks not in known:
+                    others[marks] = marks.decode()
+        known.update(zip(words, self._encode_words(list(words.values()))))
+        known.update(zip(others, self._encode_runs(list(others.values()))))
+        known.update((run, known[word] + known[marks]) for run, word, marks in apart)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         for k in range(0, len(texts), 128):  # new runs are encoded for many texts at once
-            runs = [text.split() for text in texts[k : k + 128]]
+            runs = [text.lower().split() for text in texts[k : k + 128]]  # the tokenizer lowers letters, A-Z can be lowered before
             distinct = set().union(*runs)
             if len(self._known) >= MEMO_SIZE:  # go on with what these texts need
                 self._known = {run: ids for run in distinct if (ids := self._known.get(run)) is not None}
