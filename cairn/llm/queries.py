@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import ann, byte_bpe, exact_dedup, line_dedup, ngram_join, packing, toxicity
+from cairn.llm import ann, byte_bpe, exact_dedup, line_dedup, ngram_join, packing, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op6_ann": ann.op6_ann,
     "op2_toxicity": toxicity.op2_toxicity,
