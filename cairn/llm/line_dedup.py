@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.perfect_hash import PerfectHash
-from cairn.llm.shared import documents, save
+from cairn.llm.shared import documents, others, save
 
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
 BLOCK_DOCS = 512
@@ -93,8 +93,9 @@ def _drop_lines(batches: Iterator[pa.RecordBatch], min_chars: int, with_text: bo
     block, listed = None, set()
     for batch in batches:
         out = {"doc_id": [], "n_lines": [], "n_dropped": [], "kept_sha256": [], "kept": []}
+        at_row = []
         rows = zip(*(batch[c].to_pylist() for c in ("block", "h1", "h2", "doc_id")), batch["text"].cast(pa.binary()).to_pylist(), strict=True)
-        for at, h1, h2, doc_id, text in rows:
+        for k, (at, h1, h2, doc_id, text) in enumerate(rows):
             if at != block:
                 block, listed = at, set()
             if h1 is not None:
@@ -104,13 +105,15 @@ def _drop_lines(batches: Iterator[pa.RecordBatch], min_chars: int, with_text: bo
             lines = text.split(b"\n")
             kept = [line for line, h in zip(lines, line_hashes(text, min_chars), strict=True) if h not in listed] if listed else lines
             left = b"\n".join(kept)
+            at_row.append(k)
             out["doc_id"].append(doc_id)
             out["n_lines"].append(len(lines))
             out["n_dropped"].append(len(lines) - len(kept))
             out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
             out["kept"].append(left.decode("utf-8", "replace") if with_text else None)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+        columns = [pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([*columns, batch["carried"].take(pa.array(at_row, pa.int64()))], names=[*out, "carried"])
 
 
 def _block(id_col: Column, n_blocks: int) -> Column:
@@ -118,7 +121,7 @@ def _block(id_col: Column, n_blocks: int) -> Column:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 1, min_docs: int = 10, with_text: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_lines, n_dropped, kept_sha256, kept (the text, if with_text).
+    """One row per row of ``docs``: doc_id, n_lines, n_dropped, kept_sha256; if with_text also kept, the text, and carried, the row's other columns.
 
     A line's key is the line without ASCII white space at both ends, A-Z in lower
     case. Keys of at least ``min_chars`` code points that at least ``min_docs``
@@ -126,9 +129,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text whose lines all go becomes empty. Rows that repeat an id count each. An
     empty table gives an empty result; other columns are not read.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    carried = others(docs, id_col, text_col) if with_text else F.struct(F.lit(0).alias("none"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), carried.alias("carried"))
     n_blocks = base.count() // BLOCK_DOCS + 1
-    blocked = base.select("doc_id", "text", _block(F.col("doc_id"), n_blocks))
+    blocked = base.select("doc_id", "text", "carried", _block(F.col("doc_id"), n_blocks))
+    carries = base.schema["carried"].dataType
 
     counted = blocked.select("block", "text").mapInArrow(partial(_count_lines, min_chars=min_chars), "block long, h1 long, h2 long, n long")
     in_blocks = save(counted.groupBy("block", "h1", "h2").agg(F.sum("n").alias("n")), "line-blocks")
@@ -142,14 +147,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stream = first.unionByName(probes).repartition("shard").sortWithinPartitions("shard", F.desc("is_index"))
     drops = save(stream.mapInArrow(partial(_probe, min_docs=min_docs), "block long, h1 long, h2 long"), "line-drops").df
 
-    listed = drops.select("block", "h1", "h2", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    rows = blocked.select("block", *(F.lit(None).cast("long").alias(c) for c in ("h1", "h2")), "doc_id", "text")
+    listed = drops.select("block", "h1", "h2", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast(carries).alias("carried"))
+    rows = blocked.select("block", *(F.lit(None).cast("long").alias(c) for c in ("h1", "h2")), "doc_id", "text", "carried")
     dealt = listed.unionByName(rows).repartition("block").sortWithinPartitions("block", F.asc_nulls_last("h1"))
-    return dealt.mapInArrow(partial(_drop_lines, min_chars=min_chars, with_text=with_text), "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept string")
+    schema = f"doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept string, carried {carries.simpleString()}"
+    done = dealt.mapInArrow(partial(_drop_lines, min_chars=min_chars, with_text=with_text), schema)
+    return done if with_text else done.drop("kept", "carried")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(documents(spark, sf_dir)).drop("kept")
+    return line_dedup(documents(spark, sf_dir))
 
 
 SQL = r"""

@@ -11,7 +11,8 @@ import uuid
 from dataclasses import dataclass
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @cache
@@ -50,3 +51,18 @@ def save(df: DataFrame, name: str) -> Table:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def others(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """The other columns as one, by number, so that no name can clash."""
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    return F.struct(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest))) if rest else F.struct(F.lit(0).alias("none"))
+
+
+def with_kept_text(docs: DataFrame, done: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``done`` (doc_id, kept, carried) in the columns of ``docs``; n_chars, if there, counts the new text."""
+    rest = [c for c in docs.columns if c not in (id_col, text_col)]
+    columns = {id_col: F.col("doc_id"), text_col: F.col("kept"), **{c: F.col(f"carried.c{k}") for k, c in enumerate(rest)}}
+    if "n_chars" in rest:
+        columns["n_chars"] = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
+    return done.select(*(columns[c].alias(c) for c in docs.columns))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import documents, save
+from cairn.llm.shared import documents, others, save
 from cairn.llm.suffixes import PrefixHashes, SuffixSort, mix
 
 LENGTH = 400
@@ -202,11 +202,11 @@ def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Reco
             out.append((len(text), len(text) - len(left), spans, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         columns = list(zip(*out, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), batch["carried"]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "carried"])
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_runs: int = MOST_RUNS, with_text: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the text, if with_text).
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256; if with_text also kept, the text, and carried, the row's other columns.
 
     Texts are UTF-8 bytes; null counts as empty. Matches never cross texts, but
     may overlap within one; strings are judged on the input. Removed runs that
@@ -216,7 +216,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     as they are, an empty table gives an empty result, other columns are not read.
     """
     key = [F.xxhash64("doc_id", "text").alias("id1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("id2")]
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    carried = others(docs, id_col, text_col) if with_text else F.struct(F.lit(0).alias("none"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), carried.alias("carried"))
     keyed = base.select("*", *key)
     rows = save(keyed.select("id1", "id2", "text").mapInArrow(partial(_anchor_rows, length=length), ANCHORS), "suffix-anchors")
     grams = rows.df.groupBy("gram").agg(F.count("*").alias("n"), (F.min("run") < F.max("run")).alias("several")).where(F.col("n") > 1)
@@ -242,9 +243,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
     spans = spans.unionByName(found).unionByName(hot)
     listed = save(spans.groupBy("id1", "id2").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")), "suffix-spans").df
-    dealt = keyed.join(listed, ["id1", "id2"], "left").select("doc_id", "text", "begins", "ends")
-    return dealt.mapInArrow(partial(_cut, with_text=with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    dealt = keyed.join(listed, ["id1", "id2"], "left").select("doc_id", "text", "begins", "ends", "carried")
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, carried {base.schema['carried'].dataType.simpleString()}"
+    done = dealt.mapInArrow(partial(_cut, with_text=with_text), schema)
+    return done if with_text else done.drop("kept", "carried")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(documents(spark, sf_dir)).drop("kept")
+    return suffix_dedup(documents(spark, sf_dir))

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from cairn.llm.shared import documents
 
@@ -240,6 +241,23 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def _append_score(batches: Iterator[pa.RecordBatch], model: Model, text_at: int, name: str) -> Iterator[pa.RecordBatch]:
+    heads = model.heads()
+    for batch in batches:
+        scores = [model.score(model.features(text or "", heads)) for text in batch.column(text_at).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below ``threshold``; null and empty texts stay if a text without any match does."""
+    name = "toxicity"
+    while name in docs.columns:
+        name += "_"
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    scored = docs.mapInArrow(partial(_append_score, model=model, text_at=docs.columns.index(text_col), name=name), schema)
+    return scored.where(F.col(name) < threshold).drop(name)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return score(docs, learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
