@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import string
 from array import array
 from collections.abc import Iterator
 from functools import cache, partial
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from cairn.llm.shared import documents
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-MEMO_SIZE = 300_000
+MEMO_SIZE = 400_000
+NONE = 1 << 62
+MARKS = string.punctuation.encode()
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,9 +50,8 @@ class PrefixTable:
         self.append(data)
 
     def append(self, more: bytes) -> None:
-        start, self.data = len(self.data), self.data + more
-        for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self.coder.last_token(self.data, end, self.last))
+        self.data += more
+        self.coder.extend(self.data, self.last)
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put ``new`` in the place of bytes start to stop; how many table entries were computed for it."""
@@ -57,7 +59,7 @@ class PrefixTable:
         self.data = self.data[:start] + new + self.data[stop:]
         self.last, same = old[: start + 1], 0
         for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self.coder.last_token(self.data, end, self.last))
+            self.coder.extend(self.data[:end], self.last)
             settled = end >= start + len(new) + self.coder.longest
             same = same + 1 if settled and self.last[end] == old[end - shift] else 0
             if same >= self.coder.longest:
@@ -78,39 +80,54 @@ class Coder:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
+        self.ending = {token[k:]: -1 for token in ranks for k in range(len(token))} | ranks  # ends of tokens; -1: no token itself
         self.pattern = regex.compile(pattern)
         self._follows: dict[int, bool] = {}
         self._pieces: dict[bytes, list[int]] = {}
         self._words: dict[bytes, bytes] = {}
 
-    def _merged(self, data: bytes) -> list[bytes]:
-        """The definition, for the bytes of one or two tokens: join the leftmost pair of lowest rank, again and again."""
-        parts = [data[k : k + 1] for k in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(a + b, 1 << 62), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 62:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+    def _keeps(self, data: bytes, cut: int) -> bool:
+        """Whether encoding some bytes by the definition, the leftmost pair of lowest rank first, gives the two tokens that meet at ``cut``.
+
+        With cut 0: the one token. A merge across the cut settles it early.
+        """
+        rank = self.ranks.get
+        ends = list(range(1, len(data) + 1))
+        ranks = [rank(data[k : k + 2], NONE) for k in range(len(data) - 1)]
+        while ranks and (best := min(ranks)) != NONE:
+            k = ranks.index(best)
+            if ends[k] == cut:
+                return False
+            del ends[k], ranks[k]
+            start = ends[k - 1] if k else 0
+            if k < len(ranks):
+                ranks[k] = rank(data[start : ends[k + 1]], NONE)
+            if k:
+                ranks[k - 1] = rank(data[ends[k - 2] if k > 1 else 0 : ends[k]], NONE)
+        return len(ends) == (2 if cut else 1)
 
     def _may_follow(self, first: int, second: int) -> bool:
         """Whether the joined bytes of two tokens encode to the two; first -1: whether the second's own bytes encode to it."""
-        a, b = self.tokens.get(first, b""), self.tokens[second]
-        if len(self._follows) >= 2 * MEMO_SIZE:
+        before = self.tokens.get(first, b"")
+        if len(self._follows) >= 3 * MEMO_SIZE:
             self._follows.clear()
-        known = self._follows[(first << 32) + second] = self._merged(a + b) == ([a, b] if a else [b])
+        known = self._follows[(first << 32) + second] = self._keeps(before + self.tokens[second], len(before))
         return known
 
-    def last_token(self, data: bytes, end: int, last: list[int]) -> int:
-        rank, follows = self.ranks.get, self._follows.get
-        for start in range(max(0, end - self.longest), end):
-            token = rank(data[start:end])
-            if token is not None:
-                before = last[start]
-                ok = follows((before << 32) + token)
-                if self._may_follow(before, token) if ok is None else ok:
-                    return token
-        raise ValueError("the vocabulary lacks single bytes")
+    def extend(self, data: bytes, last: list[int]) -> None:
+        """Append the last tokens of all prefixes that are longer than ``last`` knows."""
+        ending, follows = self.ending.get, self._follows.get
+        for end in range(len(last), len(data) + 1):
+            for start in range(end - 1, -1, -1):
+                token = ending(data[start:end])
+                if token is None:  # no token ends like this
+                    raise ValueError("the vocabulary lacks single bytes")
+                if token >= 0:
+                    before = last[start]
+                    ok = follows((before << 32) + token)
+                    if self._may_follow(before, token) if ok is None else ok:
+                        last.append(token)
+                        break
 
     def encode_piece(self, piece: bytes) -> list[int]:
         known = self._pieces.get(piece)
@@ -129,6 +146,16 @@ class Coder:
             ids += self.encode_piece(piece.encode())
         return array("I", ids).tobytes()
 
+    def _encode_word(self, word: bytes) -> bytes:
+        """The ids of a space and a word. Letters and the ASCII marks after them are two matches."""
+        letters = word.rstrip(MARKS)
+        if not letters.decode().isalpha():
+            return self._encode_matches(" " + word.decode())
+        ids = self.encode_piece(b" " + letters)
+        if len(letters) < len(word):
+            ids = ids + self.encode_piece(word[len(letters) :])
+        return array("I", ids).tobytes()
+
     def encode(self, text: bytes) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers.
 
@@ -140,13 +167,13 @@ class Coder:
         words = text.split(b" ")
         ids = list(map(self._words.get, words))
         ids[0] = None
-        if len(self._words) >= MEMO_SIZE:
-            self._words.clear()
+        if len(self._words) >= MEMO_SIZE:  # go on with what this text needs
+            self._words = {word: x for word, x in zip(words, ids, strict=True) if x is not None}
         uncut = [0]
         for k in [k for k, x in enumerate(ids) if x is None][1:]:
             word = words[k]
             if _solid(word, 0) and _solid(word, -1):
-                ids[k] = self._words[word] = self._encode_matches(" " + word.decode())
+                ids[k] = self._words[word] = self._encode_word(word)
             else:
                 uncut.append(k)
         done = -1
