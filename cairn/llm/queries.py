@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import ann, byte_bpe, exact_dedup, line_dedup, ngram_join, packing, suffix_dedup, toxicity
+from cairn.llm import ann, byte_bpe, exact_dedup, line_dedup, lm_score, materialise, ngram_join, packing, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op8_materialise": materialise.op8_materialise,
+    "op10_lm_score": lm_score.op10_lm_score,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op6_ann": ann.op6_ann,
