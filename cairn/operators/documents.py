@@ -1,0 +1,181 @@
+"""Document collections: what changed, cleaning, sections, chunks."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from cairn.functions import text as T
+
+CHUNK_TOKENS, OVERLAP_TOKENS, ORPHAN_TOKENS = 220, 30, 25
+
+
+def status_diff(files: DataFrame, known: DataFrame, recipe: str) -> DataFrame:
+    """source_id, status and sha256 of files (source_id, sha256) against known documents (source_id, sha256, recipe, status, has_chunks).
+
+    An excluded document is removed while it still has chunks; unknown and once
+    removed ones are new; others are changed by content or recipe, or unchanged.
+    Known documents that are gone are removed if they are in store.
+    """
+    k = known.select("source_id", F.col("sha256").alias("old_sha"), F.col("recipe").alias("old_recipe"), F.col("status").alias("old"), "has_chunks")
+    both = files.withColumn("seen", F.lit(True)).join(k, "source_id", "full_outer")
+    excluded, stored = F.col("old") == "excluded", F.coalesce("has_chunks", F.lit(False))
+    status = (
+        F.when(F.col("seen").isNull(), F.when((F.col("old") == "ingested") | (excluded & stored), "removed"))
+        .when(excluded, F.when(stored, "removed").otherwise("excluded"))
+        .when(F.col("old").isNull() | (F.col("old") == "removed"), "new")
+        .when(F.col("sha256") != F.col("old_sha"), "changed")
+        .when(F.coalesce("old_recipe", F.lit("")) != recipe, "changed")
+        .otherwise("unchanged")
+    )
+    return both.withColumn("status", status).where(F.col("status").isNotNull()).select("source_id", "status", "sha256")
+
+
+def first_seen(rows: DataFrame, key: Column, *order: str, name: str = "duplicate_of", id_col: str = "doc_id") -> DataFrame:
+    """Rows with the id of the first row of the same key, null for that row itself. Pre-aggregated, so a hot key is no hot task."""
+    keyed = rows.withColumn("first_key", key)
+    first = keyed.groupBy("first_key").agg(F.min(F.struct(*order, id_col))[id_col].alias("first_id"))
+    joined = keyed.join(first, "first_key")
+    return joined.withColumn(name, F.when(F.col("first_id") != F.col(id_col), F.col("first_id"))).drop("first_key", "first_id")
+
+
+def repeated_lines(pages: DataFrame, doc: str = "source_id", page: str = "page", least_pages: int = 3) -> DataFrame:
+    """doc, line, pages: headers and footers, lines on at least half of a document's pages and at least two."""
+    n = pages.groupBy(doc).agg(F.countDistinct(page).alias("n_pages"))
+    keys = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), T.line_key), lambda k: k != ""))
+    counted = pages.select(doc, F.explode(keys).alias("line")).groupBy(doc, "line").agg(F.count("*").alias("pages"))
+    threshold = F.greatest(F.lit(2), F.floor((F.col("n_pages") + 1) / 2))
+    return counted.join(n, doc).where((F.col("n_pages") >= least_pages) & (F.col("pages") >= threshold)).select(doc, "line", "pages")
+
+
+def clean_pages(pages: DataFrame, doc: str = "source_id", page: str = "page") -> DataFrame:
+    """Pages without headers, footers and page numbers, tidied, with what went."""
+    listed = repeated_lines(pages, doc, page).groupBy(doc).agg(F.collect_set("line").alias("listed"))
+    none = F.array().cast("array<string>")
+    rows = pages.join(listed, doc, "left").withColumn("lines", F.split(F.regexp_replace("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), "\n"))
+    numbers = F.filter("lines", T.is_page_number)
+    others = F.filter("lines", lambda x: ~T.is_page_number(x))
+    left = F.filter(others, lambda x: (F.trim(x) == "") | ~F.array_contains(F.coalesce("listed", none), T.line_key(x)))
+    return rows.select(
+        doc, page, T.tidy(F.array_join(F.transform(left, F.rtrim), "\n")).alias("text"),
+        F.size(numbers).alias("page_numbers"), (F.size(others) - F.size(left)).alias("headers_footers"),
+        F.slice(F.array_sort(F.array_distinct(F.transform(numbers, F.trim))), 1, 6).alias("samples"),
+    )
+
+
+def front_matter(text: Column) -> Column:
+    """struct<fields, body> of a text that may start with key: value lines between two lines of dashes."""
+    pattern = r"(?s)^---\n(.*?)\n---[ \t]*\n?(.*)$"
+    block, body = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
+    lines = F.filter(F.split(block, "\n"), lambda x: F.contains(x, F.lit(":")))
+    entry = lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), F.regexp_replace(F.trim(F.regexp_replace(x, "^[^:]*:", "")), "^[\"']|[\"']$", "").alias("value"))
+    there = F.rlike(text, F.lit(pattern))
+    return F.struct(F.when(there, F.map_from_entries(F.transform(lines, entry))).alias("fields"), F.when(there, body).otherwise(text).alias("body"))
+
+
+def compact_table_lines(text: Column) -> Column:
+    """Table rows with single blanks around cells, separator rows as short as can be."""
+
+    def line(x: Column) -> Column:
+        cells = F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"(?<!\\)\|"), F.trim)
+        rule = F.forall(cells, lambda c: F.rlike(F.replace(c, F.lit(" "), F.lit("")), F.lit("^:?-+:?$")))
+        short = F.concat(F.lit("|"), F.array_join(F.transform(cells, lambda c: F.lit("---")), "|"), F.lit("|"))
+        long = F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+        return F.when(F.rlike(x, F.lit(r"^\s*\|.*\|\s*$")), F.when(rule, short).otherwise(long)).otherwise(x)
+
+    return F.array_join(F.transform(F.split(text, "\n"), line), "\n")
+
+
+def clean_markdown(text: Column) -> Column:
+    """Without comments, trailing blanks and runs of empty lines, tables compacted."""
+    for pattern, new in ((r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
+        text = F.regexp_replace(T.strip_comments(text), pattern, new)
+    return compact_table_lines(text)
+
+
+def sections(docs: DataFrame, id_col: str = "source_id", text_col: str = "text", title_col: str = "title") -> DataFrame:
+    """source_id, title, section_no, section, text: each run of lines from a heading of level 1 to 4 on, with its path.
+
+    The path leaves out the document's own heading where there are others below.
+    """
+    lines = docs.select(F.col(id_col).alias("source_id"), F.col(title_col).alias("title"), F.posexplode(F.split(text_col, "\n")).alias("n", "line"))
+    level = F.char_length(F.regexp_extract("line", r"^(#{1,4})[ \t]+\S", 1))
+    name = F.trim(F.regexp_replace(F.regexp_replace("line", r"^#{1,4}[ \t]+", ""), r"[ \t]*#*[ \t]*$", ""))
+    by_line = Window.partitionBy("source_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("level", F.when(level > 0, level)).withColumn("section_no", F.count("level").over(by_line))
+    heads = rows.where(F.col("level").isNotNull()).select("source_id", "section_no", "level", name.alias("name"))
+    upto = Window.partitionBy("source_id").orderBy("section_no").rowsBetween(Window.unboundedPreceding, 0)
+    for k in range(1, 5):  # a heading of level k is the newest of its level that no smaller level has ended
+        last = F.last(F.when(F.col("level") <= k, F.struct("level", "name")), ignorenulls=True).over(upto)
+        heads = heads.withColumn(f"h{k}", F.when(F.lit(k) <= F.col("level"), F.when(last["level"] == k, last["name"])))
+    parts = F.array_compact(F.array("h1", "h2", "h3", "h4"))
+    path = F.when(F.col("h1").isNotNull() & (F.size(parts) > 1), F.slice(parts, 2, 4)).otherwise(parts)
+    bodies = rows.groupBy("source_id", "title", "section_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    named = bodies.join(heads.select("source_id", "section_no", F.array_join(path, " › ").alias("section")), ["source_id", "section_no"], "left")
+    return named.where(F.trim("text") != "").withColumn("section", F.coalesce(F.nullif("section", F.lit("")), "title"))
+
+
+# Where a text may be cut, from the best place on, and what counts as a token.
+SEPARATORS = [r"\n\n", r"\n(?=[-*•] |\d{1,2}[.)] )", r"\. ", "។", r"\n", " "]
+TOKENS = re.compile(r"[A-Za-zÀ-ɏ]{1,4}|\d{1,3}|[ក-៿᧠-᧿]|[^\s]")
+
+
+def size_bounded(text: str, limit: int, overlap: int, level: int = 0) -> list[str]:
+    """Pieces of at most ``limit`` tokens, cut at the best separators, each starting with the end of the one before."""
+    size = lambda s: len(TOKENS.findall(s))
+    if size(text) <= limit:
+        return [text]
+    if level == len(SEPARATORS):
+        return [text[k : k + limit] for k in range(0, len(text), limit)]
+    ends = [m.end() for m in re.finditer(SEPARATORS[level], text)] + [len(text)]
+    atoms = [a for lo, hi in zip([0, *ends], ends) for a in size_bounded(text[lo:hi], limit, overlap, level + 1) if a]
+    out, now = [], []
+    for atom in atoms:
+        if now and size("".join(now)) + size(atom) > limit:
+            out.append("".join(now))
+            while now and (size("".join(now)) > overlap or size("".join(now)) + size(atom) > limit):
+                now.pop(0)
+        now.append(atom)
+    return [*out, "".join(now)]
+
+
+def merge_small(pieces: list[str], least: int) -> list[str]:
+    out: list[str] = []
+    for piece in pieces:
+        if out and min(len(TOKENS.findall(piece)), len(TOKENS.findall(out[-1]))) < least:
+            out[-1] = out[-1].rstrip() + "\n" + piece.lstrip()
+        else:
+            out.append(piece)
+    return out
+
+
+@F.pandas_udf("array<string>")
+def _pieces(texts: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
+    return pd.Series([merge_small(size_bounded(t or "", int(a), int(b)), ORPHAN_TOKENS) for t, a, b in zip(texts, limit, overlap)])
+
+
+def chunks(docs: DataFrame, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, id_col: str = "source_id", text_col: str = "text", title_col: str = "title", language_col: str = "language") -> DataFrame:
+    """chunk_id, chunk_hash, source_id, section, text, token_count, position, language: a document's sections in bounded pieces, each with its breadcrumb."""
+    languages = docs.select(F.col(id_col).alias("source_id"), F.col(language_col).alias("document_language"))
+    each = sections(docs, id_col, text_col, title_col).select("source_id", "title", "section", "section_no", F.posexplode(_pieces("text", F.lit(limit), F.lit(overlap))).alias("piece_no", "piece"))
+    body = F.regexp_replace("piece", r"^\s+|\s+$", "")
+    texts = each.where(body != "").withColumn("text", F.concat(T.breadcrumb(F.col("title"), F.col("section")), F.lit("\n"), body))
+    order = Window.partitionBy("source_id").orderBy("section_no", "piece_no")
+    return texts.join(languages, "source_id").select(
+        T.chunk_id(F.col("source_id"), F.concat(F.lit("s:"), "section"), F.col("text")).alias("chunk_id"), T.chunk_hash(F.col("text")).alias("chunk_hash"),
+        "source_id", "section", "text", T.token_count(F.col("text")).alias("token_count"), (F.row_number().over(order) - 1).alias("position"),
+        T.language_label(F.col("document_language"), F.col("text")).alias("language"),
+    )
+
+
+def replace_documents(stored: DataFrame, stale: DataFrame, new: DataFrame, key: str = "source_id") -> DataFrame:
+    """The stored rows without those of stale documents, and the new rows."""
+    return stored.join(stale.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def missing_vectors(wanted: DataFrame, cache: DataFrame, model: str) -> DataFrame:
+    """Chunk hashes that the embedding cache lacks for a model."""
+    return wanted.select("chunk_hash").distinct().join(cache.where(F.col("model") == model).select("chunk_hash"), "chunk_hash", "left_anti")
