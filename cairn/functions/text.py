@@ -143,23 +143,6 @@ def has_khmer(text: Column) -> Column:
     return F.rlike(text, F.lit(f"[{KHMER}]"))
 
 
-def coverage(query: Column, passage: Column) -> Column:
-    """The share of a query's stems that a passage has, weighted by word length; or of its Khmer windows, if larger."""
-    wanted = F.transform(content_words(query), lambda w: F.struct(stem(w).alias("stem"), F.char_length(w).alias("n")))
-    stems_ = F.array_distinct(F.transform(wanted, lambda x: x["stem"]))
-    weighted = F.transform(stems_, lambda s: F.struct(s.alias("stem"), F.array_max(F.transform(F.filter(wanted, lambda x: x["stem"] == s), lambda x: x["n"])).alias("n")))
-    there = F.transform(content_words(passage), stem)
-
-    def total(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0).cast("double"), lambda a, e: a + e["n"])
-
-    all_ = total(weighted)
-    by_words = F.when(all_ > 0, total(F.filter(weighted, lambda x: F.array_contains(there, x["stem"]))) / all_).otherwise(F.lit(0.0))
-    grams = khmer_grams(query)
-    by_grams = F.when(F.size(grams) > 0, F.size(F.array_intersect(grams, khmer_grams(passage))) / F.size(grams)).otherwise(F.lit(0.0))
-    return F.greatest(by_words, by_grams)
-
-
 def sentences(text: Column) -> Column:
     """Hard wraps joined, then split after sentence ends and at line ends; of more than three characters."""
     joined = F.regexp_replace(text, r"(?<![\n.!?:\x{17D4}])\n(?![\n\-\x{2022}])", " ")

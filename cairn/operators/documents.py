@@ -152,7 +152,6 @@ def merge_small(pieces: list[str], least: int) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
 def _pieces(texts: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
     return pd.Series([merge_small(size_bounded(t or "", int(a), int(b)), ORPHAN_TOKENS) for t, a, b in zip(texts, limit, overlap)])
 
@@ -160,7 +159,7 @@ def _pieces(texts: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series
 def chunks(docs: DataFrame, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, id_col: str = "source_id", text_col: str = "text", title_col: str = "title", language_col: str = "language") -> DataFrame:
     """chunk_id, chunk_hash, source_id, section, text, token_count, position, language: a document's sections in bounded pieces, each with its breadcrumb."""
     languages = docs.select(F.col(id_col).alias("source_id"), F.col(language_col).alias("document_language"))
-    each = sections(docs, id_col, text_col, title_col).select("source_id", "title", "section", "section_no", F.posexplode(_pieces("text", F.lit(limit), F.lit(overlap))).alias("piece_no", "piece"))
+    each = sections(docs, id_col, text_col, title_col).select("source_id", "title", "section", "section_no", F.posexplode(F.pandas_udf(_pieces, "array<string>")("text", F.lit(limit), F.lit(overlap))).alias("piece_no", "piece"))
     body = F.regexp_replace("piece", r"^\s+|\s+$", "")
     texts = each.where(body != "").withColumn("text", F.concat(T.breadcrumb(F.col("title"), F.col("section")), F.lit("\n"), body))
     order = Window.partitionBy("source_id").orderBy("section_no", "piece_no")

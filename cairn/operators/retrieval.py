@@ -76,6 +76,18 @@ def fused(lexical: DataFrame, dense_: DataFrame, k: int = 10) -> DataFrame:
     return ranked(both, k, F.desc("score"), F.asc_nulls_last("lexical_rank"), F.asc_nulls_last("dense_rank"))
 
 
+def with_coverage(pairs: DataFrame, keys: list[str], query: str = "query", passage: str = "text", name: str = "coverage") -> DataFrame:
+    """Pairs, unique by ``keys``, with the share of the query's stems, weighted by word length, that the passage has; or of its Khmer windows, if larger."""
+    word = pairs.select(*keys, F.explode(T.content_words(F.col(query))).alias("w"))
+    wanted = word.groupBy(*keys, T.stem(F.col("w")).alias("feature")).agg(F.max(F.char_length("w")).alias("n"), F.lit(0).alias("kind"))
+    grams = pairs.select(*keys, F.explode(T.khmer_grams(F.col(query))).alias("feature")).select(*keys, "feature", F.lit(1).alias("n"), F.lit(1).alias("kind"))
+    there = pairs.select(*keys, F.explode(F.array_union(T.terms(F.col(passage)), T.khmer_grams(F.col(passage)))).alias("feature"), F.lit(True).alias("found"))
+    both = wanted.unionByName(grams).join(there, [*keys, "feature"], "left")
+    share = both.groupBy(*keys, "kind").agg((F.sum(F.when(F.col("found"), F.col("n")).otherwise(0)) / F.sum("n")).alias("share"))
+    best = share.groupBy(*keys).agg(F.max("share").alias(name))
+    return pairs.join(best, keys, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+
+
 def rerank(candidates: DataFrame, k: int = 5, floor: float = 0.0) -> DataFrame:
     """0.6 coverage + 0.15 share of the query's bigrams + 0.25 prior by first rank, of rows with query, text and rank."""
     of_query = Window.partitionBy("query_id")
@@ -83,7 +95,7 @@ def rerank(candidates: DataFrame, k: int = 5, floor: float = 0.0) -> DataFrame:
     q = F.array_distinct(q)
     hits = F.when(F.size(q) > 0, F.size(F.array_intersect(q, p)) / F.size(q)).otherwise(F.lit(0.0))
     prior = F.lit(1.0) - (F.col("rank") - 1) / F.count("*").over(of_query)
-    scored = candidates.withColumn("score", F.bround(0.6 * T.coverage(F.col("query"), F.col("text")) + 0.15 * hits + 0.25 * prior, 5))
+    scored = with_coverage(candidates, ["query_id", "doc_id"]).withColumn("score", F.bround(0.6 * F.col("coverage") + 0.15 * hits + 0.25 * prior, 5))
     kept = scored.withColumnRenamed("rank", "first_stage_rank").where(F.col("score") >= floor)
     return ranked(kept, k, F.desc("score"), F.asc("first_stage_rank"))
 
@@ -142,9 +154,9 @@ def hashing_embedding(rows: DataFrame, id_col: str, text_col: str, dims: int = 5
 
 def extractive_answer(passages: DataFrame, abstain_below: float = 0.6) -> DataFrame:
     """query_id, doc_id, answer: the two best sentences of the best passage; no answer where coverage is low."""
-    scored = passages.withColumn("coverage", T.coverage(F.col("query"), F.col("text")))
+    scored = with_coverage(passages, ["query_id", "doc_id"])
     best = ranked(scored, 1, F.desc("coverage"), F.asc("rank"), name="place")
     parts = best.select("query_id", "doc_id", "query", "coverage", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
-    two = ranked(parts.withColumn("c", T.coverage(F.col("query"), F.col("sentence"))), 2, F.desc("c"), F.asc("pos"), name="place")
+    two = ranked(with_coverage(parts, ["query_id", "pos"], passage="sentence", name="c"), 2, F.desc("c"), F.asc("pos"), name="place")
     said = two.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "sentence"))), lambda x: x["sentence"]), " ").alias("said"))
     return best.join(said, "query_id", "left").select("query_id", "doc_id", F.when(F.col("coverage") >= abstain_below, F.col("said")).alias("answer"))

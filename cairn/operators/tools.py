@@ -48,13 +48,16 @@ class Registry:
             return None, str(e)
 
 
-def sandbox(spark: SparkSession, tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> SparkSession:
-    """A session that sees the listed columns of the listed tables and nothing else; files can't be queried by path."""
+def sandbox(spark: SparkSession, load: Callable[[SparkSession], dict[str, DataFrame]], columns: dict[str, list[str]]) -> SparkSession:
+    """A session whose views hold the listed columns of the listed tables and nothing else; files can't be queried by path.
+
+    ``load`` reads the tables in the session it is given. Views of other sessions don't show here.
+    """
     own = spark.newSession()
     own.conf.set("spark.sql.runSQLOnFiles", "false")
+    tables = load(own)
     for name, allowed in columns.items():
-        path = tables[name].select(*allowed)
-        own.createDataFrame(path.toArrow()).createOrReplaceTempView(name) if path.limit(10_001).count() <= 10_000 else path.createOrReplaceTempView(name)
+        tables[name].select(*allowed).createOrReplaceTempView(name)
     return own
 
 
