@@ -15,6 +15,11 @@ be connected, none is sampled away:
    one are queries to the larger one, in groups of at most GROUP_DOCS members.
    As a component needs one link only, a query stops at its first in a group.
 
+Before texts are fetched, profiles bound how many n-grams a query and a group, or
+two documents, differ in: the counts of a set's n-grams in PROFILE parts of the
+hash space differ by no more than the sets do, and a group has the range of its
+members' counts. Pairs that differ too much by that are left out at once.
+
 Both times a group's rows form its part of the token-group matrix: the union of
 its members' n-grams, each with the members that have it. A query's overlap with
 the union bounds its overlap with every member; the group is opened, that is, the
@@ -32,7 +37,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.components import components
@@ -42,6 +47,8 @@ GROUP_DOCS = 256
 SLICE_QUERIES = 256
 CLASS_RATIO = 1.4
 MEMO_SIZE = 500_000
+PROFILE_BITS = 5
+PROFILE = 1 << PROFILE_BITS
 
 
 class _WordHashes(dict):
@@ -113,6 +120,29 @@ def signatures(grams: np.ndarray, percent: int, classes: list[tuple[int, int, in
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def profile(grams: np.ndarray) -> np.ndarray:
+    """The counts of a set's n-grams in each part of the hash space; capped, which makes no two sets differ more."""
+    return np.minimum(np.bincount((grams >> np.uint64(64 - PROFILE_BITS)).astype(np.int64), minlength=PROFILE), 32_767).astype(np.int16)
+
+
+def _ranges(rows: DataFrame, key: str) -> DataFrame:
+    """Per key the ranges of its rows' counts (lo, hi) and its largest set's size (most)."""
+    part = lambda f, c: F.array(*(f(F.get(c, F.lit(k))) for k in range(PROFILE)))
+    return rows.groupBy(key).agg(part(F.min, "lo").alias("lo"), part(F.max, "hi").alias("hi"), F.max("most").alias("most"))
+
+
+def _may_link(percent: int, a: str = "", b: str = "their_") -> Column:
+    """Whether two ranges lie so close that linked sets can be in them."""
+    apart = lambda x, y: F.zip_with(x, y, lambda i, j: F.greatest(i.cast("int") - j.cast("int"), F.lit(0)))
+    both = F.zip_with(apart(F.col(f"{a}lo"), F.col(f"{b}hi")), apart(F.col(f"{b}lo"), F.col(f"{a}hi")), lambda x, y: x + y)
+    differ = F.aggregate(both, F.lit(0), lambda s, x: s + x)
+    return differ * (100 + percent) <= (F.col(f"{a}most") + F.col(f"{b}most")) * (100 - percent)
+
+
+def _theirs(ranges: DataFrame, key: str, name: str) -> DataFrame:
+    return ranges.select(F.col(key).alias(name), *(F.col(c).alias(f"their_{c}") for c in ("lo", "hi", "most")))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     classes = size_classes(percent, 1)
     for batch in batches:
@@ -122,11 +152,12 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[p
             if not classes or len(grams) >= classes[-1][1]:
                 classes = size_classes(percent, 2 * len(grams))
             f1, f2 = np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), "<i8")
-            rows.append((len(grams), f1, f2, signatures(grams, percent, classes).view(np.int64)))
+            rows.append((len(grams), f1, f2, signatures(grams, percent, classes).view(np.int64), profile(grams)))
         lengths = np.cumsum([0, *(len(r[3]) for r in rows)])
         flat = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int64)
         columns = [batch["doc_id"], *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "f1", "f2", "signatures"])
+        columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * PROFILE, pa.int32()), pa.array(np.concatenate([r[4] for r in rows]) if rows else [], pa.int16())))
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "f1", "f2", "signatures", "profile"])
 
 
 class Group:
@@ -190,21 +221,25 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     An empty table gives an empty result; other columns are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = save(base.mapInArrow(partial(_sets, n=n, percent=percent), "doc_id long, n_shingles long, f1 long, f2 long, signatures array<long>"), "ngram-sets").df
+    sets = save(base.mapInArrow(partial(_sets, n=n, percent=percent), "doc_id long, n_shingles long, f1 long, f2 long, signatures array<long>, profile array<short>"), "ngram-sets").df
     named = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = named.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     same = save(named.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "rep"), "ngram-same").df
     equal = same.where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     # Signatures of one document per class; those of several documents join them.
-    own = named.join(classes.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "doc_id"], "left_semi").select("doc_id", F.explode("signatures").alias("signature"))
-    own = save(own, "ngram-signatures")
+    stand = named.join(classes.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "doc_id"], "left_semi")
+    own = save(stand.select("doc_id", F.explode("signatures").alias("signature")), "ngram-signatures")
     buckets = own.df.groupBy("signature").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where(F.col("centre") < F.col("last")).select("signature", "centre")
     shared = save(own.df.join(buckets, "signature"), "ngram-buckets")
     own.drop()
 
     texts = base.where(F.col("doc_id").isNotNull())
     to_centre = shared.df.where(F.col("doc_id") != F.col("centre")).select(F.col("centre").alias("group"), "doc_id").distinct()
+    involved = shared.df.select("doc_id").distinct()
+    ranges = stand.select("doc_id", F.col("profile").alias("lo"), F.col("profile").alias("hi"), F.col("n_shingles").alias("most")).join(involved, "doc_id", "left_semi")
+    ranges = save(_ranges(ranges, "doc_id"), "ngram-ranges").df
+    to_centre = to_centre.join(ranges, "doc_id").join(_theirs(ranges, "doc_id", "group"), "group").where(_may_link(percent)).select("group", "doc_id")
     to_centre = save(to_centre, "ngram-queries").df
     centres = to_centre.select("group").distinct().withColumn("doc_id", F.col("group"))
     first = save(open_groups(texts, centres, to_centre, n, percent), "ngram-links").df
@@ -217,15 +252,19 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     apart = placed.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") < F.col("y")).select("signature")
     open_rows = save(placed.join(apart, "signature", "left_semi"), "ngram-open").df
     if not open_rows.isEmpty():
-        size = placed.select("doc_id", "component").distinct().groupBy("component").agg(F.count("*").alias("size"))
-        sized = open_rows.join(size, "component")
-        theirs = sized.select("signature", F.col("component").alias("group_of"), F.col("size").alias("their_size")).distinct()
+        members = placed.select("doc_id", "component").distinct()
+        size = members.groupBy("component").agg(F.count("*").alias("size"))
+        groups = _ranges(members.join(ranges, "doc_id"), "component")
+        sized = open_rows.join(size, "component").join(ranges, "doc_id")
+        theirs = open_rows.select("signature", F.col("component").alias("group_of")).distinct()
+        theirs = theirs.join(_theirs(groups, "component", "group_of").join(size.select(F.col("component").alias("group_of"), F.col("size").alias("their_size")), "group_of"), "group_of")
         smaller = F.struct("size", "component") < F.struct("their_size", "group_of")
-        asked = save(sized.join(theirs, "signature").where(smaller).select("doc_id", "group_of").distinct(), "ngram-asked").df
+        near = (sized["signature"] == theirs["signature"]) & smaller & _may_link(percent)
+        asked = save(sized.join(theirs, near).select("doc_id", "group_of").distinct(), "ngram-asked").df
         parts = size.select("component", F.ceil(F.col("size") / (GROUP_DOCS // 2)).alias("parts"))
         wanted = asked.select(F.col("group_of").alias("component")).distinct().join(parts, "component")
         group = lambda part: F.xxhash64("component", part).alias("group")
-        members = placed.select("doc_id", "component").distinct().join(wanted, "component").select(group(F.pmod(F.xxhash64("doc_id"), "parts")), "doc_id")
+        members = members.join(wanted, "component").select(group(F.pmod(F.xxhash64("doc_id"), "parts")), "doc_id")
         queries = asked.withColumnRenamed("group_of", "component").join(parts, "component")
         queries = queries.select("component", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select(group(F.col("part")), "doc_id")
         second = save(open_groups(texts, members, queries, n, percent), "ngram-links").df
