@@ -224,6 +224,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     sets = save(base.mapInArrow(partial(_sets, n=n, percent=percent), "doc_id long, n_shingles long, f1 long, f2 long, signatures array<long>, profile array<short>"), "ngram-sets").df
     named = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = named.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
+    classes = save(classes, "ngram-classes").df  # written, here and below, so that joins' hot keys can be split
     same = save(named.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "rep"), "ngram-same").df
     equal = same.where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
@@ -231,6 +232,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     stand = named.join(classes.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "doc_id"], "left_semi")
     own = save(stand.select("doc_id", F.explode("signatures").alias("signature")), "ngram-signatures")
     buckets = own.df.groupBy("signature").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where(F.col("centre") < F.col("last")).select("signature", "centre")
+    buckets = save(buckets, "ngram-centres").df
     shared = save(own.df.join(buckets, "signature"), "ngram-buckets")
     own.drop()
 
@@ -250,10 +252,11 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     placed = shared.df.select("signature", "doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = save(placed.withColumn("component", F.coalesce("component", "doc_id")), "ngram-placed").df
     apart = placed.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") < F.col("y")).select("signature")
+    apart = save(apart, "ngram-apart").df
     open_rows = save(placed.join(apart, "signature", "left_semi"), "ngram-open").df
     if not open_rows.isEmpty():
         members = placed.select("doc_id", "component").distinct()
-        size = members.groupBy("component").agg(F.count("*").alias("size"))
+        size = save(members.groupBy("component").agg(F.count("*").alias("size")), "ngram-sizes").df
         groups = _ranges(members.join(ranges, "doc_id"), "component")
         sized = open_rows.join(size, "component").join(ranges, "doc_id")
         theirs = open_rows.select("signature", F.col("component").alias("group_of")).distinct()

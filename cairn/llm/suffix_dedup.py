@@ -16,7 +16,11 @@ else. Texts of 100 TB have no one suffix array, so suffixes are dealt by content
    has the same left part. Matches are checked against the bytes.
 4. K-grams with more than MOST_RUNS different runs, as of a passage in a third of
    all documents, would be hot keys. Their contexts' windows are counted by hash
-   instead, spread over all tasks, which finds the same windows.
+   instead, spread over all tasks, which finds the same windows. BLOCK windows at
+   neighbouring distances from the anchor are counted first: where all their bytes
+   repeat, each is repeated, and where the bytes that they share don't, none is.
+   Only the windows of other blocks are counted one by one, and those of one copy
+   of each repeated block, which they can be equal to.
 
 The spans of a document are merged and cut out of it.
 """
@@ -37,7 +41,8 @@ from cairn.llm.shared import documents, others, save
 from cairn.llm.suffixes import PrefixHashes, SuffixSort, mix
 
 LENGTH = 400
-MOST_RUNS = 256
+MOST_RUNS = 512
+BLOCK = 16
 BUFFER = 20_000
 POSITION_BITS = 30
 
@@ -173,17 +178,79 @@ def _edges(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield _solve(rows, length)
 
 
+def _hash_pairs(strings: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, strings)), "<i8").reshape(-1, 2)
+
+
+def _distances(place: int, size: int, length: int) -> tuple[int, int]:
+    """The least and largest distance of a context's windows from its anchor."""
+    return place - (size - length), place
+
+
+def _block_hashes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """For each block of a context's windows: hashes of all their bytes (none where the context lacks a window) and of those that they share."""
+    for batch in batches:
+        rows, all_bytes, shared = [], [], []
+        for id1, id2, at, first, text in zip(*(batch[c].to_pylist() for c in ("id1", "id2", "at", "first", "context")), strict=True):
+            place = at - first
+            lo, hi = _distances(place, len(text), length)
+            for block in range(lo // BLOCK, hi // BLOCK + 1):
+                near, far = block * BLOCK, block * BLOCK + BLOCK - 1
+                mark = block.to_bytes(4, "little")
+                full = lo <= near and far <= hi
+                all_bytes.append(mark + text[place - far : place - near + length] if full else b"")
+                shared.append(mark + text[place - near : place - far + length])
+                rows.append((id1, id2, first, block, full))
+        a, b = _hash_pairs(all_bytes), _hash_pairs(shared)
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), *(pa.array(x[:, k]) for x in (a, b) for k in (0, 1))],
+            names=["id1", "id2", "first", "block", "full", "a1", "a2", "s1", "s2"],
+        )
+
+
 def _window_hashes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """For each window of the contexts of a hot k-gram: its hash and where it starts."""
+    """For each window of the wanted blocks of a context: its hash, where it starts, and whether it is to be decided."""
     for batch in batches:
-        for row, text in enumerate(batch["context"].to_pylist()):
-            n = len(text) - length + 1
-            pairs = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[k : k + length]) for k in range(n)), "<i8").reshape(-1, 2)
-            own = {c: batch[c][row].as_py() for c in ("id1", "id2", "first", "alone")}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *(pa.array(np.full(n, own[c])) for c in ("id1", "id2")), pa.array(own["first"] + np.arange(n)), pa.array(np.full(n, own["alone"]))],
-                names=["h1", "h2", "id1", "id2", "begin", "alone"],
-            )
+        rows, windows = [], []
+        columns = ("id1", "id2", "at", "first", "context", "blocks", "decides")
+        for id1, id2, at, first, text, blocks, decides in zip(*(batch[c].to_pylist() for c in columns), strict=True):
+            place = at - first
+            lo, hi = _distances(place, len(text), length)
+            for block, asks in zip(blocks, decides, strict=True):
+                for distance in range(max(lo, block * BLOCK), min(hi, block * BLOCK + BLOCK - 1) + 1):
+                    windows.append(distance.to_bytes(4, "little") + text[place - distance : place - distance + length])
+                    rows.append((id1, id2, at - distance, asks))
+        h = _hash_pairs(windows)
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["h1", "h2", "id1", "id2", "begin", "asks"])
+
+
+def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
+    """id1, id2, begin, end of the repeated windows of contexts whose k-gram has too many for one task."""
+    place = ["id1", "id2", "first"]
+    blocks = contexts.select("id1", "id2", "at", "first", "context").mapInArrow(
+        partial(_block_hashes, length=length), "id1 long, id2 long, first int, block int, full boolean, a1 long, a2 long, s1 long, s2 long"
+    )
+    blocks = save(blocks, "suffix-blocks").df
+    same = blocks.where("full").groupBy("a1", "a2").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("one")).where(F.col("n") > 1).select("a1", "a2", "one")
+    near = blocks.groupBy("s1", "s2").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("s1", "s2")
+    same, near = save(same, "suffix-same").df, save(near, "suffix-near").df
+    known = save(blocks.join(near, ["s1", "s2"], "left_semi").join(same, ["a1", "a2"], "left"), "suffix-known").df
+    decided = F.col("full") & F.col("one").isNotNull()
+    alone = contexts.where("alone").select(*place, "at")
+    whole = known.where(decided).join(alone, place).select(
+        "id1", "id2", (F.col("at") - F.col("block") * BLOCK - (BLOCK - 1)).cast("long").alias("begin"), (F.col("at") - F.col("block") * BLOCK + length).cast("long").alias("end")
+    )
+    open_ = known.where(~decided | (F.col("one") == F.struct(*place))).groupBy(*place).agg(F.collect_list("block").alias("blocks"), F.collect_list(~decided).alias("decides"))
+    asked = contexts.join(save(open_, "suffix-open").df, place)
+    asked = asked.withColumn("decides", F.transform("decides", lambda d: d & F.col("alone"))).select("id1", "id2", "at", "first", "context", "blocks", "decides")
+    windows = save(asked.mapInArrow(partial(_window_hashes, length=length), "h1 long, h2 long, id1 long, id2 long, begin long, asks boolean"), "suffix-windows").df
+    twice = save(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h1", "h2"), "suffix-twice").df
+    single = windows.where("asks").join(twice, ["h1", "h2"]).select("id1", "id2", "begin", (F.col("begin") + length).alias("end"))
+    return whole.unionByName(single)
 
 
 def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -221,7 +288,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     keyed = base.select("*", *key)
     rows = save(keyed.select("id1", "id2", "text").mapInArrow(partial(_anchor_rows, length=length), ANCHORS), "suffix-anchors")
     grams = rows.df.groupBy("gram").agg(F.count("*").alias("n"), (F.min("run") < F.max("run")).alias("several")).where(F.col("n") > 1)
-    repeated = save(rows.df.join(grams.select("gram", "several"), "gram"), "suffix-repeated").df
+    # Written, so that the join's hot keys can be split.
+    grams = save(grams.select("gram", "several"), "suffix-grams").df
+    repeated = save(rows.df.join(grams, "gram"), "suffix-repeated").df
     rows.drop()
 
     runs = repeated.groupBy("gram", "run", "several").agg(F.count("*").alias("n"), F.min(F.struct("id1", "id2", "at", "first", "last")).alias("r"))
@@ -231,15 +300,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
     different = runs.where("several")
     many = different.groupBy("gram").agg(F.count("*").alias("runs")).where(F.col("runs") > most_runs).select("gram", F.lit(True).alias("hot"))
+    many = save(many, "suffix-many").df
     edge = different.join(many, "gram", "left").select("gram", (F.col("n") == 1).alias("alone"), F.coalesce("hot", F.lit(False)).alias("hot"), "r.*")
     piece = F.expr(f"substring(cast(text as binary), first + 1, last - first + {length})").alias("context")
     contexts = save(edge.join(keyed.select("id1", "id2", "text"), ["id1", "id2"]).select("gram", "alone", "hot", "id1", "id2", "at", "first", piece), "suffix-contexts").df
     sorted_ = contexts.where(~F.col("hot")).repartition("gram").sortWithinPartitions("gram")
     found = sorted_.mapInArrow(partial(_edges, length=length), "id1 long, id2 long, begin long, end long")
-    windows = contexts.where("hot").mapInArrow(partial(_window_hashes, length=length), "h1 long, h2 long, id1 long, id2 long, begin long, alone boolean")
-    windows = save(windows, "suffix-windows").df
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("h1", "h2")
-    hot = windows.where("alone").join(twice, ["h1", "h2"]).select("id1", "id2", "begin", (F.col("begin") + length).alias("end"))
+    hot = _hot_spans(contexts.where("hot"), length)
 
     spans = spans.unionByName(found).unionByName(hot)
     listed = save(spans.groupBy("id1", "id2").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")), "suffix-spans").df
