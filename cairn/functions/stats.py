@@ -13,10 +13,10 @@ def nearest_rank(rows: DataFrame, keys: list[str], value: str, quantiles: dict[s
     counts finds the ranks, so a large group is sorted, spilling if it must, and
     never collected.
     """
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("k"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("equal_values"))
     group = Window.partitionBy(*keys)
     upto = group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.sum("k").over(upto)).withColumn("n", F.sum("k").over(group))
+    ranked = counted.withColumn("upto", F.sum("equal_values").over(upto)).withColumn("n", F.sum("equal_values").over(group))
     picked = [
         F.bround(F.min(F.when(F.col("upto") > F.bround(F.lit(q) * (F.col("n") - 1), 0), F.col(value))), digits).alias(name) for name, q in quantiles.items()
     ]

@@ -195,7 +195,7 @@ def keeps(rewrite: Column, original: Column) -> Column:
 def breadcrumb(title: Column, section: Column, between: str = " › ") -> Column:
     """The parts of a title and a section path, each once."""
     parts = F.concat(F.array(title), F.when(F.coalesce(section, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(section, between)))
-    return F.concat(F.lit("# "), F.array_join(F.array_distinct(F.filter(F.transform(parts, F.trim), lambda p: p != "")), between))
+    return F.concat(F.lit("# "), F.array_join(F.array_distinct(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda p: p != "")), between))
 
 
 def cited(answer: Column, citations: Column) -> Column:

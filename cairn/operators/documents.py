@@ -60,9 +60,9 @@ def clean_pages(pages: DataFrame, doc: str = "source_id", page: str = "page") ->
     others = F.filter("lines", lambda x: ~T.is_page_number(x))
     left = F.filter(others, lambda x: (F.trim(x) == "") | ~F.array_contains(F.coalesce("listed", none), T.line_key(x)))
     return rows.select(
-        doc, page, T.tidy(F.array_join(F.transform(left, F.rtrim), "\n")).alias("text"),
+        doc, page, T.tidy(F.array_join(F.transform(left, lambda x: F.rtrim(x)), "\n")).alias("text"),
         F.size(numbers).alias("page_numbers"), (F.size(others) - F.size(left)).alias("headers_footers"),
-        F.slice(F.array_sort(F.array_distinct(F.transform(numbers, F.trim))), 1, 6).alias("samples"),
+        F.slice(F.array_sort(F.array_distinct(F.transform(numbers, lambda x: F.trim(x)))), 1, 6).alias("samples"),
     )
 
 
@@ -80,7 +80,7 @@ def compact_table_lines(text: Column) -> Column:
     """Table rows with single blanks around cells, separator rows as short as can be."""
 
     def line(x: Column) -> Column:
-        cells = F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"(?<!\\)\|"), F.trim)
+        cells = F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"(?<!\\)\|"), lambda x: F.trim(x))
         rule = F.forall(cells, lambda c: F.rlike(F.replace(c, F.lit(" "), F.lit("")), F.lit("^:?-+:?$")))
         short = F.concat(F.lit("|"), F.array_join(F.transform(cells, lambda c: F.lit("---")), "|"), F.lit("|"))
         long = F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))

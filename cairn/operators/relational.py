@@ -84,7 +84,7 @@ def room_exists(rooms: DataFrame, room: str) -> bool:
 def check_book(books: DataFrame, loans: DataFrame, isbn: str | None = None, title: str | None = None, limit: int = 10) -> DataFrame:
     """Books with the copies that are not out; % and _ in a title are wildcards."""
     out = loans.where(F.col("returned") == 0).groupBy("isbn").agg(F.count("*").alias("out"))
-    like = None if title is None else F.lower("title").like(F.concat(F.lit("%"), F.lower(F.lit(title)), F.lit("%")))
+    like = None if title is None else F.like(F.lower("title"), F.concat(F.lit("%"), F.lower(F.lit(title)), F.lit("%")))
     rows = where_given(books, (isbn, F.col("isbn") == isbn), (title, like)).join(out, "isbn", "left")
     return rows.select("isbn", "title", "authors", "year", "copies_total", (F.col("copies_total") - F.coalesce("out", F.lit(0))).alias("available")).orderBy("title", "isbn").limit(limit)
 
