@@ -33,8 +33,8 @@ from cairn.llm.shared import documents
 
 MAX_ROWS = 50_000
 MAX_LEXICON = 20_000
-MIN_ROWS_WITH = 5
-MIN_WEIGHT = 3.5
+MIN_ROWS_WITH = 4
+MIN_WEIGHT = 3.0
 STEMS = (4, 5, 6)
 HEAD = 3
 THREAT_WEIGHT = 2.0
@@ -162,6 +162,14 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
 
 
+def evidence(k_toxic: int, k_other: int, n_toxic: int, n_other: int) -> float:
+    """The log-likelihood ratio of the two shares of rows that have a feature, against one share for both."""
+    share = lambda k, n, p: (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if n - k else 0.0)
+    together = (k_toxic + k_other) / (n_toxic + n_other)
+    apart = share(k_toxic, n_toxic, k_toxic / n_toxic) + share(k_other, n_other, k_other / n_other)
+    return 2 * (apart - share(k_toxic, n_toxic, together) - share(k_other, n_other, together))
+
+
 def _word_rows(batches: Iterator[pa.RecordBatch], only: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
     """Per feature, the rows that have it; of all features, or of some."""
     for batch in batches:
@@ -202,8 +210,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     parts = 1_000_000
     share = min(parts, max_rows * parts // max(1, known.count()))
     sample = known.where(F.pmod(F.xxhash64("l_id"), F.lit(parts)) < share)
-    # The sample's size is bounded by max_rows, so its ids are broadcast and the texts stay where they are.
-    rows = docs.select(F.col("doc_id").cast("long").alias("l_id"), "text").join(F.broadcast(sample), "l_id").select("text", "toxic")
+    # The sample's size is bounded by max_rows, so its ids are broadcast. Copies count once, or their chance words would look like insults.
+    rows = docs.select(F.col("doc_id").cast("long").alias("l_id"), "text").join(F.broadcast(sample), "l_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return Model({}, [-60.0] + [0.0] * (len(CLASSES) + 1))
@@ -215,7 +223,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     in_toxic = {r.feature: r.n for r in count(1, None).where(F.col("n") >= MIN_ROWS_WITH).collect()}
     in_other = {r.feature: r.n for r in count(0, frozenset(in_toxic)).collect()}
     odds = {f: math.log((k + 0.5) / (n[1] + 1)) - math.log((in_other.get(f, 0) + 1) / (n[0] + 2)) for f, k in in_toxic.items()}
-    best = sorted((f for f in odds if odds[f] >= MIN_WEIGHT), key=lambda f: (-odds[f] * in_toxic[f], f))[:MAX_LEXICON]
+    least = 2 * math.log(max(2, len(odds))) + 2  # so much evidence that less than one of all features has it by chance
+    sure = [f for f in odds if odds[f] >= MIN_WEIGHT and evidence(in_toxic[f], in_other.get(f, 0), n[1], n[0]) >= least]
+    best = sorted(sure, key=lambda f: (-odds[f] * in_toxic[f], f))[:MAX_LEXICON]
     model = Model({f: odds[f] for f in best}, [])
     scored = rows.mapInArrow(partial(_feature_rows, model=model), "toxic int, x array<double>").toPandas()
     model.coefficients = fit_logistic(np.array(scored["x"].tolist()), scored["toxic"].to_numpy(float))
