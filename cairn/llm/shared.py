@@ -1,7 +1,7 @@
 """Tables kept in the folder that the driver and all executors share.
 
 ``save`` cuts lineage: a stage that was written is read again, not recomputed,
-when an executor is lost.
+when an executor is lost. The shuffle files behind it go once it is written.
 """
 
 from __future__ import annotations
@@ -43,9 +43,17 @@ class Table:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, name: str) -> Table:
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return Table(spark.read.schema(df.schema).parquet(path), path)
 
 
