@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from cairn.llm import ann, lm_score, toxicity
 
@@ -97,6 +98,39 @@ def test_lm_score(spark, docs, rows, no_docs):
     assert lm_score.lm_score(no_docs, ids).collect() == []
 
 
+@pytest.mark.parametrize("middle", [2600, 65_536])
+def test_lm_score_of_all_words(spark, monkeypatch, middle):
+    """With more words than the head has, each word keeps its own counts; with a small middle, many pairs have no frequent word."""
+    monkeypatch.setattr(lm_score, "MIDDLE", middle, raising=False)
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    weights = [1 / (k + 200) for k in range(5000)]
+    texts = [rng.choices(vocabulary, weights, k=400) for _ in range(50)]
+    texts[7] = texts[3][:200] * 2
+    ids = [None if k == 9 else 4 if k == 5 else k for k in range(50)]
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in zip(ids, texts, strict=True)] + [(90, ""), (91, None)], "doc_id long, text string").repartition(3)
+    size = len({w for t in texts for w in t}) + 2
+    assert size > 2600
+    for targets in (set(range(0, 50, 3)) | {4}, set()):
+        some = [t for i, t in zip(ids, texts, strict=True) if i in targets] or texts
+        models = []
+        for part, scale in ((some, 1.0), (texts, len(some) / len(texts))):
+            pairs = Counter(p for t in part for p in zip([None, *t], t, strict=False))
+            first, second = Counter(a for a, _ in pairs.elements()), Counter(b for _, b in pairs.elements())
+            models.append((pairs, first, second, scale))
+
+        def loss(a, b, model, n=400 * len(some)):
+            pairs, first, second, scale = model
+            unigram = (second[b] * scale + 0.5) / (n + 0.5 * size)
+            return -math.log(0.7 * pairs[a, b] / first[a] + 0.3 * unigram if first[a] else unigram)
+
+        wanted = [(i or -1, 400, *(sum(loss(a, b, m) for a, b in zip([None, *t], t, strict=False)) / 400 for m in models)) for i, t in zip(ids, texts, strict=True)]
+        wanted += [(90, 0, 0.0, 0.0), (91, 0, 0.0, 0.0)]
+        got = lm_score.lm_score(table, spark.createDataFrame([(k,) for k in targets], "id long")).collect()
+        assert all(abs(r.score - r.target_loss + r.background_loss) < 1e-9 for r in got)
+        assert np.allclose(sorted((r.doc_id or -1, *r[1:4]) for r in got), sorted(wanted), atol=1e-4)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(700, 10)).astype(np.float32)
