@@ -22,12 +22,16 @@ else. Texts of 100 TB have no one suffix array, so suffixes are dealt by content
    Only the windows of other blocks are counted one by one, and those of one copy
    of each repeated block, which they can be equal to.
 
+Passages of a number of words are found in the same way, over texts of which each
+word is WORD bytes, its hash; only starts of words count there.
+
 The spans of a document are merged and cut out of it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -45,6 +49,7 @@ MOST_RUNS = 512
 BLOCK = 16
 BUFFER = 20_000
 POSITION_BITS = 30
+WORD = 8
 
 ANCHORS = "id1 long, id2 long, gram long, run long, at int, first int, last int"
 
@@ -253,13 +258,31 @@ def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
     return whole.unionByName(single)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
+def _words_as_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        coded = [b"".join(map(xxhash.xxh3_64_digest, (t or b"").split())) for t in batch["text"].cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["id1"], batch["id2"], pa.array(coded, pa.binary())], names=["id1", "id2", "text"])
+
+
+def _word_spans(text: bytes, begins: list[int], ends: list[int], length: int) -> list[tuple[int, int]]:
+    """Spans over hashed words as spans of the text's bytes. Of a span's windows of ``length`` bytes, those that start with a word count."""
+    places = [m.span() for m in re.finditer(rb"\S+", text)] if begins else []
+    out = []
+    for a, b in zip(begins, ends, strict=True):
+        first, last = -(-a // WORD), (b - length) // WORD
+        if first <= last:
+            out.append((places[first][0], places[last + length // WORD - 1][1]))
+    return out
+
+
+def _cut(batches: Iterator[pa.RecordBatch], with_text: bool, passage: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
-        for text, begins, ends in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["begins"].to_pylist(), batch["ends"].to_pylist(), strict=True):
+        columns = ("begins", "ends", "word_begins", "word_ends")
+        for text, begins, ends, *of_words in zip(batch["text"].cast(pa.binary()).to_pylist(), *(batch[c].to_pylist() for c in columns), strict=True):
             text, kept, at, spans = text or b"", [], 0, 0
             covered = -1
-            for a, b in sorted(zip(begins or [], ends or [], strict=True)):
+            for a, b in sorted([*zip(begins or [], ends or [], strict=True), *_word_spans(text, *(x or [] for x in of_words), passage)]):
                 if a > covered:  # spans that touch are one
                     kept.append(text[at:a])
                     spans += 1
@@ -272,21 +295,9 @@ def _cut(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), batch["carried"]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "carried"])
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_runs: int = MOST_RUNS, with_text: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256; if with_text also kept, the text, and carried, the row's other columns.
-
-    Texts are UTF-8 bytes; null counts as empty. Matches never cross texts, but
-    may overlap within one; strings are judged on the input. Removed runs that
-    touch are one. In ``kept``, the text as characters, bytes of characters that
-    were cut apart are left out. Rows that repeat an id and text are copies of
-    each other; null ids are ids like others. Texts shorter than ``length`` stay
-    as they are, an empty table gives an empty result, other columns are not read.
-    """
-    key = [F.xxhash64("doc_id", "text").alias("id1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("id2")]
-    carried = others(docs, id_col, text_col) if with_text else F.struct(F.lit(0).alias("none"))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), carried.alias("carried"))
-    keyed = base.select("*", *key)
-    rows = save(keyed.select("id1", "id2", "text").mapInArrow(partial(_anchor_rows, length=length), ANCHORS), "suffix-anchors")
+def _listed_spans(keyed: DataFrame, length: int, most_runs: int) -> DataFrame:
+    """id1, id2, begins, ends: the spans of repeated windows of the texts of ``keyed`` (id1, id2, text)."""
+    rows = save(keyed.mapInArrow(partial(_anchor_rows, length=length), ANCHORS), "suffix-anchors")
     grams = rows.df.groupBy("gram").agg(F.count("*").alias("n"), (F.min("run") < F.max("run")).alias("several")).where(F.col("n") > 1)
     # Written, so that the join's hot keys can be split.
     grams = save(grams.select("gram", "several"), "suffix-grams").df
@@ -303,16 +314,43 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     many = save(many, "suffix-many").df
     edge = different.join(many, "gram", "left").select("gram", (F.col("n") == 1).alias("alone"), F.coalesce("hot", F.lit(False)).alias("hot"), "r.*")
     piece = F.expr(f"substring(cast(text as binary), first + 1, last - first + {length})").alias("context")
-    contexts = save(edge.join(keyed.select("id1", "id2", "text"), ["id1", "id2"]).select("gram", "alone", "hot", "id1", "id2", "at", "first", piece), "suffix-contexts").df
+    contexts = save(edge.join(keyed, ["id1", "id2"]).select("gram", "alone", "hot", "id1", "id2", "at", "first", piece), "suffix-contexts").df
     sorted_ = contexts.where(~F.col("hot")).repartition("gram").sortWithinPartitions("gram")
     found = sorted_.mapInArrow(partial(_edges, length=length), "id1 long, id2 long, begin long, end long")
     hot = _hot_spans(contexts.where("hot"), length)
 
     spans = spans.unionByName(found).unionByName(hot)
-    listed = save(spans.groupBy("id1", "id2").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")), "suffix-spans").df
-    dealt = keyed.join(listed, ["id1", "id2"], "left").select("doc_id", "text", "begins", "ends", "carried")
+    return save(spans.groupBy("id1", "id2").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")), "suffix-spans").df
+
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_runs: int = MOST_RUNS, with_text: bool = False, passage_words: int = 0) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256; if with_text also kept, the text, and carried, the row's other columns.
+
+    Texts are UTF-8 bytes; null counts as empty. Matches never cross texts, but
+    may overlap within one; strings are judged on the input. Removed runs that
+    touch are one. In ``kept``, the text as characters, bytes of characters that
+    were cut apart are left out. Rows that repeat an id and text are copies of
+    each other; null ids are ids like others. Texts shorter than ``length`` stay
+    as they are, an empty table gives an empty result, other columns are not read.
+    With ``passage_words``, passages of so many words (between ASCII white space)
+    that start more than once go too, whatever their bytes and the space in them.
+    """
+    key = [F.xxhash64("doc_id", "text").alias("id1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("id2")]
+    carried = others(docs, id_col, text_col) if with_text else F.struct(F.lit(0).alias("none"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), carried.alias("carried"))
+    keyed = base.select("*", *key)
+    texts = keyed.select("id1", "id2", "text")
+    dealt = keyed.join(_listed_spans(texts, length, most_runs), ["id1", "id2"], "left")
+    if passage_words:
+        coded = texts.mapInArrow(_words_as_hashes, "id1 long, id2 long, text binary")
+        of_words = _listed_spans(coded, WORD * passage_words, most_runs).withColumnsRenamed({"begins": "word_begins", "ends": "word_ends"})
+        dealt = dealt.join(of_words, ["id1", "id2"], "left")
+    else:
+        none = F.lit(None).cast("array<long>")
+        dealt = dealt.withColumn("word_begins", none).withColumn("word_ends", none)
+    dealt = dealt.select("doc_id", "text", "begins", "ends", "word_begins", "word_ends", "carried")
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, carried {base.schema['carried'].dataType.simpleString()}"
-    done = dealt.mapInArrow(partial(_cut, with_text=with_text), schema)
+    done = dealt.mapInArrow(partial(_cut, with_text=with_text, passage=WORD * passage_words), schema)
     return done if with_text else done.drop("kept", "carried")
 
 

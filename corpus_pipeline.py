@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from cairn.llm import line_dedup, ngram_join, packing, suffix_dedup, toxicity
 from cairn.llm.shared import documents, save, with_kept_text
 
+PASSAGE_WORDS = 51
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -37,8 +39,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the 400-byte strings that start more than once."""
-    return with_kept_text(docs, suffix_dedup.suffix_dedup(docs, with_text=True))
+    """All documents, without the 400-byte strings and the passages of over 50 words that start more than once."""
+    return with_kept_text(docs, suffix_dedup.suffix_dedup(docs, with_text=True, passage_words=PASSAGE_WORDS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

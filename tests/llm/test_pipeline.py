@@ -29,3 +29,14 @@ def test_stages(spark):
     assert sizes[0] < 200 and sizes[2] < sizes[1]
     packed = docs.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
     assert len(packed) == sizes[-1] and all(r[1] == r[2] for r in packed)
+
+
+def test_short_passages_are_cut(spark):
+    """A passage of 51 short words goes from every document, one of 50 stays; other text stays."""
+    own = lambda k, n: [f"own{k}x{j}" for j in range(n)]
+    passage, less = [f"p{j}" for j in range(51)], [f"q{j}" for j in range(50)]
+    texts = [[*own(k, 30 + k), *passage, *own(k + 10, 30), *less, *own(k + 20, 30)] for k in range(3)]
+    assert len(" ".join(passage)) < 400
+    table = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)] + [(7, " ".join(own(50, 60))), (8, None)], "doc_id long, text string")
+    kept = {r.doc_id: (r.text or "").split() for r in corpus_pipeline.cut_repeated_strings(spark, table, SF).collect()}
+    assert kept == {**{k: [w for w in t if w not in passage] for k, t in enumerate(texts)}, 7: own(50, 60), 8: []}
