@@ -7,8 +7,11 @@ that changes large inner products, counts ETA times as much as the rest. As the
 parallel error adds up over subspaces, codes are chosen by coordinate descent.
 
 A search scans a block of codes with tables of query-times-codeword products (two
-codes, one byte, per look-up), takes the SHORTLIST best and ranks these by exact
-products in double precision. Every query meets every block: the query set
+codes, one byte, per look-up), takes the SHORTLIST best and computes their exact
+products in double precision. A row's exact product is at most its approximate one
+plus the norms of its residual and of the query multiplied, so every row for which
+this limit reaches the k-th best exact product is ranked exactly too: no row of the
+k best is lost, however many have the same codes. Every query meets every block: the query set
 against all rows, in blocks. A block's rows come first in its partition, the
 queries follow as a stream, so a task holds one block and one batch.
 
@@ -117,7 +120,12 @@ class Block:
     def __init__(self, quantiser: Quantiser, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.quantiser, self.ids, self.vectors = quantiser, ids[order], vectors[order].astype(np.float64)
-        self.packed = np.ascontiguousarray(quantiser.pack(quantiser.codes(self.vectors)).T)
+        codes = quantiser.codes(self.vectors)
+        self.packed = np.ascontiguousarray(quantiser.pack(codes).T)
+        coded = quantiser.words[np.arange(len(quantiser.words)), codes]
+        self.residual = np.sqrt(((quantiser._cut(self.vectors) - coded) ** 2).sum((1, 2)))
+        # Sums of single-precision products differ from exact ones by less than this, for a query of norm 1.
+        self.slack = 1e-6 * len(self.packed) * np.sqrt((quantiser.words**2).sum(2).max(1).sum())
 
     def search(self, query_id: int, query: np.ndarray, k: int, shortlist: int) -> tuple[np.ndarray, np.ndarray]:
         """ids and exact products of the k best rows found, best first, ties to the smaller id."""
@@ -128,6 +136,13 @@ class Block:
         best = np.argpartition(-approximate, shortlist - 1)[:shortlist] if len(self.ids) > shortlist else np.arange(len(self.ids))
         best = best[self.ids[best] != query_id]
         exact = self.vectors[best] @ query
+        if k <= len(best) < len(self.ids):
+            limit = approximate + (self.residual + self.slack) * np.linalg.norm(query)
+            best = np.union1d(best, np.flatnonzero((limit >= np.partition(exact, -k)[-k]) & (self.ids != query_id)))
+            exact = self.vectors[best] @ query
+        elif len(best) < k and len(self.ids) > shortlist:  # a shortlist of fewer than k gives no limit
+            best = np.flatnonzero(self.ids != query_id)
+            exact = self.vectors[best] @ query
         order = np.lexsort((self.ids[best], -exact))[:k]
         return self.ids[best][order], exact[order]
 

@@ -154,3 +154,19 @@ def test_nearest(spark):
     few = ann.nearest(table.where("vec_id < 4"))
     assert few.count() == 3
     assert ann.nearest(table.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("noise", [0.02, 0.1])
+def test_near_copies_in_a_full_block(noise):
+    """A third of a block are near copies with nearly equal codes; none of the nearest is lost."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(ann.BLOCK_ROWS, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:2730] = x[0] + noise * rng.normal(size=(2730, 64)) / 8
+    block = ann.Block(ann.Quantiser.fit(x[::8]), np.arange(len(x)), x)
+    exact, found = x @ x.T, 0
+    for q in [*range(0, 2730, 300), 5000, 8000]:
+        wanted = [j for j in np.argsort(-exact[q]) if j != q][:20]
+        found += len({*wanted} & {*block.search(q, x[q], 20, ann.SHORTLIST)[0].tolist()})
+    print(f"noise {noise}: recall {found / 240:.3f}")
+    assert found == 240
