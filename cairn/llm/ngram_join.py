@@ -5,28 +5,32 @@ union. Every linked pair between different sets is examined or already known to
 be connected, none is sampled away:
 
 1. Equal sets are one class; its smallest document stands for it.
-2. Candidates. Linked sets of sizes a and b differ in at most
+2. Which sets take part. Linked sets of sizes a and b differ in at most
    (a + b)(100 - percent)/(100 + percent) n-grams. The hash space is cut into
    more segments than that, so linked sets agree on a whole segment that isn't
-   empty. Sets that share a segment's signature are candidates.
-3. First groups: per signature, the smallest document. The others are queries
-   to it. Verified links give components, which are groups of similar documents.
-4. Where a signature still joins several components, the documents of the smaller
-   one are queries to the larger one, in groups of at most GROUP_DOCS members.
-   As a component needs one link only, a query stops at its first in a group.
-
-Before texts are fetched, profiles bound how many n-grams a query and a group, or
-two documents, differ in: the counts of a set's n-grams in PROFILE parts of the
-hash space differ by no more than the sets do, and a group has the range of its
-members' counts. Pairs that differ too much by that are left out at once.
-
-Both times a group's rows form its part of the token-group matrix: the union of
-its members' n-grams, each with the members that have it. A query's overlap with
-the union bounds its overlap with every member; the group is opened, that is, the
-members' overlaps are counted, only if that bound reaches percent of the query.
-
-Queries to one group are dealt over slices, each with a copy of the group's few
-members, so neither a large group of copies nor of near copies ends in one task.
+   empty. A set that shares no segment's signature with another one links with
+   none. The n-grams of the others are written once and read from there on.
+3. Which n-grams are looked at. All n-grams of these sets are ordered by the number
+   of sets that have them, rarest first. As linked sets share at least percent of
+   the larger one, both have a common n-gram among the first of the smaller and of
+   the larger: a set's first size - ceil(size * percent / 100) + 1. N-grams that no
+   other set has count there too but join nothing, so most sets end here. What is
+   left is the matrix: (n-gram, set) rows.
+4. Groups of similar documents: sets whose first n-grams lead to the same smallest
+   set, dealt into parts of about PART_GRAMS n-grams. A part's row holds its token
+   union and, for each n-gram, the members that have it. A set queries the parts
+   of the smallest sets of its first n-grams, up to its first link there. The
+   links give components.
+5. N-grams that still join several components: their sets query all parts that have
+   such an n-gram in a smaller component, for one link with each such component.
+
+A query's overlap with a part's union bounds its overlap with every member; the
+part is opened, that is, the members' overlaps are counted, only if that bound
+reaches percent of the query.
+
+Queries to one part are dealt over slices, each with a copy of the part's row, so
+neither a large group of copies nor of near copies ends in one task. N-grams and
+texts are compared by hashes, n-grams by 64 bits and equal sets by 128.
 """
 
 from __future__ import annotations
@@ -37,27 +41,16 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.components import components
-from cairn.llm.shared import documents, save
+from cairn.llm.shared import Table, documents, save
+from cairn.llm.word_hashes import split_words
 
-GROUP_DOCS = 256
+PART_GRAMS = 1 << 17
 SLICE_QUERIES = 256
 CLASS_RATIO = 1.4
-MEMO_SIZE = 500_000
-PROFILE_BITS = 5
-PROFILE = 1 << PROFILE_BITS
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = _WordHashes()  # one per Python worker
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,22 +61,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def ngrams(text: bytes, n: int) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's word n-grams; A-Z count as a-z.
+def ngrams(words: np.ndarray, n: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of the n-grams of a text's word hashes.
 
     A text of fewer words has its whole sequence as the only one, a text without
     words none.
     """
-    words = text.lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
+    if not len(words):
         return np.zeros(0, np.uint64)
-    if len(_words) > MEMO_SIZE:
-        _words.clear()
-    h = np.array(list(map(_words.__getitem__, words)), np.uint64)
-    k = min(n, len(h))
-    total = np.full(len(h) - k + 1, k, np.uint64)
+    k = min(n, len(words))
+    total = np.full(len(words) - k + 1, k, np.uint64)
     for j in range(k):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j]
+        total = total * np.uint64(0x9E3779B97F4A7C15) + words[j : len(words) - k + 1 + j]
     return np.unique(_mix(total))
 
 
@@ -120,96 +109,184 @@ def signatures(grams: np.ndarray, percent: int, classes: list[tuple[int, int, in
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def profile(grams: np.ndarray) -> np.ndarray:
-    """The counts of a set's n-grams in each part of the hash space; capped, which makes no two sets differ more."""
-    return np.minimum(np.bincount((grams >> np.uint64(64 - PROFILE_BITS)).astype(np.int64), minlength=PROFILE), 32_767).astype(np.int16)
+def _set_hash(grams: np.ndarray) -> tuple[int, int]:
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), "<i8").tolist())
 
 
-def _ranges(rows: DataFrame, key: str) -> DataFrame:
-    """Per key the ranges of its rows' counts (lo, hi) and its largest set's size (most)."""
-    part = lambda f, c: F.array(*(f(F.get(c, F.lit(k))) for k in range(PROFILE)))
-    return rows.groupBy(key).agg(part(F.min, "lo").alias("lo"), part(F.max, "hi").alias("hi"), F.max("most").alias("most"))
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else [], kind))
 
 
-def _may_link(percent: int, a: str = "", b: str = "their_") -> Column:
-    """Whether two ranges lie so close that linked sets can be in them."""
-    apart = lambda x, y: F.zip_with(x, y, lambda i, j: F.greatest(i.cast("int") - j.cast("int"), F.lit(0)))
-    both = F.zip_with(apart(F.col(f"{a}lo"), F.col(f"{b}hi")), apart(F.col(f"{b}lo"), F.col(f"{a}hi")), lambda x, y: x + y)
-    differ = F.aggregate(both, F.lit(0), lambda s, x: s + x)
-    return differ * (100 + percent) <= (F.col(f"{a}most") + F.col(f"{b}most")) * (100 - percent)
+def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch["text"].cast(pa.binary()).to_pylist()
 
 
-def _theirs(ranges: DataFrame, key: str, name: str) -> DataFrame:
-    return ranges.select(F.col(key).alias(name), *(F.col(c).alias(f"their_{c}") for c in ("lo", "hi", "most")))
+SETS = "doc_id long, n_shingles long, f1 long, f2 long, signatures array<long>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     classes = size_classes(percent, 1)
     for batch in batches:
         rows = []
-        for text in batch["text"].cast(pa.binary()).to_pylist():
-            grams = ngrams(text or b"", n)
+        for words in split_words(_texts(batch)):
+            grams = ngrams(words, n)
             if not classes or len(grams) >= classes[-1][1]:
                 classes = size_classes(percent, 2 * len(grams))
-            f1, f2 = np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), "<i8")
-            rows.append((len(grams), f1, f2, signatures(grams, percent, classes).view(np.int64), profile(grams)))
-        lengths = np.cumsum([0, *(len(r[3]) for r in rows)])
-        flat = np.concatenate([r[3] for r in rows]) if rows else np.zeros(0, np.int64)
-        columns = [batch["doc_id"], *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat))]
-        columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * PROFILE, pa.int32()), pa.array(np.concatenate([r[4] for r in rows]) if rows else [], pa.int16())))
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "f1", "f2", "signatures", "profile"])
+            rows.append((len(grams), *_set_hash(grams), signatures(grams, percent, classes).view(np.int64)))
+        columns = [batch["doc_id"], *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)), _lists([r[3] for r in rows], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "f1", "f2", "signatures"])
+
 
+KEPT = "doc_id long, f1 long, size int, grams array<long>"
 
-class Group:
-    """One group's part of the token-group matrix: its members' n-grams, sorted, each with the member that has it."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray]):
-        self.ids, self.sizes = ids, np.array([len(s) for s in sets])
-        grams, members = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+def _kept_grams(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        grams = [ngrams(words, n) for words in split_words(_texts(batch))]
+        columns = [batch["doc_id"], pa.array([_set_hash(g)[0] for g in grams], pa.int64()), pa.array(list(map(len, grams)), pa.int32())]
+        yield pa.RecordBatch.from_arrays([*columns, _lists([g.view(np.int64) for g in grams], pa.int64())], names=["doc_id", "f1", "size", "grams"])
+
+
+class Part:
+    """A part's rows of the token-group matrix: its members' n-grams, sorted, each with the members that have it."""
+
+    def __init__(self, ids: np.ndarray, components: np.ndarray, sizes: np.ndarray, union: np.ndarray, starts: np.ndarray, members: np.ndarray):
+        self.ids, self.components, self.sizes, self.union, self.starts, self.members = ids, components, sizes, union, starts, members
+
+    @classmethod
+    def of(cls, ids: list[int], components: list[int], sets: list[np.ndarray]) -> Part:
+        sizes = np.array([len(s) for s in sets])
+        grams, members = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
         order = np.argsort(grams, kind="stable")
-        self.grams, self.members = grams[order], members[order]
-
-    def first_link(self, query: np.ndarray, percent: int) -> int | None:
-        """The first member that links to the query, if the bound lets the group be opened and one does."""
-        lo, hi = np.searchsorted(self.grams, query), np.searchsorted(self.grams, query, side="right")
-        in_union = hi > lo
-        if 100 * int(in_union.sum()) < percent * len(query):
-            return None
-        lo, n = lo[in_union], (hi - lo)[in_union]
-        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        shared = np.bincount(self.members[at], minlength=len(self.ids))
-        linked = np.flatnonzero((shared > 0) & (100 * shared >= percent * (self.sizes + len(query) - shared)))
-        return self.ids[linked[0]] if len(linked) else None
-
-
-def _open(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Of a stream sorted by group and slice, members first: the links of queries to members."""
-    at, ids, sets, group = None, [], [], None
+        union, starts = np.unique(grams[order], return_index=True)
+        return cls(np.array(ids, np.int64), np.array(components, np.int64), sizes, union, np.r_[starts, len(grams)], members[order])
+
+    def links(self, component: int, query: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members of smaller components that link to the query, if the bound lets the part be opened, and their components."""
+        none = np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.union, query), len(self.union) - 1)
+        at = at[self.union[at] == query]
+        if 100 * len(at) < percent * len(query):
+            return none, none
+        lo, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        where = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        shared = np.bincount(self.members[where], minlength=len(self.ids))
+        linked = (shared > 0) & (100 * shared >= percent * (self.sizes + len(query) - shared)) & (self.components < component)
+        return self.ids[linked], self.components[linked]
+
+
+PART = ("ids", "components", "sizes", "grams", "starts", "members")
+PARTS = "part long, ids array<long>, components array<long>, sizes array<int>, grams array<long>, starts array<int>, members array<int>"
+
+
+def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of members sorted by part: one row per part."""
+
+    def row() -> pa.RecordBatch:
+        own = Part.of(*zip(*rows, strict=True))
+        columns = [pa.array([at], pa.int64()), *(_lists([x], pa.int64()) for x in (own.ids, own.components)), _lists([own.sizes], pa.int32())]
+        return pa.RecordBatch.from_arrays([*columns, _lists([own.union], pa.int64()), *(_lists([x], pa.int32()) for x in (own.starts, own.members))], names=["part", *PART])
+
+    at, rows = None, []
+    for batch in batches:
+        for part, doc_id, component, grams in zip(*(batch[c].to_pylist() for c in ("part", "doc_id", "component")), _arrays(batch["grams"]), strict=True):
+            if part != at and rows:
+                yield row()
+                rows = []
+            at = part
+            rows.append((doc_id, component, grams.copy()))
+    if rows:
+        yield row()
+
+
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """Each row's list, as a view."""
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _open(batches: Iterator[pa.RecordBatch], percent: int, first_only: bool) -> Iterator[pa.RecordBatch]:
+    """Of a stream sorted by part and slice, the part's row first: a link of each query, or one with each component."""
+    at, own = None, None
     for batch in batches:
         links = []
-        columns = (batch[c].to_pylist() for c in ("group", "slice", "is_query", "doc_id"))
-        for key_group, key_slice, is_query, doc_id, text in zip(*columns, batch["text"].cast(pa.binary()).to_pylist(), strict=True):
-            if (key_group, key_slice) != at:
-                at, ids, sets, group = (key_group, key_slice), [], [], None
-            grams = ngrams(text or b"", n)
+        grams = _arrays(batch["grams"])
+        keys = zip(*(batch[c].to_pylist() for c in ("part", "slice", "is_query", "doc_id", "component")), strict=True)
+        for k, (part, number, is_query, doc_id, component) in enumerate(keys):
             if not is_query:
-                ids.append(doc_id)
-                sets.append(grams)
-            elif ids:
-                group = group or Group(ids, sets)
-                if (found := group.first_link(grams, percent)) is not None:
-                    links.append((doc_id, found))
+                at, own = (part, number), Part(*(_arrays(batch[c].slice(k, 1))[0].copy() for c in PART))
+            elif (part, number) == at:
+                ids, components = own.links(component, grams[k], percent)
+                chosen = np.argsort(ids)[:1] if first_only else np.unique(components, return_index=True)[1]
+                links += [(doc_id, other) for other in ids[chosen].tolist()]
         a, b = zip(*links, strict=True) if links else ([], [])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def open_groups(texts: DataFrame, members: DataFrame, queries: DataFrame, n: int, percent: int) -> DataFrame:
-    """a, b: links between queries (group, doc_id) and members (group, doc_id) of the same group."""
-    slices = queries.groupBy("group").agg(F.ceil(F.count("*") / SLICE_QUERIES).alias("slices"))
-    asked = queries.join(slices, "group").select("group", F.pmod(F.xxhash64("doc_id"), "slices").alias("slice"), F.lit(True).alias("is_query"), "doc_id")
-    held = members.join(slices, "group").select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("is_query"), "doc_id")
-    rows = asked.unionByName(held).join(texts, "doc_id").select("group", "slice", "is_query", "doc_id", "text")
-    return rows.repartition("group", "slice").sortWithinPartitions("group", "slice", "is_query").mapInArrow(partial(_open, n=n, percent=percent), "a long, b long")
+KEY = ["doc_id", "f1"]
+
+
+def open_parts(kept: DataFrame, members: DataFrame, queries: DataFrame, percent: int, first_only: bool) -> DataFrame:
+    """a, b: links found by queries in the parts of members (both part, doc_id, f1, component); written."""
+    held = kept.join(members, KEY).select("part", "doc_id", "component", "grams").repartition("part").sortWithinPartitions("part")
+    unions = save(held.mapInArrow(_unions, PARTS), "ngram-unions")
+    slices = queries.groupBy("part").agg(F.ceil(F.count("*") / SLICE_QUERIES).alias("slices"))
+    asked = kept.join(queries, KEY).join(slices, "part").select("part", F.pmod(F.xxhash64(*KEY), "slices").alias("slice"), F.lit(True).alias("is_query"), "doc_id", "component", "grams")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice")
+    first = unions.df.join(slices, "part").select("part", each, F.lit(False).alias("is_query"), *PART)
+    stream = first.unionByName(asked, allowMissingColumns=True).repartition("part", "slice").sortWithinPartitions("part", "slice", "is_query")
+    links = save(stream.mapInArrow(partial(_open, percent=percent, first_only=first_only), "a long, b long"), "ngram-links")
+    unions.drop()
+    return links.df
+
+
+def _least(percent: int) -> Column:
+    """The least overlap of a linked set of this size."""
+    return F.floor((F.col("size") * percent + 99) / 100)
+
+
+def _first_grams(kept: DataFrame, percent: int) -> Table:
+    """gram, doc_id, f1, size: of each set's first n-grams, rarest first, those that other sets have too."""
+    tokens = kept.select("doc_id", "f1", "size", F.explode("grams").alias("gram"))
+    # Written, here and below, so that joins' hot keys can be split.
+    counts = save(tokens.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "ngram-counts")
+    own = Window.partitionBy("doc_id", "f1")
+    ranked = tokens.join(counts.df, "gram").withColumn("place", F.row_number().over(own.orderBy("n", "gram"))).withColumn("shared", F.count("*").over(own))
+    first = save(ranked.where(F.col("place") <= F.col("shared") + 1 - _least(percent)).select("gram", "doc_id", "f1", "size"), "ngram-first")
+    counts.drop()
+    return first
+
+
+def _groups(first: DataFrame) -> tuple[Table, Table]:
+    """Of all sets that share a first n-gram: their part (part, doc_id, f1); and the parts of the smallest sets of their n-grams (same columns)."""
+    leaders = first.groupBy("gram").agg(F.min(F.struct(*KEY)).alias("leader"), F.max(F.struct(*KEY)).alias("last")).where(F.col("leader") < F.col("last"))
+    leaders = save(leaders.select("gram", "leader"), "ngram-leaders")
+    led = save(first.join(leaders.df, "gram").select(*KEY, "size", "leader").distinct(), "ngram-led")
+    grouped = led.df.groupBy(*KEY, "size").agg(F.min("leader").alias("group"))
+    parts = grouped.groupBy("group").agg(F.ceil(F.sum("size") / PART_GRAMS).alias("parts"))
+    part = F.xxhash64("group", F.pmod(F.xxhash64(*KEY), "parts")).alias("part")
+    members = save(grouped.join(parts, "group").select(part, *KEY), "ngram-members")
+    of_leader = members.df.select("part", F.struct(*KEY).alias("leader"))
+    queries = save(led.df.join(of_leader, "leader").select("part", *KEY).distinct(), "ngram-queries")
+    leaders.drop(), led.drop()
+    return members, queries
+
+
+def _between(first: DataFrame, members: DataFrame, joined: DataFrame, percent: int) -> tuple[Table, Table]:
+    """Of all sets whose first n-grams join several components: their part, and the parts that they query (both part, doc_id, f1, component)."""
+    placed = first.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = save(placed, "ngram-placed")
+    apart = save(placed.df.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("gram"), "ngram-apart")
+    rows = save(placed.df.join(apart.df, "gram", "left_semi").join(members, KEY), "ngram-open")
+    placed.drop(), apart.drop()
+    held = save(rows.df.select("part", *KEY, "component").distinct(), "ngram-held")
+    matrix = rows.df.groupBy("gram", "part").agg(F.min("component").alias("smallest"), F.min("size").alias("least"), F.max("size").alias("most"))
+    near = (F.col("smallest") < F.col("component")) & (F.col("size") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("size") * percent)
+    queries = rows.df.drop("part").join(matrix, "gram").where(near).select("part", *KEY, "component").distinct()
+    queries = save(queries, "ngram-queries")
+    rows.drop()
+    return held, queries
 
 
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,59 +298,38 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     An empty table gives an empty result; other columns are not read.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = save(base.mapInArrow(partial(_sets, n=n, percent=percent), "doc_id long, n_shingles long, f1 long, f2 long, signatures array<long>, profile array<short>"), "ngram-sets").df
-    named = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = named.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    classes = save(classes, "ngram-classes").df  # written, here and below, so that joins' hot keys can be split
-    same = save(named.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"]).select("doc_id", "rep"), "ngram-same").df
-    equal = same.where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-
-    # Signatures of one document per class; those of several documents join them.
-    stand = named.join(classes.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "doc_id"], "left_semi")
-    own = save(stand.select("doc_id", F.explode("signatures").alias("signature")), "ngram-signatures")
-    buckets = own.df.groupBy("signature").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where(F.col("centre") < F.col("last")).select("signature", "centre")
-    buckets = save(buckets, "ngram-centres").df
-    shared = save(own.df.join(buckets, "signature"), "ngram-buckets")
-    own.drop()
-
-    texts = base.where(F.col("doc_id").isNotNull())
-    to_centre = shared.df.where(F.col("doc_id") != F.col("centre")).select(F.col("centre").alias("group"), "doc_id").distinct()
-    involved = shared.df.select("doc_id").distinct()
-    ranges = stand.select("doc_id", F.col("profile").alias("lo"), F.col("profile").alias("hi"), F.col("n_shingles").alias("most")).join(involved, "doc_id", "left_semi")
-    ranges = save(_ranges(ranges, "doc_id"), "ngram-ranges").df
-    to_centre = to_centre.join(ranges, "doc_id").join(_theirs(ranges, "doc_id", "group"), "group").where(_may_link(percent)).select("group", "doc_id")
-    to_centre = save(to_centre, "ngram-queries").df
-    centres = to_centre.select("group").distinct().withColumn("doc_id", F.col("group"))
-    first = save(open_groups(texts, centres, to_centre, n, percent), "ngram-links").df
-    links = equal.unionByName(first)
-    joined = save(components(links), "ngram-components").df
-
-    # Signatures that still join several components.
-    placed = shared.df.select("signature", "doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = save(placed.withColumn("component", F.coalesce("component", "doc_id")), "ngram-placed").df
-    apart = placed.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y")).where(F.col("x") < F.col("y")).select("signature")
-    apart = save(apart, "ngram-apart").df
-    open_rows = save(placed.join(apart, "signature", "left_semi"), "ngram-open").df
-    if not open_rows.isEmpty():
-        members = placed.select("doc_id", "component").distinct()
-        size = save(members.groupBy("component").agg(F.count("*").alias("size")), "ngram-sizes").df
-        groups = _ranges(members.join(ranges, "doc_id"), "component")
-        sized = open_rows.join(size, "component").join(ranges, "doc_id")
-        theirs = open_rows.select("signature", F.col("component").alias("group_of")).distinct()
-        theirs = theirs.join(_theirs(groups, "component", "group_of").join(size.select(F.col("component").alias("group_of"), F.col("size").alias("their_size")), "group_of"), "group_of")
-        smaller = F.struct("size", "component") < F.struct("their_size", "group_of")
-        near = (sized["signature"] == theirs["signature"]) & smaller & _may_link(percent)
-        asked = save(sized.join(theirs, near).select("doc_id", "group_of").distinct(), "ngram-asked").df
-        parts = size.select("component", F.ceil(F.col("size") / (GROUP_DOCS // 2)).alias("parts"))
-        wanted = asked.select(F.col("group_of").alias("component")).distinct().join(parts, "component")
-        group = lambda part: F.xxhash64("component", part).alias("group")
-        members = members.join(wanted, "component").select(group(F.pmod(F.xxhash64("doc_id"), "parts")), "doc_id")
-        queries = asked.withColumnRenamed("group_of", "component").join(parts, "component")
-        queries = queries.select("component", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select(group(F.col("part")), "doc_id")
-        second = save(open_groups(texts, members, queries, n, percent), "ngram-links").df
-        if not second.isEmpty():
-            joined = save(components(links.unionByName(second)), "ngram-components").df
-    result = sets.select("doc_id", "n_shingles").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    sets = save(base.mapInArrow(partial(_sets, n=n, percent=percent), SETS), "ngram-sets")
+    named = sets.df.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+    classes = save(named.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "ngram-classes")
+    equal = named.select("doc_id", "f1", "f2").join(classes.df, ["f1", "f2"]).where(F.col("doc_id") != F.col("rep"))
+    equal = save(equal.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "ngram-equal")
+    sizes = save(sets.df.select("doc_id", "n_shingles"), "ngram-sizes").df
+
+    # One document per class stands for it; the signatures of several keep them.
+    stand = named.join(classes.df.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "doc_id"], "left_semi")
+    signed = stand.select("doc_id", F.explode("signatures").alias("signature"))
+    several = save(signed.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature"), "ngram-signatures")
+    involved = save(signed.join(several.df, "signature", "left_semi").select("doc_id").distinct(), "ngram-involved")
+    sets.drop(), classes.drop(), several.drop()
+    kept = save(base.join(involved.df, "doc_id", "left_semi").mapInArrow(partial(_kept_grams, n=n), KEPT), "ngram-kept")
+    involved.drop()
+
+    first = _first_grams(kept.df, percent)
+    members, queries = _groups(first.df)
+    alone = F.col("doc_id").alias("component")
+    links = open_parts(kept.df, members.df.select("*", alone), queries.df.select("*", alone), percent, first_only=True)
+    links = equal.df.unionByName(links)
+    joined = save(components(links), "ngram-components")
+    held, asked = _between(first.df, members.df, joined.df, percent)
+    if not asked.df.isEmpty():
+        more = open_parts(kept.df, held.df, asked.df, percent, first_only=False)
+        if not more.isEmpty():
+            joined.drop()
+            joined = save(components(links.unionByName(more)), "ngram-components")
+    for table in (first, members, queries, held, asked):
+        table.drop()
+    kept.drop()
+    result = sizes.join(joined.df.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return result.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

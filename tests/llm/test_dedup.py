@@ -54,8 +54,11 @@ def test_line_dedup(docs, rows):
     assert any(w[2] for w in wanted)
 
 
-@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
-def test_ngram_join(docs, rows, n, percent):
+@pytest.mark.parametrize(("n", "percent", "part", "queries"), [(3, 90, 1 << 17, 256), (5, 80, 1 << 17, 256), (5, 80, 150, 1), (3, 40, 150, 2)])
+def test_ngram_join(docs, rows, monkeypatch, n, percent, part, queries):
+    """With small parts and slices, groups and components are in several parts, and a part's queries in several slices."""
+    monkeypatch.setattr(ngram_join, "PART_GRAMS", part)
+    monkeypatch.setattr(ngram_join, "SLICE_QUERIES", queries)
     sets = defaultdict(list)
     for i, t, *_ in rows:
         w = (t or "").encode().lower().split()
