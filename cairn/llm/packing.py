@@ -2,8 +2,10 @@
 
 A document's ids are cut at multiples of the capacity, which gives full
 sequences without padding; what is left over is one piece, or two where it is
-longer than half the capacity. Documents are dealt by id hash into groups of
-about GROUP_DOCS, so a group's left-over pieces fit one task at any corpus size.
+longer than half the capacity. Pieces are dealt by a hash of all that is known of
+them, and rows that are alike by a number of their own, into groups of about
+GROUP_DOCS documents' left-over pieces, so a group fits one task at any corpus
+size, whatever ids or texts repeat. Full pieces go with their hash.
 Within a group the pieces go into k windows by Karmarkar-Karp differencing: every
 piece starts as a partial partition of k sums; again and again the two partial
 partitions with the largest imbalance are merged, the largest sum of one with the
@@ -29,6 +31,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,20 +41,21 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 CAPACITY = 2048
 GROUP_DOCS = 512
-MEMO_SIZE = 600_000
+MEMO_BYTES = 64 << 20
 MARKS = string.punctuation.encode()
 
 
 class WordIds:
-    """ids of texts as little-endian unsigned 32-bit integers, with a bounded memo of runs without ASCII white space."""
+    """ids of texts as little-endian unsigned 32-bit integers, with a bounded memo, of at most about MEMO_BYTES, of runs without ASCII white space."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._known: dict[bytes, bytes] = {}
+        self._size = 0
 
     def _encode_runs(self, runs: list[str]) -> Iterator[bytes]:
         for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False):
@@ -71,6 +75,13 @@ class WordIds:
                 yield ids[at : at + ends[j]].tobytes()
                 at += ends[j]
 
+    def _runs(self, text: bytes) -> list[bytes]:
+        """The runs of a text. The tokenizer lowers letters, so A-Z can be lowered before; only its special tokens' strings keep their case."""
+        low = text.lower()
+        if not any(s in low for s in self._special):
+            return low.split()
+        return [run if any(s in run.lower() for s in self._special) else run.lower() for run in text.split()]
+
     def _learn(self, runs: set[bytes]) -> None:
         """Encode runs that aren't known. Letters and the ASCII marks after them are encoded apart, as the tokenizer splits them."""
         known, words, others, apart = self._known, {}, {}, []
@@ -86,20 +97,29 @@ class WordIds:
                 apart.append((run, word, marks := run[len(word) :]))
                 if marks not in known:
                     others[marks] = marks.decode()
-        known.update(zip(words, self._encode_words(list(words.values()))))
-        known.update(zip(others, self._encode_runs(list(others.values()))))
-        known.update((run, known[word] + known[marks]) for run, word, marks in apart)
+        new = dict(zip(words, self._encode_words(list(words.values()))))
+        new.update(zip(others, self._encode_runs(list(others.values()))))
+        known.update(new)
+        new.update((run, known[word] + known[marks]) for run, word, marks in apart)
+        known.update(new)
+        self._size += sum(_held(run, ids) for run, ids in new.items())
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         for k in range(0, len(texts), 128):  # new runs are encoded for many texts at once
-            runs = [text.lower().split() for text in texts[k : k + 128]]  # the tokenizer lowers letters, A-Z can be lowered before
+            runs = list(map(self._runs, texts[k : k + 128]))
             distinct = set().union(*runs)
-            if len(self._known) >= MEMO_SIZE:  # go on with what these texts need
+            if self._size >= MEMO_BYTES:  # go on with what these texts need
                 self._known = {run: ids for run in distinct if (ids := self._known.get(run)) is not None}
+                self._size = sum(_held(run, ids) for run, ids in self._known.items())
             self._learn(distinct.difference(self._known))
             yield from (b"".join(map(self._known.__getitem__, x)) for x in runs)
 
 
+def _held(run: bytes, ids: bytes) -> int:
+    """About how many bytes a memo's entry takes."""
+    return 170 + len(run) + len(ids)
+
+
 @cache
 def word_ids(path: str) -> WordIds:
     """One per Python worker."""
@@ -118,16 +138,17 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
-    end, own = np.array([end_id], "<u4").tobytes(), word_ids(path)
+    end, own, part, number = np.array([end_id], "<u4").tobytes(), word_ids(path), TaskContext.get().partitionId() << 33, 0
     for batch in batches:
         doc_ids, rows = batch["doc_id"].to_pylist(), []
         texts = [x or b"" for x in batch["text"].cast(pa.binary()).to_pylist()]
         for doc_id, ids in zip(doc_ids, own.encode(texts), strict=True):
             ids += end
             n = len(ids) // 4
-            rows += [(doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n) for start, length in cut(n, capacity)]
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            rows += [(doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n, part + number) for start, length in cut(n, capacity)]
+            number += 1
+        columns = list(zip(*rows, strict=True)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "number"])
 
 
 def differencing(sizes: list[int], windows: int) -> list[int]:
@@ -183,10 +204,10 @@ def _pack(group: pd.DataFrame, capacity: int) -> pd.DataFrame:
     sequence[rest] = full.sum() + np.array(at, np.int64)
     group["sequence_id"] = group["group"].to_numpy(np.int64) * (1 << 32) + sequence
     group["offset"] = group.groupby("sequence_id")["length"].cumsum() - group["length"]
-    return group.drop(columns="group")
+    return group.drop(columns=["group", "number"])
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, number long"
 
 
 def pack(
@@ -196,15 +217,14 @@ def pack(
 
     A document's ids are its text's, then ``end_id``; null and empty texts have
     the end id alone. A document of any length is cut into pieces of at most
-    ``capacity``. Rows that repeat an id are packed each; rows with a null id
-    share one group. An empty table gives an empty result; other columns are not
+    ``capacity``. Rows that repeat an id, or have none, are packed each. An empty table gives an empty result; other columns are not
     read. Sequence ids are unique, not dense.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = save(base.mapInArrow(partial(_pieces, path=path, end_id=end_id, capacity=capacity), PIECES), "pack-pieces").df
     n_groups = pieces.where("start = 0").count() // group_docs + 1
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)))
-    return dealt.groupBy("group").applyInPandas(partial(_pack, capacity=capacity), PIECES + ", sequence_id long, offset long")
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64(*pieces.columns), F.lit(n_groups)))
+    return dealt.groupBy("group").applyInPandas(partial(_pack, capacity=capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,12 +58,11 @@ def test_encode_documents(docs, rows, no_docs):
 
 def ids_of(text: str | None) -> np.ndarray:
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     return np.array(tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4")
 
 
 def test_word_ids():
-    texts = ["", "  <|endoftext|> a", "Été ÉTÉ é ́x don't", "it's Σας ΣΑΣ x\x1cy\x85z", "日本 語", "a\xa0b  İstanbul", "foo,bar foo... (foo) foo'", "don't'"]
+    texts = ["", "  <|endoftext|> a", "X<|endoftext|>!?<|startoftext|>Été", "<|ENDOFTEXT|> <|EndOfText|>x <| endoftext|>", "Été ÉTÉ é ́x don't", "it's Σας ΣΑΣ x\x1cy\x85z", "日本 語", "a\xa0b  İstanbul", "foo,bar foo... (foo) foo'", "don't'"]
     for text, ids in zip(texts, packing.WordIds(WORDS).encode([t.encode() for t in texts]), strict=True):
         assert ids == ids_of(text).tobytes(), text
 
@@ -91,6 +91,15 @@ def test_packing(docs, rows, no_docs):
     assert packing.pack(no_docs, WORDS).collect() == []
 
 
+def test_packing_of_one_id(spark):
+    """Rows of one id, or of none, and one text are dealt over groups as others are."""
+    table = spark.createDataFrame([(None, "same text")] * 300 + [(4, "same text")] * 300 + [(4, None)] * 40, "doc_id long, text string").repartition(2)
+    got = packing.pack(table, WORDS, capacity=64, group_docs=32).collect()
+    assert len(got) == 640
+    groups = Counter(r.sequence_id >> 32 for r in got)
+    assert len(groups) > 15 and max(groups.values()) < 90
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.integers(1, 128), max_size=80))
 def test_differencing(sizes):
@@ -118,3 +127,19 @@ def test_materialise(spark, docs, rows, no_docs):
     wanted = sorted((ids_of(t).tolist()[k : k + 32]) for _, t, *_ in rows for k in range(0, len(ids_of(t)), 32))
     assert sorted(x.tolist() for x in read) == wanted
     assert materialise.materialise(no_docs, WORDS, new_path(spark, "none")).collect() == []
+
+
+def test_materialise_whatever_the_splits(spark, docs, tmp_path):
+    """Other splits, and a task that runs again, give the same files."""
+    files = []
+    for k, table in enumerate((docs, docs.repartition(7), docs.coalesce(1))):
+        path = tmp_path / str(k)
+        for _ in range(2 if k == 0 else 1):
+            materialise.materialise(table, WORDS, f"file://{path}", length=32, shard_sequences=4)
+        files.append({f.name: f.read_bytes() for f in path.iterdir() if not f.name.startswith(".")})
+    assert files[0] == files[1] == files[2] and len(files[0]) > 3 * materialise.TASK_SHARDS
+
+
+def test_ids_too_wide():
+    with pytest.raises(ValueError, match="65536"):
+        materialise._narrow(np.array([1, 65_536], "<u4").tobytes())
