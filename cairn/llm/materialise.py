@@ -1,16 +1,19 @@
 """Writing token sequences in training order, as binary shards of a fixed stride.
 
-Texts are cut into sequences of at most LENGTH ids, numbered in input order. A
-keyed Feistel network permutes the numbers: it permutes a power of two at least as
-large, and numbers that land outside walk on until they land inside, so every
-sequence gets one slot of 0 to n - 1 and no slot is left empty. Sequences are dealt
-by ranges of slots; a task writes whole shards, each SHARD_SEQUENCES records of
-equal size: the number of ids, the ids, zeros. The record of a slot stands at a
-place that follows from the slot, so a reader goes through files in order and
-resumes at any slot without an index.
-
-A shard is written under another name and then renamed; a task that runs again
-writes the same bytes.
+Texts are cut into sequences of at most LENGTH ids, numbered in the order of their
+documents' ids and texts, however the input is split. A keyed Feistel network
+permutes the numbers: it permutes a power of two at least as large, and numbers
+that land outside walk on until they land inside, so every sequence gets one slot
+of 0 to n - 1 and no slot is left empty. Sequences are dealt by ranges of slots,
+which follow from the slot without sampling; a task writes a run of TASK_SHARDS
+whole shards, each SHARD_SEQUENCES records of equal size: the number of ids, the
+ids, zeros. The record of a slot stands at a place that follows from the slot, so a
+reader goes through files in order and resumes at any slot without an index.
+
+Shards are written in PASSES parts of the slots, so that only a part of the
+sequences is in shuffle files beside the sequences and the shards. A shard is
+written under another name and then renamed; a task that runs again writes the
+same bytes.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -33,8 +36,11 @@ from cairn.llm.shared import documents, new_path, save
 
 LENGTH = 512
 SHARD_SEQUENCES = 8_192
+TASK_SHARDS = 4
+PASSES = 4
 KEY = 20_240_229
 ROUNDS = 6
+MOST_ID = np.iinfo(np.uint16).max
 
 
 def stride(length: int) -> int:
@@ -58,6 +64,14 @@ def permuted(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _narrow(ids: bytes) -> np.ndarray:
+    """As unsigned 16-bit integers."""
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and wide.max() > MOST_ID:
+        raise ValueError(f"the tokenizer gives the id {wide.max()}, but records hold ids up to {MOST_ID}")
+    return wide.astype("<u2")
+
+
 def _sequences(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Iterator[pa.RecordBatch]:
     """The sequences of a task, numbered in it; a text without ids has none."""
     own, number, part = word_ids(path), 0, TaskContext.get().partitionId()
@@ -65,7 +79,7 @@ def _sequences(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Ite
         rows: list[tuple] = []
         texts = [x or b"" for x in batch["text"].cast(pa.binary()).to_pylist()]
         for doc_id, ids in zip(batch["doc_id"].to_pylist(), own.encode(texts), strict=True):
-            small = np.frombuffer(ids, "<u4").astype("<u2")
+            small = _narrow(ids)
             for k, start in enumerate(range(0, len(small), length)):
                 rows.append((doc_id, k, part, number, small[start : start + length].tobytes()))
                 number += 1
@@ -111,31 +125,44 @@ def materialise(
 ) -> DataFrame:
     """Write the sequences of ``docs`` below ``path``; one row per sequence: doc_id, sequence (of its document), slot, shard, offset, n_tokens, ids_crc32.
 
-    ``tokenizer`` has ids below 65,536. Null and empty texts have no sequence; a
-    text of any length has as many as it needs. Rows that repeat an id, or have
-    none, are written each. An empty table writes nothing and gives an empty
-    result; other columns are not read. The same input, splits and key give the
-    same files.
+    An id of the tokenizer above 65,535 raises an error. Null and empty texts
+    have no sequence; a text of any length has as many as it needs. Rows that
+    repeat an id, or have none, are written each. An empty table writes nothing
+    and gives an empty result; other columns are not read. The same rows and key
+    give the same files, however the input is split.
     """
+    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = save(base.mapInArrow(partial(_sequences, path=tokenizer, length=length), "doc_id long, sequence long, part long, number long, ids binary"), "sequences").df
-    # One row per task that wrote sequences.
-    sizes = sorted((r.part, r.n) for r in rows.groupBy("part").agg((F.max("number") + 1).alias("n")).collect())
+    # By the hash as well, for ids that many rows share; then rows of one id and text only can change places, and they are equal.
+    order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
+    ordered = base.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    sequences = save(ordered.mapInArrow(partial(_sequences, path=tokenizer, length=length), "doc_id long, sequence long, part long, number long, ids binary"), "sequences")
+    # One row per task that wrote sequences; Spark broadcasts them if they are small enough.
     starts, n = [], 0
-    for part, size in sizes:
-        starts.append((part, n))
-        n += size
-    offsets = docs.sparkSession.createDataFrame(starts, "part long, start long")
+    for r in sequences.df.groupBy("part").agg((F.max("number") + 1).alias("n")).orderBy("part").toLocalIterator():
+        starts.append((r.part, n))
+        n += r.n
+    offsets = spark.createDataFrame(starts, "part long, start long")
 
     @F.pandas_udf("long")
     def slot(numbers: pd.Series) -> pd.Series:
         return pd.Series(permuted(numbers.to_numpy(np.int64), n, key))
 
-    placed = rows.join(F.broadcast(offsets), "part").select("doc_id", "sequence", "ids", slot(F.col("start") + F.col("number")).alias("slot"))
-    n_shards = -(-n // shard_sequences)
-    dealt = placed.repartitionByRange(max(1, n_shards), F.floor(F.col("slot") / shard_sequences)).sortWithinPartitions("slot")
+    numbered = sequences.df.join(offsets, "part").select("doc_id", "sequence", "ids", (F.col("start") + F.col("number")).alias("number"))
+    placed = numbered.withColumn("slot", slot("number")).select("doc_id", "sequence", "ids", "slot")
+    run = TASK_SHARDS * shard_sequences
+    n_runs = max(1, -(-n // run))
     schema = "doc_id long, sequence long, slot long, shard long, offset long, n_tokens long, ids_crc32 long"
-    return save(dealt.mapInArrow(partial(_write, path=path, length=length, shard_sequences=shard_sequences), schema), "sequence-places").df
+    places = []
+    for k in range(PASSES):
+        first, after = (n_runs * x // PASSES for x in (k, k + 1))
+        if first == after and k:
+            continue
+        some = placed.where((F.col("slot") >= first * run) & (F.col("slot") < after * run))
+        dealt = some.repartitionById(max(1, after - first), (F.floor(F.col("slot") / run) - first).cast("int")).sortWithinPartitions("slot")
+        places.append(save(dealt.mapInArrow(partial(_write, path=path, length=length, shard_sequences=shard_sequences), schema), "sequence-places").df)
+    sequences.drop()
+    return reduce(DataFrame.unionByName, places)
 
 
 class SequenceReader:
