@@ -1,280 +1,197 @@
 """Cross-entropy difference between a target and a background model.
 
-Both are bigram models over all words of the corpus, with the same order and the
-same smoothing. The background is counted over every document, the target over
-the documents marked as such; background counts are scaled to the target's total,
-so that smoothing weighs equally in both. A document's score is the mean over its
-tokens of the target's loss less the background's: lower means closer to the
-target.
-
-Words and their counts are a Spark table that grows with the corpus, keyed by a
-64-bit hash of the word; words of one hash would count as one. Pairs come in two
-kinds, which differ in how they are counted and not in what they are worth:
-
-1. Pairs of two of the HEAD most frequent words, which would be hot keys, are
-   counted and scored through two dense tables of (HEAD + 2) squared entries.
-   Their size is fixed, whatever the corpus, and no word is left out by it.
-2. All other pairs are exploded by document and dealt by their rarer word, which
-   isn't in the head, so that no key has more than 2 / HEAD of all tokens. A pair's
-   counts are sums over its rows, and those of its words are joined. Of pairs of
-   which one word is among the MIDDLE most frequent, that one's counts are
-   broadcast; of the rest the second word's counts take one more join. This
-   goes in PASSES parts, by hash of the rarer word, so that only a part of the
-   exploded pairs is on disk at once; each reads the texts again.
+Both are bigram models over all words of the corpus, one vocabulary, with the same
+order and the same smoothing. The background is counted over every document, the
+target over the documents marked as such; background counts are scaled to the
+target's total, so that smoothing weighs equally in both. No document is scored by
+its own counts: they are taken from the totals of both models first. A document's
+score is the mean over its tokens of the target's loss less the background's: lower
+means closer to the target.
+
+A model's counts are of three kinds: of a pair of neighbours, of a word as the
+second of a pair, and of a word (or a text's start) as the first. All are rows of
+one table, keyed by 64-bit hashes of the n-grams, that grows with the corpus; no
+word or pair is left out. It is made and used block by block:
+
+1. Documents are written in blocks of about BLOCK_BYTES.
+2. Each block's counts are summed before they are shuffled, by key, so that a key
+   has a row per block at most. Keys that occur twice or more in the corpus go back
+   to their blocks with their totals. A key that doesn't go back occurs once, in the
+   document that asks for it. This goes in PASSES parts of the keys.
+3. A block's totals come first in its partition, its documents follow as a stream
+   and are scored. This goes in PASSES parts of the blocks. Both only bound what is
+   in shuffle files at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial, reduce
-from itertools import repeat
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.broadcast import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.shared import documents, save
+from cairn.llm.suffixes import mix
+from cairn.llm.word_hashes import word_hashes
 
-HEAD = 2046
-MIDDLE = 65_536
+BLOCK_BYTES = 8 << 20
 PASSES = 4
 BIGRAM_WEIGHT = 0.7
 ADDED = 0.5
-OTHER, START = 0, 1  # entries besides the vocabulary's
-
-
-def words(text: bytes | None) -> list[bytes]:
-    """Between ASCII white space, A-Z in lower case."""
-    return (text or b"").lower().split()
-
+START = np.uint64(0x9E3779B97F4A7C15)
+PAIR, SECOND, FIRST = range(3)  # a key's last two bits
 
-def _numbered(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The different words of texts, the number of each token's word, and how many tokens each text has."""
-    split = [words(t) for t in texts]
-    number: dict[bytes, int] = {}
-    tokens = np.array([number.setdefault(w, len(number)) for ws in split for w in ws], np.int64)
-    return list(number), tokens, np.array([len(ws) for ws in split], np.int64)
 
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in batch["text"].cast(pa.binary()).to_pylist()]
 
-def _hashes(some: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in some], np.uint64).view(np.int64)
 
-
-WORDS = "word binary, hash long, n long, n_target long, firsts long, firsts_target long"
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each word occurs, and how often another one follows, in all texts and in the target's."""
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows with their block, a run of the task's rows, and their number of words."""
+    number, held = TaskContext.get().partitionId() << 33, 0
     for batch in batches:
-        some, tokens, sizes = _numbered(batch["text"].cast(pa.binary()).to_pylist())
-        targets = np.repeat(np.array(batch["in_target"].to_pylist(), bool), sizes)
-        leads = np.ones(len(tokens), bool)
-        leads[np.cumsum(sizes)[sizes > 0] - 1] = False
-        counts = [np.bincount(tokens[keep], minlength=len(some)) for keep in (slice(None), targets, leads, leads & targets)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.binary()), pa.array(_hashes(some)), *(pa.array(c, pa.int64()) for c in counts)],
-            names=["word", "hash", "n", "n_target", "firsts", "firsts_target"],
-        )
-
-
-def _most_frequent(counts: DataFrame, size: int) -> list:
-    """The rows of the most frequent words. Only those that are frequent enough by a histogram of counts are sorted."""
-    least, have = 0, 0
-    for r in sorted(counts.groupBy("n").agg(F.count("*").alias("words")).collect(), reverse=True):
-        least, have = r.n, have + r.words
-        if have >= size:
-            break
-    return counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(size).collect()
-
-
-def entries(text: bytes | None, vocabulary: dict[bytes, int]) -> np.ndarray:
-    """A start, then each word's entry."""
-    return np.array([START, *map(vocabulary.get, words(text), repeat(OTHER))], np.int64)
-
-
-def _pair_counts(coded: list[np.ndarray], size: int) -> pa.RecordBatch:
-    """Pairs of neighbours as one number, with their counts."""
-    found, n = np.unique(np.concatenate([*(e[:-1] * size + e[1:] for e in coded), np.zeros(0, np.int64)]), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n, pa.int64())], names=["pair", "n"])
-
-
-def _count_pairs(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Pairs of entries with their counts, in all texts and in the target's."""
-    known = vocabulary.value
-    size = len(known) + 2
+        texts, blocks = _texts(batch), []
+        for text in texts:
+            if held and held + len(text) > block_bytes:
+                number, held = number + 1, 0
+            held += len(text)
+            blocks.append(number)
+        columns = [pa.array(blocks, pa.int64()), batch["doc_id"], batch["text"], batch["in_target"], pa.array(word_hashes(texts)[1], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["block", "doc_id", "text", "in_target", "n_tokens"])
+
+
+def _runs(*columns: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of runs of rows with the same values."""
+    n = len(columns[0])
+    if not n:
+        return []
+    change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+    return list(zip([0, *change.tolist()], [*change.tolist(), n], strict=True))
+
+
+def ngram_keys(words: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The keys of each word's pair, of the word as second and of the one before it as first: three rows."""
+    low = ~np.uint64(3)
+    pair = mix(before * np.uint64(0xD6E8FEB86659FD93) + words) & low | np.uint64(PAIR)
+    return np.stack([pair, words & low | np.uint64(SECOND), before & low | np.uint64(FIRST)])
+
+
+def _count(batches: Iterator[pa.RecordBatch], part: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Per block of a batch, how often each key of a part occurs, in all texts and in the target's."""
     for batch in batches:
-        coded = [entries(t, known) for t in batch["text"].cast(pa.binary()).to_pylist()]
-        targets = np.repeat(np.array(batch["in_target"].to_pylist(), bool), [len(e) - 1 for e in coded])
-        found, which, n = np.unique(np.concatenate([*(e[:-1] * size + e[1:] for e in coded), np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
-        n_target = np.bincount(which[targets], minlength=len(found))
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n, pa.int64()), pa.array(n_target, pa.int64())], names=["pair", "n", "n_target"])
-
-
-def losses(counts: np.ndarray, second: np.ndarray, scale: float, size: int) -> np.ndarray:
-    """-log p(second | first) of one first entry, from its counts and those of all: bigram and unigram shares, interpolated. ``size``: that of the vocabulary."""
-    second = second * scale
-    unigram = (second + ADDED) / (second.sum() + ADDED * size)
-    first = counts.sum()
-    mixed = BIGRAM_WEIGHT * counts / first + (1 - BIGRAM_WEIGHT) * unigram if first else unigram
-    return -np.log(mixed).astype(np.float32)
-
-
-def _loss_rows(pairs: pd.DataFrame, totals: np.ndarray, scales: tuple[float, float], columns: tuple[str, str], vocabulary_size: int) -> pd.DataFrame:
-    """The rows of both tables for one first entry, whose pairs these are."""
-    size = totals.shape[1]
-    counts = np.zeros(totals.shape)
-    counts[:, pairs["pair"].to_numpy() % size] = np.array([pairs[c] for c in columns], float)
-    target, background = (losses(counts[k], totals[k], scales[k], vocabulary_size).tobytes() for k in (0, 1))
-    return pd.DataFrame({"first": [pairs["pair"].iloc[0] // size], "target": [target], "background": [background]})
-
-
-def _tables(pairs: DataFrame, size: int, vocabulary_size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Both tables of losses, and both models' totals. Tasks compute rows of the tables; the driver only puts them in place."""
-    totals = np.zeros((2, size))
-    for r in pairs.groupBy((F.col("pair") % size).alias("second")).agg(F.sum("n_target").alias("t"), F.sum("n").alias("n")).collect():
-        totals[:, r.second] = r.t, r.n
-    columns = ("n_target", "n") if totals[0].any() else ("n", "n")
-    if columns[0] == "n":
-        totals[0] = totals[1]
-    scales = (1.0, totals[0].sum() / max(1.0, totals[1].sum()))
-    tables = np.empty((2, size, size), np.float32)
-    for k in (0, 1):
-        tables[k] = losses(np.zeros(size), totals[k], scales[k], vocabulary_size)
-    first = F.floor(F.col("pair") / size).alias("first")
-    rows = pairs.groupBy(first).applyInPandas(partial(_loss_rows, totals=totals, scales=scales, columns=columns, vocabulary_size=vocabulary_size), "first long, target binary, background binary")
-    for r in rows.toLocalIterator():
-        tables[0, r['first']], tables[1, r['first']] = np.frombuffer(r['target'], np.float32), np.frombuffer(r['background'], np.float32)
-    return tables, totals.sum(axis=1)
-
-
-def _score(batches: Iterator[pa.RecordBatch], vocabulary: Broadcast, tables: Broadcast, closed: bool) -> Iterator[pa.RecordBatch]:
-    """Each text's number of tokens, and both models' sums of losses: of all pairs if ``closed``, else of those without the entry for other words."""
-    known, (target, background) = vocabulary.value, tables.value
+        block, in_target, texts = batch["block"].to_numpy(), np.array(batch["in_target"].to_pylist(), bool), _texts(batch)
+        for lo, hi in _runs(block):
+            words, sizes = word_hashes(texts[lo:hi])
+            before = np.r_[START, words][: len(words)]
+            before[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
+            keys, targets = ngram_keys(words, before), np.repeat(in_target[lo:hi], sizes)
+            keep = (keys >> np.uint64(2)) % np.uint64(parts) == np.uint64(part)
+            found, which, n = np.unique(keys[keep], return_inverse=True, return_counts=True)
+            n_target = np.bincount(which[np.broadcast_to(targets, keys.shape)[keep]], minlength=len(found))
+            columns = [pa.array(np.full(len(found), block[lo])), pa.array(found.view(np.int64)), pa.array(n, pa.int64()), pa.array(n_target, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "key", "n", "n_target"])
+
+
+class Totals:
+    """A block's totals by key, and those of the corpus."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, n_target: np.ndarray, tokens: int, target_tokens: int, vocabulary: int):
+        order = np.argsort(keys)
+        self.keys, self.n, self.n_target = keys[order], n[order], n_target[order]
+        self.tokens, self.target_tokens, self.vocabulary = tokens, target_tokens, vocabulary
+
+    def losses(self, words: np.ndarray, in_target: bool) -> tuple[float, float]:
+        """Both models' sums of losses over a text's words, without the text's own counts."""
+        keys = ngram_keys(words, np.r_[START, words[:-1]])
+        found, which, own = np.unique(keys, return_inverse=True, return_counts=True)
+        at = np.searchsorted(self.keys, found)
+        at[at == len(self.keys)] = 0
+        known = self.keys[at] == found if len(self.keys) else np.zeros(len(found), bool)
+        others = np.zeros((2, len(found)))
+        others[:, known] = self.n_target[at[known]] - own[known] * in_target, self.n[at[known]] - own[known]
+        pair, second, first = others[:, which.reshape(3, -1)].swapaxes(0, 1)
+        scale = np.array([[1.0], [self.target_tokens / self.tokens]])
+        total = np.array([[self.target_tokens - len(words) * in_target], [self.tokens - len(words)]])
+        unigram = (second * scale + ADDED) / (total * scale + ADDED * self.vocabulary)
+        mixed = np.where(first > 0, BIGRAM_WEIGHT * pair / np.maximum(first, 1) + (1 - BIGRAM_WEIGHT) * unigram, unigram)
+        return tuple((-np.log(mixed).sum(axis=1)).tolist())
+
+
+def _score(batches: Iterator[pa.RecordBatch], totals: partial) -> Iterator[pa.RecordBatch]:
+    """Of a stream sorted by block, totals first: each text's mean losses."""
+    block, held, own = None, [], None
     for batch in batches:
+        blocks, is_text = batch["block"].to_numpy(), np.array(batch["is_text"].to_pylist(), bool)
         rows = []
-        for text in batch["text"].cast(pa.binary()).to_pylist():
-            e = entries(text, known)
-            first, second = e[:-1], e[1:]
-            keep = slice(None) if closed else (first != OTHER) & (second != OTHER)
-            rows.append((len(first), *(float(t[first[keep], second[keep]].sum(dtype=np.float64)) for t in (target, background))))
-        columns = list(zip(*rows, strict=True)) or [[]] * 3
-        kinds = (pa.int64(), pa.float64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["row", "doc_id", "n_tokens", "t", "b"])
-
-
-PAIRS = "row long, key long, other long, key_first boolean, m int, m_target int"
-
-
-def _explode(batches: Iterator[pa.RecordBatch], ranks: Broadcast, head: int, both_rare: bool, part: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Each text's different pairs that the head lacks, with how often they occur, by the rarer word.
-
-    ``ranks``: the most frequent words' ranks; the start of a text ranks before
-    all of them. ``both_rare``: whether to return the pairs of two words without
-    a rank, of which the first counts as the rarer, or the others.
-    """
-    known = ranks.value
-    last = len(known)
-    for batch in batches:
-        some, tokens, sizes = _numbered(batch["text"].cast(pa.binary()).to_pylist())
-        hashes = np.r_[_hashes(some), np.int64(START)]
-        rank = np.array([*(known.get(w, last) for w in some), -1], np.int64)
-        opens = (np.cumsum(sizes) - sizes)[sizes > 0]
-        before = np.r_[np.zeros(min(1, len(tokens)), np.int64), tokens[:-1]]
-        before[opens] = len(some)
-        text = np.repeat(np.arange(len(sizes)), sizes)
-        a, b = rank[before], rank[tokens]
-        key_first = (a > b) | ((a == b) & (a == last))
-        key = hashes[np.where(key_first, before, tokens)]
-        keep = (np.maximum(a, b) >= head) & (((a == last) & (b == last)) == both_rare) & (key % parts == part)
-        whole = (text[keep] * (len(some) + 1) + before[keep]) * (len(some) + 1) + tokens[keep]
-        _, at, m = np.unique(whole, return_index=True, return_counts=True)
-        text, key, key_first = text[keep][at], key[keep][at], key_first[keep][at]
-        other = hashes[np.where(key_first, tokens[keep][at], before[keep][at])]
-        targets = np.array(batch["in_target"].to_pylist(), bool)
-        row = batch["row"].to_numpy()[text]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(row, pa.int64()), pa.array(key), pa.array(other), pa.array(key_first), pa.array(m, pa.int32()), pa.array(m * targets[text], pa.int32())],
-            names=["row", "key", "other", "key_first", "m", "m_target"],
-        )
-
-
-def _pair_loss(n: Column, firsts: Column, second: Column, scale: float, total: float, size: int) -> Column:
-    """The same as ``losses``, of one pair."""
-    unigram = (second * F.lit(float(scale)) + ADDED) / F.lit(float(total * scale + ADDED * size))
-    return -F.ln(F.when(firsts > 0, BIGRAM_WEIGHT * n / firsts + (1 - BIGRAM_WEIGHT) * unigram).otherwise(unigram))
-
-
-def _tail_sums(rows: DataFrame, counts: DataFrame, most: list, totals: np.ndarray, n_texts: tuple[int, int], size: int) -> DataFrame:
-    """row, t, b: both models' sums of losses over the pairs that the head lacks."""
-    spark = rows.sparkSession
-    ranks = spark.sparkContext.broadcast({bytes(r.word): k for k, r in enumerate(most)})
-    kinds = "other long, other_n long, other_n_target long, other_firsts long, other_firsts_target long"
-    start = (START, 0, 0, *n_texts)
-    middle = F.broadcast(spark.createDataFrame([start, *((r.hash, r.n, r.n_target, r.firsts, r.firsts_target) for r in most)], kinds))
-    names = ("n", "n_target", "firsts", "firsts_target")
-    of_key = counts.select(F.col("hash").alias("key"), *(F.col(c).alias(f"key_{c}") for c in names))
-    of_other = counts.select(F.col("hash").alias("other"), *(F.col(c).alias(f"other_{c}") for c in names))
-    pair = Window.partitionBy("key", "other", "key_first")
-    sums = []
-    for both_rare, part, parts in [*((False, k, PASSES) for k in range(PASSES)), (True, 0, 1)]:
-        own = rows.mapInArrow(partial(_explode, ranks=ranks, head=HEAD, both_rare=both_rare, part=part, parts=parts), PAIRS)
-        own = own.repartition("key").withColumn("pair_n", F.sum("m").over(pair)).withColumn("pair_n_target", F.sum("m_target").over(pair))
-        full = own.join(of_key.hint("merge"), "key").join(of_other.hint("merge") if both_rare else middle, "other")
-        first = {c: F.when(F.col("key_first"), F.col(f"key_{c}")).otherwise(F.col(f"other_{c}")) for c in ("firsts", "firsts_target")}
-        second = {c: F.when(F.col("key_first"), F.col(f"other_{c}")).otherwise(F.col(f"key_{c}")) for c in ("n", "n_target")}
-        suffix = "_target" if n_texts[1] else ""  # without a target it is the background
-        t = _pair_loss(F.col(f"pair_n{suffix}"), first[f"firsts{suffix}"], second[f"n{suffix}"], 1.0, totals[0], size)
-        b = _pair_loss(F.col("pair_n"), first["firsts"], second["n"], totals[0] / max(1.0, totals[1]), totals[1], size)
-        done = full.select("row", (F.col("m") * t).alias("t"), (F.col("m") * b).alias("b")).groupBy("row").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-        sums.append(save(done, "lm-sums").df)
-    return reduce(DataFrame.unionByName, sums)
-
-
-def lm_score(docs: DataFrame, target_ids: DataFrame, vocabulary_size: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        for lo, hi in _runs(blocks, is_text):
+            if blocks[lo] != block:
+                block, held, own = blocks[lo], [np.zeros((3, 0), np.int64)], None
+            part = batch.slice(lo, hi - lo)
+            if not is_text[lo]:
+                held.append(np.stack([part[c].to_numpy() for c in ("key", "n", "n_target")]))
+                continue
+            if own is None:
+                keys, n, n_target = np.concatenate(held, axis=1)
+                own, held = totals(keys.view(np.uint64), n, n_target), []
+            words, sizes = word_hashes(_texts(part))
+            texts = np.split(words, np.cumsum(sizes)[:-1])
+            for doc_id, in_target, text in zip(part["doc_id"].to_pylist(), part["in_target"].to_pylist(), texts, strict=True):
+                sums = own.losses(text, in_target) if len(text) else (0.0, 0.0)
+                rows.append((doc_id, len(text), *(x / max(1, len(text)) for x in sums)))
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_tokens", "target_loss", "background_loss"])
+
+
+def lm_score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, target_loss, background_loss, score (means per token, in nats).
 
     ``target_ids``: one column, the ids of the target documents; nulls and ids
-    that ``docs`` lacks are ignored, repeated ones count once. All words are told
-    apart, and two entries of the vocabulary stand for unseen words and starts;
-    with a ``vocabulary_size``, only so many of the most frequent are, equally
-    frequent ones by their bytes, and one entry stands for all others. Texts
-    without words, null ones among them, have no tokens and zeros. Rows that
-    repeat an id are scored and counted each. Without target documents the target
-    is the background, and every score is 0. An empty table gives an empty result;
-    other columns are not read.
+    that ``docs`` lacks are ignored, repeated ones count once. Words stand between
+    ASCII white space, A-Z count as a-z; two entries of the vocabulary stand for
+    unseen words and starts. Texts without words, null ones among them, have no
+    tokens and zeros. Rows that repeat an id are scored and counted each. Without
+    target documents the target is the background, and every score is 0. An empty
+    table gives an empty result; other columns are not read.
     """
-    spark = docs.sparkSession
-    closed = vocabulary_size is not None
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ids = target_ids.select(F.col(target_ids.columns[0]).cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("in_target", F.lit(True))
     # The same plan for few ids and for many. Rows without an id would all have one key.
     marked = base.where("doc_id is not null").join(ids.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("in_target", F.lit(False)).alias("in_target"))
     marked = marked.unionByName(base.where("doc_id is null").withColumn("in_target", F.lit(False)))
-    rows = save(marked.withColumn("row", F.monotonically_increasing_id()), "lm-rows").df
-
-    counted = rows.select("text", "in_target").mapInArrow(_count_words, WORDS)
-    counts = save(counted.groupBy("hash").agg(F.min("word").alias("word"), *(F.sum(c).alias(c) for c in ("n", "n_target", "firsts", "firsts_target"))), "lm-words").df
-    most = _most_frequent(counts, vocabulary_size if closed else max(HEAD, MIDDLE))
-    vocabulary = spark.sparkContext.broadcast({bytes(r.word): k + 2 for k, r in enumerate(most if closed else most[:HEAD])})
-    size = len(vocabulary.value) + 2
-    full_size = size if closed else counts.count() + 2
-
-    pairs = rows.select("text", "in_target").mapInArrow(partial(_count_pairs, vocabulary=vocabulary), "pair long, n long, n_target long")
-    table = save(pairs.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")), "lm-pairs").df
-    dense, totals = _tables(table, size, full_size)
-    tables = spark.sparkContext.broadcast(dense)
-    sums = rows.select("row", "doc_id", "text").mapInArrow(partial(_score, vocabulary=vocabulary, tables=tables, closed=closed), "row long, doc_id long, n_tokens long, t double, b double")
-    if not closed and len(most) > HEAD:
-        opened = table.where((F.col("pair") >= START * size) & (F.col("pair") < (START + 1) * size)).agg(F.sum("n"), F.sum("n_target")).first()
-        tail = _tail_sums(rows.select("row", "text", "in_target"), counts, most, totals, tuple(opened), full_size)
-        tail = tail.groupBy("row").agg(F.sum("t").alias("tail_t"), F.sum("b").alias("tail_b"))
-        sums = sums.join(tail, "row", "left").withColumn("t", F.col("t") + F.coalesce("tail_t", F.lit(0.0))).withColumn("b", F.col("b") + F.coalesce("tail_b", F.lit(0.0)))
-    mean = {c: F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")).otherwise(0.0) for c in ("t", "b")}
-    return sums.select("doc_id", "n_tokens", mean["t"].alias("target_loss"), mean["b"].alias("background_loss"), (mean["t"] - mean["b"]).alias("score"))
+    schema = "block long, doc_id long, text string, in_target boolean, n_tokens long"
+    table = save(marked.mapInArrow(partial(_blocks, block_bytes=block_bytes), schema), "lm-rows")
+    sizes = table.df.agg(F.sum("n_tokens").alias("n"), F.sum(F.when(F.col("in_target"), F.col("n_tokens"))).alias("n_target")).first()
+    tokens, target_tokens = sizes.n or 0, sizes.n_target or sizes.n or 0
+    rows = table.df if sizes.n_target else table.df.withColumn("in_target", F.lit(True))
+
+    of_key, counts = Window.partitionBy("key"), []
+    for k in range(PASSES):
+        own = rows.select("block", "text", "in_target").mapInArrow(partial(_count, part=k, parts=PASSES), "block long, key long, n long, n_target long")
+        summed = [F.sum(c).over(of_key).alias(c) for c in ("n", "n_target")]
+        own = own.select("block", "key", *summed, (F.col("block") == F.min("block").over(of_key)).alias("lead"))
+        counts.append(save(own.where("n > 1"), "lm-counts"))
+    totals = reduce(DataFrame.unionByName, (c.df for c in counts))
+    # A batch of a block that stands in two batches counts apart, so a block can have several rows of a key, all with the key's totals.
+    lead = totals.where(F.col("lead") & (F.col("key").bitwiseAND(3) == SECOND)).select("key", "n").distinct().agg(F.count("*").alias("words"), F.sum("n").alias("n")).first()
+    vocabulary = lead.words + tokens - (lead.n or 0) + 2
+
+    scored = []
+    make = partial(Totals, tokens=max(1, tokens), target_tokens=target_tokens, vocabulary=vocabulary)
+    for k in range(PASSES):
+        here = F.pmod(F.xxhash64("block"), F.lit(PASSES)) == k
+        first = totals.where(here).select("block", F.lit(False).alias("is_text"), "key", "n", "n_target")
+        texts = rows.where(here).select("block", F.lit(True).alias("is_text"), "doc_id", "text", "in_target")
+        stream = first.unionByName(texts, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "is_text")
+        scored.append(save(stream.mapInArrow(partial(_score, totals=make), "doc_id long, n_tokens long, target_loss double, background_loss double"), "lm-scored"))
+    for written in (table, *counts):
+        written.drop()
+    result = reduce(DataFrame.unionByName, (s.df for s in scored))
+    return result.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

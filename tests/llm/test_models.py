@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from cairn.llm import ann, lm_score, toxicity
+from cairn.llm import ann, lm_score, toxicity, word_hashes
 
 
 def test_grammar():
@@ -59,76 +59,60 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs.limit(0), toxicity.learn(docs.limit(0), labels)).collect() == []
 
 
-def test_lm_score(spark, docs, rows, no_docs):
-    targets = {k for k in range(0, 80, 3)}
-    ids = spark.createDataFrame([(k,) for k in targets] + [(None,), (99_999,), (3,)], "id long")
+def lm_by_hand(texts, targets):
+    """n_tokens and both losses of each (id, words), scored by the counts of all other rows."""
+    size = len({w for _, t in texts for w in t}) + 2
+    marked = [(i in targets, t) for i, t in texts]
+    if not any(m and t for m, t in marked):
+        marked = [(True, t) for _, t in marked]
+    n_target, n = (sum(len(t) for m, t in marked if m or not only) for only in (True, False))
+    out = []
+    for k, (i, t) in enumerate(texts):
+        losses = []
+        for only in (True, False):
+            rest = [x for j, (m, x) in enumerate(marked) if j != k and (m or not only)]
+            pairs = Counter(p for x in rest for p in zip([None, *x], x, strict=False))
+            first, second = Counter(), Counter()
+            for (a, b), c in pairs.items():
+                first[a] += c
+                second[b] += c
+            scale, loss = 1.0 if only else n_target / max(n, 1), 0.0
+            for a, b in zip([None, *t], t, strict=False):
+                unigram = (second[b] * scale + 0.5) / (sum(second.values()) * scale + 0.5 * size)
+                loss -= math.log(0.7 * pairs[a, b] / first[a] + 0.3 * unigram if first[a] else unigram)
+            losses.append(loss / max(1, len(t)))
+        out.append((i, len(t), *losses))
+    return out
+
+
+@pytest.mark.parametrize(("targets", "block_bytes"), [(range(0, 80, 3), 500), (range(0, 80, 3), 1 << 20), ([], 500), ([13], 1)])
+def test_lm_score(spark, docs, rows, no_docs, targets, block_bytes):
+    """In many small blocks and in one."""
+    ids = spark.createDataFrame([(k,) for k in targets] + [(None,), (99_999,), (3,)][: 3 if targets else 2], "id long")
     words = [(i, (t or "").encode().lower().split()) for i, t, *_ in rows]
-    most = Counter(w for _, ws in words for w in ws)
-    known = {w: k + 2 for k, w in enumerate(sorted(most, key=lambda w: (-most[w], w))[:50])}
-    size = len(known) + 2
-    coded = [(i, [1, *(known.get(w, 0) for w in ws)]) for i, ws in words]
-
-    def model(some, scale):
-        pairs = Counter(p for _, e in some for p in zip(e, e[1:], strict=False))
-        second, first, total = Counter(), Counter(), 0.0
-        for (a, b), n in pairs.items():
-            second[b] += n * scale
-            first[a] += n * scale
-            total += n * scale
-
-        def loss(a, b):
-            unigram = (second[b] + 0.5) / (total + 0.5 * size)
-            return -math.log(0.7 * pairs[a, b] * scale / first[a] + 0.3 * unigram) if first[a] else -math.log(unigram)
-
-        return loss, total
-
-    some = [x for x in coded if x[0] in targets]
-    target, n_target = model(some, 1.0)
-    background, _ = model(coded, n_target / sum(len(e) - 1 for _, e in coded))
-    wanted = []
-    for i, e in coded:
-        n = len(e) - 1
-        a, b = (sum(f(x, y) for x, y in zip(e, e[1:], strict=False)) / n if n else 0.0 for f in (target, background))
-        wanted.append((i, n, a, b, a - b))
-    got = [tuple(r) for r in lm_score.lm_score(docs, ids, vocabulary_size=50).collect()]
-    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    wanted = lm_by_hand(words, {*targets, 3} if targets else set())
+    got = lm_score.lm_score(docs, ids, block_bytes=block_bytes).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:3])
     for x, y in zip(sorted(got, key=key), sorted(wanted, key=key), strict=True):
         assert x[:2] == y[:2]
-        assert np.allclose(x[2:], y[2:], atol=1e-4)
-    assert lm_score.lm_score(no_docs, ids).collect() == []
-
-
-@pytest.mark.parametrize("middle", [2600, 65_536])
-def test_lm_score_of_all_words(spark, monkeypatch, middle):
-    """With more words than the head has, each word keeps its own counts; with a small middle, many pairs have no frequent word."""
-    monkeypatch.setattr(lm_score, "MIDDLE", middle, raising=False)
-    rng = random.Random(4)
-    vocabulary = [f"w{k}" for k in range(5000)]
-    weights = [1 / (k + 200) for k in range(5000)]
-    texts = [rng.choices(vocabulary, weights, k=400) for _ in range(50)]
-    texts[7] = texts[3][:200] * 2
-    ids = [None if k == 9 else 4 if k == 5 else k for k in range(50)]
-    table = spark.createDataFrame([(i, " ".join(t)) for i, t in zip(ids, texts, strict=True)] + [(90, ""), (91, None)], "doc_id long, text string").repartition(3)
-    size = len({w for t in texts for w in t}) + 2
-    assert size > 2600
-    for targets in (set(range(0, 50, 3)) | {4}, set()):
-        some = [t for i, t in zip(ids, texts, strict=True) if i in targets] or texts
-        models = []
-        for part, scale in ((some, 1.0), (texts, len(some) / len(texts))):
-            pairs = Counter(p for t in part for p in zip([None, *t], t, strict=False))
-            first, second = Counter(a for a, _ in pairs.elements()), Counter(b for _, b in pairs.elements())
-            models.append((pairs, first, second, scale))
-
-        def loss(a, b, model, n=400 * len(some)):
-            pairs, first, second, scale = model
-            unigram = (second[b] * scale + 0.5) / (n + 0.5 * size)
-            return -math.log(0.7 * pairs[a, b] / first[a] + 0.3 * unigram if first[a] else unigram)
-
-        wanted = [(i or -1, 400, *(sum(loss(a, b, m) for a, b in zip([None, *t], t, strict=False)) / 400 for m in models)) for i, t in zip(ids, texts, strict=True)]
-        wanted += [(90, 0, 0.0, 0.0), (91, 0, 0.0, 0.0)]
-        got = lm_score.lm_score(table, spark.createDataFrame([(k,) for k in targets], "id long")).collect()
-        assert all(abs(r.score - r.target_loss + r.background_loss) < 1e-9 for r in got)
-        assert np.allclose(sorted((r.doc_id or -1, *r[1:4]) for r in got), sorted(wanted), atol=1e-4)
+        assert np.allclose(x[2:4], y[2:], atol=1e-9) and abs(x.score - y[2] + y[3]) < 1e-9
+    if block_bytes == 500:
+        assert lm_score.lm_score(no_docs, ids).collect() == []
+
+
+def test_word_hashes():
+    """Whatever chunks the texts are hashed in."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(["a", "B", "bé", " ", "\n", "\t ", "日本"], k=rng.randrange(60))).encode() for _ in range(300)] + [b"", b" ", b"x" * 40]
+    names: dict[bytes, int] = {}
+    for size in (1, 16, 1 << 20):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(word_hashes, "CHUNK", size)
+            for text, hashes in zip(texts, word_hashes.split_words(texts), strict=True):
+                words = text.lower().split()
+                assert len(words) == len(hashes)
+                assert all(names.setdefault(w, h) == h for w, h in zip(words, hashes.tolist(), strict=True))
+    assert len(set(names.values())) == len(names) > 200
 
 
 def test_nearest(spark):
