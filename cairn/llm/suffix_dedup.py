@@ -8,7 +8,9 @@ else. Texts of 100 TB have no one suffix array, so suffixes are dealt by content
    windows have equal anchors at equal distance, so a window's copies are owned
    by anchors with the same k-gram, and only anchors need to be dealt, one per
    about LENGTH * 3 / 8 bytes. A k-gram of one anchor only is dropped at once.
-2. Runs whose whole content repeats are repeated at every start.
+2. Runs whose whole content repeats are repeated at every start. They are found by a
+   hash; that all runs of one hash hold the same bytes is checked by the least and
+   the largest of them, and runs for which it fails go the way of different ones.
 3. Of the k-grams with several different runs, which are the edges of repeated
    passages, each different run is one context. The contexts' suffixes from the
    anchor on are sorted (suffixes.py); a window whose right part has r bytes is
@@ -43,12 +45,14 @@ from pyspark.sql import functions as F
 
 from cairn.llm.shared import documents, others, save
 from cairn.llm.suffixes import PrefixHashes, SuffixSort, mix
+from cairn.llm.word_hashes import split_words
 
 LENGTH = 400
 MOST_RUNS = 512
 BLOCK = 16
-BUFFER = 20_000
-POSITION_BITS = 30
+BUFFER_BYTES = 2 << 20
+POSITION_BITS = 24
+CHUNK = 1 << 20  # starts looked at together; a longer text costs no more memory than its bytes and this
 WORD = 8
 
 ANCHORS = "id1 long, id2 long, gram long, run long, at int, first int, last int"
@@ -66,7 +70,19 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(text: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """gram hash, place, and first and last owned start of each anchor."""
+    """gram hash, place, and first and last owned start of each anchor.
+
+    The starts of a long text are looked at in chunks. Which anchor a start has
+    depends on its window only, but a run that crosses chunks is two.
+    """
+    found = []
+    for at in range(0, len(text) - length + 1, CHUNK):
+        gram, *places = _anchors(text[at : at + CHUNK + length - 1], length)
+        found.append((gram, *(x + at for x in places)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _anchors(text: bytes, length: int) -> tuple[np.ndarray, ...]:
     k = max(1, length // 4)
     grams = mix(PrefixHashes(np.frombuffer(text, np.uint8)).every(k))
     low = np.uint64((1 << POSITION_BITS) - 1)
@@ -76,16 +92,22 @@ def anchors(text: bytes, length: int) -> tuple[np.ndarray, ...]:
     return grams[at[first]].view(np.int64), at[first], first, np.r_[first[1:], len(at)] - 1
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _strings(batch: pa.RecordBatch, of_words: bool) -> list[bytes | None]:
+    """Texts as bytes, or each word of them as WORD bytes."""
+    texts = batch["text"].cast(pa.binary()).to_pylist()
+    return [words.tobytes() for words in split_words(texts, fold=False)] if of_words else texts
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, of_words: bool, run_bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts: list[list[np.ndarray]] = []
         keys = batch["id1"].to_numpy(), batch["id2"].to_numpy()
-        for row, text in enumerate(batch["text"].cast(pa.binary()).to_pylist()):
+        for row, text in enumerate(_strings(batch, of_words)):
             if text is None or len(text) < length:
                 continue
             gram, at, first, last = anchors(text, length)
             run = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
-            parts.append([np.full(len(at), keys[0][row]), np.full(len(at), keys[1][row]), gram, np.array(run, np.uint64).view(np.int64), at, first, last])
+            parts.append([np.full(len(at), keys[0][row]), np.full(len(at), keys[1][row]), gram, (np.array(run, np.uint64) >> np.uint64(64 - run_bits)).view(np.int64), at, first, last])
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 7
         kinds = [pa.int64()] * 4 + [pa.int32()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, kinds, strict=True)], names=["id1", "id2", "gram", "run", "at", "first", "last"])
@@ -171,14 +193,16 @@ def _solve(rows: list[tuple], length: int) -> pa.RecordBatch:
 
 
 def _edges(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Of contexts sorted by k-gram: the spans of repeated windows. Whole groups are gathered up to BUFFER contexts."""
+    """Of contexts sorted by k-gram: the spans of repeated windows. Whole groups are gathered up to BUFFER_BYTES; sorting takes about sixty times as much."""
     rows: list[tuple] = []
+    held = 0
     for batch in batches:
         for row in zip(*(batch[c].to_pylist() for c in ("gram", "id1", "id2", "at", "first", "context", "alone")), strict=True):
-            if len(rows) >= BUFFER and row[0] != rows[-1][0]:
+            if held >= BUFFER_BYTES and row[0] != rows[-1][0]:
                 yield _solve(rows, length)
-                rows = []
+                rows, held = [], 0
             rows.append(row)
+            held += len(row[5])
     if rows:
         yield _solve(rows, length)
 
@@ -260,8 +284,7 @@ def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
 
 def _words_as_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        coded = [b"".join(map(xxhash.xxh3_64_digest, (t or b"").split())) for t in batch["text"].cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["id1"], batch["id2"], pa.array(coded, pa.binary())], names=["id1", "id2", "text"])
+        yield pa.RecordBatch.from_arrays([batch["id1"], batch["id2"], pa.array(_strings(batch, True), pa.binary())], names=["id1", "id2", "text"])
 
 
 def _word_spans(text: bytes, begins: list[int], ends: list[int], length: int) -> list[tuple[int, int]]:
@@ -289,42 +312,61 @@ def _cut(batches: Iterator[pa.RecordBatch], with_text: bool, passage: int) -> It
                 covered = at = max(covered, b)
             kept.append(text[at:])
             left = b"".join(kept)
-            out.append((len(text), len(text) - len(left), spans, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), batch["carried"]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "carried"])
+            out.append((len(text), len(text) - len(left), spans, hashlib.sha256(left).hexdigest(), len(left), left.decode("utf-8", "ignore") if with_text else None))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string())
+        columns = list(zip(*out, strict=True)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), batch["carried"]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "kept", "carried"])
 
 
-def _listed_spans(keyed: DataFrame, length: int, most_runs: int) -> DataFrame:
-    """id1, id2, begins, ends: the spans of repeated windows of the texts of ``keyed`` (id1, id2, text)."""
-    rows = save(keyed.mapInArrow(partial(_anchor_rows, length=length), ANCHORS), "suffix-anchors")
+def _listed_spans(texts: DataFrame, length: int, most_runs: int, run_bits: int, of_words: bool = False) -> DataFrame:
+    """id1, id2, begins, ends: the spans of repeated windows of ``texts`` (id1, id2, text), or of their hashed words."""
+    ids = ["id1", "id2"]
+    rows = save(texts.mapInArrow(partial(_anchor_rows, length=length, of_words=of_words, run_bits=run_bits), ANCHORS), "suffix-anchors")
     grams = rows.df.groupBy("gram").agg(F.count("*").alias("n"), (F.min("run") < F.max("run")).alias("several")).where(F.col("n") > 1)
     # Written, so that the join's hot keys can be split.
-    grams = save(grams.select("gram", "several"), "suffix-grams").df
-    repeated = save(rows.df.join(grams, "gram"), "suffix-repeated").df
-    rows.drop()
-
-    runs = repeated.groupBy("gram", "run", "several").agg(F.count("*").alias("n"), F.min(F.struct("id1", "id2", "at", "first", "last")).alias("r"))
-    runs = save(runs, "suffix-runs").df
-    whole = runs.where(F.col("n") > 1).select("gram", "run")
-    spans = repeated.join(whole, ["gram", "run"]).select("id1", "id2", F.col("first").cast("long").alias("begin"), (F.col("last") + length).cast("long").alias("end"))
-
-    different = runs.where("several")
-    many = different.groupBy("gram").agg(F.count("*").alias("runs")).where(F.col("runs") > most_runs).select("gram", F.lit(True).alias("hot"))
-    many = save(many, "suffix-many").df
-    edge = different.join(many, "gram", "left").select("gram", (F.col("n") == 1).alias("alone"), F.coalesce("hot", F.lit(False)).alias("hot"), "r.*")
+    grams = save(grams.select("gram", "several"), "suffix-grams")
+    repeated = save(rows.df.join(grams.df, "gram"), "suffix-repeated")
+    rows.drop(), grams.drop()
+
+    of_run = ["gram", "run"]
+    runs = repeated.df.groupBy(*of_run, "several").agg(F.count("*").alias("n"), F.min(F.struct(*ids, "at", "first", "last")).alias("r"))
+    runs = save(runs, "suffix-runs")
+    whole = repeated.df.join(runs.df.where("n > 1").select(*of_run), of_run)
+    whole = save(whole.select(*of_run, *ids, "at", "first", "last"), "suffix-whole")
+    repeated.drop()
+    strings = texts.mapInArrow(_words_as_hashes, "id1 long, id2 long, text binary") if of_words else texts
     piece = F.expr(f"substring(cast(text as binary), first + 1, last - first + {length})").alias("context")
-    contexts = save(edge.join(keyed, ["id1", "id2"]).select("gram", "alone", "hot", "id1", "id2", "at", "first", piece), "suffix-contexts").df
-    sorted_ = contexts.where(~F.col("hot")).repartition("gram").sortWithinPartitions("gram")
-    found = sorted_.mapInArrow(partial(_edges, length=length), "id1 long, id2 long, begin long, end long")
-    hot = _hot_spans(contexts.where("hot"), length)
-
-    spans = spans.unionByName(found).unionByName(hot)
-    return save(spans.groupBy("id1", "id2").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")), "suffix-spans").df
-
-
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_runs: int = MOST_RUNS, with_text: bool = False, passage_words: int = 0) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256; if with_text also kept, the text, and carried, the row's other columns.
+    same = whole.df.join(strings, ids).select(*of_run, piece).groupBy(*of_run).agg(F.min("context").alias("x"), F.max("context").alias("y"))
+    collided = save(same.where("x <> y").select(*of_run), "suffix-collided")
+
+    different = runs.df.where("several").select("gram", "run", (F.col("n") == 1).alias("alone"), "r.*")
+    spans = whole.df
+    if not collided.df.isEmpty():
+        apart = whole.df.join(collided.df, of_run, "left_semi").withColumn("alone", F.lit(True))
+        different = different.join(collided.df, of_run, "left_anti").unionByName(apart)
+        spans = spans.join(collided.df, of_run, "left_anti")
+    spans = spans.select(*ids, F.col("first").cast("long").alias("begin"), (F.col("last") + length).cast("long").alias("end"))
+    many = different.groupBy("gram").agg(F.count("*").alias("runs")).where(F.col("runs") > most_runs).select("gram", F.lit(True).alias("hot"))
+    many = save(many, "suffix-many")
+    edge = different.join(many.df, "gram", "left").select("gram", "alone", F.coalesce("hot", F.lit(False)).alias("hot"), *ids, "at", "first", "last")
+    contexts = save(edge.join(strings, ids).select("gram", "alone", "hot", *ids, "at", "first", piece), "suffix-contexts")
+    runs.drop(), many.drop()
+    sorted_ = contexts.df.where(~F.col("hot")).repartition("gram").sortWithinPartitions("gram")
+    found = save(sorted_.mapInArrow(partial(_edges, length=length), "id1 long, id2 long, begin long, end long"), "suffix-found")
+    hot = save(_hot_spans(contexts.df.where("hot"), length), "suffix-hot")
+    contexts.drop()
+
+    spans = spans.unionByName(found.df).unionByName(hot.df)
+    listed = save(spans.groupBy(*ids).agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")), "suffix-spans").df
+    for table in (whole, collided, found, hot):
+        table.drop()
+    return listed
+
+
+def suffix_dedup(
+    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_runs: int = MOST_RUNS, with_text: bool = False, passage_words: int = 0, run_bits: int = 64
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept (the bytes left); if with_text also kept, the text, and carried, the row's other columns.
 
     Texts are UTF-8 bytes; null counts as empty. Matches never cross texts, but
     may overlap within one; strings are judged on the input. Removed runs that
@@ -333,23 +375,23 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     each other; null ids are ids like others. Texts shorter than ``length`` stay
     as they are, an empty table gives an empty result, other columns are not read.
     With ``passage_words``, passages of so many words (between ASCII white space)
-    that start more than once go too, whatever their bytes and the space in them.
+    that start more than once go too, whatever the space between them; words are
+    compared by 64-bit hashes. ``run_bits`` below 64 is for testing collisions.
     """
     key = [F.xxhash64("doc_id", "text").alias("id1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("id2")]
     carried = others(docs, id_col, text_col) if with_text else F.struct(F.lit(0).alias("none"))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), carried.alias("carried"))
     keyed = base.select("*", *key)
     texts = keyed.select("id1", "id2", "text")
-    dealt = keyed.join(_listed_spans(texts, length, most_runs), ["id1", "id2"], "left")
+    dealt = keyed.join(_listed_spans(texts, length, most_runs, run_bits), ["id1", "id2"], "left")
     if passage_words:
-        coded = texts.mapInArrow(_words_as_hashes, "id1 long, id2 long, text binary")
-        of_words = _listed_spans(coded, WORD * passage_words, most_runs).withColumnsRenamed({"begins": "word_begins", "ends": "word_ends"})
+        of_words = _listed_spans(texts, WORD * passage_words, most_runs, run_bits, of_words=True).withColumnsRenamed({"begins": "word_begins", "ends": "word_ends"})
         dealt = dealt.join(of_words, ["id1", "id2"], "left")
     else:
         none = F.lit(None).cast("array<long>")
         dealt = dealt.withColumn("word_begins", none).withColumn("word_ends", none)
     dealt = dealt.select("doc_id", "text", "begins", "ends", "word_begins", "word_ends", "carried")
-    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, carried {base.schema['carried'].dataType.simpleString()}"
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long, kept string, carried {base.schema['carried'].dataType.simpleString()}"
     done = dealt.mapInArrow(partial(_cut, with_text=with_text, passage=WORD * passage_words), schema)
     return done if with_text else done.drop("kept", "carried")
 

@@ -23,7 +23,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, at least n of each."""
     if len(_powers[0]) < n:
-        size = max(n, 2 * len(_powers[0]), 1 << 16)
+        size = 1 << max(16, (n - 1).bit_length())
         for k, base in enumerate((BASE, INVERSE)):
             _powers[k] = np.multiply.accumulate(np.r_[np.uint64(1), np.full(size - 1, base, np.uint64)])
     return _powers[0], _powers[1]

@@ -1,6 +1,7 @@
 """64-bit hashes of words, computed for many texts at once.
 
-Words stand between ASCII white space, and A-Z count as a-z. A word's hash is a
+Words stand between ASCII white space; A-Z count as a-z unless asked otherwise. A
+word's hash is a
 polynomial over its bytes, taken from prefix sums, so no word becomes a Python
 object and no table of known words is kept.
 """
@@ -47,11 +48,12 @@ def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words of the texts, one text after the other, and how many each text has."""
     hashes, counts = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64)
     for some in _chunks(texts):
-        data = b" ".join(piece for _, piece in some).lower()
+        data = b" ".join(piece for _, piece in some)
+        data = data.lower() if fold else data
         begin, end = words_of(data)
         hashes.append(mix(PrefixHashes(np.frombuffer(data, np.uint8)).of(begin, end - begin) + (end - begin).astype(np.uint64)))
         offsets = np.cumsum([0, *(len(piece) + 1 for _, piece in some[:-1])])
@@ -60,7 +62,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), counts
 
 
-def split_words(texts: list[bytes | None]) -> list[np.ndarray]:
+def split_words(texts: list[bytes | None], fold: bool = True) -> list[np.ndarray]:
     """The hashes of each text's words."""
-    hashes, counts = word_hashes([t or b"" for t in texts])
+    hashes, counts = word_hashes([t or b"" for t in texts], fold)
     return np.split(hashes, np.cumsum(counts)[:-1]) if len(texts) else []

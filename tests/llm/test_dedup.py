@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -94,16 +95,38 @@ def brute_spans(texts, length):
         yield len(b), int(covered.sum()), spans, sha(bytes(np.frombuffer(b, np.uint8)[~covered]))
 
 
-@pytest.mark.parametrize("most_runs", [512, 1])
-def test_suffix_dedup(docs, rows, most_runs):
-    """With one run at most, every passage's edges go the way of hot k-grams."""
+@pytest.mark.parametrize(("most_runs", "buffer", "chunk", "run_bits"), [(512, 2 << 20, 1 << 20, 64), (1, 2 << 20, 1 << 20, 64), (512, 1000, 70, 1)])
+def test_suffix_dedup(docs, rows, monkeypatch, most_runs, buffer, chunk, run_bits):
+    """With one run at most, every passage's edges go the way of hot k-grams; with one bit, many runs have the same hash."""
+    monkeypatch.setattr(suffix_dedup, "BUFFER_BYTES", buffer)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
     found = brute_spans([(t or "").encode() for _, t, *_ in rows], 100)
-    wanted = [(i, *x) for (i, *_), x in zip(rows, found, strict=True)]
-    got = [tuple(r) for r in suffix_dedup.suffix_dedup(docs, length=100, most_runs=most_runs).collect()]
+    wanted = [(i, *x, x[0] - x[1]) for (i, *_), x in zip(rows, found, strict=True)]
+    got = [tuple(r) for r in suffix_dedup.suffix_dedup(docs, length=100, most_runs=most_runs, run_bits=run_bits).collect()]
     assert sorted(got, key=sort_key) == sorted(wanted, key=sort_key)
     assert any(w[2] for w in wanted)
 
 
+def test_anchors_in_chunks(monkeypatch):
+    """However a text is cut into chunks, each start has the same anchor."""
+    rng = random.Random(8)
+    text = bytes(rng.choice(b"ab") for _ in range(3000)) + b"a" * 500
+    owners = []
+    for chunk in (1 << 20, 64, 701):
+        monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+        gram, at, first, last = suffix_dedup.anchors(text, 100)
+        owners.append([(int(g), int(p)) for g, p, a, b in zip(gram, at, first, last, strict=True) for _ in range(a, b + 1)])
+    assert owners[0] == owners[1] == owners[2] and len(owners[0]) == 3401
+
+
+def test_misleading_hashes_in_a_sort(monkeypatch):
+    contexts = [b"abcdefgh", b"xbcdefgy", b"zzzdefgh"]
+    for verified in (True, False):
+        monkeypatch.setattr(suffix_dedup.SuffixSort, "verified", lambda self, v=verified: v)
+        who, start = suffix_dedup.repeated_starts(contexts, np.array([3, 3, 3]), np.zeros(3, np.int64), 5)
+        assert set(zip(who.tolist(), start.tolist(), strict=True)) == {(0, 1), (0, 2), (0, 3), (1, 1), (1, 2), (2, 3)}
+
+
 def test_empty_tables(no_docs):
     for result in (exact_dedup.exact_dedup(no_docs), line_dedup.line_dedup(no_docs), ngram_join.ngram_join(no_docs), suffix_dedup.suffix_dedup(no_docs)):
         assert result.collect() == []
