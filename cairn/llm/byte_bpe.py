@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import documents
+from cairn.llm.shared import documents, in_slices
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 MEMO_SIZE = 400_000
@@ -213,7 +213,7 @@ def coder(path: str, pattern: str) -> Coder:
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str, pattern: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
     own = coder(path, pattern)
-    for batch in batches:
+    for batch in in_slices(batches):
         ids = [own.encode(x or b"") for x in batch["text"].cast(pa.binary()).to_pylist()]
         columns = [
             batch["doc_id"],

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.perfect_hash import PerfectHash
-from cairn.llm.shared import documents, others, save
+from cairn.llm.shared import documents, in_slices, others, save
 
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
 BLOCK_DOCS = 512
@@ -57,7 +57,7 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def _count_lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches):
         seen: Counter[tuple[int, bytes]] = Counter()
         for block, text in zip(batch["block"].to_pylist(), _texts(batch["text"]), strict=True):
             seen.update({(block, h) for h in line_hashes(text, min_chars) if h})
@@ -91,7 +91,7 @@ def _probe(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.Reco
 def _drop_lines(batches: Iterator[pa.RecordBatch], min_chars: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     """Of a stream sorted by block, drop list first: the documents without the listed lines."""
     block, listed = None, set()
-    for batch in batches:
+    for batch in in_slices(batches):
         out = {"doc_id": [], "n_lines": [], "n_dropped": [], "kept_sha256": [], "kept": []}
         at_row = []
         rows = zip(*(batch[c].to_pylist() for c in ("block", "h1", "h2", "doc_id")), batch["text"].cast(pa.binary()).to_pylist(), strict=True)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import documents, save
+from cairn.llm.shared import documents, in_slices, save
 from cairn.llm.suffixes import mix
 from cairn.llm.word_hashes import word_hashes
 
@@ -53,7 +53,7 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     """Rows with their block, a run of the task's rows, and their number of words."""
     number, held = TaskContext.get().partitionId() << 33, 0
-    for batch in batches:
+    for batch in in_slices(batches):
         texts, blocks = _texts(batch), []
         for text in texts:
             if held and held + len(text) > block_bytes:
@@ -82,7 +82,7 @@ def ngram_keys(words: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch], part: int, parts: int) -> Iterator[pa.RecordBatch]:
     """Per block of a batch, how often each key of a part occurs, in all texts and in the target's."""
-    for batch in batches:
+    for batch in in_slices(batches):
         block, in_target, texts = batch["block"].to_numpy(), np.array(batch["in_target"].to_pylist(), bool), _texts(batch)
         for lo, hi in _runs(block):
             words, sizes = word_hashes(texts[lo:hi])
@@ -124,7 +124,7 @@ class Totals:
 def _score(batches: Iterator[pa.RecordBatch], totals: partial) -> Iterator[pa.RecordBatch]:
     """Of a stream sorted by block, totals first: each text's mean losses."""
     block, held, own = None, [], None
-    for batch in batches:
+    for batch in in_slices(batches):
         blocks, is_text = batch["block"].to_numpy(), np.array(batch["is_text"].to_pylist(), bool)
         rows = []
         for lo, hi in _runs(blocks, is_text):

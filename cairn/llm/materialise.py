@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.packing import VOCABULARY, word_ids
-from cairn.llm.shared import documents, new_path, save
+from cairn.llm.shared import documents, in_slices, new_path, save
 
 LENGTH = 512
 SHARD_SEQUENCES = 8_192
@@ -75,7 +75,7 @@ def _narrow(ids: bytes) -> np.ndarray:
 def _sequences(batches: Iterator[pa.RecordBatch], path: str, length: int) -> Iterator[pa.RecordBatch]:
     """The sequences of a task, numbered in it; a text without ids has none."""
     own, number, part = word_ids(path), 0, TaskContext.get().partitionId()
-    for batch in batches:
+    for batch in in_slices(batches):
         rows: list[tuple] = []
         texts = [x or b"" for x in batch["text"].cast(pa.binary()).to_pylist()]
         for doc_id, ids in zip(batch["doc_id"].to_pylist(), own.encode(texts), strict=True):

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.components import components
-from cairn.llm.shared import Table, documents, save
+from cairn.llm.shared import Table, documents, in_slices, save
 from cairn.llm.word_hashes import split_words
 
 PART_GRAMS = 1 << 17
@@ -127,7 +127,7 @@ SETS = "doc_id long, n_shingles long, f1 long, f2 long, signatures array<long>"
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
     classes = size_classes(percent, 1)
-    for batch in batches:
+    for batch in in_slices(batches):
         rows = []
         for words in split_words(_texts(batch)):
             grams = ngrams(words, n)
@@ -142,7 +142,7 @@ KEPT = "doc_id long, f1 long, size int, grams array<long>"
 
 
 def _kept_grams(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches):
         grams = [ngrams(words, n) for words in split_words(_texts(batch))]
         columns = [batch["doc_id"], pa.array([_set_hash(g)[0] for g in grams], pa.int64()), pa.array(list(map(len, grams)), pa.int32())]
         yield pa.RecordBatch.from_arrays([*columns, _lists([g.view(np.int64) for g in grams], pa.int64())], names=["doc_id", "f1", "size", "grams"])

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import documents, save
+from cairn.llm.shared import documents, in_slices, save
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -139,7 +139,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     end, own, part, number = np.array([end_id], "<u4").tobytes(), word_ids(path), TaskContext.get().partitionId() << 33, 0
-    for batch in batches:
+    for batch in in_slices(batches):
         doc_ids, rows = batch["doc_id"].to_pylist(), []
         texts = [x or b"" for x in batch["text"].cast(pa.binary()).to_pylist()]
         for doc_id, ids in zip(doc_ids, own.encode(texts), strict=True):

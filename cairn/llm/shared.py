@@ -8,12 +8,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SLICE_BYTES = 4 << 20
+
 
 @cache
 def _own_dir() -> str:
@@ -62,6 +68,15 @@ def save(df: DataFrame, name: str) -> Table:
     return Table(spark.read.schema(df.schema).parquet(path), path)
 
 
+def in_slices(batches: Iterator[pa.RecordBatch], column: str | int = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes of a column, so that a task's Python objects don't grow with Spark's batches."""
+    for batch in batches:
+        held = np.cumsum(pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int64) // most
+        cuts = [0, *(np.flatnonzero(held[1:] != held[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(a, b - a)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -43,14 +43,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.shared import documents, others, save
+from cairn.llm.shared import documents, in_slices, others, save
 from cairn.llm.suffixes import PrefixHashes, SuffixSort, mix
 from cairn.llm.word_hashes import split_words
 
 LENGTH = 400
 MOST_RUNS = 512
 BLOCK = 16
-BUFFER_BYTES = 2 << 20
+BUFFER_BYTES = 1 << 20
 POSITION_BITS = 24
 CHUNK = 1 << 20  # starts looked at together; a longer text costs no more memory than its bytes and this
 WORD = 8
@@ -99,7 +99,7 @@ def _strings(batch: pa.RecordBatch, of_words: bool) -> list[bytes | None]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, of_words: bool, run_bits: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches):
         parts: list[list[np.ndarray]] = []
         keys = batch["id1"].to_numpy(), batch["id2"].to_numpy()
         for row, text in enumerate(_strings(batch, of_words)):
@@ -283,7 +283,7 @@ def _hot_spans(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _words_as_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches):
         yield pa.RecordBatch.from_arrays([batch["id1"], batch["id2"], pa.array(_strings(batch, True), pa.binary())], names=["id1", "id2", "text"])
 
 
@@ -299,7 +299,7 @@ def _word_spans(text: bytes, begins: list[int], ends: list[int], length: int) ->
 
 
 def _cut(batches: Iterator[pa.RecordBatch], with_text: bool, passage: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_slices(batches):
         out: list[tuple] = []
         columns = ("begins", "ends", "word_begins", "word_ends")
         for text, begins, ends, *of_words in zip(batch["text"].cast(pa.binary()).to_pylist(), *(batch[c].to_pylist() for c in columns), strict=True):

@@ -112,8 +112,8 @@ class SuffixSort:
         """Whether neighbours have as many bytes in common as their hashes say, and differ after them."""
         data, last = self.hashes.data, len(self.hashes.data) - 1
         a, b, n = self.start[self.order[:-1]], self.start[self.order[1:]], self.extension[1:]
-        for k in range(0, len(n), 4096):
-            part = slice(k, k + 4096)
+        for k in range(0, len(n), 512):
+            part = slice(k, k + 512)
             at = np.arange(int(n[part].sum())) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
             if (data[np.repeat(a[part], n[part]) + at] != data[np.repeat(b[part], n[part]) + at]).any():
                 return False

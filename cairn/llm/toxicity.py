@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cairn.llm.shared import documents
+from cairn.llm.shared import documents, in_slices
 
 MAX_ROWS = 50_000
 MAX_LEXICON = 20_000
@@ -172,7 +172,7 @@ def evidence(k_toxic: int, k_other: int, n_toxic: int, n_other: int) -> float:
 
 def _word_rows(batches: Iterator[pa.RecordBatch], only: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
     """Per feature, the rows that have it; of all features, or of some."""
-    for batch in batches:
+    for batch in in_slices(batches):
         seen: Counter[str] = Counter()
         for text in batch["text"].to_pylist():
             words = {t for t in TOKEN.findall((text or "").lower()) if len(t) >= HEAD and t[0].isalpha()}
@@ -183,7 +183,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch], only: frozenset[str] | None) -
 
 def _feature_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     heads = model.heads()
-    for batch in batches:
+    for batch in in_slices(batches):
         rows = [model.features(text or "", heads) for text in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "x"])
 
@@ -234,7 +234,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
 
 def _score_rows(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     heads = model.heads()
-    for batch in batches:
+    for batch in in_slices(batches):
         scores = [model.score(model.features(text or "", heads)) for text in batch["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
 
@@ -253,7 +253,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def _append_score(batches: Iterator[pa.RecordBatch], model: Model, text_at: int, name: str) -> Iterator[pa.RecordBatch]:
     heads = model.heads()
-    for batch in batches:
+    for batch in in_slices(batches, text_at):
         scores = [model.score(model.features(text or "", heads)) for text in batch.column(text_at).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
