@@ -8,9 +8,8 @@ else. Texts of 100 TB have no one suffix array, so suffixes are dealt by content
    windows have equal anchors at equal distance, so a window's copies are owned
    by anchors with the same k-gram, and only anchors need to be dealt, one per
    about LENGTH * 3 / 8 bytes. A k-gram of one anchor only is dropped at once.
-2. Runs whose whole content repeats are repeated at every start. They are found by a
-   hash; that all runs of one hash hold the same bytes is checked by the least and
-   the largest of them, and runs for which it fails go the way of different ones.
+2. Runs whose whole content repeats are repeated at every start. Runs are
+   equal when both 64-bit hashes are, of the k-gram and of the run.
 3. Of the k-grams with several different runs, which are the edges of repeated
    passages, each different run is one context. The contexts' suffixes from the
    anchor on are sorted (suffixes.py); a window whose right part has r bytes is
@@ -98,7 +97,7 @@ def _strings(batch: pa.RecordBatch, of_words: bool) -> list[bytes | None]:
     return [words.tobytes() for words in split_words(texts, fold=False)] if of_words else texts
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, of_words: bool, run_bits: int) -> Iterator[pa.RecordBatch]:
+def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, of_words: bool) -> Iterator[pa.RecordBatch]:
     for batch in in_slices(batches):
         parts: list[list[np.ndarray]] = []
         keys = batch["id1"].to_numpy(), batch["id2"].to_numpy()
@@ -107,7 +106,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, of_words: bool,
                 continue
             gram, at, first, last = anchors(text, length)
             run = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(first.tolist(), (last + length).tolist(), strict=True)]
-            parts.append([np.full(len(at), keys[0][row]), np.full(len(at), keys[1][row]), gram, (np.array(run, np.uint64) >> np.uint64(64 - run_bits)).view(np.int64), at, first, last])
+            parts.append([np.full(len(at), keys[0][row]), np.full(len(at), keys[1][row]), gram, np.array(run, np.uint64).view(np.int64), at, first, last])
         columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 7
         kinds = [pa.int64()] * 4 + [pa.int32()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, kinds, strict=True)], names=["id1", "id2", "gram", "run", "at", "first", "last"])
@@ -318,10 +317,10 @@ def _cut(batches: Iterator[pa.RecordBatch], with_text: bool, passage: int) -> It
         yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), batch["carried"]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept", "kept", "carried"])
 
 
-def _listed_spans(texts: DataFrame, length: int, most_runs: int, run_bits: int, of_words: bool = False) -> DataFrame:
+def _listed_spans(texts: DataFrame, length: int, most_runs: int, of_words: bool = False) -> DataFrame:
     """id1, id2, begins, ends: the spans of repeated windows of ``texts`` (id1, id2, text), or of their hashed words."""
     ids = ["id1", "id2"]
-    rows = save(texts.mapInArrow(partial(_anchor_rows, length=length, of_words=of_words, run_bits=run_bits), ANCHORS), "suffix-anchors")
+    rows = save(texts.mapInArrow(partial(_anchor_rows, length=length, of_words=of_words), ANCHORS), "suffix-anchors")
     grams = rows.df.groupBy("gram").agg(F.count("*").alias("n"), (F.min("run") < F.max("run")).alias("several")).where(F.col("n") > 1)
     # Written, so that the join's hot keys can be split.
     grams = save(grams.select("gram", "several"), "suffix-grams")
@@ -332,23 +331,14 @@ def _listed_spans(texts: DataFrame, length: int, most_runs: int, run_bits: int,
     runs = repeated.df.groupBy(*of_run, "several").agg(F.count("*").alias("n"), F.min(F.struct(*ids, "at", "first", "last")).alias("r"))
     runs = save(runs, "suffix-runs")
     whole = repeated.df.join(runs.df.where("n > 1").select(*of_run), of_run)
-    whole = save(whole.select(*of_run, *ids, "at", "first", "last"), "suffix-whole")
+    spans = save(whole.select(*ids, F.col("first").cast("long").alias("begin"), (F.col("last") + length).cast("long").alias("end")), "suffix-whole")
     repeated.drop()
-    strings = texts.mapInArrow(_words_as_hashes, "id1 long, id2 long, text binary") if of_words else texts
-    piece = F.expr(f"substring(cast(text as binary), first + 1, last - first + {length})").alias("context")
-    same = whole.df.join(strings, ids).select(*of_run, piece).groupBy(*of_run).agg(F.min("context").alias("x"), F.max("context").alias("y"))
-    collided = save(same.where("x <> y").select(*of_run), "suffix-collided")
-
-    different = runs.df.where("several").select("gram", "run", (F.col("n") == 1).alias("alone"), "r.*")
-    spans = whole.df
-    if not collided.df.isEmpty():
-        apart = whole.df.join(collided.df, of_run, "left_semi").withColumn("alone", F.lit(True))
-        different = different.join(collided.df, of_run, "left_anti").unionByName(apart)
-        spans = spans.join(collided.df, of_run, "left_anti")
-    spans = spans.select(*ids, F.col("first").cast("long").alias("begin"), (F.col("last") + length).cast("long").alias("end"))
+    different = runs.df.where("several").select("gram", (F.col("n") == 1).alias("alone"), "r.*")
     many = different.groupBy("gram").agg(F.count("*").alias("runs")).where(F.col("runs") > most_runs).select("gram", F.lit(True).alias("hot"))
     many = save(many, "suffix-many")
     edge = different.join(many.df, "gram", "left").select("gram", "alone", F.coalesce("hot", F.lit(False)).alias("hot"), *ids, "at", "first", "last")
+    strings = texts.mapInArrow(_words_as_hashes, "id1 long, id2 long, text binary") if of_words else texts
+    piece = F.expr(f"substring(cast(text as binary), first + 1, last - first + {length})").alias("context")
     contexts = save(edge.join(strings, ids).select("gram", "alone", "hot", *ids, "at", "first", piece), "suffix-contexts")
     runs.drop(), many.drop()
     sorted_ = contexts.df.where(~F.col("hot")).repartition("gram").sortWithinPartitions("gram")
@@ -356,15 +346,15 @@ def _listed_spans(texts: DataFrame, length: int, most_runs: int, run_bits: int,
     hot = save(_hot_spans(contexts.df.where("hot"), length), "suffix-hot")
     contexts.drop()
 
-    spans = spans.unionByName(found.df).unionByName(hot.df)
-    listed = save(spans.groupBy(*ids).agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")), "suffix-spans").df
-    for table in (whole, collided, found, hot):
+    every = spans.df.unionByName(found.df).unionByName(hot.df)
+    listed = save(every.groupBy(*ids).agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")), "suffix-spans").df
+    for table in (spans, found, hot):
         table.drop()
     return listed
 
 
 def suffix_dedup(
-    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_runs: int = MOST_RUNS, with_text: bool = False, passage_words: int = 0, run_bits: int = 64
+    docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", most_runs: int = MOST_RUNS, with_text: bool = False, passage_words: int = 0
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept (the bytes left); if with_text also kept, the text, and carried, the row's other columns.
 
@@ -376,16 +366,16 @@ def suffix_dedup(
     as they are, an empty table gives an empty result, other columns are not read.
     With ``passage_words``, passages of so many words (between ASCII white space)
     that start more than once go too, whatever the space between them; words are
-    compared by 64-bit hashes. ``run_bits`` below 64 is for testing collisions.
+    compared by 64-bit hashes.
     """
     key = [F.xxhash64("doc_id", "text").alias("id1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("id2")]
     carried = others(docs, id_col, text_col) if with_text else F.struct(F.lit(0).alias("none"))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), carried.alias("carried"))
     keyed = base.select("*", *key)
     texts = keyed.select("id1", "id2", "text")
-    dealt = keyed.join(_listed_spans(texts, length, most_runs, run_bits), ["id1", "id2"], "left")
+    dealt = keyed.join(_listed_spans(texts, length, most_runs), ["id1", "id2"], "left")
     if passage_words:
-        of_words = _listed_spans(texts, WORD * passage_words, most_runs, run_bits, of_words=True).withColumnsRenamed({"begins": "word_begins", "ends": "word_ends"})
+        of_words = _listed_spans(texts, WORD * passage_words, most_runs, of_words=True).withColumnsRenamed({"begins": "word_begins", "ends": "word_ends"})
         dealt = dealt.join(of_words, ["id1", "id2"], "left")
     else:
         none = F.lit(None).cast("array<long>")

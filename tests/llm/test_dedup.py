@@ -95,14 +95,14 @@ def brute_spans(texts, length):
         yield len(b), int(covered.sum()), spans, sha(bytes(np.frombuffer(b, np.uint8)[~covered]))
 
 
-@pytest.mark.parametrize(("most_runs", "buffer", "chunk", "run_bits"), [(512, 2 << 20, 1 << 20, 64), (1, 2 << 20, 1 << 20, 64), (512, 1000, 70, 1)])
-def test_suffix_dedup(docs, rows, monkeypatch, most_runs, buffer, chunk, run_bits):
-    """With one run at most, every passage's edges go the way of hot k-grams; with one bit, many runs have the same hash."""
+@pytest.mark.parametrize(("most_runs", "buffer", "chunk"), [(512, 2 << 20, 1 << 20), (1, 2 << 20, 1 << 20), (512, 1000, 70)])
+def test_suffix_dedup(docs, rows, monkeypatch, most_runs, buffer, chunk):
+    """With one run at most, every passage's edges go the way of hot k-grams."""
     monkeypatch.setattr(suffix_dedup, "BUFFER_BYTES", buffer)
     monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
     found = brute_spans([(t or "").encode() for _, t, *_ in rows], 100)
     wanted = [(i, *x, x[0] - x[1]) for (i, *_), x in zip(rows, found, strict=True)]
-    got = [tuple(r) for r in suffix_dedup.suffix_dedup(docs, length=100, most_runs=most_runs, run_bits=run_bits).collect()]
+    got = [tuple(r) for r in suffix_dedup.suffix_dedup(docs, length=100, most_runs=most_runs).collect()]
     assert sorted(got, key=sort_key) == sorted(wanted, key=sort_key)
     assert any(w[2] for w in wanted)
 
