@@ -91,7 +91,7 @@ def split_at(text: Column, limit: int) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """Strips one inflection ending, then one plural ending; words of up to three letters stay."""
+    """Strips one inflection ending or else one plural ending; words of up to three letters stay."""
     n = F.char_length(word)
 
     def ends(x: Column, *endings: str) -> Column:
@@ -100,16 +100,17 @@ def stem(word: Column) -> Column:
     def less(x: Column, k: int) -> Column:
         return F.substr(x, F.lit(1), F.char_length(x) - k)
 
-    once = (
-        F.when(ends(word, "ies") & (n - 3 >= 3), F.concat(less(word, 3), F.lit("y")))
+    return (
+        F.when(n <= 3, word)
+        .when(ends(word, "ies") & (n - 3 >= 3), F.concat(less(word, 3), F.lit("y")))
         .when(ends(word, "ied") & (n - 3 >= 3), F.concat(less(word, 3), F.lit("y")))
         .when(ends(word, "ings") & (n - 4 >= 3), less(word, 4))
         .when(ends(word, "ing") & (n - 3 >= 3), less(word, 3))
         .when(ends(word, "ed") & (n - 2 >= 3), less(word, 2))
+        .when(ends(word, "sses", "shes", "ches", "xes", "zes"), less(word, 2))
+        .when(ends(word, "s") & ~ends(word, "ss"), less(word, 1))
         .otherwise(word)
     )
-    twice = F.when(ends(once, "sses", "shes", "ches", "xes", "zes"), less(once, 2)).when(ends(once, "s") & ~ends(once, "ss"), less(once, 1)).otherwise(once)
-    return F.when(n <= 3, word).otherwise(twice)
 
 
 def words(text: Column) -> Column:
@@ -159,7 +160,7 @@ def redact(text: Column) -> Column:
 
 def line_key(line: Column) -> Column:
     """Lines that differ in case, outer white space and numbers only have one key."""
-    return F.regexp_replace(F.lower(F.trim(line)), r"\d+", "#")
+    return F.regexp_replace(F.regexp_replace(F.lower(line), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), r"\d+", "#")
 
 
 def is_page_number(line: Column) -> Column:

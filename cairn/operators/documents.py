@@ -178,3 +178,31 @@ def replace_documents(stored: DataFrame, stale: DataFrame, new: DataFrame, key:
 def missing_vectors(wanted: DataFrame, cache: DataFrame, model: str) -> DataFrame:
     """Chunk hashes that the embedding cache lacks for a model."""
     return wanted.select("chunk_hash").distinct().join(cache.where(F.col("model") == model).select("chunk_hash"), "chunk_hash", "left_anti")
+
+
+def cache_version(chunks: DataFrame) -> DataFrame:
+    """n, length: the count of chunks and the sum of their ids' lengths; a cache of another version is stale."""
+    return chunks.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.char_length("chunk_id")), F.lit(0)).cast("long").alias("length"))
+
+
+def put_vectors(cache: DataFrame, entries: DataFrame, at: str) -> DataFrame:
+    """The cache with new entries; of several of one chunk_hash and model the one put last stays."""
+    latest = Window.partitionBy("chunk_hash", "model").orderBy(F.desc(at))
+    return cache.unionByName(entries).withColumn("place", F.row_number().over(latest)).where("place = 1").drop("place")
+
+
+def with_vectors(chunks: DataFrame, cache: DataFrame, model: str) -> DataFrame:
+    """Chunks whose text the cache holds a vector for."""
+    return chunks.join(cache.where(F.col("model") == model).drop("model"), "chunk_hash")
+
+
+def merge_counters(rows: DataFrame, counters: str) -> DataFrame:
+    """key, n: sums over maps of counters."""
+    return rows.select(F.explode(counters).alias("key", "n")).groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def redated(rows: DataFrame, column: str, today: str) -> DataFrame:
+    """Times shifted by whole days, so that the first day becomes ``today``."""
+    first = rows.agg(F.to_date(F.min(column)).alias("first_day"))
+    shift = F.make_dt_interval(F.datediff(F.lit(today).cast("date"), F.col("first_day")))
+    return rows.crossJoin(F.broadcast(first)).withColumn(column, F.col(column) + shift).drop("first_day")

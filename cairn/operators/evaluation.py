@@ -22,13 +22,13 @@ def _holds(text: Column) -> object:
     return lambda x: F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lower(x))
 
 
-def args_match(expected: Column, got: Column) -> Column:
-    """Every expected argument is there: numbers within 1e-6, text in any case."""
+def args_match(expected: Column, got: Column, numeric: Column) -> Column:
+    """Every expected argument is there: those that ``numeric`` names within 1e-6, all others as text in any case."""
 
     def same(e: Column) -> Column:
         value = F.try_element_at(got, e["key"])
         a, b = e["value"].try_cast("double"), value.try_cast("double")
-        return F.coalesce(F.when(a.isNotNull() & b.isNotNull(), F.abs(a - b) <= 1e-6).otherwise(F.lower(F.trim(e["value"])) == F.lower(F.trim(value))), F.lit(False))
+        return F.coalesce(F.when(F.array_contains(numeric, e["key"]), F.abs(a - b) <= 1e-6).otherwise(F.lower(e["value"]) == F.lower(value)), F.lit(False))
 
     return F.forall(F.map_entries(expected), same)
 
@@ -38,12 +38,16 @@ def fact_recall(facts: Column, answer: Column) -> Column:
 
 
 def check_cases(rows: DataFrame) -> DataFrame:
-    """Add checks, a struct of booleans, and passed: all that apply hold (true if none does)."""
+    """Add checks, a struct of booleans, and passed: all that apply hold (true if none does).
+
+    ``numeric_args``, if there, names the expected arguments that are numbers.
+    """
+    numeric = F.coalesce("numeric_args", F.array().cast("array<string>")) if "numeric_args" in rows.columns else F.array().cast("array<string>")
     ok = F.filter("calls", lambda c: c["ok"])
     names = F.concat(F.transform(ok, lambda c: c["tool"]), F.when(F.col("pending.tool").isNotNull(), F.array("pending.tool")).otherwise(F.array().cast("array<string>")))
     target = F.get("expected_tools", F.lit(0))
-    tried = F.exists(ok, lambda c: (c["tool"] == target) & args_match(F.col("expected_args"), c["args"]))
-    waiting = F.coalesce((F.col("pending.tool") == target) & args_match(F.col("expected_args"), F.col("pending.args")), F.lit(False))
+    tried = F.exists(ok, lambda c: (c["tool"] == target) & args_match(F.col("expected_args"), c["args"], numeric))
+    waiting = F.coalesce((F.col("pending.tool") == target) & args_match(F.col("expected_args"), F.col("pending.args"), numeric), F.lit(False))
     is_kind = lambda kind, must: F.col("kind").eqNullSafe(F.lit(kind)) == F.coalesce(F.col(must), F.lit(False))
     cited = F.exists("citations", lambda c: F.array_contains("source_ids", c["source_id"]) & (~_given(F.col("pages")) | F.coalesce(F.array_contains("pages", c["page"]), F.lit(False))))
     needs_citation = _given(F.col("source_ids")) & ~F.coalesce("must_abstain", F.lit(False)) & (F.col("expected_route") == "handbook")

@@ -89,9 +89,9 @@ def with_coverage(pairs: DataFrame, keys: list[str], query: str = "query", passa
 
 
 def rerank(candidates: DataFrame, k: int = 5, floor: float = 0.0) -> DataFrame:
-    """0.6 coverage + 0.15 share of the query's bigrams + 0.25 prior by first rank, of rows with query, text and rank."""
+    """0.6 coverage + 0.15 share of the query's pairs of neighbouring stems + 0.25 prior by first rank, of rows with query, text and rank."""
     of_query = Window.partitionBy("query_id")
-    q, p = T.bigrams(T.words(F.col("query"))), T.bigrams(T.words(F.col("text")))
+    q, p = (T.bigrams(F.transform(T.content_words(F.col(c)), T.stem)) for c in ("query", "text"))
     q = F.array_distinct(q)
     hits = F.when(F.size(q) > 0, F.size(F.array_intersect(q, p)) / F.size(q)).otherwise(F.lit(0.0))
     prior = F.lit(1.0) - (F.col("rank") - 1) / F.count("*").over(of_query)

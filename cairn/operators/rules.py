@@ -78,10 +78,14 @@ def inherited_hits(own: Column, before: Column, is_follow_up: Column) -> Column:
 
 
 def probabilities(hits: Column, options: list[str] = OPTIONS) -> Column:
-    """map<option, share>: 0.9 by weight and 0.1 over all; all alike without hits."""
+    """map<option, share>: 0.9 by weight for those that have one and 0.1 over the others, or 1 if there are none; all alike without hits."""
     n = len(options)
-    total = F.aggregate(F.map_values(hits), F.lit(0.0), lambda a, x: a + x)
-    share = lambda o: F.when(total > 0, 0.9 * F.coalesce(F.try_element_at(hits, F.lit(o)), F.lit(0.0)) / total + 0.1 / n).otherwise(F.lit(1.0 / n))
+    weights = F.map_filter(hits, lambda o, v: (v > 0) & o.isin(options))
+    others = n - F.size(weights)
+    total = F.aggregate(F.map_values(weights), F.lit(0.0), lambda a, x: a + x)
+    own = lambda o: F.try_element_at(weights, F.lit(o))
+    weighted = lambda o: F.when(others > 0, 0.9).otherwise(1.0) * own(o) / total
+    share = lambda o: F.when(F.size(weights) == 0, 1.0 / n).when(own(o).isNotNull(), weighted(o)).otherwise(0.1 / F.greatest(others, F.lit(1)))
     return F.map_from_arrays(F.array(*map(F.lit, options)), F.array(*(F.bround(share(o), 4) for o in options)))
 
 
@@ -101,7 +105,6 @@ def first_said(message: Column, last_user: Column, is_follow_up: Column, options
 def answer_turns(turns: DataFrame, account: str | None = None) -> DataFrame:
     """The answers for rows with message and last_user: route and its probabilities, yes-or-no questions, arguments."""
     message, last = F.col("message"), F.col("last_user")
-    whole = F.concat_ws(" ", message, F.when(F.col("is_follow_up"), last))
     rows = turns.withColumn("is_follow_up", follow_up(message, last)).withColumn("own_hits", route_hits(message)).withColumn("before_hits", F.when(last.isNotNull(), route_hits(last)))
     rows = rows.withColumn("hits", inherited_hits(F.col("own_hits"), F.col("before_hits"), F.col("is_follow_up")))
     asked = F.map_from_arrays(F.array(F.lit("handbook")), F.array(F.lit(0.4)))
@@ -124,14 +127,14 @@ def answer_turns(turns: DataFrame, account: str | None = None) -> DataFrame:
         yes(F.col("is_follow_up"), 0.85, 0.1).alias("follow_up"),
         yes(change, 0.9, 0.05).alias("wants_change"),
         yes(says(message, WANTS_STAFF), 0.88, 0.05).alias("wants_staff"),
-        yes(says(whole, INJECTION), 0.95, 0.03).alias("injection"),
+        yes(says(message, INJECTION), 0.95, 0.03).alias("injection"),
         F.when(foreign, 0.95).when(says(message, OTHER_ACCOUNT), 0.8).otherwise(0.03).alias("other_account"),
         yes(says(message, MISCONDUCT), 0.9, 0.02).alias("misconduct"),
         yes(either(r"\bprojector\b"), 0.95, 0.04).alias("needs_projector"),
         yes(either(r"\b(pcs?|computers?)\b"), 0.9, 0.04).alias("needs_pcs"),
         yes(says(message, NUMBER) | (F.col("is_follow_up") & says(last, NUMBER)), 0.95, 0.05).alias("amount_stated"),
-        F.when(F.map_contains_key("hits", "rooms") & ~(says(whole, SPECIFIC_TIME) | F.col("is_follow_up")), 0.7)
-        .when(F.map_contains_key("hits", "currency") & ~says(whole, NUMBER), 0.75).otherwise(0.2).alias("missing_info"),
+        F.when(F.map_contains_key("hits", "rooms") & ~(says(message, SPECIFIC_TIME) | F.col("is_follow_up")), 0.7)
+        .when(F.map_contains_key("hits", "currency") & ~says(message, NUMBER), 0.75).otherwise(0.2).alias("missing_info"),
         F.when(says(message, r"\b(explain|why|compare|difference|how does)\b"), 1.8).when(F.size(F.split(F.trim(message), r"\s+")) <= 6, 0.2).otherwise(1.0).alias("complexity"),
         first_said(message, last, F.col("is_follow_up"), WORDS_OF_DAY).alias("day"),
         first_said(message, last, F.col("is_follow_up"), [("specific_time", SPECIFIC_TIME), *((w, rf"\b{w}\b") for w in ("morning", "afternoon", "evening"))]).alias("time_of_day"),

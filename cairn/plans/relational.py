@@ -19,7 +19,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def optional_param_join3(spark: SparkSession, sf_dir: str, segment: str = "BUILDING", status: str | None = None) -> DataFrame:
     customers = relational.where_given(_t(spark, sf_dir, "customer"), (segment, F.col("c_mktsegment") == segment))
     orders = relational.where_given(_t(spark, sf_dir, "orders"), (status, F.col("o_orderstatus") == status))
-    lines = _t(spark, sf_dir, "lineitem").where(F.col("l_linenumber") == 1)
+    lines = _t(spark, sf_dir, "lineitem")
     rows = orders.join(customers, orders.o_custkey == customers.c_custkey).join(lines, orders.o_orderkey == lines.l_orderkey)
     return rows.select("o_orderkey", "c_name", "o_orderpriority", "l_partkey", "l_quantity")
 
@@ -49,15 +49,18 @@ def free_resource_anti_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clash_union_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _t(spark, sf_dir, "lineitem").where((F.col("l_partkey") <= 20)).select(F.lit("line").alias("kind"), F.col("l_orderkey").alias("what"), F.col("l_quantity").alias("amount"))
-    orders = _t(spark, sf_dir, "orders").where(F.col("o_custkey") <= 20).select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("what"), F.col("o_totalprice").alias("amount"))
+    """All lines and orders of a stated window of days, as one table."""
+    day, end = F.date_format("l_shipdate", "yyyy-MM-dd"), F.date_format(F.date_add("l_shipdate", 3), "yyyy-MM-dd")
+    lines = _t(spark, sf_dir, "lineitem").where(relational.overlaps(day, end, "1995-03-01", "1995-03-03")).select(F.lit("line").alias("kind"), F.col("l_orderkey").alias("what"), F.col("l_quantity").alias("amount"))
+    day, end = F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format(F.date_add("o_orderdate", 3), "yyyy-MM-dd")
+    orders = _t(spark, sf_dir, "orders").where(relational.overlaps(day, end, "1995-03-01", "1995-03-03")).select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("what"), F.col("o_totalprice").alias("amount"))
     return lines.unionByName(orders)
 
 
 def availability_scalar_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _t(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "N").groupBy("l_partkey").agg(F.count("*").alias("out"))
     parts = _t(spark, sf_dir, "part")
-    rows = parts.where(F.lower("p_type").like("%brass%")).join(out, parts.p_partkey == out.l_partkey, "left")
+    rows = parts.where(F.lower("p_type").like("%economy%")).join(out, parts.p_partkey == out.l_partkey, "left")
     return rows.select("p_partkey", "p_name", (F.col("p_size") - F.coalesce("out", F.lit(0))).alias("available"))
 
 
@@ -130,7 +133,7 @@ SQL = {
     "optional_param_join3": """
         SELECT o_orderkey, c_name, o_orderpriority, l_partkey, l_quantity
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
-        WHERE c_mktsegment = 'BUILDING' AND l_linenumber = 1""",
+        WHERE c_mktsegment = 'BUILDING'""",
     "due_window_join": """
         SELECT o_orderkey, c_name, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS due_at
         FROM orders JOIN customer ON o_custkey = c_custkey
@@ -145,11 +148,11 @@ SQL = {
                           AND CAST(l_shipdate AS DATE) < DATE '1995-03-03' AND DATE '1995-03-01' < CAST(l_shipdate AS DATE) + 3)
           AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_returnflag = 'R' AND CAST(l_shipdate AS DATE) = DATE '1995-02-28')""",
     "clash_union_tagged": """
-        SELECT 'line' AS kind, l_orderkey AS what, l_quantity AS amount FROM lineitem WHERE l_partkey <= 20
-        UNION ALL SELECT 'order', o_orderkey, o_totalprice FROM orders WHERE o_custkey <= 20""",
+        SELECT 'line' AS kind, l_orderkey AS what, l_quantity AS amount FROM lineitem WHERE CAST(l_shipdate AS DATE) < DATE '1995-03-03' AND DATE '1995-03-01' < CAST(l_shipdate AS DATE) + 3
+        UNION ALL SELECT 'order', o_orderkey, o_totalprice FROM orders WHERE CAST(o_orderdate AS DATE) < DATE '1995-03-03' AND DATE '1995-03-01' < CAST(o_orderdate AS DATE) + 3""",
     "availability_scalar_subquery": """
         SELECT p_partkey, p_name, p_size - (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'N') AS available
-        FROM part WHERE lower(p_type) LIKE '%brass%'""",
+        FROM part WHERE lower(p_type) LIKE '%economy%'""",
     "calendar_between": """
         SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, user_id FROM events
         WHERE strftime(ts, '%Y-%m-%d') BETWEEN '2024-01-05' AND '2024-01-09' AND event_type = 'purchase'""",

@@ -46,9 +46,8 @@ def duplicate_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _t(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("source_id"), F.col("doc_id").alias("page"), "text")
-    keys = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), T.line_key), lambda k: k != ""))
-    return pages.select("source_id", F.explode(keys).alias("line")).groupBy("source_id", "line").agg(F.count("*").alias("pages")).where("pages >= 2")
+    pages = _t(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("source_id"), F.floor(F.col("doc_id") / 40).alias("part"), F.col("doc_id").alias("page"), "text")
+    return documents.repeated_lines(pages.withColumn("source_id", F.concat_ws("/", "source_id", "part")), least_pages=2)
 
 
 def strip_comments_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +91,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _t(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return retrieval.dense(asked, vectors, 10).select("query_id", "doc_id", "rank", F.round("score", 4).alias("score"))
 
 
@@ -100,7 +99,7 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fusion of two rankings of the same vectors: by their first and by their last components."""
     v = _t(spark, sf_dir, "embeddings")
     halves = [v.select("vec_id", F.slice("embedding", start, 32).alias("embedding")) for start in (1, 33)]
-    lists = [retrieval.dense(h.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), h, 20) for h in halves]
+    lists = [retrieval.dense(h.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), h, 20) for h in halves]
     return retrieval.fused(lists[0], lists[1], 10).select("query_id", "doc_id", "rank", "score")
 
 
@@ -190,7 +189,7 @@ def _cosine(column: str, n: int) -> str:
     return f"""
       SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
         SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round_even(list_cosine_similarity(q.{column}, d.{column}), 6) AS score
-        FROM v q, v d WHERE q.vec_id < 5) QUALIFY rank <= {n}"""
+        FROM v q, v d WHERE q.vec_id % 100 = 0) QUALIFY rank <= {n}"""
 
 
 _BM25 = f"""
@@ -205,6 +204,11 @@ b AS (SELECT query_id, doc_id, round_even(sum(CASE WHEN ln((n - df + 0.5::DOUBLE
         * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / m))), 5) AS score
       FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY query_id, doc_id)"""
 
+_STOP_TEXT = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_STEM = """CASE WHEN length(w) <= 3 THEN w WHEN regexp_matches(w, '.{3}(ies|ied)$') THEN w[:-4] || 'y' WHEN regexp_matches(w, '.{3}ings$') THEN w[:-5]
+              WHEN regexp_matches(w, '.{3}ing$') THEN w[:-4] WHEN regexp_matches(w, '.{3}ed$') THEN w[:-3] WHEN regexp_matches(w, '(sses|shes|ches|xes|zes)$') THEN w[:-3]
+              WHEN regexp_matches(w, 's$') AND NOT regexp_matches(w, 'ss$') THEN w[:-2] ELSE w END"""
+
 SQL = {
     "semi_join_membership": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "anti_missing_vectors": """
@@ -223,10 +227,13 @@ SQL = {
         SELECT CAST(doc_id AS VARCHAR) AS source_id, status FROM j WHERE status IS NOT NULL""",
     "content_fingerprint": "SELECT doc_id, sha256(text) AS chunk_hash, substr(sha256(source || '|' || 'p' || doc_id || '|' || text), 1, 16) AS chunk_id FROM documents",
     "duplicate_first_seen": "SELECT doc_id, f AS duplicate_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS f FROM documents) WHERE f <> doc_id",
-    "repeated_lines_df": """
-        WITH l AS (SELECT DISTINCT source || '/' || lang AS source_id, doc_id, regexp_replace(lower(trim(x, ' ')), '[0-9]+', '#', 'g') AS line
-                   FROM (SELECT source, lang, doc_id, unnest(string_split(text, chr(10))) AS x FROM documents))
-        SELECT source_id, line, count(*) AS pages FROM l WHERE line <> '' GROUP BY ALL HAVING count(*) >= 2""",
+    "repeated_lines_df": r"""
+        WITH d AS (SELECT source || '/' || lang || '/' || CAST(floor(doc_id / 40) AS BIGINT) AS source_id, doc_id, text FROM documents),
+        l AS (SELECT DISTINCT source_id, doc_id, regexp_replace(regexp_replace(lower(x), '^[\s\x0b\x1c-\x1f]+|[\s\x0b\x1c-\x1f]+$', '', 'g'), '[0-9]+', '#', 'g') AS line
+              FROM (SELECT source_id, doc_id, unnest(string_split(text, chr(10))) AS x FROM d)),
+        n AS (SELECT source_id, count(DISTINCT doc_id) AS n FROM d GROUP BY source_id)
+        SELECT source_id AS source_id, line, count(*) AS pages FROM l JOIN n USING (source_id) WHERE line <> '' AND n >= 2
+        GROUP BY source_id, line, n HAVING count(*) >= greatest(2, floor((n + 1) / 2))""",
     "strip_comments_ws": r"""
         SELECT page_id, sha256(h) AS sha256, length(h) AS n_chars
         FROM (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS h FROM pages)""",
@@ -245,6 +252,14 @@ SQL = {
           'nvapi-[A-Za-z0-9_\-]{8,}', '[REDACTED]', 'g'), 'hf_[A-Za-z0-9]{16,}', '[REDACTED]', 'g'), 'AQ\.[A-Za-z0-9_\-]{20,}', '[REDACTED]', 'g'),
           'AIza[0-9A-Za-z_\-]{20,}', '[REDACTED]', 'g'), '(?i)(bearer\s+)[A-Za-z0-9._\-]{12,}', '\1[REDACTED]', 'g'),
           '(?i)(typesafe_api_key\s*[=:]\s*)[^\s"'',]+', '\1[REDACTED]', 'g'), '\bA\d{4}\b', 'A****', 'g')) AS sha256 FROM documents""",
+    "terms_stems": f"""
+        WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM benchmark),
+        u AS (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM b),
+        s AS (SELECT item_id, {_STEM} AS stem, min(pos) AS pos FROM u WHERE length(w) > 1 AND w NOT IN ({_STOP_TEXT}) GROUP BY ALL),
+        t AS (SELECT item_id, string_agg(stem, ' ' ORDER BY pos) AS terms FROM s GROUP BY item_id),
+        p AS (SELECT item_id, string_agg(w || '_' || nxt, ' ' ORDER BY pos) AS bigrams
+              FROM (SELECT *, lead(w) OVER (PARTITION BY item_id ORDER BY pos) AS nxt FROM u) WHERE nxt IS NOT NULL GROUP BY item_id)
+        SELECT item_id, coalesce(terms, '') AS terms, coalesce(bigrams, '') AS bigrams FROM b LEFT JOIN t USING (item_id) LEFT JOIN p USING (item_id)""",
     "bm25_topk": f"""
         WITH {_BM25}
         SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, round(score, 3) AS score FROM b QUALIFY rank <= 10""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The seed tables and their columns.
@@ -28,14 +28,25 @@ def seed_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A seed CSV; empty cells are null. Bookings, holds and events get ids by file order."""
     rows = spark.read.schema(SEED[name]).option("header", True).csv(f"{folder}/{name}.csv")
     if name in ("room_bookings", "holds", "events"):
-        rows = rows.select((F.monotonically_increasing_id() + 1).alias("id"), "*")
+        rows = numbered(rows)
     return rows.withColumn("source", F.lit("seed")) if name == "events" else rows
 
 
-def content_hash(table: DataFrame, *order: str) -> DataFrame:
-    """sha256 over a table's rows as JSON: of each row's hash, in order, so that rows of any size are hashed where they are."""
-    rows = table.select(F.sha2(F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"}), 256).alias("h"), *order)
-    return rows.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "h"))), lambda x: x["h"]), ""), 256).alias("sha256"))
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with id, from 1 without gaps, in file order: each partition's start is the count of those before it."""
+    low = F.lit((1 << 33) - 1)
+    placed = rows.withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.shiftright("id", 33))
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("part", before.alias("start"))  # a row per partition
+    return placed.join(starts, "part").select((F.col("id").bitwiseAND(low) + F.col("start") + 1).alias("id"), *rows.columns)
+
+
+def content_hash(table: DataFrame) -> DataFrame:
+    """sha256 of a table's content, whatever the order of its rows: of the sums of the parts of each row's hash, and the count."""
+    rows = table.select(F.sha2(F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"}), 256).alias("h"))
+    part = lambda k: F.sum(F.conv(F.substr("h", F.lit(1 + 16 * k), F.lit(15)), 16, 10).cast("decimal(38,0)"))
+    return rows.agg(F.sha2(F.concat_ws("|", F.count("*"), *(F.coalesce(part(k), F.lit(0)) for k in range(4))), 256).alias("sha256"))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -85,10 +85,10 @@ def test_checks(spark):
         "pending struct<tool:string,args:map<string,string>>, citations array<struct<source_id:string,page:long>>, controls array<string>, expected_route string, "
         "expected_tools array<string>, expected_args map<string,string>, must_clarify boolean, must_abstain boolean, must_confirm boolean, must_block boolean, "
         "source_ids array<string>, pages array<long>, key_facts array<string>, expected_rewrite_contains array<string>, rewrite_must_not_contain array<string>, "
-        "forbidden array<string>, max_tool_calls int, expected_control string, latency_ms double, skipped boolean"
+        "forbidden array<string>, max_tool_calls int, expected_control string, latency_ms double, skipped boolean, numeric_args array<string>"
     )
-    good = (1, "answer", "handbook", "Fees are 5 dollars", None, [("rooms", True, {"n": "20.0"})], None, [("h", 3)], [], "handbook", ["rooms"], {"n": "20"}, None, None, None, None, ["h"], [3], ["5 DOLLARS", "no"], None, None, ["secret"], 1, None, 3.0, False)
-    bad = (2, "clarify", "rooms", None, "x y", [], None, [], ["loop"], "handbook", ["rooms"], None, None, None, None, None, None, None, None, ["z"], None, None, None, "loop", 9.0, False)
+    good = (1, "answer", "handbook", "Fees are 5 dollars", None, [("rooms", True, {"n": "20.0"})], None, [("h", 3)], [], "handbook", ["rooms"], {"n": "20"}, None, None, None, None, ["h"], [3], ["5 DOLLARS", "no"], None, None, ["secret"], 1, None, 3.0, False, ["n"])
+    bad = (2, "clarify", "rooms", None, "x y", [], None, [], ["loop"], "handbook", ["rooms"], None, None, None, None, None, None, None, None, ["z"], None, None, None, "loop", 9.0, False, None)
     rows = evaluation.check_cases(spark.createDataFrame([good, bad], schema))
     got = {r.id: r for r in rows.collect()}
     assert got[1].passed and got[1].checks.facts and got[1].checks.rewrite is None and got[1].checks.args

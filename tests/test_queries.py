@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import pytest
 
-from cairn.plans import relational, text
+from cairn.plans import answers, relational, text
 from tests.conftest import SF
 from tests.oracle import assert_same
 
-QUERIES = {**relational.QUERIES, **text.QUERIES}
-SQL = {**relational.SQL, **text.SQL}
+QUERIES = {**relational.QUERIES, **text.QUERIES, **answers.QUERIES}
+SQL = {**relational.SQL, **text.SQL, **answers.SQL}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -17,6 +17,6 @@ def test_same_as_sql(spark, name):
     assert_same(QUERIES[name](spark, SF), SQL[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"mode_overlap_matrix", "local_rerank"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
