@@ -100,7 +100,7 @@ def checked_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = answers.judge_scores(_candidates(spark, sf_dir, 3).withColumnRenamed("query", "answer"), ["query_id", "doc_id"])
+    rows = answers.judge_scores(_candidates(spark, sf_dir, 3).withColumnRenamed("query", "answer").drop("score"), ["query_id", "doc_id"])
     return rows.select("query_id", "doc_id", "score")
 
 
