@@ -310,25 +310,27 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     signed = stand.select("doc_id", F.explode("signatures").alias("signature"))
     several = save(signed.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature"), "ngram-signatures")
     involved = save(signed.join(several.df, "signature", "left_semi").select("doc_id").distinct(), "ngram-involved")
+    # The same plan, here and below, for few rows and for many.
     sets.drop(), classes.drop(), several.drop()
-    kept = save(base.join(involved.df, "doc_id", "left_semi").mapInArrow(partial(_kept_grams, n=n), KEPT), "ngram-kept")
+    kept = save(base.join(involved.df.hint("merge"), "doc_id", "left_semi").mapInArrow(partial(_kept_grams, n=n), KEPT), "ngram-kept")
     involved.drop()
 
     first = _first_grams(kept.df, percent)
     members, queries = _groups(first.df)
     alone = F.col("doc_id").alias("component")
-    links = open_parts(kept.df, members.df.select("*", alone), queries.df.select("*", alone), percent, first_only=True)
+    near = save(kept.df.join(members.df.select(*KEY).hint("merge"), KEY), "ngram-near")  # the sets that may link, about a quarter
+    kept.drop()
+    links = open_parts(near.df, members.df.select("*", alone), queries.df.select("*", alone), percent, first_only=True)
     links = equal.df.unionByName(links)
     joined = save(components(links), "ngram-components")
     held, asked = _between(first.df, members.df, joined.df, percent)
     if not asked.df.isEmpty():
-        more = open_parts(kept.df, held.df, asked.df, percent, first_only=False)
+        more = open_parts(near.df, held.df, asked.df, percent, first_only=False)
         if not more.isEmpty():
             joined.drop()
             joined = save(components(links.unionByName(more)), "ngram-components")
-    for table in (first, members, queries, held, asked):
+    for table in (first, members, queries, held, asked, near):
         table.drop()
-    kept.drop()
     result = sizes.join(joined.df.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return result.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
