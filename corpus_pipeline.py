@@ -56,7 +56,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack),
 ]
 
-#: SQL can't express learned scores and byte-level tokens; tests/llm compares the stages with brute force.
+#: SQL can't express learned scores and byte-level tokens. tests/llm compares the operators but toxicity with brute force, and the stages only in what they keep and change.
 ORACLE_SQL = None
 
 
