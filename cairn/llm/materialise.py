@@ -38,6 +38,7 @@ LENGTH = 512
 SHARD_SEQUENCES = 8_192
 TASK_SHARDS = 4
 PASSES = 4
+MOST_BROADCAST = 1_000_000
 KEY = 20_240_229
 ROUNDS = 6
 MOST_ID = np.iinfo(np.uint16).max
@@ -137,12 +138,13 @@ def materialise(
     order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
     ordered = base.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     sequences = save(ordered.mapInArrow(partial(_sequences, path=tokenizer, length=length), "doc_id long, sequence long, part long, number long, ids binary"), "sequences")
-    # One row per task that wrote sequences; Spark broadcasts them if they are small enough.
+    # One row per task that wrote sequences: broadcast up to MOST_BROADCAST of them, 16 bytes each, else joined.
     starts, n = [], 0
     for r in sequences.df.groupBy("part").agg((F.max("number") + 1).alias("n")).orderBy("part").toLocalIterator():
         starts.append((r.part, n))
         n += r.n
     offsets = spark.createDataFrame(starts, "part long, start long")
+    offsets = F.broadcast(offsets) if len(starts) <= MOST_BROADCAST else offsets
 
     @F.pandas_udf("long")
     def slot(numbers: pd.Series) -> pd.Series:
