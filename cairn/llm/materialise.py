@@ -1,7 +1,8 @@
 """Writing token sequences in training order, as binary shards of a fixed stride.
 
-Texts are cut into sequences of at most LENGTH ids, numbered in the order of their
-documents' ids and texts, however the input is split. A keyed Feistel network
+Texts are cut into sequences of at most LENGTH ids, numbered in an order that follows
+from their documents' ids and texts, however the input is split: by a hash of both
+first, which deals about PART_DOCS documents to a task, then by id and text. A keyed Feistel network
 permutes the numbers: it permutes a power of two at least as large, and numbers
 that land outside walk on until they land inside, so every sequence gets one slot
 of 0 to n - 1 and no slot is left empty. Sequences are dealt by ranges of slots,
@@ -35,6 +36,7 @@ from cairn.llm.packing import VOCABULARY, word_ids
 from cairn.llm.shared import documents, in_slices, new_path, save
 
 LENGTH = 512
+PART_DOCS = 16_384
 SHARD_SEQUENCES = 8_192
 TASK_SHARDS = 4
 PASSES = 4
@@ -128,15 +130,16 @@ def materialise(
 
     An id of the tokenizer above 65,535 raises an error. Null and empty texts
     have no sequence; a text of any length has as many as it needs. Rows that
-    repeat an id, or have none, are written each. An empty table writes nothing
+    repeat an id, or have none, are written each; equal rows, id and text, are
+    encoded in one task, which streams them. An empty table writes nothing
     and gives an empty result; other columns are not read. The same rows and key
     give the same files, however the input is split.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # By the hash as well, for ids that many rows share; then rows of one id and text only can change places, and they are equal.
-    order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
-    ordered = base.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    # The number of parts follows from the rows. Only rows of one id and text can change places, and they are equal.
+    own_hash = F.xxhash64("text")
+    ordered = base.repartition(base.count() // PART_DOCS + 1, "doc_id", own_hash).sortWithinPartitions("doc_id", own_hash, "text")
     sequences = save(ordered.mapInArrow(partial(_sequences, path=tokenizer, length=length), "doc_id long, sequence long, part long, number long, ids binary"), "sequences")
     # One row per task that wrote sequences: broadcast up to MOST_BROADCAST of them, 16 bytes each, else joined.
     starts, n = [], 0

@@ -41,12 +41,16 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 CAPACITY = 2048
 GROUP_DOCS = 512
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 128 << 20
 MARKS = string.punctuation.encode()
 
 
 class WordIds:
-    """ids of texts as little-endian unsigned 32-bit integers, with a bounded memo, of at most about MEMO_BYTES, of runs without ASCII white space."""
+    """ids of texts as little-endian unsigned 32-bit integers, with a bounded memo of runs without ASCII white space.
+
+    The memo has two generations, of about MEMO_BYTES together: once the younger one
+    is full it becomes the older one, and what is still asked for moves back.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -55,6 +59,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self._special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._known: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
         self._size = 0
 
     def _encode_runs(self, runs: list[str]) -> Iterator[bytes]:
@@ -106,13 +111,17 @@ class WordIds:
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         for k in range(0, len(texts), 128):  # new runs are encoded for many texts at once
+            if self._size >= MEMO_BYTES // 2:
+                self._known, self._old, self._size = {}, self._known, 0
             runs = list(map(self._runs, texts[k : k + 128]))
-            distinct = set().union(*runs)
-            if self._size >= MEMO_BYTES:  # go on with what these texts need
-                self._known = {run: ids for run in distinct if (ids := self._known.get(run)) is not None}
-                self._size = sum(_held(run, ids) for run, ids in self._known.items())
-            self._learn(distinct.difference(self._known))
-            yield from (b"".join(map(self._known.__getitem__, x)) for x in runs)
+            found = [list(map(self._known.get, x)) for x in runs]
+            new = {run for x, ids in zip(runs, found, strict=True) if None in ids for run, own in zip(x, ids, strict=True) if own is None}
+            again = {run: ids for run in new if (ids := self._old.get(run)) is not None}
+            self._known.update(again)
+            self._size += sum(_held(run, ids) for run, ids in again.items())
+            self._learn(new.difference(again))
+            known = self._known
+            yield from (b"".join([known[run] if own is None else own for run, own in zip(x, ids, strict=True)] if None in ids else ids) for x, ids in zip(runs, found, strict=True))
 
 
 def _held(run: bytes, ids: bytes) -> int:
