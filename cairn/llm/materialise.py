@@ -1,15 +1,15 @@
 """Writing token sequences in training order, as binary shards of a fixed stride.
 
-Texts are cut into sequences of at most LENGTH ids, numbered in an order that follows
-from their documents' ids and texts, however the input is split: by a hash of both
-first, which deals about PART_DOCS documents to a task, then by id and text. A keyed Feistel network
-permutes the numbers: it permutes a power of two at least as large, and numbers
-that land outside walk on until they land inside, so every sequence gets one slot
-of 0 to n - 1 and no slot is left empty. Sequences are dealt by ranges of slots,
-which follow from the slot without sampling; a task writes a run of TASK_SHARDS
-whole shards, each SHARD_SEQUENCES records of equal size: the number of ids, the
-ids, zeros. The record of a slot stands at a place that follows from the slot, so a
-reader goes through files in order and resumes at any slot without an index.
+Texts are cut into sequences of at most LENGTH ids, numbered in an order that
+follows from their documents' ids and texts, however the input is split: by a hash
+of both first, which deals about PART_DOCS documents to a task, then by id and text.
+A keyed Feistel network permutes the numbers: it permutes a power of two at least as
+large, and numbers that land outside walk on until they land inside, so every
+sequence gets one slot of 0 to n - 1 and no slot is left empty. Sequences are dealt
+by ranges of slots, which follow from the slot without sampling; a task writes a run
+of TASK_SHARDS whole shards, each SHARD_SEQUENCES records of equal size: the number
+of ids, the ids, zeros. The record of a slot stands at a place that follows from the
+slot, so a reader goes through files in order and resumes at any slot without an index.
 
 Shards are written in PASSES parts of the slots, so that only a part of the
 sequences is in shuffle files beside the sequences and the shards. A shard is

@@ -56,9 +56,11 @@ def test_encode_documents(docs, rows, no_docs):
     assert byte_bpe.encode_documents(no_docs, path).collect() == []
 
 
+TOKENIZER = Tokenizer.from_file(WORDS)
+
+
 def ids_of(text: str | None) -> np.ndarray:
-    tokenizer = Tokenizer.from_file(WORDS)
-    return np.array(tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4")
+    return np.array(TOKENIZER.encode(text or "", add_special_tokens=False).ids, "<u4")
 
 
 def test_word_ids():
