@@ -14,10 +14,11 @@ one table, keyed by 64-bit hashes of the n-grams, that grows with the corpus; no
 word or pair is left out. It is made and used block by block:
 
 1. Documents are written in blocks of about BLOCK_BYTES.
-2. Each block's counts are summed before they are shuffled, by key, so that a key
-   has a row per block at most. Keys that occur twice or more in the corpus go back
-   to their blocks with their totals. A key that doesn't go back occurs once, in the
-   document that asks for it. This goes in PASSES parts of the keys.
+2. Each slice of a block counts its keys and deals them by key to tasks of about
+   PART_KEYS keys. What goes from a slice to a task is one row, with the keys and
+   counts as packed 64-bit integers. Keys that occur twice or more in the corpus go
+   back to their blocks with their totals, packed alike. A key that doesn't go back
+   occurs once, in the document that asks for it. This goes in PASSES parts of the keys.
 3. A block's totals come first in its partition, its documents follow as a stream
    and are scored. This goes in PASSES parts of the blocks. Both only bound what is
    in shuffle files at once.
@@ -30,8 +31,9 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.shared import documents, in_slices, save
@@ -39,6 +41,7 @@ from cairn.llm.suffixes import mix
 from cairn.llm.word_hashes import word_hashes
 
 BLOCK_BYTES = 8 << 20
+PART_KEYS = 2_000_000
 PASSES = 4
 BIGRAM_WEIGHT = 0.7
 ADDED = 0.5
@@ -80,8 +83,17 @@ def ngram_keys(words: np.ndarray, before: np.ndarray) -> np.ndarray:
     return np.stack([pair, words & low | np.uint64(SECOND), before & low | np.uint64(FIRST)])
 
 
-def _count(batches: Iterator[pa.RecordBatch], part: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """Per block of a batch, how often each key of a part occurs, in all texts and in the target's."""
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """One binary value for the 64-bit integers between each two bounds."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch], share: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Per slice of a block and part of the keys: the keys of one of PASSES shares, and how often each occurs, in all texts and in the target's."""
     for batch in in_slices(batches):
         block, in_target, texts = batch["block"].to_numpy(), np.array(batch["in_target"].to_pylist(), bool), _texts(batch)
         for lo, hi in _runs(block):
@@ -89,11 +101,40 @@ def _count(batches: Iterator[pa.RecordBatch], part: int, parts: int) -> Iterator
             before = np.r_[START, words][: len(words)]
             before[(np.cumsum(sizes) - sizes)[sizes > 0]] = START
             keys, targets = ngram_keys(words, before), np.repeat(in_target[lo:hi], sizes)
-            keep = (keys >> np.uint64(2)) % np.uint64(parts) == np.uint64(part)
+            place = (keys >> np.uint64(2)) % np.uint64(PASSES * parts)
+            keep = place // np.uint64(parts) == np.uint64(share)
             found, which, n = np.unique(keys[keep], return_inverse=True, return_counts=True)
             n_target = np.bincount(which[np.broadcast_to(targets, keys.shape)[keep]], minlength=len(found))
-            columns = [pa.array(np.full(len(found), block[lo])), pa.array(found.view(np.int64)), pa.array(n, pa.int64()), pa.array(n_target, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["block", "key", "n", "n_target"])
+            part = ((found >> np.uint64(2)) % np.uint64(parts * PASSES)).astype(np.int64) % parts
+            by = np.argsort(part, kind="stable")
+            own = np.unique(part)
+            bounds = np.r_[np.searchsorted(part[by], own), len(part)]
+            columns = [pa.array(own, pa.int32()), pa.array(np.full(len(own), block[lo]))]
+            columns += [_packed(x[by].astype(np.int64, copy=False), bounds) for x in (found.view(np.int64), n, n_target)]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "keys", "n", "n_target"])
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of all rows of some keys: the keys that occur twice or more, with their totals; the first row tells how many different words the keys are."""
+    rows = pa.Table.from_batches(batches).combine_chunks() if (batches := list(batches)) else None
+    if rows is None or not rows.num_rows:
+        return
+    keys = _unpacked(rows["keys"])
+    by = np.argsort(keys, kind="stable")
+    new = np.r_[True, keys[by][1:] != keys[by][:-1]]
+    starts, which = np.flatnonzero(new), np.cumsum(new) - 1
+    totals = []
+    for name in ("n", "n_target"):
+        total = np.empty(len(keys), np.int64)
+        total[by] = np.add.reduceat(_unpacked(rows[name])[by], starts)[which]
+        totals.append(total)
+    keep = totals[0] > 1
+    sizes = pc.binary_length(rows["keys"]).to_numpy() // 8
+    bounds = np.r_[0, np.cumsum(keep)][np.r_[0, np.cumsum(sizes)]]
+    words = np.zeros(len(sizes), np.int64)
+    words[0] = np.count_nonzero(keys[by][starts] & 3 == SECOND)
+    columns = [rows["block"].combine_chunks(), *(_packed(x[keep], bounds) for x in (keys, *totals)), pa.array(words)]
+    yield pa.RecordBatch.from_arrays(columns, names=["block", "keys", "n", "n_target", "words"])
 
 
 class Totals:
@@ -132,7 +173,7 @@ def _score(batches: Iterator[pa.RecordBatch], totals: partial) -> Iterator[pa.Re
                 block, held, own = blocks[lo], [np.zeros((3, 0), np.int64)], None
             part = batch.slice(lo, hi - lo)
             if not is_text[lo]:
-                held.append(np.stack([part[c].to_numpy() for c in ("key", "n", "n_target")]))
+                held.append(np.stack([_unpacked(part[c]) for c in ("keys", "n", "n_target")]))
                 continue
             if own is None:
                 keys, n, n_target = np.concatenate(held, axis=1)
@@ -169,22 +210,19 @@ def lm_score(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", tex
     tokens, target_tokens = sizes.n or 0, sizes.n_target or sizes.n or 0
     rows = table.df if sizes.n_target else table.df.withColumn("in_target", F.lit(True))
 
-    of_key, counts = Window.partitionBy("key"), []
+    parts, counts = 3 * tokens // (PASSES * PART_KEYS) + 1, []
     for k in range(PASSES):
-        own = rows.select("block", "text", "in_target").mapInArrow(partial(_count, part=k, parts=PASSES), "block long, key long, n long, n_target long")
-        summed = [F.sum(c).over(of_key).alias(c) for c in ("n", "n_target")]
-        own = own.select("block", "key", *summed, (F.col("block") == F.min("block").over(of_key)).alias("lead"))
-        counts.append(save(own.where("n > 1"), "lm-counts"))
+        own = rows.select("block", "text", "in_target").mapInArrow(partial(_count, share=k, parts=parts), "part int, block long, keys binary, n binary, n_target binary")
+        dealt = own.repartitionById(parts, "part").select("block", "keys", "n", "n_target")
+        counts.append(save(dealt.mapInArrow(_total, "block long, keys binary, n binary, n_target binary, words long"), "lm-counts"))
     totals = reduce(DataFrame.unionByName, (c.df for c in counts))
-    # A batch of a block that stands in two batches counts apart, so a block can have several rows of a key, all with the key's totals.
-    lead = totals.where(F.col("lead") & (F.col("key").bitwiseAND(3) == SECOND)).select("key", "n").distinct().agg(F.count("*").alias("words"), F.sum("n").alias("n")).first()
-    vocabulary = lead.words + tokens - (lead.n or 0) + 2
+    vocabulary = (totals.agg(F.sum("words")).first()[0] or 0) + 2
 
     scored = []
     make = partial(Totals, tokens=max(1, tokens), target_tokens=target_tokens, vocabulary=vocabulary)
     for k in range(PASSES):
         here = F.pmod(F.xxhash64("block"), F.lit(PASSES)) == k
-        first = totals.where(here).select("block", F.lit(False).alias("is_text"), "key", "n", "n_target")
+        first = totals.where(here).select("block", F.lit(False).alias("is_text"), "keys", "n", "n_target")
         texts = rows.where(here).select("block", F.lit(True).alias("is_text"), "doc_id", "text", "in_target")
         stream = first.unionByName(texts, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "is_text")
         scored.append(save(stream.mapInArrow(partial(_score, totals=make), "doc_id long, n_tokens long, target_loss double, background_loss double"), "lm-scored"))
