@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import ann, byte_bpe, exact_dedup, line_dedup, lm_score, materialise, ngram_join, packing, suffix_dedup, toxicity
+from cairn.llm import ann, byte_bpe, conversation_repair, exact_dedup, importance, line_dedup, lm_score, materialise, minhash, ngram_join, packing, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,9 @@ QUERIES: dict[str, Query] = {
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op11_importance": importance.op11_importance,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_minhash": minhash.op13_minhash,
 }
 
 SQL: dict[str, str] = {

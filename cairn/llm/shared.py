@@ -15,7 +15,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 4 << 20
@@ -68,6 +68,26 @@ def save(df: DataFrame, name: str) -> Table:
     return Table(spark.read.schema(df.schema).parquet(path), path)
 
 
+def numbered(df: DataFrame, group: str, order: list[Column], name: str) -> Table:
+    """The written rows with ``place``, from 0, in their group by the order; rows equal in all of it go in any order.
+
+    Rows are dealt by ranges of group, order and place in the input, so neither a
+    large group nor many equal rows end in one task. A group that goes on from one
+    partition to the next gets an offset there: fewer rows than partitions.
+    """
+    dealt = df.withColumn("at", F.monotonically_increasing_id())
+    dealt = dealt.repartitionByRange(F.col(group), *order, F.col("at")).withColumn("part", F.spark_partition_id())
+    table = save(dealt, f"{name}-dealt")
+    before = F.sum("n").over(Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = table.df.groupBy(group, "part").agg(F.count("*").alias("n"))
+    offsets = counts.select(group, "part", before.alias("before")).where("before > 0")
+    placed = table.df.withColumn("own", F.row_number().over(Window.partitionBy(group, "part").orderBy(*order, "at")) - 1)
+    placed = placed.join(F.broadcast(offsets), [group, "part"], "left").withColumn("place", F.col("own") + F.coalesce("before", F.lit(0)))
+    done = save(placed.drop("at", "part", "own", "before"), name)
+    table.drop()
+    return done
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], column: str | int = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``most`` bytes of a column, so that a task's Python objects don't grow with Spark's batches."""
     for batch in batches:
