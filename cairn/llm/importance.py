@@ -113,20 +113,20 @@ def entries(texts: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.
     return n_words, starts, key % buckets, counts
 
 
-BLOCKS = "ids array<long>, n_words array<long>, starts array<int>, buckets array<short>, counts array<int>"
-
-
-def _one_list(values, kind: pa.DataType) -> pa.ListArray:
-    values = values if isinstance(values, pa.Array) else pa.array(np.asarray(values), kind)
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
+#: Arrays as little-endian bytes, so that neither the JVM nor a reader holds more than the numbers themselves.
+TYPES = {"n_words": "<i8", "starts": "<i4", "buckets": "<u2", "counts": None}
+COUNT_TYPES = ("<u1", "<u2", "<u4")  # the least that holds a block's counts, nearly always one byte
+BLOCKS = "ids array<long>, n_words binary, starts binary, buckets binary, counts binary"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in in_slices(batches, "text", BLOCK_BYTES):
         if batch.num_rows:
             n_words, starts, buckets, counts = entries([t or b"" for t in batch["text"].cast(pa.binary()).to_pylist()])
-            columns = [_one_list(batch["doc_id"], pa.int64()), _one_list(n_words, pa.int64()), _one_list(starts, pa.int32()), _one_list(buckets, pa.int16()), _one_list(counts, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["ids", "n_words", "starts", "buckets", "counts"])
+            ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch["doc_id"])
+            least = next(t for t in COUNT_TYPES if counts.max(initial=0) <= np.iinfo(t).max)
+            arrays = zip((n_words, starts, buckets, counts), (*list(TYPES.values())[:-1], least), strict=True)
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in arrays)], names=["ids", *TYPES])
 
 
 def count_matrix(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Table:
@@ -136,9 +136,11 @@ def count_matrix(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _rows(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
-    column = batch[name]
-    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    held = [x.as_buffer() for x in batch[name]]
+    if name == "counts":
+        widths = (len(c) // max(1, len(b.as_buffer()) // 2) for c, b in zip(held, batch["buckets"], strict=True))
+        return [np.frombuffer(c, COUNT_TYPES[max(0, w.bit_length() - 1)]) for c, w in zip(held, widths, strict=True)]
+    return [np.frombuffer(x, TYPES[name]) for x in held]
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +168,7 @@ def gains(corpus: DataFrame, target: DataFrame) -> np.ndarray:
 def _products(batches: Iterator[pa.RecordBatch], gain: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for ids, n_words, starts, buckets, counts in zip(batch["ids"], *(_rows(batch, c) for c in ("n_words", "starts", "buckets", "counts")), strict=True):
-            sums = np.r_[0, np.cumsum(counts * gain[buckets])]
+            sums = np.r_[0, np.cumsum(gain[buckets] * counts)].astype(np.int64)
             n_features = sum(np.maximum(n_words - k, 0) for k in range(LONGEST))
             columns = [ids.values, pa.array(n_words, pa.int64()), pa.array(n_features, pa.int64()), pa.array(sums[starts[1:]] - sums[starts[:-1]], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_features", "weight"])

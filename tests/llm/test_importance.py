@@ -89,3 +89,9 @@ def test_query(spark):
     wanted = type(got)(brute(docs, target), columns=["doc_id", "n_features", "weight", "score", "rank"])
     clean = lambda f: f.astype(float).fillna(-1)
     assert as_rows(clean(got)) == as_rows(clean(wanted))
+
+
+def test_counts_of_any_size(spark):
+    rows = [(1, "again " * 70_000 + "end"), (2, "a " * 300), (3, "b c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    same(importance.resample(df, df).collect(), brute(rows, [t for _, t in rows]))
