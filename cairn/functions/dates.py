@@ -52,11 +52,11 @@ def week_dates(today: Column) -> Column:
 
 
 def time_window(text: Column) -> Column:
-    """struct<start, end> of 'from 2 to 4 pm' or 'at 3 pm' (one hour); nulls if there is none."""
+    """struct<start, end> of 'from 2 to 4 pm' or 'at 3 pm' (one hour, to 24:00 at the latest); nulls if there is none."""
     span = r"(?i)(?<![\d\-/])\b(\d{1,2}(?::\d{2})?)\s*(am|pm)?\s*(?:-|\x{2013}|to|until)\s*(\d{1,2}(?::\d{2})?)\s*(am|pm)?\b(?![\-/]\d)"
     a, am, b, bm = (F.regexp_extract(text, span, k) for k in range(1, 5))
     both = F.when(b != "", F.struct(normalize_time(F.concat(a, F.when(am == "", bm).otherwise(am)), True).alias("start"), normalize_time(F.concat(b, bm), True).alias("end")))
     at = r"(?i)\b(?:at|around|from)\s+(\d{1,2}(?::\d{2})?)\s*(am|pm)?\b"
     one = normalize_time(F.concat(F.regexp_extract(text, at, 1), F.regexp_extract(text, at, 2)), True)
-    hour_on = F.concat(F.lpad(((F.substring(one, 1, 2).try_cast("int") + 1) % 24).cast("string"), 2, "0"), F.substring(one, 3, 3))
+    hour_on = F.concat(F.lpad((F.substring(one, 1, 2).try_cast("int") + 1).cast("string"), 2, "0"), F.substring(one, 3, 3))
     return F.coalesce(both, F.struct(one.alias("start"), hour_on.alias("end")))

@@ -7,12 +7,9 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.operators.retrieval import passage_filter, ranked, with_coverage
+from cairn.operators.rules import PASSAGE_INJECTION, says
 
-# Instructions inside passages, shares that the rules give, the notes that controls leave.
-PASSAGE_INJECTION = (
-    r"(?i)ignore (all |any )?(previous|prior|earlier)? ?(rules|instructions)|assistants? (must|should) (now )?(ignore|reveal|say)|system prompt|"
-    r"disregard (the |all )?(rules|instructions)|new instructions for (the |any )?(ai|assistant)"
-)
+# Shares that the rules give, the notes that controls leave.
 IS_INJECTION, NO_INJECTION = 0.92, 0.02
 CONTRADICTS = 0.03
 GUARDS = ("injection", "other_account", "misconduct")
@@ -27,7 +24,7 @@ def passage_answers(pairs: DataFrame, keys: list[str], query: str = "query", pas
         *pairs.columns,
         F.least(F.lit(1.0), 0.1 + c).alias("relevant"),
         F.when(c >= 0.6, 0.8).otherwise(0.7 * c).alias("has_answer"),
-        F.when(F.rlike(passage, F.lit(PASSAGE_INJECTION)), IS_INJECTION).otherwise(NO_INJECTION).alias("injection"),
+        F.when(says(passage, PASSAGE_INJECTION), IS_INJECTION).otherwise(NO_INJECTION).alias("injection"),
         F.lit(CONTRADICTS).alias("contradicts"),
     )
 
@@ -70,7 +67,7 @@ def answer_check(answers: DataFrame, passages: DataFrame, threshold: float = 0.8
 
 def screened(text: Column, above: float = 0.70) -> Column:
     """A tool's text from outside, or null if it carries instructions."""
-    share = F.when(F.rlike(text, F.lit(PASSAGE_INJECTION)), IS_INJECTION).otherwise(NO_INJECTION)
+    share = F.when(says(text, PASSAGE_INJECTION), IS_INJECTION).otherwise(NO_INJECTION)
     return F.when(share <= above, text)
 
 
@@ -89,7 +86,7 @@ def controls_fired(rows: DataFrame, max_tool_calls: int | None = None) -> DataFr
     fired = [F.when(refused & (F.contains(notes, F.lit(f"policy: {g}")) | F.contains(notes, F.lit(f"review:{g}"))), f"guard:{g}") for g in GUARDS]
     fired.append(F.when(refused & F.contains(notes, F.lit("guard_severity")), "guard:severity"))
     fired += [F.when(F.contains(notes, F.lit(note)), name) for note, name in NOTES.items()]
-    few = F.lit(False) if max_tool_calls is None else calls <= max_tool_calls
+    few = calls <= max_tool_calls if max_tool_calls else F.lit(False)  # no limit of 0
     fired.append(F.when(F.contains(notes, F.lit("agent stopped: limit")) | few, "loop_limit"))
     fired.append(F.when(F.coalesce(F.exists("calls", lambda c: (c["tool"] == "get_loans") & c["ok"]), F.lit(False)), "parameterised_sql"))
     return rows.withColumn("fired", F.array_compact(F.array(*fired)))
@@ -100,3 +97,34 @@ def rendered(passages: DataFrame) -> DataFrame:
     tag = F.concat(F.lit('<source rank="'), "rank", F.lit('" id="'), "doc_id", F.lit('" relevance="'), F.format_string("%.3f", F.col("score")), F.lit('">\n'), "text", F.lit("\n</source>"))
     each = passages.select("query_id", "rank", tag.alias("shown"))
     return each.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "shown"))), lambda x: x["shown"]), "\n").alias("shown"))
+
+
+def valid_citations(citations: DataFrame, provided: DataFrame, answer: str = "answer_id") -> DataFrame:
+    """Citations (answer, position, source_id, page, section) as the first passage, by rank, of those provided that each means; others are dropped.
+
+    A citation without a page means any page of its source, one without a section
+    any section; one with a section also a passage that has none. So a passage is
+    known by a few keys and a citation asks for one or two of them, and both meet
+    by equality. A citation without a source means nothing; equal ranks go by page and section.
+    """
+    no = F.lit("-")
+    page = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    section = lambda c: F.concat(F.lit("s"), c)
+    bare = F.coalesce(F.col("section"), F.lit("")) == ""
+    passages = provided.withColumn("page_key", F.explode(F.array_compact(F.array(no, page(F.col("page"))))))
+    passages = passages.withColumn("section_key", F.explode(F.array(no, F.when(bare, F.lit("s")).otherwise(section(F.col("section"))))))
+    best = passages.groupBy(answer, "source_id", "page_key", "section_key").agg(F.min(F.struct("rank", "page", "section")).alias("meant"))
+    asked = citations.withColumn("page_key", F.coalesce(page(F.col("page")), no)).drop("page")
+    asked = asked.withColumn("section_key", F.explode(F.when(F.col("section").isNull(), F.array(no)).otherwise(F.array_distinct(F.array(section(F.col("section")), F.lit("s"))))))
+    found = asked.drop("section").join(best, [answer, "source_id", "page_key", "section_key"])
+    first = found.groupBy(answer, "position", "source_id").agg(F.min("meant").alias("meant"))
+    return first.select(answer, "position", "source_id", "meant.page", "meant.section")
+
+
+def cited_passages(passages: DataFrame, citations: DataFrame, answer: str = "answer_id") -> DataFrame:
+    """The passages that an answer's valid citations name: by page, or without one by section; a citation without a section names all of a page."""
+    named = citations.select(answer, "source_id", F.coalesce(F.col("page").cast("string"), F.lit("")).alias("page_key"), F.coalesce("section", F.lit("")).alias("section_key")).distinct()
+    keys = F.array_distinct(F.array(F.when(F.col("page").isNull(), F.coalesce("section", F.lit(""))).otherwise(F.lit("")), F.lit("")))
+    asked = passages.withColumn("page_key", F.coalesce(F.col("page").cast("string"), F.lit(""))).withColumn("section_key", F.explode(keys))
+    kept = asked.join(named, [answer, "source_id", "page_key", "section_key"], "left_semi")
+    return kept.drop("page_key", "section_key").distinct()

@@ -9,6 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
+from cairn.functions.arguments import nfc
+from cairn.operators.markdown import relevelled
+
+# Control characters and words broken over a line's end.
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
+HYPHEN_BREAK = r"([a-z])-\n([a-z])"
 
 CHUNK_TOKENS, OVERLAP_TOKENS, ORPHAN_TOKENS = 220, 30, 25
 
@@ -52,17 +58,20 @@ def repeated_lines(pages: DataFrame, doc: str = "source_id", page: str = "page",
 
 
 def clean_pages(pages: DataFrame, doc: str = "source_id", page: str = "page") -> DataFrame:
-    """Pages without headers, footers and page numbers, tidied, with what went."""
+    """Composed pages without headers, footers, page numbers and control characters, tidied, with how much of each went and samples of the lines."""
     listed = repeated_lines(pages, doc, page).groupBy(doc).agg(F.collect_set("line").alias("listed"))
     none = F.array().cast("array<string>")
-    rows = pages.join(listed, doc, "left").withColumn("lines", F.split(F.regexp_replace("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), "\n"))
+    composed = pages.withColumn("composed", nfc(F.col("text")))
+    rows = composed.join(listed, doc, "left").withColumn("lines", F.split(F.regexp_replace("composed", CONTROL, ""), "\n"))
     numbers = F.filter("lines", T.is_page_number)
     others = F.filter("lines", lambda x: ~T.is_page_number(x))
-    left = F.filter(others, lambda x: (F.trim(x) == "") | ~F.array_contains(F.coalesce("listed", none), T.line_key(x)))
+    is_listed = lambda x: (F.trim(x) != "") & F.array_contains(F.coalesce("listed", none), T.line_key(x))
+    headers, left = F.filter(others, is_listed), F.filter(others, lambda x: ~is_listed(x))
+    rows = rows.withColumn("body", F.array_join(F.transform(left, lambda x: F.rtrim(x)), "\n"))
     return rows.select(
-        doc, page, T.tidy(F.array_join(F.transform(left, lambda x: F.rtrim(x)), "\n")).alias("text"),
-        F.size(numbers).alias("page_numbers"), (F.size(others) - F.size(left)).alias("headers_footers"),
-        F.slice(F.array_sort(F.array_distinct(F.transform(numbers, lambda x: F.trim(x)))), 1, 6).alias("samples"),
+        doc, page, T.tidy(F.col("body")).alias("text"), F.size(numbers).alias("page_numbers"), F.size(headers).alias("headers_footers"),
+        F.regexp_count("body", F.lit(HYPHEN_BREAK)).alias("hyphen_joins"), F.regexp_count("composed", F.lit(CONTROL)).alias("control_chars"),
+        F.slice(F.array_sort(F.array_distinct(F.transform(F.concat(numbers, headers), lambda x: F.trim(x)))), 1, 6).alias("samples"),
     )
 
 
@@ -90,10 +99,11 @@ def compact_table_lines(text: Column) -> Column:
 
 
 def clean_markdown(text: Column) -> Column:
-    """Without comments, trailing blanks and runs of empty lines, tables compacted."""
+    """Composed, without comments, trailing blanks and runs of empty lines, tables compacted, headings' levels by their numbering."""
+    text = nfc(text)
     for pattern, new in ((r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", "")):
         text = F.regexp_replace(T.strip_comments(text), pattern, new)
-    return compact_table_lines(text)
+    return relevelled(compact_table_lines(text))["text"]
 
 
 def sections(docs: DataFrame, id_col: str = "source_id", text_col: str = "text", title_col: str = "title") -> DataFrame:

@@ -95,16 +95,21 @@ def best(shares: Column, options: list[str] = OPTIONS) -> Column:
     return F.coalesce(*(F.when(F.element_at(shares, F.lit(o)) == top, o) for o in options))
 
 
-def first_said(message: Column, last_user: Column, is_follow_up: Column, options: list[tuple[str, str]]) -> Column:
-    """The first option that the message, or for a follow-up the one before it, names; else not_stated."""
-    chain = [F.when(says(message, p), name) for name, p in options]
-    chain += [F.when(is_follow_up & says(last_user, p), name) for name, p in options]
-    return F.coalesce(*chain, F.lit("not_stated"))
+def first_said(message: Column, past: Column, is_follow_up: Column, options: list[tuple[str, str]]) -> Column:
+    """The first option that the message names, or for a follow-up what the newest earlier message that names one said; else not_stated."""
+    return F.coalesce(*(F.when(says(message, p), name) for name, p in options), F.when(is_follow_up, past), F.lit("not_stated"))
 
 
 def answer_turns(turns: DataFrame, account: str | None = None) -> DataFrame:
-    """The answers for rows with message and last_user: route and its probabilities, yes-or-no questions, arguments."""
+    """The answers for rows with message and last_user: route and its probabilities, yes-or-no questions, arguments.
+
+    ``past_day`` and ``past_time_of_day``, if there, are what the user said last
+    in the whole thread; without them only ``last_user`` is looked at.
+    """
     message, last = F.col("message"), F.col("last_user")
+    named = lambda options: F.coalesce(*(F.when(says(last, p), name) for name, p in options))
+    past = lambda name, options: F.col(f"past_{name}") if f"past_{name}" in turns.columns else named(options)
+    times = [("specific_time", SPECIFIC_TIME), *((w, rf"\b{w}\b") for w in ("morning", "afternoon", "evening"))]
     rows = turns.withColumn("is_follow_up", follow_up(message, last)).withColumn("own_hits", route_hits(message)).withColumn("before_hits", F.when(last.isNotNull(), route_hits(last)))
     rows = rows.withColumn("hits", inherited_hits(F.col("own_hits"), F.col("before_hits"), F.col("is_follow_up")))
     asked = F.map_from_arrays(F.array(F.lit("handbook")), F.array(F.lit(0.4)))
@@ -136,8 +141,8 @@ def answer_turns(turns: DataFrame, account: str | None = None) -> DataFrame:
         F.when(F.map_contains_key("hits", "rooms") & ~(says(message, SPECIFIC_TIME) | F.col("is_follow_up")), 0.7)
         .when(F.map_contains_key("hits", "currency") & ~says(message, NUMBER), 0.75).otherwise(0.2).alias("missing_info"),
         F.when(says(message, r"\b(explain|why|compare|difference|how does)\b"), 1.8).when(F.size(F.split(F.trim(message), r"\s+")) <= 6, 0.2).otherwise(1.0).alias("complexity"),
-        first_said(message, last, F.col("is_follow_up"), WORDS_OF_DAY).alias("day"),
-        first_said(message, last, F.col("is_follow_up"), [("specific_time", SPECIFIC_TIME), *((w, rf"\b{w}\b") for w in ("morning", "afternoon", "evening"))]).alias("time_of_day"),
+        first_said(message, past("day", WORDS_OF_DAY), F.col("is_follow_up"), WORDS_OF_DAY).alias("day"),
+        first_said(message, past("time_of_day", times), F.col("is_follow_up"), times).alias("time_of_day"),
         F.when(says(message, TO_KHR), "usd_to_khr").when(says(message, TO_USD), "khr_to_usd")
         .when(says(message, USD) & says(message, KHR), F.when(F.regexp_instr(message, F.lit("(?i)" + USD)) < F.regexp_instr(message, F.lit("(?i)" + KHR)), "usd_to_khr").otherwise("khr_to_usd"))
         .otherwise("not_stated").alias("currency_direction"),

@@ -117,14 +117,14 @@ def sandbox(spark):
     ],
 )
 def test_sandbox_refuses(sandbox, statement):
-    rows, _, why = tools.run_sql(sandbox, statement, ["nation"])
+    rows, _, why = tools.run_sql(sandbox, statement)
     assert rows == [] and why
 
 
 def test_sandbox_runs_queries(sandbox):
-    rows, more, why = tools.run_sql(sandbox, "WITH x AS (SELECT n_name FROM nation WHERE n_name IN ('FRANCE', 'f(x)')) SELECT upper(n_name), count(*) FROM x GROUP BY n_name", ["nation"])
+    rows, more, why = tools.run_sql(sandbox, "WITH x AS (SELECT n_name FROM nation WHERE n_name IN ('FRANCE', 'f(x)')) SELECT upper(n_name), count(*) FROM x GROUP BY n_name")
     assert why is None and not more and len(rows) <= 1
-    assert tools.run_sql(sandbox, "SELECT n_name FROM nation ORDER BY n_nationkey", ["nation"], cap=5)[1]
+    assert tools.run_sql(sandbox, "SELECT n_name FROM nation ORDER BY n_nationkey", cap=5)[1]
 
 
 def test_seed_ids_and_content_hash(spark):

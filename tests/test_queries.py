@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import pytest
 
-from cairn.plans import answers, relational, text
+from cairn.plans import answers, dialogue, relational, stateful, text
 from tests.conftest import SF
 from tests.oracle import assert_same
 
-QUERIES = {**relational.QUERIES, **text.QUERIES, **answers.QUERIES}
-SQL = {**relational.SQL, **text.SQL, **answers.SQL}
+PLANS = (relational, text, answers, dialogue, stateful)
+QUERIES = {name: q for plan in PLANS for name, q in plan.QUERIES.items()}
+SQL = {name: q for plan in PLANS for name, q in plan.SQL.items()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
