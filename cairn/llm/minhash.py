@@ -18,11 +18,13 @@ union, and every link that counts is confirmed on the full sets.
 5. Each member of a band is compared with the band's smallest document, so a group of
    copies costs one pair a member. The links give components.
 6. Bands whose members are still in several components: all their pairs between
-   different components are estimated, tile by tile; per member and other component
-   first the best is confirmed, then, with the components that result, all that are left.
+   different components are estimated, tile by tile. Members with a pair that is let
+   through fetch their full sets, and the tiles' pairs are confirmed where they
+   meet: what leaves a task is one link per member, its nearest. With the components that
+   result this is repeated until no tile finds a link.
 
-No band is cut however many members it has; a large one is dealt over many tasks,
-whose pairs leave a task only if the sketches let them through.
+No band is cut however many members it has: a large one is dealt over many tasks, by
+members and by n-grams, and no pair leaves a task unconfirmed.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ BINS, BANDS, ROWS = 512, 32, 4
 SKETCH_BITS = 1024
 WORDS = SKETCH_BITS // 64
 SIGMAS = 5
-TILE = 1024
+TILE, TILE_GRAMS = 1024, 1 << 19  # members and n-grams of a tile, about
 AT_ONCE = 32  # rows of a tile compared with another one at once
 
 
@@ -105,7 +107,8 @@ def most_different(percent: int) -> int:
     flips = 2 * BINS * p
     mean = SKETCH_BITS / 2 * (1 - math.exp(-2 * flips / SKETCH_BITS))
     of_samples = 2 * math.sqrt(BINS * p * (1 - p)) * math.exp(-2 * flips / SKETCH_BITS)
-    of_bits = math.sqrt(SKETCH_BITS / 4 * (1 - math.exp(-4 * flips / SKETCH_BITS)))
+    same = math.exp(-4 * flips / SKETCH_BITS)
+    of_bits = math.sqrt(SKETCH_BITS / 4 * (1 - same) - flips * same)
     return math.ceil(mean + SIGMAS * math.hypot(of_samples, of_bits))
 
 
@@ -139,13 +142,14 @@ def _sketches(column: pa.ListArray) -> np.ndarray:
 
 
 class Tile:
-    """Members of a band: ids, components, sizes and sketches."""
+    """Members of a band: ids, components, sizes, sketches, and their sets where they are needed."""
 
-    def __init__(self, parts: list[tuple[np.ndarray, ...]]):
-        self.ids, self.components, self.sizes, self.sketches = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def __init__(self, parts: list[tuple]):
+        self.ids, self.components, self.sizes, self.sketches = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:4])
+        self.sets = [own for part in parts for own in part[4]]
 
-    def near(self, other: Tile, percent: int, best_only: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of members of different components that sizes and sketches let through; per own member and other component only the best, if asked."""
+    def near(self, other: Tile, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Rows from the first number on, a row a member: which of the other's members, of other components, sizes and sketches let through."""
         most = most_different(percent)
         for k in range(0, len(self.ids), AT_ONCE):
             own = slice(k, k + AT_ONCE)
@@ -154,44 +158,91 @@ class Tile:
                 bits += np.bitwise_count(self.sketches[own, word][:, None] ^ other.sketches[:, word][None, :])
             a, b = self.sizes[own][:, None], other.sizes[None, :]
             good = (bits <= most) & (self.components[own][:, None] != other.components[None, :])
-            good &= np.minimum(a, b) * 100 >= np.maximum(a, b) * percent
-            i, j = np.nonzero(good)
-            if best_only and len(i):
-                order = np.lexsort((other.ids[j], bits[i, j], other.components[j], i))
-                i, j = i[order], j[order]
-                first = np.r_[True, (i[1:] != i[:-1]) | (other.components[j[1:]] != other.components[j[:-1]])]
-                i, j = i[first], j[first]
-            yield self.ids[own][i], other.ids[j]
-
-
-def _compare(batches: Iterator[pa.RecordBatch], percent: int, best_only: bool) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by band, pair of tiles and side: the pairs let through."""
+            yield k, good & (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent)
+
+    def links(self, other: Tile, percent: int) -> Iterator[tuple[int, int]]:
+        """Each own member with the nearest of the other's that links to it by the full sets, the smallest id of equally near ones."""
+        lists = Overlaps(other.sets)
+        for k, good in self.near(other, percent):
+            for i in np.flatnonzero(good.any(axis=1)):
+                at = np.flatnonzero(good[i])
+                shared = lists.with_(self.sets[k + i])[at]
+                union = self.sizes[k + i] + other.sizes[at] - shared
+                linked = shared * 100 >= union * percent
+                if linked.any():
+                    best = np.lexsort((other.ids[at], -shared / union))
+                    yield int(self.ids[k + i]), int(other.ids[at[best[linked[best]][0]]])
+
+
+class Overlaps:
+    """For each n-gram of some sets the sets that have it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = len(sets)
+        grams, members = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(grams, kind="stable")
+        self.union, starts = np.unique(grams[order], return_index=True)
+        self.starts, self.members = np.r_[starts, len(grams)], members[order]
+
+    def with_(self, query: np.ndarray) -> np.ndarray:
+        """How many n-grams each set shares with the query."""
+        at = np.minimum(np.searchsorted(self.union, query), len(self.union) - 1)
+        at = at[self.union[at] == query]
+        lo, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        where = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(at) else at
+        return np.bincount(self.members[where], minlength=self.n)
+
+
+KEY = ("band", "low", "high")
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, Tile, Tile]]:
+    """Of rows sorted by band, pair of tiles and side: each pair of tiles; a tile with itself has one side."""
     now, sides = None, ([], [])
 
-    def pairs() -> Iterator[pa.RecordBatch]:
-        one = Tile(sides[0]) if sides[0] else None
-        two = Tile(sides[1]) if sides[1] else one
-        if one is not None and (now[1] == now[2] or sides[1]):
-            for a, b in one.near(two, percent, best_only):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    def pair() -> Iterator[tuple[tuple, Tile, Tile]]:
+        if now and sides[0] and (sides[1] or now[1] == now[2]):
+            one = Tile(sides[0])
+            yield now, one, Tile(sides[1]) if sides[1] else one
 
     for batch in batches:
-        columns = [batch[c].to_numpy(zero_copy_only=False) for c in ("band", "low", "high", "side", "set_id", "component", "n_shingles")]
-        band, low, high, side, ids, comps, sizes = columns
-        sketches = _sketches(batch["sketch"])
+        band, low, high, side, ids, comps, sizes = (batch[c].to_numpy(zero_copy_only=False) for c in (*KEY, "side", "set_id", "component", "n_shingles"))
+        sketches, sets = _sketches(batch["sketch"]), _arrays(batch["grams"]) if "grams" in batch.schema.names else []
         change = np.flatnonzero((band[1:] != band[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (side[1:] != side[:-1])) + 1
         for a, b in zip([0, *change], [*change, len(band)], strict=True):
             if a == b:
                 continue
             key = (band[a], low[a], high[a])
             if key != now:
-                if now:
-                    yield from pairs()
+                yield from pair()
                 now, sides = key, ([], [])
-            sides[side[a]].append((ids[a:b].copy(), comps[a:b].copy(), sizes[a:b].copy(), sketches[a:b].copy()))
-    if now:
-        yield from pairs()
+            sides[side[a]].append((ids[a:b].copy(), comps[a:b].copy(), sizes[a:b].copy(), sketches[a:b].copy(), [s.copy() for s in sets[a:b]]))
+    yield from pair()
+
+
+def _wanted(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of each pair of tiles, the members that have a pair let through."""
+    for key, one, two in _tiles(batches):
+        other = np.zeros(len(two.ids), bool)
+        own = np.zeros(len(one.ids), bool)
+        for k, good in one.near(two, percent):
+            own[k : k + len(good)] = good.any(axis=1)
+            other |= good.any(axis=0)
+        sides = [(0, one.ids[own], one.components[own])] + ([(1, two.ids[other], two.components[other])] if two is not one else [])
+        for side, ids, comps in sides:
+            if len(ids):
+                columns = [pa.array(np.full(len(ids), k)) for k in key] + [pa.array(np.full(len(ids), side, np.int32)), pa.array(ids), pa.array(comps)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*KEY, "side", "set_id", "component"])
+
+
+def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for _, one, two in _tiles(batches):
+        found = list(one.links(two, percent))
+        if two is not one:
+            found += two.links(one, percent)
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _leader_pairs(members: DataFrame, facts: DataFrame, percent: int) -> Table:
@@ -221,17 +272,29 @@ def _pairs_of_tiles(entries: DataFrame, tiles: DataFrame) -> DataFrame:
     return each.select("band", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), side.alias("side"), "set_id", "component")
 
 
-def _open_pairs(members: DataFrame, joined: DataFrame, facts: DataFrame, percent: int, best_only: bool) -> Table:
-    """a, b: pairs of members of one band and of different components that sizes and sketches let through; written."""
-    placed = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("band", "set_id", F.coalesce("component", "rep").alias("component"))
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY, "side")
+
+
+def _open_links(members: DataFrame, joined: DataFrame, facts: DataFrame, kept: DataFrame, percent: int) -> Table:
+    """a, b: documents of different components that link and share a band, one link per member and pair of tiles; none is left if there are no rows. Written."""
+    placed = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("band", "set_id", F.coalesce("component", "rep").alias("component"), "n_shingles")
     placed = save(placed, "minhash-placed")
-    several = placed.df.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / TILE).alias("tiles"))
+    tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n_shingles") / TILE_GRAMS))
+    several = placed.df.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), tiles.alias("tiles"))
     several = save(several.where("x < y").select("band", "tiles"), "minhash-open")
-    dealt = _pairs_of_tiles(placed.df, several.df).join(facts.select("set_id", "n_shingles", "sketch"), "set_id")
-    dealt = dealt.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "side")
-    pairs = save(dealt.mapInArrow(partial(_compare, percent=percent, best_only=best_only), "a long, b long").distinct(), "minhash-pairs")
-    placed.drop(), several.drop()
-    return pairs
+    signed = facts.select("set_id", "n_shingles", "sketch")
+    asked = _dealt(_pairs_of_tiles(placed.df.drop("n_shingles"), several.df).join(signed, "set_id"))
+    wanted = save(asked.mapInArrow(partial(_wanted, percent=percent), "band long, low long, high long, side int, set_id long, component long"), "minhash-wanted")
+    sets = kept.dropDuplicates(["set_id"])
+    held = _dealt(wanted.df.join(sets.select("set_id", "grams"), "set_id").join(signed, "set_id"))
+    pairs = save(held.mapInArrow(partial(_links, percent=percent), "a long, b long").distinct(), "minhash-pairs")
+    docs = facts.select("set_id", "rep")
+    ends = pairs.df.join(docs.select(F.col("set_id").alias("a"), F.col("rep").alias("one")), "a").join(docs.select(F.col("set_id").alias("b"), F.col("rep").alias("two")), "b")
+    links = save(ends.select(F.col("one").alias("a"), F.col("two").alias("b")), "minhash-links")
+    for table in (placed, several, wanted, pairs):
+        table.drop()
+    return links
 
 
 def minhash_dedup(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,7 +316,7 @@ def minhash_dedup(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     sizes = save(sets.df.select("doc_id", "n_shingles"), "minhash-sizes")
     sets.drop()
 
-    signed = classes.df.select("set_id", "rep", F.explode("bands").alias("band"))
+    signed = classes.df.select("set_id", "rep", "n_shingles", F.explode("bands").alias("band"))
     leaders = signed.groupBy("band").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("last")).where("leader < last")
     leaders = save(leaders.select("band", "leader"), "minhash-leaders")
     members = save(signed.join(leaders.df, "band"), "minhash-members")
@@ -269,16 +332,11 @@ def minhash_dedup(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str =
     found = _confirmed(tested.df, kept.df, percent)
     links, done = equal.df.unionByName(found.df), [tested, found]
     joined = save(components(links), "minhash-components")
-    for best_only in (True, False):
-        pairs = _open_pairs(members.df, joined.df, facts.df, percent, best_only)
-        new = pairs.df.join(tested.df, ["a", "b"], "left_anti")
-        found = _confirmed(new, kept.df, percent)
-        tested = save(tested.df.unionByName(pairs.df), "minhash-tested")
-        links, done = links.unionByName(found.df), [*done, pairs, found, tested]
-        if not found.df.isEmpty():
-            joined.drop()
-            joined = save(components(links), "minhash-components")
-    for table in (equal, members, facts, kept, *done):
+    while not (more := _open_links(members.df, joined.df, facts.df, kept.df, percent)).df.isEmpty():
+        links, done = links.unionByName(more.df), [*done, more]
+        joined.drop()
+        joined = save(components(links), "minhash-components")
+    for table in (equal, members, facts, kept, more, *done):
         table.drop()
     result = sizes.df.join(joined.df.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     result = result.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
