@@ -1,15 +1,21 @@
 """Ranking passages for many queries in one job: lexical, dense, fused, reranked.
 
-Everything is keyed by query_id. Queries are the small side of each join, but
-nothing relies on it: joins are on terms or on blocks of passages.
+Everything is keyed by query_id. Queries may be many: they meet passages in blocks,
+each of which keeps the first few of a query.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import text as T
+from cairn.operators.blocks import Search, meet
+from cairn.sources.shared import new_dir
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -26,45 +32,120 @@ def ranked(rows: DataFrame, k: int, *order: Column, name: str = "rank") -> DataF
     return rows.withColumn(name, F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col(name) <= k)
 
 
-def postings(passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """term, doc_id, tf, length: a word index of the passages."""
-    base = passages.select(F.col(id_col).alias("doc_id"), T.words(F.col(text_col)).alias("ws"))
-    each = base.select("doc_id", F.size("ws").alias("length"), F.explode("ws").alias("term"))
-    return each.groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf"))
+def postings(passages: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """term, doc_id, tf, length of the listed terms, written."""
+    base = passages.select(F.col(id_col).alias("doc_id"), T.words(F.coalesce(text_col, F.lit(""))).alias("ws"))
+    each = base.select("doc_id", F.size("ws").alias("length"), F.explode("ws").alias("term")).join(terms, "term", "left_semi")
+    path = new_dir(passages.sparkSession, "postings")
+    each.groupBy("term", "doc_id", "length").agg(F.count("*").cast("int").alias("tf")).write.parquet(path)
+    return passages.sparkSession.read.parquet(path)
+
+
+def passage_lengths(passages: DataFrame, text_col: str = "text") -> tuple[int, float]:
+    """How many passages there are, and their mean length in words."""
+    n, words = passages.agg(F.count(F.lit(1)), F.sum(F.regexp_count(F.lower(F.coalesce(text_col, F.lit(""))), F.lit("[a-z0-9]+")))).first()
+    return n, (words or 0) / n if n else 0.0
+
+
+BLOCK_PASSAGES, SLICE_QUERIES, AT_ONCE = 8192, 1 << 16, 256
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k largest scores, rounded, ties to the smaller id; scores that are nan are none."""
+    rounded = np.round(scores, digits)
+    at = np.flatnonzero(~np.isnan(rounded))
+    if len(at) > k:
+        least = np.partition(rounded[at], len(at) - k)[len(at) - k]
+        at = at[rounded[at] >= least]
+    at = at[np.lexsort((ids[at], -rounded[at]))][:k]
+    return at, rounded[at]
+
+
+FOUND = "query_id long, doc_id long, score double"
+
+
+def _found(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    ids = np.repeat(np.array([q for q, _, _ in rows], np.int64), [len(d) for _, d, _ in rows])
+    columns = [ids, *(np.concatenate([r[k] for r in rows]) if rows else [] for k in (1, 2))]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "doc_id", "score"])
+
+
+def _by_terms(k: int) -> Callable[[pa.Table], Search]:
+    def begin(held: pa.Table) -> Search:
+        ids, doc = np.unique(held["doc_id"].to_numpy(), return_inverse=True)
+        term, weight = held["term"].combine_chunks().dictionary_encode(), held["weight"].to_numpy()
+        code = {t: c for c, t in enumerate(term.dictionary.to_pylist())}
+        at = term.indices.to_numpy()
+        order = np.argsort(at, kind="stable")
+        ends = np.searchsorted(at[order], np.arange(len(code) + 1))
+
+        def search(queries: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for query, terms in zip(queries["query_id"].to_pylist(), queries["terms"].to_pylist(), strict=True):
+                lists = [order[ends[c] : ends[c + 1]] for c in sorted(code[t] for t in terms if t in code)]
+                if lists:
+                    own = np.concatenate(lists)
+                    scores = np.bincount(doc[own], weight[own], len(ids))
+                    scores[np.bincount(doc[own], minlength=len(ids)) == 0] = np.nan
+                    best, score = _best(scores, ids, k, 5)
+                    out.append((query, ids[best], score))
+            return _found(out)
+
+        return search
+
+    return begin
 
 
 def bm25(queries: DataFrame, passages: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """query_id, doc_id, score, rank. Terms that half of the passages have weigh next to nothing.
 
-    Only the queries' terms are indexed: they are joined before occurrences are counted.
+    Only the queries' terms are indexed. Blocks of
+    passages then score queries as they stream by and keep the first k of each. Ids are integers.
     """
-    asked = queries.select("query_id", F.explode(search_terms(F.col("text"))).alias("term"))
-    index = postings(passages, id_col, text_col).join(asked.select("term").distinct(), "term", "left_semi")
-    stats = passages.agg(F.count("*").alias("n_docs"), F.avg(F.size(T.words(F.coalesce(text_col, F.lit(""))))).alias("mean_length"))
+    asked = queries.select("query_id", search_terms(F.coalesce("text", F.lit(""))).alias("terms"))
+    index = postings(passages, asked.select(F.explode("terms").alias("term")).distinct(), id_col, text_col)
+    n, mean = passage_lengths(passages, text_col)
     frequency = index.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("n_docs") - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
+    idf = F.log((F.lit(n) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     weight = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
-    tf, norm = F.col("tf").cast("double"), F.lit(1 - B) + F.lit(B) * F.col("length") / F.col("mean_length")
-    parts = asked.join(frequency, "term").join(index, "term").crossJoin(F.broadcast(stats)).withColumn("part", weight * tf * (K1 + 1) / (tf + K1 * norm))
-    scored = parts.groupBy("query_id", "doc_id").agg(F.bround(F.sum("part"), 5).alias("score"))
-    return ranked(scored, k, F.desc("score"), F.asc("doc_id"))
+    tf, norm = F.col("tf").cast("double"), F.lit(1 - B) + F.lit(B) * F.col("length") / F.lit(mean or 1.0)
+    weighed = index.join(frequency, "term").select("doc_id", "term", (weight * tf * (K1 + 1) / (tf + K1 * norm)).alias("weight"))
+    found = meet(weighed, asked, "doc_id", _by_terms(k), FOUND, BLOCK_PASSAGES, SLICE_QUERIES, n_left=n)
+    return ranked(found, k, F.desc("score"), F.asc("doc_id"))
+
+
+def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A matrix of unit vectors, one row per list; a vector of zeros stays, a null or one of another length is of nans."""
+    rows = column.to_pylist()
+    width = max((len(r) for r in rows if r is not None), default=0)
+    out = np.array([r if r is not None and len(r) == width else [None] * width for r in rows], np.float64).reshape(len(rows), width)
+    length = np.sqrt(np.einsum("ij,ij->i", out, out))
+    return out / np.where(length == 0, 1.0, length)[:, None]
+
 
+def _by_cosine(k: int) -> Callable[[pa.Table], Search]:
+    def begin(held: pa.Table) -> Search:
+        ids, own = held["doc_id"].to_numpy(), _vectors(held["vector"])
 
-def inner(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+        def search(queries: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for at in range(0, queries.num_rows, AT_ONCE):
+                some = queries.slice(at, AT_ONCE)
+                scores = _vectors(some["vector"]) @ own.T
+                out += [(q, ids[best], score) for q, row in zip(some["query_id"].to_pylist(), scores, strict=True) for best, score in [_best(row, ids, k, 6)]]
+            return _found(out)
 
+        return search
 
-def norm(a: Column) -> Column:
-    n = F.sqrt(inner(a, a))
-    return F.when(n == 0, F.lit(1.0)).otherwise(n)
+    return begin
 
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, doc_id, score, rank: exact cosine of a stated, small set of queries (query_id, vector) with all vectors."""
-    sides = vectors.select(F.col(id_col).alias("doc_id"), F.col(vector_col).alias("v"), norm(F.col(vector_col)).alias("vn"))
-    asked = queries.select("query_id", F.col("vector").alias("q"), norm(F.col("vector")).alias("qn"))
-    scored = sides.join(asked).select("query_id", "doc_id", F.bround(inner(F.col("v"), F.col("q")) / F.col("vn") / F.col("qn"), 6).alias("score"))
-    return ranked(scored, k, F.desc("score"), F.asc("doc_id"))
+    """query_id, doc_id, score, rank: exact cosine of queries (query_id, vector) with all vectors, block by block; ids are integers."""
+    held = vectors.select(F.col(id_col).cast("long").alias("doc_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    found = meet(held, asked, "doc_id", _by_cosine(k), FOUND, BLOCK_PASSAGES, SLICE_QUERIES, n_left=held.count())
+    return ranked(found, k, F.desc("score"), F.asc("doc_id"))
 
 
 def fused(lexical: DataFrame, dense_: DataFrame, k: int = 10) -> DataFrame:
