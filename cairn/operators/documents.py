@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import text as T
 from cairn.functions.arguments import nfc
-from cairn.operators.markdown import relevelled
+from cairn.operators.markdown import relevelled, table_pieces
 
 # Control characters and words broken over a line's end.
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
@@ -133,53 +135,107 @@ SEPARATORS = [r"\n\n", r"\n(?=[-*•] |\d{1,2}[.)] )", r"\. ", "។", r"\n", " "
 TOKENS = re.compile(r"[A-Za-zÀ-ɏ]{1,4}|\d{1,3}|[ក-៿᧠-᧿]|[^\s]")
 
 
+def _size(text: str) -> int:
+    return len(TOKENS.findall(text))
+
+
+def _seam(a: str, b: str) -> bool:
+    """Whether a token may go on from one text into the next."""
+    return a[-1:].isalnum() and b[:1].isalnum()
+
+
 def size_bounded(text: str, limit: int, overlap: int, level: int = 0) -> list[str]:
     """Pieces of at most ``limit`` tokens, cut at the best separators, each starting with the end of the one before."""
-    size = lambda s: len(TOKENS.findall(s))
-    if size(text) <= limit:
+    if _size(text) <= limit:
         return [text]
     if level == len(SEPARATORS):
         return [text[k : k + limit] for k in range(0, len(text), limit)]
     ends = [m.end() for m in re.finditer(SEPARATORS[level], text)] + [len(text)]
-    atoms = [a for lo, hi in zip([0, *ends], ends) for a in size_bounded(text[lo:hi], limit, overlap, level + 1) if a]
-    out, now = [], []
+    atoms = [a for lo, hi in zip([0, *ends], ends, strict=False) for a in size_bounded(text[lo:hi], limit, overlap, level + 1) if a]
+    out, now, size = [], deque(), 0
+    whole = lambda: "".join(a for a, _ in now)
     for atom in atoms:
-        if now and size("".join(now)) + size(atom) > limit:
-            out.append("".join(now))
-            while now and (size("".join(now)) > overlap or size("".join(now)) + size(atom) > limit):
-                now.pop(0)
-        now.append(atom)
-    return [*out, "".join(now)]
+        own = _size(atom)
+        if now and size + own > limit:
+            out.append(whole())
+            while now and (size > overlap or size + own > limit):
+                gone, n = now.popleft()
+                size = _size(whole()) if now and _seam(gone, now[0][0]) else size - n
+        seam = bool(now) and _seam(now[-1][0], atom)
+        now.append((atom, own))
+        size = _size(whole()) if seam else size + own
+    return [*out, whole()]
 
 
 def merge_small(pieces: list[str], least: int) -> list[str]:
     out: list[str] = []
     for piece in pieces:
-        if out and min(len(TOKENS.findall(piece)), len(TOKENS.findall(out[-1]))) < least:
+        if out and min(_size(piece), _size(out[-1])) < least:
             out[-1] = out[-1].rstrip() + "\n" + piece.lstrip()
         else:
             out.append(piece)
     return out
 
 
-def _pieces(texts: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
-    return pd.Series([merge_small(size_bounded(t or "", int(a), int(b)), ORPHAN_TOKENS) for t, a, b in zip(texts, limit, overlap)])
+def _pieces(blocks: pd.Series, limit: pd.Series, overlap: pd.Series) -> pd.Series:
+    """Of each section's blocks in order: texts cut by size, pieces of tables as they are, small ones merged."""
 
+    def cut(block: dict, a: int, b: int) -> list[str]:
+        return [block["text"]] if block["kind"] == "table" else size_bounded(block["text"], a, b)
 
-def chunks(docs: DataFrame, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, id_col: str = "source_id", text_col: str = "text", title_col: str = "title", language_col: str = "language") -> DataFrame:
-    """chunk_id, chunk_hash, source_id, section, text, token_count, position, language: a document's sections in bounded pieces, each with its breadcrumb."""
+    return pd.Series([merge_small([p for block in some for p in cut(block, int(a), int(b))], ORPHAN_TOKENS) for some, a, b in zip(blocks, limit, overlap, strict=True)])
+
+
+def chunks(
+    docs: DataFrame, limit: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS, id_col: str = "source_id", text_col: str = "text", title_col: str = "title", language_col: str = "language",
+    tables: str = "markdown",
+) -> DataFrame:
+    """chunk_id, chunk_hash, source_id, section, text, token_count, position, language: a document's sections in bounded pieces, each with its breadcrumb.
+
+    Tables are cut between rows, each piece with the header, which goes on over
+    sections; ``tables`` is markdown or rows, or text to cut them like prose.
+    """
     languages = docs.select(F.col(id_col).alias("source_id"), F.col(language_col).alias("document_language"))
-    each = sections(docs, id_col, text_col, title_col).select("source_id", "title", "section", "section_no", F.posexplode(F.pandas_udf(_pieces, "array<string>")("text", F.lit(limit), F.lit(overlap))).alias("piece_no", "piece"))
+    parts = sections(docs, id_col, text_col, title_col)
+    if tables == "text":
+        blocks = parts.select("source_id", "section_no", F.array(F.struct(F.lit("text").alias("kind"), "text")).alias("blocks"))
+    else:
+        lines = parts.select("source_id", "section_no", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+        lines = lines.select(F.col("source_id").alias("doc"), F.col("section_no").alias("part"), F.struct("section_no", "k").alias("n"), "line")
+        order = F.array_sort(F.collect_list(F.struct("block", "piece", "kind", "text")))
+        blocks = table_pieces(lines, limit, tables).groupBy(F.col("doc").alias("source_id"), F.col("part").alias("section_no")).agg(order.alias("blocks"))
+    named = parts.drop("text").withColumn("source_id", F.col("source_id").cast("string")).join(blocks, ["source_id", "section_no"])
+    pieces = F.posexplode(F.pandas_udf(_pieces, "array<string>")("blocks", F.lit(limit), F.lit(overlap)))
+    each = named.select("source_id", "title", "section", "section_no", pieces.alias("piece_no", "piece"))
     body = F.regexp_replace("piece", r"^\s+|\s+$", "")
     texts = each.where(body != "").withColumn("text", F.concat(T.breadcrumb(F.col("title"), F.col("section")), F.lit("\n"), body))
     order = Window.partitionBy("source_id").orderBy("section_no", "piece_no")
-    return texts.join(languages, "source_id").select(
+    return texts.join(languages.withColumn("source_id", F.col("source_id").cast("string")), "source_id").select(
         T.chunk_id(F.col("source_id"), F.concat(F.lit("s:"), "section"), F.col("text")).alias("chunk_id"), T.chunk_hash(F.col("text")).alias("chunk_hash"),
         "source_id", "section", "text", T.token_count(F.col("text")).alias("token_count"), (F.row_number().over(order) - 1).alias("position"),
         T.language_label(F.col("document_language"), F.col("text")).alias("language"),
     )
 
 
+def chunk_report(chunked: DataFrame, limit: int = CHUNK_TOKENS) -> DataFrame:
+    """source_id, chunks, tokens, least, median, most, over: the sizes of each document's chunks, and how many are beyond the limit."""
+    n = F.col("token_count")
+    return chunked.groupBy("source_id").agg(
+        F.count("*").alias("chunks"), F.sum(n).alias("tokens"), F.min(n).alias("least"), F.percentile(n, 0.5).alias("median"), F.max(n).alias("most"), F.count_if(n > limit).alias("over")
+    )
+
+
+def recipe(**settings: object) -> str:
+    """A short name of a chunking's settings, in any order; documents made with another one are stale."""
+    return hashlib.sha256("|".join(f"{k}={settings[k]}" for k in sorted(settings)).encode()).hexdigest()[:12]
+
+
+def excluded(stored: DataFrame, ids: DataFrame, key: str = "source_id") -> DataFrame:
+    """The rows to upsert that mark documents for removal: stored ones with their status changed, unknown ones with nothing but it."""
+    found = ids.select(key).distinct().join(stored, key, "left")
+    return found.withColumn("status", F.lit("excluded")).select(*stored.columns)
+
+
 def replace_documents(stored: DataFrame, stale: DataFrame, new: DataFrame, key: str = "source_id") -> DataFrame:
     """The stored rows without those of stale documents, and the new rows."""
     return stored.join(stale.select(key).distinct(), key, "left_anti").unionByName(new)

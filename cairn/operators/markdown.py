@@ -178,15 +178,18 @@ def bars(cells: list[str]) -> str:
     return "| " + " | ".join(cells) + " |"
 
 
-@udtf(returnType="doc string, block int, piece int, kind string, text string, n_rows int, notes array<string>")
+@udtf(returnType="doc string, part long, block int, piece int, kind string, text string, n_rows int, notes array<string>")
 class TablePieces:
-    """Over a table with doc, n, line, budget and form, partitioned by doc and ordered by n."""
+    """Over a table with doc, part, n, line, budget and form, partitioned by doc and ordered by n. A new part begins a new block, but keeps the last table's header."""
 
     def __init__(self) -> None:
-        self.parser, self.block, self.doc, self.how = Parser(), 0, None, (0, "markdown")
+        self.parser, self.block, self.at, self.how = Parser(), 0, None, (0, "markdown")
 
     def eval(self, row: Row) -> Iterator[tuple]:
-        self.doc, self.how = row["doc"], (row["budget"], row["form"])
+        at = (row["doc"], row["part"])
+        if self.at not in (None, at):
+            yield from self.terminate()
+        self.at, self.how = at, (row["budget"], row["form"])
         for block in self.parser.line(row["line"]):
             yield from self._rows(*block)
 
@@ -197,21 +200,23 @@ class TablePieces:
     def _rows(self, kind: str, block: Any) -> Iterator[tuple]:
         self.block += 1
         if kind == "text":
-            yield self.doc, self.block, 0, kind, block, 0, []
+            yield *self.at, self.block, 0, kind, block, 0, []
         else:
             for k, (text, n) in enumerate(block.pieces(*self.how)):
-                yield self.doc, self.block, k, kind, text, n, block.notes
+                yield *self.at, self.block, k, kind, text, n, block.notes
 
 
 def table_pieces(lines: DataFrame, budget: int = 220, form: str = "markdown") -> DataFrame:
-    """doc, block, piece, kind (text or table), text, n_rows, notes, of lines (doc, n, line).
+    """doc, part, block, piece, kind (text or table), text, n_rows, notes, of lines (doc, n, line, perhaps part).
 
-    Blocks of text are whole, tables are cut into pieces within the budget. A null
-    line counts as empty, a null document is one like any other. Blank text makes no block; an empty table no row.
+    Blocks of text are whole, tables are cut into pieces within the budget. Parts,
+    as sections are, divide blocks. A null line counts as empty, a null document is one
+    like any other. Blank text makes no block; an empty table no row.
     """
     if form not in FORMATS:
         raise ValueError(f"form must be one of {', '.join(FORMATS)}")
-    given = lines.select(F.col("doc").cast("string").alias("doc"), "n", F.coalesce("line", F.lit("")).alias("line"), F.lit(budget).alias("budget"), F.lit(form).alias("form"))
+    part = F.col("part").cast("long") if "part" in lines.columns else F.lit(0).cast("long")
+    given = lines.select(F.col("doc").cast("string").alias("doc"), part.alias("part"), "n", F.coalesce("line", F.lit("")).alias("line"), F.lit(budget).alias("budget"), F.lit(form).alias("form"))
     return TablePieces(given.asTable().partitionBy("doc").orderBy("n"))
 
 

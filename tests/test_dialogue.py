@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 import re
 from collections import defaultdict
 
@@ -133,6 +134,54 @@ def test_table_repairs(spark):
     assert [(r.block, r.piece, r.kind, r.text, r.n_rows) for r in pieces_of(spark, CONVERTED, budget=12)] == brute_pieces(CONVERTED.split("\n"), 12)
 
 
+def recounted(text, limit, overlap, level=0):
+    """Bounded pieces, with every joined text counted anew."""
+    size = lambda s: len(documents.TOKENS.findall(s))
+    if size(text) <= limit:
+        return [text]
+    if level == len(documents.SEPARATORS):
+        return [text[k : k + limit] for k in range(0, len(text), limit)]
+    ends = [m.end() for m in re.finditer(documents.SEPARATORS[level], text)] + [len(text)]
+    atoms = [a for lo, hi in zip([0, *ends], ends, strict=False) for a in recounted(text[lo:hi], limit, overlap, level + 1) if a]
+    out, now = [], []
+    for atom in atoms:
+        if now and size("".join(now)) + size(atom) > limit:
+            out.append("".join(now))
+            while now and (size("".join(now)) > overlap or size("".join(now)) + size(atom) > limit):
+                now.pop(0)
+        now.append(atom)
+    return [*out, "".join(now)]
+
+
+def test_sizes_are_kept_as_if_counted_anew():
+    """Pieces by running sizes are those of counting every joined text again."""
+    rng = random.Random(9)
+    for _ in range(60):
+        text = "".join(rng.choice(["word", "longerword", "x" * 40, " ", " ", ". ", "\n", "\n\n", "\n- ", "12345", "。", "é", "a1b2"]) for _ in range(rng.randint(1, 120)))
+        for limit, overlap in ((5, 0), (9, 4), (30, 10)):
+            assert documents.size_bounded(text, limit, overlap) == recounted(text, limit, overlap)
+
+
+def test_chunks_keep_rows_whole(spark):
+    rows = "\n".join(f"| {k} | Major {k} | ${k}00 |" for k in range(1, 25))
+    text = f"# Info\n\n## Fees\n\nSome prose first.\n\n| No. | Major | Fee |\n|---|---|---|\n{rows}\n\n## More\n\n| 25 | Last | $1 |\n|---|---|---|\n| 26 | Very last | $2 |\n"
+    docs = spark.createDataFrame([("d", text, "Info", "en"), ("e", "", "Empty", "en")], "source_id string, text string, title string, language string")
+    made = documents.chunks(docs, limit=60, overlap=0)
+    got = made.orderBy("position").collect()
+    tables = [r for r in got if "| Major " in r.text]
+    assert len(tables) > 3 and all("| No. | Major | Fee |" in r.text for r in tables)
+    assert all(line.endswith("|") for r in got for line in r.text.split("\n") if line.startswith("|"))
+    assert sum(f"| {k} | Major {k} |" in r.text for r in got for k in range(1, 25)) == 24
+    more = next(r for r in got if r.section == "More")
+    assert "| No. | Major | Fee |" in more.text and "| 25 | Last | $1 |" in more.text and more.text.startswith("# Info › More")
+    assert "- No.: 1; Major: Major 1; Fee: $100" in "\n".join(r.text for r in documents.chunks(docs, 60, 0, tables="rows").collect())
+    report = documents.chunk_report(made, 60).collect()
+    assert [(r.source_id, r.chunks) for r in report] == [("d", len(got))]
+    assert documents.recipe(a=1, b="x") == documents.recipe(b="x", a=1) != documents.recipe(a=2, b="x")
+    marked = documents.excluded(spark.createDataFrame([("a", "ingested", 1), ("b", "ingested", 2)], "source_id string, status string, n int"), spark.createDataFrame([("a",), ("c",), ("a",)], "source_id string"))
+    assert sorted((r.source_id, r.status, r.n) for r in marked.collect()) == [("a", "excluded", 1), ("c", "excluded", None)]
+
+
 def test_tables_of_nothing(spark):
     assert pieces_of(spark, "") == [] and pieces_of(spark, " \n\t") == []
     nulls = spark.createDataFrame([(None, 1, None), (None, 2, "| a |"), (None, 3, "|---|"), (None, 4, "| b |")], "doc string, n int, line string")
