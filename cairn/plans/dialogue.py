@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.operators import answers, markdown, objects, proposals, rules, tools, waves
+from cairn.functions.dates import WEEKDAYS
+from cairn.operators import answers, lookups, markdown, objects, proposals, rules, tools, waves
+from cairn.sources.shared import new_dir
 
 TODAY = "2026-03-02"  # a Monday
 COURSES = [f"MATH{k}" for k in range(100, 105)]
@@ -214,9 +216,44 @@ def table_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc", "block", "piece", "kind", "text", "n_rows", F.array_join("notes", "; ").alias("notes"))
 
 
+def tables_of(spark: SparkSession, sf_dir: str) -> lookups.Tables:
+    """The tools' tables, made of the driver's by rule."""
+    text = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    clock = lambda hour, minute: text(F.lpad(hour.cast("string"), 2, "0"), minute)
+    weekday = lambda n: F.get(F.array(*map(F.lit, WEEKDAYS)), n.cast("int"))
+    day = lambda begin, n: F.date_add(F.lit(begin).cast("date"), n.cast("int")).cast("string")
+    customer, nation, supplier, orders, part, lines, events = (_t(spark, sf_dir, n) for n in ("customer", "nation", "supplier", "orders", "part", "lineitem", "events"))
+    c, n, s, o, p = (F.col(x) for x in ("c_custkey", "n_nationkey", "s_suppkey", "o_orderkey", "p_partkey"))
+    isbn = lambda k: F.when(k == 1, ISBN).otherwise(text("978", F.lpad(k.cast("string"), 10, "0")))
+    return lookups.Tables(
+        enrollments=customer.select(text("A", c).alias("account_id"), F.explode(F.array(text("MATH", 100 + c % 5), text("MATH", 100 + (c + 2) % 5))).alias("course_code")),
+        sessions=nation.select(text("MATH", 100 + n % 5).alias("course_code"), weekday(n % 5).alias("weekday"), clock(8 + n % 8, ":00").alias("start"), clock(9 + n % 8, ":30").alias("end"), text("R", n % 10 + 1).alias("room_id"), F.lit("lecture").alias("kind")),
+        rooms=supplier.select(text("R", s).alias("id"), (10 + s % 40).cast("int").alias("capacity"), (s % 2).cast("int").alias("has_projector"), (s % 3 == 0).cast("int").alias("has_pcs")),
+        bookings=orders.select(text("R", F.col("o_custkey") % 100 + 1).alias("room_id"), day("2026-03-01", o % 140).alias("date"), clock(8 + o % 10, ":00").alias("start"), clock(10 + o % 10, ":00").alias("end"), F.when(F.col("o_orderstatus") == "F", "confirmed").otherwise("cancelled").alias("status")),
+        books=part.select(isbn(p).alias("isbn"), F.col("p_name").alias("title"), (F.col("p_size") % 60 + 1).alias("copies_total")),
+        loans=lines.select(isbn(F.col("l_partkey")).alias("isbn"), text("A", F.col("l_orderkey") % 200).alias("account_id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("due_date"), F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("returned")),
+        assignments=orders.select(text("MATH", 100 + o % 5).alias("course_code"), text("Work ", o).alias("title"), text(day("2026-03-01", o % 600), " 12:00").alias("due_at"), F.lit(0.1).alias("weight")),
+        events=events.select(F.col("event_type").alias("title"), day("2026-02-01", F.col("event_id") % 300).alias("date"), F.lit(None).cast("string").alias("start"), F.lit(None).cast("string").alias("end"), F.lit(None).cast("string").alias("location"), F.col("event_type").alias("kind")),
+        forecast=events.groupBy((F.col("event_id") % 120).alias("slot")).agg(F.max(F.col("event_id") % 101).alias("rain_probability"), (F.count("*") % 15 + 20).cast("double").alias("temperature_c"))
+        .select(text(day("2026-03-02", F.col("slot") / 24), "T", clock(F.col("slot") % 24, ":00")).alias("time"), "rain_probability", "temperature_c"),
+        concepts=_t(spark, sf_dir, "benchmark").select(F.when(F.col("item_id") == 0, "Overfitting, please").otherwise(text("Item ", F.col("item_id"))).alias("title"), F.col("text").alias("extract")),
+    )
+
+
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proposed calls of all conversations, answered by the tools."""
+    rows = _answered(spark, sf_dir).withColumn("p", proposals.proposal(F.col("route"), F.col("wants_change"), _today()))
+    account = F.concat(F.lit("A"), (F.col("conv_id") % 100 + 1).cast("string"))
+    path = new_dir(spark, "calls")  # written whole: a condition on a proposal would be planned into every one of its branches
+    rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("call_id"), account.alias("account"), "p").write.parquet(path)
+    calls = spark.read.parquet(path).select("call_id", "account", "p.tool", "p.args").where("tool IS NOT NULL")
+    done = lookups.run_calls(calls, tables_of(spark, sf_dir), _today())
+    return done.select("call_id", "tool", "ok", "found", F.coalesce("error", F.lit("")).alias("error"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (proposed_tools, read_plans, decided_actions, evaluation_waves, valid_citations, checked_replies, relevelled_headings, sandbox_statements, table_pieces)
+    for f in (proposed_tools, read_plans, decided_actions, evaluation_waves, tool_calls, valid_citations, checked_replies, relevelled_headings, sandbox_statements, table_pieces)
 }
 
 ASKED = f"""
@@ -259,6 +296,26 @@ SQL = {
                CASE WHEN system = 1 OR a IS NULL THEN '' ELSE {ROUTES} END AS route,
                CASE WHEN system = 1 OR a IS NULL OR a IN (12, 15) OR {LACKS} THEN '' WHEN a = 1 THEN 'book_room' ELSE {TOOLS} END AS tool, system = 0 AND a IS NOT NULL AND NOT {LACKS} AS passed
         FROM c LEFT JOIN (SELECT * FROM r WHERE nth = n_asked) r ON c.conv_id = r.conv_id""",
+    "tool_calls": f"""
+        WITH {ASKED},
+        k AS (SELECT conv_id * 1000 + turn AS call_id, 'A' || (conv_id % 100 + 1) AS account, conv_id % 100 + 1 AS c, a, b, conv_id, course, CASE WHEN NOT {LACKS} THEN {TOOLS} ELSE '' END AS tool FROM r),
+        en AS (SELECT 'A' || c_custkey AS account, 'MATH' || (100 + (c_custkey + d) % 5) AS code FROM customer, (SELECT unnest([0, 2]) AS d)),
+        se AS (SELECT 'MATH' || (100 + n_nationkey % 5) AS code, n_nationkey % 5 AS wd, lpad(CAST(8 + n_nationkey % 8 AS VARCHAR), 2, '0') || ':00' AS s, lpad(CAST(9 + n_nationkey % 8 AS VARCHAR), 2, '0') || ':30' AS e, 'R' || (n_nationkey % 10 + 1) AS room FROM nation),
+        bo AS (SELECT 'R' || (o_custkey % 100 + 1) AS room, DATE '2026-03-01' + CAST(o_orderkey % 140 AS INT) AS d, lpad(CAST(8 + o_orderkey % 10 AS VARCHAR), 2, '0') || ':00' AS s, lpad(CAST(10 + o_orderkey % 10 AS VARCHAR), 2, '0') || ':00' AS e FROM orders WHERE o_orderstatus = 'F'),
+        w AS (SELECT call_id, CASE WHEN a = 15 THEN DATE '2026-03-06' ELSE DATE '2026-03-03' END AS d, '14:00' AS s, CASE WHEN a = 15 THEN '16:00' ELSE '15:00' END AS e,
+                     CASE WHEN a = 0 THEN 20 + conv_id % 10 ELSE 0 END AS seats, a = 15 AS projector FROM k WHERE tool = 'find_free_rooms'),
+        ta AS (SELECT call_id, room FROM w JOIN se ON wd = isodow(d) - 1 WHERE se.s < w.e AND w.s < se.e UNION SELECT call_id, room FROM w JOIN bo USING (d) WHERE bo.s < w.e AND w.s < bo.e),
+        ro AS (SELECT 'R' || s_suppkey AS room, 10 + s_suppkey % 40 AS capacity, s_suppkey % 2 = 1 AS projector FROM supplier),
+        fr AS (SELECT w.call_id, count(*) AS n FROM w JOIN ro ON capacity >= seats AND (NOT w.projector OR ro.projector) LEFT JOIN ta ON ta.call_id = w.call_id AND ta.room = ro.room WHERE ta.room IS NULL GROUP BY 1),
+        tt AS (SELECT call_id, count(*) AS n FROM k JOIN en USING (account) JOIN se USING (code) WHERE tool = 'get_timetable' AND (a = 12 OR code = course) GROUP BY 1),
+        de AS (SELECT call_id, count(*) AS n FROM k JOIN en USING (account) JOIN (SELECT 'MATH' || (100 + o_orderkey % 5) AS code, o_orderkey % 600 AS d FROM orders) x USING (code)
+               WHERE tool = 'get_deadlines' AND d BETWEEN 1 AND 7 AND (coalesce(b, -1) <> 2 OR code = course) GROUP BY 1),
+        ca AS (SELECT count(*) AS n FROM events WHERE DATE '2026-02-01' + CAST(event_id % 300 AS INT) BETWEEN DATE '2026-03-06' AND DATE '2026-04-05'),
+        fo AS (SELECT slot // 24 AS d, count(*) AS n FROM (SELECT DISTINCT event_id % 120 AS slot FROM events) GROUP BY 1)
+        SELECT call_id, tool, tool <> 'place_hold' AS ok, CASE WHEN tool = 'place_hold' THEN 'unknown tool place_hold' ELSE '' END AS error,
+               CAST(coalesce(CASE tool WHEN 'find_free_rooms' THEN fr.n WHEN 'get_timetable' THEN tt.n WHEN 'get_deadlines' THEN de.n WHEN 'get_calendar' THEN (SELECT n FROM ca) WHEN 'convert_currency' THEN 1
+                    WHEN 'concept_summary' THEN 1 WHEN 'check_book' THEN 1 WHEN 'campus_weather' THEN (SELECT n FROM fo WHERE d = 1) ELSE 0 END, 0) AS INT) AS found
+        FROM k LEFT JOIN fr USING (call_id) LEFT JOIN tt USING (call_id) LEFT JOIN de USING (call_id) WHERE tool <> ''""",
     "valid_citations": """
         WITH p AS (SELECT doc_id % 40 AS answer_id, doc_id // 40 AS rank, lang AS source_id, CASE WHEN n_chars % 4 > 0 THEN n_chars % 4 END AS page,
                           CASE WHEN n_chars % 6 = 0 THEN '' WHEN n_chars % 3 > 0 THEN 's' || n_chars % 3 END AS section FROM documents),

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import dates
-from cairn.operators import answers, documents, markdown, objects, proposals, rules, writes
+from cairn.operators import answers, documents, lookups, markdown, objects, proposals, rules, writes
 from cairn.operators.authorizer import Authorizer, write_denial
 from cairn.plans import dialogue
 from tests.conftest import SF
@@ -307,6 +307,66 @@ def test_proposals_look_back(spark):
     assert got[5].args == {"course": "MATH100"}
 
 
+TODAY = dt.date(2026, 3, 2)  # a Monday
+
+
+@pytest.fixture(scope="module")
+def tool_tables(spark):
+    make = spark.createDataFrame
+    return lookups.Tables(
+        enrollments=make([("A1", "MATH100"), ("A1", "PHYS200")], "account_id string, course_code string"),
+        sessions=make([("MATH100", "tuesday", "14:00", "15:30", "R1", "lecture"), ("PHYS200", "monday", "09:00", "10:00", "R2", "lab"), ("CHEM300", "monday", "09:00", "10:00", "R2", "lab")], "course_code string, weekday string, start string, end string, room_id string, kind string"),
+        rooms=make([("R1", 30, 1, 0), ("R2", 10, 0, 1), ("R3", 50, 1, 1)], "id string, capacity int, has_projector int, has_pcs int"),
+        bookings=make([("R3", "2026-03-03", "13:00", "14:30", "confirmed"), ("R2", "2026-03-03", "14:00", "15:00", "cancelled")], "room_id string, date string, start string, end string, status string"),
+        books=make([("9780262046305", "Deep Learning", 2), ("9780000000001", "100% Learning", 1)], "isbn string, title string, copies_total int"),
+        loans=make([("9780262046305", "A1", "2026-03-09", 0), ("9780262046305", "A2", "2026-03-08", 0), ("9780000000001", "A1", "2026-01-01", 1)], "isbn string, account_id string, due_date string, returned int"),
+        assignments=make([("MATH100", "Sheet", "2026-03-05 12:00", 0.25), ("MATH100", "Old", "2026-03-01 12:00", 0.1), ("PHYS200", "Far", "2026-05-01 12:00", 0.5)], "course_code string, title string, due_at string, weight double"),
+        events=make([("Talk", "2026-03-04", "10:00", "11:00", "Hall", "seminar"), ("Holiday", "2026-03-02", None, None, None, "holiday")], "title string, date string, start string, end string, location string, kind string"),
+        forecast=make([(f"2026-03-03T{h:02d}:00", 10 * (h % 7), 24.0 + h / 10) for h in range(24)], "time string, rain_probability int, temperature_c double"),
+        concepts=make([("Overfitting", "Overfitting  is\nbad."), ("Empty", " ")], "title string, extract string"),
+    )
+
+
+def test_tool_calls(spark, tool_tables):
+    asked = [
+        ("get_timetable", {}, True, 2, "PHYS200 lab: Monday 2026-03-02, 09:00–10:00 in room R2; MATH100 lecture: Tuesday 2026-03-03, 14:00–15:30 in room R1."),
+        ("get_timetable", {"course": "math100", "day": "monday"}, True, 0, "No timetable entries: no sessions match."),
+        ("get_timetable", {"course": "CHEM300"}, True, 0, "No timetable entries: CHEM300 is not among the enrolled courses (MATH100, PHYS200)."),
+        ("get_deadlines", {"within_days": "7"}, True, 1, "Upcoming deadlines: MATH100 'Sheet' due 2026-03-05 12:00 (weight 25%)."),
+        ("get_deadlines", {"course": "CHEM300"}, True, 0, "No upcoming deadlines match."),
+        ("find_free_rooms", {"date": "tomorrow", "start": "14:00", "end": "15:00"}, True, 1, "Free rooms for 2026-03-03 (Tuesday), 14:00–15:00: R2 (10 seats, PCs)."),
+        ("find_free_rooms", {"date": "tomorrow", "start": "14:00", "end": "15:00", "min_capacity": "20"}, True, 0, "No free room matches for 2026-03-03 (Tuesday), 14:00–15:00."),
+        ("find_free_rooms", {"date": "friday", "start": "08:00", "end": "09:00", "needs_projector": "true"}, True, 2, "Free rooms for 2026-03-06 (Friday), 08:00–09:00: R1 (30 seats, projector), R3 (50 seats, projector, PCs)."),
+        ("find_free_rooms", {"date": "today", "start": "15:00", "end": "14:00"}, False, 0, "Invalid time window."),
+        ("check_book", {"isbn": "9780262046305"}, True, 1, "'Deep Learning' (ISBN 9780262046305): 0 of 2 copies available, all copies on loan."),
+        ("check_book", {"title": "learning"}, True, 2, "'100% Learning' (ISBN 9780000000001): 1 of 1 copies available, on the shelf; 'Deep Learning' (ISBN 9780262046305): 0 of 2 copies available, all copies on loan."),
+        ("check_book", {"title": "0%"}, True, 1, "'100% Learning' (ISBN 9780000000001): 1 of 1 copies available, on the shelf."),
+        ("check_book", {"title": "none such"}, True, 0, "The library catalogue has no book with a title containing 'none such'."),
+        ("check_book", {}, False, 0, "No ISBN or title given."),
+        ("get_loans", {}, True, 1, "Active loans: 'Deep Learning' due 2026-03-09."),
+        ("get_calendar", {"from": "2026-03-05", "to": "2026-03-01"}, True, 2, "Calendar: 2026-03-02 Holiday; 2026-03-04 Talk 10:00–11:00 at Hall."),
+        ("get_calendar", {"from": "today", "to": "friday", "kind": "exam"}, True, 0, "No calendar entries between 2026-03-02 and 2026-03-06."),
+        ("campus_weather", {"date": "tomorrow", "hour": "2 pm", "until": "16:00"}, True, 3, "Forecast, 2026-03-03 14:00–16:00: rain probability up to 20% (around 16:00), 25–26 °C."),
+        ("campus_weather", {"date": "2027-01-01"}, True, 0, "No forecast is available for 2027-01-01."),
+        ("convert_currency", {"amount": "10.5", "direction": "usd_to_khr"}, True, 1, "10.50 USD = 43,050 KHR at 4,100.00 KHR per USD."),
+        ("convert_currency", {"amount": "8200", "direction": "khr_to_usd"}, True, 1, "8,200 KHR = 2.00 USD at 4,100.00 KHR per USD."),
+        ("convert_currency", {"amount": "-1", "direction": "usd_to_khr"}, False, 0, "No amount to convert."),
+        ("concept_summary", {"topic": "'overfitting'"}, True, 1, "External source ('Overfitting'): Overfitting is bad."),
+        ("concept_summary", {"topic": "attention"}, True, 0, "There is no summary for 'Attention (machine learning)'."),
+        ("add_event", {"title": "Talk", "date": "friday", "start": "2 pm", "location": "Hall"}, True, 1, "'Talk' on 2026-03-06, 14:00–? at Hall."),
+        ("add_event", {"location": "Hall"}, False, 0, "Event not added: missing title, date."),
+        ("drop_tables", {}, False, 0, "unknown tool drop_tables"),
+        (None, None, False, 0, "unknown tool "),
+    ]
+    calls = spark.createDataFrame([(k, "A1", tool, args) for k, (tool, args, *_) in enumerate(asked)], "call_id long, account string, tool string, args map<string,string>")
+    got = {r.call_id: (r.ok, r.found, r.summary) for r in lookups.run_calls(calls, tool_tables, F.lit(TODAY)).collect()}
+    for k, (tool, args, *wanted) in enumerate(asked):
+        assert got[k] == tuple(wanted), (tool, args)
+    less = lookups.run_calls(calls, lookups.Tables(), F.lit(TODAY)).collect()
+    assert len(less) == len(asked) and {r.summary for r in less if r.tool == "get_loans"} == {"no data for get_loans"}
+    assert lookups.run_calls(calls.limit(0), tool_tables, F.lit(TODAY)).isEmpty()
+
+
 def test_calendar_writes(spark):
     rows = spark.createDataFrame([(1, "Add this to the calendar", {"title": "Talk", "date": "2026-03-05", "end": ""}, []), (2, "Add this to the calendar", {"title": "Talk"}, None), (3, "Add this to the calendar", {"title": "Talk", "date": "x"}, ["date", "end"]), (4, "Add this to the calendar", None, None)], "id int, message string, event map<string,string>, flagged array<string>")
     rows = rows.select("*", F.lit(None).cast("string").alias("last_user"), *(F.lit(None).cast(t).alias(f"past_{c}") for c, t in (("day", "string"), ("time_of_day", "string"), ("window", "struct<start:string,end:string>"), ("isbn", "string"), ("amount", "double"))), F.lit(None).cast("string").alias("course"))
