@@ -114,6 +114,14 @@ class Quantiser:
         return (products[::2, :, None] + products[1::2, None, :]).reshape(-1, CODEWORDS * CODEWORDS).astype(np.float32)
 
 
+def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products, summed in the order of the components for every row, so that equal rows have equal ones."""
+    out = np.zeros(len(rows))
+    for column, x in zip(rows.T, query, strict=True):
+        out += column * x
+    return out
+
+
 class Block:
     """Packed codes, ids and vectors of some rows."""
 
@@ -125,6 +133,7 @@ class Block:
         coded = quantiser.words[np.arange(len(quantiser.words)), codes]
         self.residual = np.sqrt(((quantiser._cut(self.vectors) - coded) ** 2).sum((1, 2)))
         # Sums of single-precision products differ from exact ones by less than this, for a query of norm 1.
+        self.rounding = 1e-13 * vectors.shape[1] * np.linalg.norm(self.vectors, axis=1).max(initial=0.0)
         self.slack = 1e-6 * len(self.packed) * np.sqrt((quantiser.words**2).sum(2).max(1).sum())
 
     def search(self, query_id: int, query: np.ndarray, k: int, shortlist: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +152,9 @@ class Block:
         elif len(best) < k and len(self.ids) > shortlist:  # a shortlist of fewer than k gives no limit
             best = np.flatnonzero(self.ids != query_id)
             exact = self.vectors[best] @ query
+        if len(best) > k:  # those whose products may be among the k largest, whatever their rounding
+            best = best[exact >= np.partition(exact, -k)[-k] - self.rounding * np.linalg.norm(query)]
+        exact = products(self.vectors[best], query)
         order = np.lexsort((self.ids[best], -exact))[:k]
         return self.ids[best][order], exact[order]
 
