@@ -31,6 +31,7 @@ SECRETS = (
     (r"(?i)(bearer\s+)[A-Za-z0-9._\-]{12,}", "$1[REDACTED]"),
     (r"""(?i)(typesafe_api_key\s*[=:]\s*)[^\s"',]+""", "$1[REDACTED]"),
 )
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 ACCOUNT_ID = r"\bA\d{4}\b"
 
 
@@ -160,7 +161,7 @@ def redact(text: Column) -> Column:
 
 def line_key(line: Column) -> Column:
     """Lines that differ in case, outer white space and numbers only have one key."""
-    return F.regexp_replace(F.regexp_replace(F.lower(line), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""), r"\d+", "#")
+    return F.regexp_replace(F.trim(F.lower(line), F.lit(WHITE_SPACE)), r"\d+", "#")
 
 
 def is_page_number(line: Column) -> Column:

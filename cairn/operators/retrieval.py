@@ -47,6 +47,26 @@ def passage_lengths(passages: DataFrame, text_col: str = "text") -> tuple[int, f
     return n, (words or 0) / n if n else 0.0
 
 
+def containing(queries: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """query_id, doc_id: passages that hold a query's whole text.
+
+    A query meets the passages that have the rarest of its inner words, which its
+    text brings along whole; only there the texts are compared. Queries without an inner
+    word are compared with all passages. An empty query is in every passage, a null one in none.
+    """
+    inner = F.expr("slice(ws, 2, greatest(size(ws) - 2, 0))")
+    asked = queries.where("text IS NOT NULL").withColumn("ws", T.words(F.col("text"))).select("query_id", F.col("text").alias("query"), F.array_distinct(inner).alias("ws"))
+    each = asked.select("query_id", F.explode("ws").alias("term"))
+    index = postings(passages, each.select("term").distinct(), id_col, text_col)
+    frequency = index.groupBy("term").agg(F.count("*").alias("df"))
+    rarest = each.join(frequency, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r"))
+    met = rarest.select("query_id", F.col("r.term").alias("term")).join(index.select("term", "doc_id"), "term").select("query_id", "doc_id")
+    texts = passages.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("passage"))
+    found = met.join(texts, "doc_id").join(asked.select("query_id", "query"), "query_id").where(F.contains("passage", "query")).select("query_id", "doc_id")
+    short = asked.where(F.size("ws") == 0).join(texts, F.contains("passage", "query")).select("query_id", "doc_id")
+    return found.unionByName(short)
+
+
 BLOCK_PASSAGES, SLICE_QUERIES, AT_ONCE = 8192, 1 << 16, 256
 
 

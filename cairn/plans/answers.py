@@ -67,8 +67,10 @@ def normalised_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def long_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _t(spark, sf_dir, "documents").select("source", "lang", "doc_id")
-    return answers.long_context(rows, "source", "lang", "doc_id").select("source", "doc_id", "rank", "score")
+    """Each document's lines that aren't blank, in order."""
+    lines = F.posexplode(F.split("text", "\n")).alias("position", "line")
+    rows = _t(spark, sf_dir, "documents").select("doc_id", lines).where(F.trim("line") != "")
+    return answers.long_context(rows, "doc_id", "position").select("doc_id", "rank", "score", F.md5("line").alias("line"))
 
 
 def decision_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +138,9 @@ SQL = {
     "converted_orders": """
         SELECT o_orderkey, round(round(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice::DOUBLE * 4100 ELSE o_totalprice::DOUBLE / 4100 END, 2), 1) AS other FROM orders""",
     "normalised_text": "SELECT doc_id, sha256(nfc_normalize(text)) AS sha256 FROM documents",
-    "long_context": "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY lang NULLS FIRST, doc_id) AS rank, 1.0::DOUBLE AS score FROM documents",
+    "long_context": """
+        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS rank, 1.0::DOUBLE AS score, md5(line) AS line FROM l WHERE trim(line) <> ''""",
     "decision_rerank": """
         SELECT doc_id, round(0.6::DOUBLE * coalesce(quality, 0) + 0.4::DOUBLE * coalesce(1 - toxic, 0), 3) AS score FROM documents LEFT JOIN labels USING (doc_id)""",
     "rendered_passages": """

@@ -105,8 +105,7 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def probe_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = _t(spark, sf_dir, "documents"), _queries(spark, sf_dir)
-    truth = bench.join(docs.select("doc_id", F.col("text").alias("doc_text")), F.contains("doc_text", "text")).select("query_id", "doc_id")
-    return retrieval.hit_rate(retrieval.bm25(bench, docs, 3), truth, 3)
+    return retrieval.hit_rate(retrieval.bm25(bench, docs, 3), retrieval.containing(bench, docs), 3)
 
 
 def local_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:

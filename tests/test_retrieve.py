@@ -175,3 +175,13 @@ def test_blocks_and_slices(spark, monkeypatch):
 def test_meet_of_nothing(spark):
     left, right = spark.createDataFrame([], "a long, x string"), spark.createDataFrame([(1, "q")], "b long, y string")
     assert meet(left, right, "a", lambda held: lambda rows: rows, "b long, y string", 2, 2).isEmpty()
+
+
+def test_containing(spark):
+    texts = ["the quick brown fox jumps", "quick brown", "a the quick brownie fox", "", None, "ab", "xaby quick-brown-fox"]
+    asked = ["quick brown fox", "quick", "ab", "", None, "k brown f", "no such words here"]
+    passages = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    wanted = sorted((q, d) for q, a in enumerate(asked) for d, t in enumerate(texts) if a is not None and t is not None and a in t)
+    assert sorted(map(tuple, retrieval.containing(queries, passages).collect())) == wanted
+    assert retrieval.containing(queries, passages.limit(0)).isEmpty() and retrieval.containing(queries.limit(0), passages).isEmpty()
