@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-from cairn.plans import answers, dialogue, relational, search, stateful, text
+from cairn.plans import answers, dialogue, ingest, relational, search, stateful, text
 from tests.conftest import SF
 from tests.oracle import assert_same
 
-PLANS = (relational, text, answers, dialogue, stateful, search)
+PLANS = (relational, text, answers, dialogue, stateful, search, ingest)
 QUERIES = {name: q for plan in PLANS for name, q in plan.QUERIES.items()}
 SQL = {name: q for plan in PLANS for name, q in plan.SQL.items()}
 
