@@ -98,3 +98,14 @@ def disagreement(rows: DataFrame, judges: list[str], gap: float = 2.0) -> DataFr
 def supported_score(label: Column) -> Column:
     """1 to 5 by the share of claims that are supported."""
     return F.bround(1 + 4 * F.avg((label == "supports").cast("double")), 2)
+
+
+def scoreboard(turns: DataFrame, steps: DataFrame, of: list[str]) -> DataFrame:
+    """Per board (``of``) and step (rows of steps): how many turns (turn, variant, first_step, passed) pass, how many should by then, and whether they are the same ones.
+
+    A turn passes if all its variants do; it should from its first step on.
+    """
+    whole = turns.groupBy(*of, "turn").agg(F.min("first_step").alias("first_step"), F.bool_and(F.coalesce("passed", F.lit(False))).alias("passed"))
+    each = whole.crossJoin(F.broadcast(steps.select("step").distinct()))  # a few steps
+    due = F.col("first_step") <= F.col("step")
+    return each.groupBy(*of, "step").agg(F.count_if("passed").alias("passed"), F.count_if(due).alias("expected"), F.bool_and(F.col("passed") == due).alias("matches"))

@@ -45,6 +45,7 @@ class Tables:
     events: DataFrame | None = None  # title, date, start, end, location, kind
     forecast: DataFrame | None = None  # time, rain_probability, temperature_c
     concepts: DataFrame | None = None  # title, extract
+    outside: DataFrame | None = None  # query, docs: what a catalogue outside gave for a query
 
 
 def _arg(name: str) -> Column:
@@ -201,6 +202,19 @@ def concept_summary(calls: DataFrame, t: Tables, today: Column) -> DataFrame:
     return _answer(asked, said, F.concat(F.lit("There is no summary for '"), "title", F.lit("'.")), bad)
 
 
+def search_books(calls: DataFrame, t: Tables, today: Column) -> DataFrame:
+    """The first five works that a catalogue outside lists for a query (query, docs as array of title, author_name, first_publish_year, isbn); the first three are named."""
+    asked = calls.withColumn("asked", _arg("query"))
+    bad = F.when(~F.coalesce(F.char_length("asked") >= 2, F.lit(False)), F.lit("No query given."))
+    docs = asked.join(t.outside.select(F.col("query").alias("asked"), "docs"), "asked").select("call_id", F.posexplode(F.slice("docs", 1, 5)).alias("place", "d"))
+    authors = F.array_join(F.slice(F.coalesce("d.author_name", F.array().cast("array<string>")), 1, 3), ", ")
+    text = F.concat(F.lit("'"), "d.title", F.lit("' by "), F.coalesce(F.nullif(authors, F.lit("")), F.lit("unknown")), F.lit(" ("), F.coalesce(F.col("d.first_publish_year").cast("string"), F.lit("n.d.")), F.lit(")"))
+    counted = docs.withColumn("found", F.count("*").over(Window.partitionBy("call_id")).cast("int"))
+    named = _said(counted.where("place < 3"), text, F.col("place"), before="Outside the library: ").drop("found")
+    said = named.join(counted.groupBy("call_id").agg(F.max("found").alias("found")), "call_id")
+    return _answer(asked, said, F.concat(F.lit("There is no match outside for '"), "asked", F.lit("'.")), bad)
+
+
 def add_event(calls: DataFrame, t: Tables, today: Column) -> DataFrame:
     """Whether an event may be added, and how it reads; the write itself waits for a confirmation."""
     asked = calls.withColumn("title", _arg("title")).withColumn("date", dates.resolve_date(_arg("date"), today).cast("string"))
@@ -216,7 +230,7 @@ def add_event(calls: DataFrame, t: Tables, today: Column) -> DataFrame:
 TOOLS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
     "get_timetable": (get_timetable, ("enrollments", "sessions")), "get_deadlines": (get_deadlines, ("enrollments", "assignments")), "find_free_rooms": (find_free_rooms, ("rooms", "sessions", "bookings")),
     "check_book": (check_book, ("books", "loans")), "get_loans": (get_loans, ("books", "loans")), "get_calendar": (get_calendar, ("events",)), "campus_weather": (campus_weather, ("forecast",)),
-    "convert_currency": (convert_currency, ()), "concept_summary": (concept_summary, ("concepts",)), "add_event": (add_event, ()),
+    "convert_currency": (convert_currency, ()), "concept_summary": (concept_summary, ("concepts",)), "search_books": (search_books, ("outside",)), "add_event": (add_event, ()),
 }
 
 

@@ -198,3 +198,12 @@ def decide(answers: DataFrame, t: Thresholds = Thresholds(), tools: bool = True,
     ]
     step = F.coalesce(*(F.when(condition, F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"))) for condition, action, reason in chain))
     return answers.withColumn("confidence", F.bround(confidence, 4)).withColumn("flagged", flagged).withColumn("step", step).select("*", "step.action", "step.reason").drop("step")
+
+
+def level_distribution(levels: int, expected: Column) -> Column:
+    """map<level, share> of an expected score: all on the two levels beside it, the nearer one more; scores beyond the levels are at their end."""
+    held = F.least(F.lit(levels - 1.0), F.greatest(F.lit(0.0), expected))
+    low = F.floor(held).cast("int")
+    high, part = F.least(F.lit(levels - 1), low + 1), held - low
+    share = lambda k: F.when(low == k, F.bround(1 - part, 4)).otherwise(0.0) + F.when(high == k, F.bround(part, 4)).otherwise(0.0)
+    return F.map_from_arrays(F.array(*(F.lit(str(k)) for k in range(levels))), F.array(*(share(k) for k in range(levels))))

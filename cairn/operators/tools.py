@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cairn.operators.authorizer import Authorizer
 
@@ -102,3 +103,19 @@ def capped(rows: DataFrame, cap: int = 50) -> tuple[list, bool]:
     """At most ``cap`` rows, and whether there were more."""
     some = rows.limit(cap + 1).collect()
     return some[:cap], len(some) > cap
+
+
+def question_sql(question: Column) -> Column:
+    """A statement for a question by its words: loans, rooms, deadlines, a course's sessions, else the next events. It still has to pass the sandbox."""
+    q = F.lower(question)
+    first = lambda pattern: F.upper(F.nullif(F.regexp_extract(q, pattern, 1), F.lit("")))
+    course, account = first(r"\b([a-z]{4}\d{3})\b"), first(r"\b(a\d{4})\b")
+    where = lambda column, value: F.coalesce(F.concat(F.lit(f" WHERE {column} = '"), value, F.lit("'")), F.lit(""))
+    has = lambda *words: F.rlike(q, F.lit("|".join(words)))
+    return (
+        F.when(has("loan"), F.concat(F.lit("SELECT isbn, due_date FROM loans"), where("account_id", account)))
+        .when(has("room"), F.lit("SELECT id, capacity, has_projector FROM rooms WHERE has_projector = 1"))
+        .when(has("deadline", "due"), F.concat(F.lit("SELECT course_code, title, due_at FROM assignments"), where("course_code", course), F.lit(" ORDER BY due_at")))
+        .when(course.isNotNull(), F.concat(F.lit('SELECT weekday, start, "end", room_id, kind FROM sessions'), where("course_code", course)))
+        .otherwise(F.lit("SELECT title, date FROM events ORDER BY date LIMIT 10"))
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.stats import nearest_rank
@@ -57,3 +57,21 @@ def total_ms(spans: DataFrame) -> DataFrame:
 def timeline(spans: DataFrame) -> DataFrame:
     """Spans with their place within their trace, by start."""
     return spans.withColumn("place", F.row_number().over(Window.partitionBy("trace_id").orderBy("start", "span_id")))
+
+
+# What a span's line shows, in this order.
+LINE_KEYS = "route action confidence tool model tokens_in tokens_out mode hits kind gate query.rewritten kept dropped reused stub error".split()
+
+
+def span_line(columns: list[str]) -> Column:
+    """One line for a log of a span with the given columns: its name, its time, and those of LINE_KEYS that hold something."""
+    shown = [F.when(F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")).isin("", "[]", "{}"), None).otherwise(F.concat(F.lit(f"{k}="), F.col(f"`{k}`").cast("string"))) for k in LINE_KEYS if k in columns]
+    extras = F.array_join(F.array_compact(F.array(*shown)), " ") if shown else F.lit("")
+    return F.concat(F.format_string("span %-16s %8.1f ms  ", F.col("span"), F.col("ms").cast("double")), extras)
+
+
+def deltas(readings: DataFrame, counters: list[str], of: str = "trace_id", order: str = "start") -> DataFrame:
+    """Readings of running totals with what each adds to the one before it; the first adds its whole, and so does one that is below the one before, as after a restart."""
+    before = Window.partitionBy(of).orderBy(order)
+    added = {f"{c}_added": F.when(F.coalesce(F.lag(c).over(before), F.lit(0)) <= F.col(c), F.col(c) - F.coalesce(F.lag(c).over(before), F.lit(0))).otherwise(F.col(c)) for c in counters}
+    return readings.withColumns(added)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.dates import WEEKDAYS
-from cairn.operators import answers, lookups, markdown, objects, proposals, rules, tools, waves
+from cairn.operators import answers, evaluation, lookups, markdown, objects, proposals, rules, tools, traces, waves
 from cairn.sources.shared import new_dir
 
 TODAY = "2026-03-02"  # a Monday
@@ -194,6 +194,25 @@ def sandbox_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "statement int, n long, rule string")
 
 
+def question_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement for each request, by its words."""
+    rows = requests(_t(spark, sf_dir, "conversations")).where("role = 'user'")
+    return rows.select("conv_id", "turn", tools.question_sql(F.col("text")).alias("statement"))
+
+
+def label_scoreboards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boards by source: labelled documents as turns that pass by their quality, first due at a step by id; the copies of one text are variants."""
+    docs, labels = _t(spark, sf_dir, "documents"), _t(spark, sf_dir, "labels")
+    turns = docs.join(labels, "doc_id").select("source", F.md5("text").alias("turn"), (F.col("doc_id") % 3).alias("first_step"), (F.col("quality") == 1).alias("passed"))
+    return evaluation.scoreboard(turns, spark.range(3).withColumnRenamed("id", "step"), ["source"])
+
+
+def span_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    spans = _t(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("span"), (e * 37 % 100000 / 10).alias("ms"), F.when(e % 3 > 0, F.concat(F.lit("r"), e % 5)).alias("route"), F.when(e % 2 == 0, e % 100).alias("tokens_in"), F.when(e % 7 == 0, "").alias("error"), F.col("user_id"))
+    return spans.select("event_id", traces.span_line(spans.columns).alias("line"))
+
+
 def page_lines(pages: DataFrame) -> DataFrame:
     """Pages as lines of documents of eight: each page has a table, of which some go on from the page before, by rule."""
     kind = F.col("page_id") % 4
@@ -253,7 +272,7 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (proposed_tools, read_plans, decided_actions, evaluation_waves, tool_calls, valid_citations, checked_replies, relevelled_headings, sandbox_statements, table_pieces)
+    for f in (proposed_tools, read_plans, decided_actions, evaluation_waves, tool_calls, valid_citations, checked_replies, relevelled_headings, sandbox_statements, table_pieces, question_statements, label_scoreboards, span_lines)
 }
 
 ASKED = f"""
@@ -336,6 +355,16 @@ SQL = {
         WITH d AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents)
         SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN {_changed(0)} WHEN 1 THEN {_changed(1)} WHEN 2 THEN {_changed(2)} ELSE 0 END AS changed,
                sha256(CASE doc_id % 4 WHEN 0 THEN {_made(0, False)} WHEN 1 THEN {_made(1, False)} WHEN 2 THEN {_made(2, False)} ELSE '# Title' || chr(10) || {_made(0, True)} END) AS sha256 FROM d""",
+    "question_statements": f"""
+        WITH {ASKED}
+        SELECT conv_id, turn, CASE WHEN a IN (0, 15) THEN 'SELECT id, capacity, has_projector FROM rooms WHERE has_projector = 1' WHEN a = 3 THEN 'SELECT course_code, title, due_at FROM assignments ORDER BY due_at'
+               WHEN a = 2 THEN 'SELECT weekday, start, "end", room_id, kind FROM sessions WHERE course_code = ''' || course || '''' ELSE 'SELECT title, date FROM events ORDER BY date LIMIT 10' END AS statement FROM r""",
+    "label_scoreboards": """
+        WITH t AS (SELECT source, md5(text) AS turn, min(doc_id % 3) AS first_step, bool_and(coalesce(quality = 1, false)) AS passed FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2)
+        SELECT source, CAST(step AS BIGINT) AS step, count(*) FILTER (passed) AS passed, count(*) FILTER (first_step <= step) AS expected, bool_and(passed = (first_step <= step)) AS matches
+        FROM t, (SELECT unnest([0, 1, 2]) AS step) GROUP BY 1, 2""",
+    "span_lines": """
+        SELECT event_id, printf('span %-16s %8.1f ms  ', event_type, event_id * 37 % 100000 / 10.0::DOUBLE) || concat_ws(' ', CASE WHEN event_id % 3 > 0 THEN 'route=r' || event_id % 5 END, CASE WHEN event_id % 2 = 0 THEN 'tokens_in=' || event_id % 100 END) AS line FROM events""",
     "sandbox_statements": """
         SELECT 0 AS statement, (SELECT count(*) FROM orders) AS n, '' AS rule UNION ALL SELECT 1, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O'), ''
         UNION ALL SELECT 2, (SELECT count(*) FROM orders JOIN nation ON n_nationkey = o_orderkey % 25), '' UNION ALL SELECT 3, (SELECT count(DISTINCT nullif(o_orderstatus, 'F')) FROM orders), ''

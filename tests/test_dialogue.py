@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import dates
-from cairn.operators import answers, documents, lookups, markdown, objects, proposals, rules, writes
+from cairn.operators import answers, documents, evaluation, lookups, markdown, objects, proposals, rules, tools, traces, writes
 from cairn.operators.authorizer import Authorizer, write_denial
 from cairn.plans import dialogue
 from tests.conftest import SF
@@ -367,6 +367,30 @@ def test_tool_calls(spark, tool_tables):
     assert lookups.run_calls(calls.limit(0), tool_tables, F.lit(TODAY)).isEmpty()
 
 
+def test_small_reports(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(rules.level_distribution(3, F.lit(1.25))) == {"0": 0.0, "1": 0.75, "2": 0.25}
+    assert one(rules.level_distribution(3, F.lit(9.0))) == {"0": 0.0, "1": 0.0, "2": 1.0} and one(rules.level_distribution(3, F.lit(-1.0)))["0"] == 1.0
+    assert one(tools.question_sql(F.lit("My loans for A0001?"))) == "SELECT isbn, due_date FROM loans WHERE account_id = 'A0001'"
+    assert one(tools.question_sql(F.lit("When is math101 due?"))) == "SELECT course_code, title, due_at FROM assignments WHERE course_code = 'MATH101' ORDER BY due_at"
+    spans = spark.createDataFrame([("turn", 12.34, "rooms", None, []), ("x" * 20, 0.0, "", 3, ["a"])], "span string, ms double, route string, tokens_in int, dropped array<string>")
+    assert [r.x for r in spans.select(traces.span_line(spans.columns).alias("x")).collect()] == ["span turn                 12.3 ms  route=rooms", "span " + "x" * 20 + "      0.0 ms  tokens_in=3 dropped=[a]"]
+    readings = spark.createDataFrame([("t", 1, 5), ("t", 2, 9), ("t", 3, 2), ("u", 1, 4)], "trace_id string, start int, calls int")
+    assert sorted((r.trace_id, r.start, r.calls_added) for r in traces.deltas(readings, ["calls"]).collect()) == [("t", 1, 5), ("t", 2, 4), ("t", 3, 2), ("u", 1, 4)]
+    turns = spark.createDataFrame([("b", 1, 0, 1, True), ("b", 2, 0, 2, True), ("b", 2, 1, 2, False), ("b", 3, 0, 3, None)], "board string, turn int, variant int, first_step int, passed boolean")
+    board = {r.step: (r.passed, r.expected, r.matches) for r in evaluation.scoreboard(turns, spark.createDataFrame([(1,), (2,)], "step int"), ["board"]).collect()}
+    assert board == {1: (1, 1, True), 2: (1, 2, False)}
+
+
+def test_books_outside(spark):
+    docs = "array<struct<title:string,author_name:array<string>,first_publish_year:int,isbn:array<string>>>"
+    outside = spark.createDataFrame([("spark", [(f"T{k}", ["A", "B", "C", "D"] if k == 0 else None, 2000 if k else None, ["1"]) for k in range(7)]), ("none", [])], f"query string, docs {docs}")
+    calls = spark.createDataFrame([(1, "A1", "search_books", {"query": "spark"}), (2, "A1", "search_books", {"query": "none"}), (3, "A1", "search_books", {"query": "x"})], "call_id long, account string, tool string, args map<string,string>")
+    got = {r.call_id: (r.ok, r.found, r.summary) for r in lookups.run_calls(calls, lookups.Tables(outside=outside), F.lit(TODAY)).collect()}
+    assert got[1] == (True, 5, "Outside the library: 'T0' by A, B, C (n.d.); 'T1' by unknown (2000); 'T2' by unknown (2000).")
+    assert got[2] == (True, 0, "There is no match outside for 'none'.") and got[3] == (False, 0, "No query given.")
+
+
 def test_calendar_writes(spark):
     rows = spark.createDataFrame([(1, "Add this to the calendar", {"title": "Talk", "date": "2026-03-05", "end": ""}, []), (2, "Add this to the calendar", {"title": "Talk"}, None), (3, "Add this to the calendar", {"title": "Talk", "date": "x"}, ["date", "end"]), (4, "Add this to the calendar", None, None)], "id int, message string, event map<string,string>, flagged array<string>")
     rows = rows.select("*", F.lit(None).cast("string").alias("last_user"), *(F.lit(None).cast(t).alias(f"past_{c}") for c, t in (("day", "string"), ("time_of_day", "string"), ("window", "struct<start:string,end:string>"), ("isbn", "string"), ("amount", "double"))), F.lit(None).cast("string").alias("course"))
