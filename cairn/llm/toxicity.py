@@ -1,12 +1,15 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols: insult, threat, target, negation, reporting, other. Four
-transducers are composed into one machine: negation turns an insult or threat
-shortly after a negation into a negated one; reported speech turns what follows
-a reporting verb in its clause into a reported one; target turns what shares a
-clause with an address into an aimed one; the last emits a class per match. A
-match of a clause counts with the weight of its word, and the clause totals per
-class, squashed, are the features of a small logistic model.
+Words become symbols: insult, threat verb, intensifier, modal, target, negation,
+reporting, other. Five weighted transducers are composed into one machine, whose arcs'
+weights multiply: insult strengthens an insult after an intensifier and weakens those that
+follow another; threat tells a threat verb after a modal or future from a bare one, which
+weighs half; negation turns an insult or threat shortly after a negation into a
+negated one; reported speech turns what follows a reporting verb in its clause into
+a reported one; target turns what comes after an address into an aimed one, and in a
+second run, from the clause's end, what comes before one. The last emits a class per
+match. A match counts with the weight of its word times that of its arcs, and the clause totals
+per class, squashed, are the features of a small logistic model.
 
 Insult words and stems and their weights are learned from labelled rows: the log
 odds of a word or of a stem of 4 to 6 characters between toxic and other rows.
@@ -29,10 +32,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from cairn.llm.shared import documents, in_slices
+from cairn.llm.shared import documents, in_slices, save
 
 MAX_ROWS = 50_000
-MAX_LEXICON = 20_000
 MIN_ROWS_WITH = 4
 MIN_WEIGHT = 3.0
 STEMS = (4, 5, 6)
@@ -40,74 +42,107 @@ HEAD = 3
 THREAT_WEIGHT = 2.0
 
 # Closed classes of the grammar in English, German, French and Spanish.
-TARGETS = "you your yours yourself du dich dir dein deine ihr euch euer tu toi ton ta tes vous votre vos tú ti te usted ustedes vosotros".split()
+TARGETS = "you your yours yourself du dich dir dein deine ihr euch euer tu toi tes vous votre vos tú ti te usted ustedes vosotros".split()
 NEGATIONS = "not no never none don't isn't aren't wasn't nicht kein keine nie niemals ne pas jamais aucun aucune nunca jamás ningún ninguna".split()
 REPORTING = "said says say wrote writes told tells claimed quoted reported according sagte sagt schrieb berichtete dit disait écrit selon dijo dice escribió según".split()
 THREATS = "kill hurt beat stab shoot destroy murder töten verletzen schlagen umbringen tuer frapper blesser détruire matar golpear herir destruir".split()
+MODALS = "will would shall should must could can going gonna let's i'll we'll they'll werde wird werden wirst sollte muss vais va allons vont voy va vamos van".split()
+INTENSIFIERS = "such so very really total totally complete completely utter utterly absolute absolutely damn so ein eine völlig total absolut vraiment complètement espèce sale muy tan totalmente maldito maldita".split()
 
 CLAUSE_END = re.compile(r"[.!?;:\n]")
 TOKEN = re.compile(r"\w+(?:'\w+)?|[^\w\s]+|\n")
 
-INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = "IVYNRO"
-CLASSES = ("plain", "aimed", "negated", "reported", "threat")
+INSULT, THREAT, TARGET, NEGATION, REPORT, INTENSE, MODAL, OTHER = "IVYNRXMO"
+WORDS = "IVYNRXMO"
+CLASSES = ("plain", "aimed", "negated", "reported", "threat", "aimed threat")
+
+Arc = tuple[str, str, float]
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """arcs: (state, input) to (next state, output); an input without an arc is passed on in the same state."""
+    """arcs: (state, input) to (next state, output, weight); an input without an arc is passed on in the same state, with weight 1."""
 
     start: str
-    arcs: dict[tuple[str, str], tuple[str, str]]
+    arcs: dict[tuple[str, str], Arc]
 
-    def step(self, state: str, symbol: str) -> tuple[str, str]:
-        return self.arcs.get((state, symbol), (state, symbol))
+    def step(self, state: str, symbol: str) -> Arc:
+        return self.arcs.get((state, symbol), (state, symbol, 1.0))
 
-    def run(self, symbols: list[str]) -> list[str]:
+    def run(self, symbols: list[str]) -> list[tuple[str, float]]:
         state, out = self.start, []
         for symbol in symbols:
-            state, emitted = self.step(state, symbol)
-            out.append(emitted)
+            state, emitted, weight = self.step(state, symbol)
+            out.append((emitted, weight))
         return out
 
 
-def compose(first: Transducer, second: Transducer, alphabet: str) -> Transducer:
-    """The machine that feeds what ``first`` emits to ``second``: states are pairs that can be reached."""
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The machine that feeds what ``first`` emits to ``second``: states are pairs that can be reached, weights are multiplied."""
     start = f"{first.start}|{second.start}"
     arcs, ahead, seen = {}, [(first.start, second.start)], {start}
     while ahead:
         a, b = ahead.pop()
-        for symbol in alphabet:
-            a2, middle = first.step(a, symbol)
-            b2, out = second.step(b, middle)
-            arcs[f"{a}|{b}", symbol] = (pair := f"{a2}|{b2}", out)
+        for symbol in WORDS:
+            a2, middle, x = first.step(a, symbol)
+            b2, out, y = second.step(b, middle)
+            arcs[f"{a}|{b}", symbol] = (pair := f"{a2}|{b2}", out, x * y)
             if pair not in seen:
                 seen.add(pair)
                 ahead.append((a2, b2))
     return Transducer(start, arcs)
 
 
+STRONG, AGAIN, BARE = 1.5, 0.5, 0.5
+
+
+def _insult() -> Transducer:
+    """An insult right after an intensifier weighs more, one right after another insult less."""
+    arcs: dict[tuple[str, str], Arc] = {(s, INTENSE): ("strong", INTENSE, 1.0) for s in ("none", "strong", "insult")}
+    arcs |= {("none", INSULT): ("insult", INSULT, 1.0), ("strong", INSULT): ("insult", INSULT, STRONG), ("insult", INSULT): ("insult", INSULT, AGAIN)}
+    arcs |= {(s, w): ("none", w, 1.0) for s in ("strong", "insult") for w in WORDS if w not in (INSULT, INTENSE)}
+    return Transducer("none", arcs)
+
+
+def _threat(window: int = 3) -> Transducer:
+    """A threat verb within some words after a modal or future has its whole weight, a bare one half of it."""
+    arcs: dict[tuple[str, str], Arc] = {("0", THREAT): ("0", THREAT, BARE), ("0", MODAL): (str(window), MODAL, 1.0)}
+    for k in range(1, window + 1):
+        arcs |= {(str(k), w): (str(k - 1), w, 1.0) for w in WORDS if w not in (THREAT, MODAL)}
+        arcs |= {(str(k), THREAT): ("0", THREAT, 1.0), (str(k), MODAL): (str(window), MODAL, 1.0)}
+    return Transducer("0", arcs)
+
+
 def _negation(window: int = 2) -> Transducer:
     """i and v: negated insult and threat."""
-    arcs = {("0", NEGATION): (str(window), NEGATION)}
+    arcs: dict[tuple[str, str], Arc] = {("0", NEGATION): (str(window), NEGATION, 1.0)}
     for k in range(1, window + 1):
         left = str(k - 1)
-        arcs |= {(str(k), s): (left, s) for s in (OTHER, TARGET, REPORT)}
-        arcs |= {(str(k), INSULT): (left, "i"), (str(k), THREAT): (left, "v"), (str(k), NEGATION): (str(window), NEGATION)}
+        arcs |= {(str(k), s): (left, s, 1.0) for s in (OTHER, TARGET, REPORT, INTENSE, MODAL)}
+        arcs |= {(str(k), INSULT): (left, "i", 1.0), (str(k), THREAT): (left, "v", 1.0), (str(k), NEGATION): (str(window), NEGATION, 1.0)}
     return Transducer("0", arcs)
 
 
 def _reported() -> Transducer:
     """q: an insult or threat that is only reported."""
-    return Transducer("own", {("own", REPORT): ("other", REPORT), ("other", INSULT): ("other", "q"), ("other", THREAT): ("other", "q")})
+    return Transducer("own", {("own", REPORT): ("other", REPORT, 1.0), ("other", INSULT): ("other", "q", 1.0), ("other", THREAT): ("other", "q", 1.0)})
 
 
 def _aimed() -> Transducer:
     """a and w: insult and threat after an address in the same clause."""
-    return Transducer("any", {("any", TARGET): ("aimed", TARGET), ("aimed", INSULT): ("aimed", "a"), ("aimed", THREAT): ("aimed", "w")})
+    return Transducer("any", {("any", TARGET): ("aimed", TARGET, 1.0), ("aimed", INSULT): ("aimed", "a", 1.0), ("aimed", THREAT): ("aimed", "w", 1.0)})
+
+
+GRAMMAR = compose(compose(compose(compose(_insult(), _threat()), _negation()), _reported()), _aimed())
+AIM = _aimed()
+CLASS_OF = {INSULT: "plain", "a": "aimed", "i": "negated", "v": "negated", "q": "reported", THREAT: "threat", "w": "aimed threat"}
 
 
-GRAMMAR = compose(compose(_negation(), _reported(), "IVYNRO"), _aimed(), "IVYNRO")
-CLASS_OF = {INSULT: "plain", "a": "aimed", "i": "negated", "v": "negated", "q": "reported", THREAT: "threat", "w": "threat"}
+def matched(symbols: list[str]) -> list[tuple[str | None, float]]:
+    """For each of a clause's symbols its class, if it matches, and its arcs' weight. The second run of the aim goes from the clause's end."""
+    first = GRAMMAR.run(symbols)
+    back = AIM.run([emitted for emitted, _ in reversed(first)])[::-1]
+    return [(CLASS_OF.get(emitted), weight) for (emitted, _), (_, weight) in zip(back, first, strict=True)]
 
 
 def stems(word: str) -> set[str]:
@@ -121,7 +156,7 @@ class Model:
 
     insults: dict[str, float]
     coefficients: list[float]
-    closed: dict[str, str] = field(default_factory=lambda: {w: s for s, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTING), (THREAT, THREATS)) for w in ws})
+    closed: dict[str, str] = field(default_factory=lambda: {w: s for s, ws in ((INTENSE, INTENSIFIERS), (MODAL, MODALS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTING), (THREAT, THREATS)) for w in ws})
 
     def heads(self) -> frozenset[str]:
         return frozenset(w.rstrip("*")[:HEAD] for w in (*self.insults, *THREATS))
@@ -137,18 +172,18 @@ class Model:
             if k <= done or not (self.closed.get(tokens[k]) == THREAT or self.weight(tokens[k])):
                 continue
             lo = hi = k
-            while lo > done + 1 and not CLAUSE_END.match(tokens[lo - 1]):
+            while lo > done + 1 and not CLAUSE_END.search(tokens[lo - 1]):
                 lo -= 1
-            while hi + 1 < len(tokens) and not CLAUSE_END.match(tokens[hi + 1]):
+            while hi + 1 < len(tokens) and not CLAUSE_END.search(tokens[hi + 1]):
                 hi += 1
             done, clause = hi, [t for t in tokens[lo : hi + 1] if t[0].isalnum() or t[0] == "_"]
             weights = [self.weight(t) if t[:HEAD] in heads else 0.0 for t in clause]
             symbols = [INSULT if w else self.closed.get(t, OTHER) for t, w in zip(clause, weights, strict=True)]
             score = 0.0
-            for emitted, w in zip(GRAMMAR.run(symbols), weights, strict=True):
-                if kind := CLASS_OF.get(emitted):
-                    totals[kind] += w or THREAT_WEIGHT
-                    score += w or THREAT_WEIGHT
+            for (kind, factor), w in zip(matched(symbols), weights, strict=True):
+                if kind:
+                    totals[kind] += factor * (w or THREAT_WEIGHT)
+                    score += factor * (w or THREAT_WEIGHT)
             strongest = max(strongest, score)
         return [math.log1p(x) for x in (*totals.values(), strongest)]
 
@@ -211,7 +246,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     share = min(parts, max_rows * parts // max(1, known.count()))
     sample = known.where(F.pmod(F.xxhash64("l_id"), F.lit(parts)) < share)
     # The sample's size is bounded by max_rows, so its ids are broadcast. Copies count once, or their chance words would look like insults.
-    rows = docs.select(F.col("doc_id").cast("long").alias("l_id"), "text").join(F.broadcast(sample), "l_id").groupBy("text").agg(F.max("toxic").alias("toxic"))
+    table = save(docs.select(F.col("doc_id").cast("long").alias("l_id"), "text").join(F.broadcast(sample), "l_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-sample")
+    rows = table.df
     n = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
         return Model({}, [-60.0] + [0.0] * (len(CLASSES) + 1))
@@ -225,10 +261,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     odds = {f: math.log((k + 0.5) / (n[1] + 1)) - math.log((in_other.get(f, 0) + 1) / (n[0] + 2)) for f, k in in_toxic.items()}
     least = 2 * math.log(max(2, len(odds))) + 2  # so much evidence that less than one of all features has it by chance
     sure = [f for f in odds if odds[f] >= MIN_WEIGHT and evidence(in_toxic[f], in_other.get(f, 0), n[1], n[0]) >= least]
-    best = sorted(sure, key=lambda f: (-odds[f] * in_toxic[f], f))[:MAX_LEXICON]
-    model = Model({f: odds[f] for f in best}, [])
+    model = Model({f: odds[f] for f in sorted(sure)}, [])  # all of them, as many as the sample's rows give evidence for
     scored = rows.mapInArrow(partial(_feature_rows, model=model), "toxic int, x array<double>").toPandas()
     model.coefficients = fit_logistic(np.array(scored["x"].tolist()), scored["toxic"].to_numpy(float))
+    table.drop()
     return model
 
 

@@ -3,24 +3,61 @@
 from __future__ import annotations
 
 import math
+from functools import partial
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from cairn.llm import ann, lm_score, toxicity, word_hashes
+from cairn.llm.shared import in_slices
+
+
+def by_rule(symbols):
+    """The grammar's classes and weights, from the rules in words."""
+    out = []
+    for k, s in enumerate(symbols):
+        if s not in "IV":
+            out.append((None, 1.0))
+            continue
+        before = symbols[:k]
+        weight = 1.0
+        if s == "I" and before:
+            weight = {"X": 1.5, "I": 0.5}.get(before[-1], 1.0)
+        if s == "V":
+            reach = [j for j, x in enumerate(before) if x == "M" and k - j <= 3 and "V" not in before[j:]]
+            weight = 1.0 if reach else 0.5
+        negated = "N" in before[-2:]
+        reported = "R" in before
+        aimed = "Y" in symbols
+        kind = "negated" if negated else "reported" if reported else {"I": "aimed", "V": "aimed threat"}[s] if aimed else {"I": "plain", "V": "threat"}[s]
+        out.append((kind, weight))
+    return out
 
 
 def test_grammar():
-    run = toxicity.GRAMMAR.run
-    assert run(list("OIO"))[1] == "I"
-    assert run(list("YOI"))[2] == "a"
-    assert run(list("NOI"))[2] == "i"
-    assert run(list("NOOOI"))[4] == "I"
-    assert run(list("ROYI"))[3] == "q"
-    assert run(list("YV"))[1] == "w"
+    of = lambda text: [x for x in toxicity.matched(list(text)) if x[0]]
+    assert of("OIO") == [("plain", 1.0)] and of("YOI") == of("IOY") == [("aimed", 1.0)]
+    assert of("NOI") == [("negated", 1.0)] and of("NOOOI") == [("plain", 1.0)] and of("ROYI") == [("reported", 1.0)]
+    assert of("MVY") == [("aimed threat", 1.0)] and of("V") == [("threat", 0.5)] and of("YXI") == [("aimed", 1.5)] and of("II") == [("plain", 1.0), ("plain", 0.5)]
+
+
+@given(st.lists(st.sampled_from("IVYNRXMO"), max_size=9))
+@settings(max_examples=400, deadline=None)
+def test_grammar_against_rules(symbols):
+    assert toxicity.matched(symbols) == by_rule(symbols)
+
+
+def test_clauses_end_within_marks():
+    model = toxicity.Model({"grumbold": 4.0}, [0.0] * 8)
+    heads = model.heads()
+    apart, together = (model.features(t, heads) for t in ('You "left." grumbold', "You left grumbold"))
+    assert apart[toxicity.CLASSES.index("plain")] > 0 == apart[toxicity.CLASSES.index("aimed")]
+    assert together[toxicity.CLASSES.index("aimed")] > 0 == together[toxicity.CLASSES.index("plain")]
 
 
 def labelled(spark, n=600):
@@ -85,9 +122,14 @@ def lm_by_hand(texts, targets):
     return out
 
 
-@pytest.mark.parametrize(("targets", "block_bytes"), [(range(0, 80, 3), 500), (range(0, 80, 3), 1 << 20), ([], 500), ([13], 1)])
-def test_lm_score(spark, docs, rows, no_docs, targets, block_bytes):
-    """In many small blocks and in one."""
+@pytest.mark.parametrize(
+    ("targets", "block_bytes", "part_keys", "slice_bytes"),
+    [(range(0, 80, 3), 500, 2_000_000, 4 << 20), (range(0, 80, 3), 1 << 20, 200, 300), ([], 500, 2_000_000, 4 << 20), ([13], 1, 50, 4 << 20)],
+)
+def test_lm_score(spark, docs, rows, no_docs, targets, block_bytes, part_keys, slice_bytes, monkeypatch):
+    """In many small blocks and in one, in one part of the keys and in many, in whole blocks and in several runs of one."""
+    monkeypatch.setattr(lm_score, "PART_KEYS", part_keys)
+    monkeypatch.setattr(lm_score, "in_slices", partial(in_slices, most=slice_bytes))
     ids = spark.createDataFrame([(k,) for k in targets] + [(None,), (99_999,), (3,)][: 3 if targets else 2], "id long")
     words = [(i, (t or "").encode().lower().split()) for i, t, *_ in rows]
     wanted = lm_by_hand(words, {*targets, 3} if targets else set())
@@ -140,6 +182,26 @@ def test_nearest(spark):
     assert ann.nearest(table.limit(0)).collect() == []
 
 
+def test_ties_of_equal_vectors_over_blocks(spark, monkeypatch):
+    """Equal vectors have equal products, wherever they stand, and go by their ids."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 90)
+    monkeypatch.setattr(ann, "SLICE_QUERIES", 7)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(60, 64)).astype(np.float32)
+    rows = [(k, base[k % 60].tolist()) for k in range(420)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    exact = {q: [0.0] * 60 for q in range(60)}
+    for q in range(60):
+        for j in range(64):
+            exact[q] = [s + float(base[v, j]) * float(base[q, j]) for v, s in enumerate(exact[q])]
+    got = {}
+    for r in ann.nearest(df).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    for q in range(0, 420, 20):
+        wanted = sorted(((-exact[q % 60][v % 60], v) for v in range(420) if v != q))[:20]
+        assert [got[q][r] for r in range(1, 21)] == [(v, -s) for s, v in wanted]
+
+
 @pytest.mark.parametrize("noise", [0.02, 0.1])
 def test_near_copies_in_a_full_block(noise):
     """A third of a block are near copies with nearly equal codes; none of the nearest is lost."""
