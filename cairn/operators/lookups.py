@@ -1,4 +1,4 @@
-"""Tool calls answered in one job: all calls of a tool are one plan over its tables.
+"""Tool calls answered in one job: all calls of a tool are one plan over its tables, and calls that ask the same are answered once.
 
 A call is a row (call_id, account, tool, args as a map of texts). Its answer is a
 row (call_id, tool, ok, error, found, summary): how many rows there are, and what to say
@@ -28,7 +28,6 @@ CONCEPT_TITLES = {
     "backpropagation": "Backpropagation", "tokenization": "Lexical analysis", "prompt injection": "Prompt injection",
 }
 FIXED_RATE = 4100.0
-MOST_ROOMS = 10_000
 
 
 @dataclass(frozen=True)
@@ -53,12 +52,18 @@ def _arg(name: str) -> Column:
 
 
 def _said(rows: DataFrame, text: Column, *order: Column, before: str = "", most: int | None = None) -> DataFrame:
-    """call_id, found, said: a call's rows as one text, in order, the first ``most`` of them."""
+    """call_id, found, said: a call's rows as one text, in order, the first ``most`` of them. Where only the count is read, no texts are gathered."""
+    entries = F.sort_array(F.collect_list(F.struct(*(c.alias(f"k{n}") for n, c in enumerate(order)), text.alias("text"))))
+    found, said = F.count("*").cast("int").alias("found"), _joined(entries, before).alias("said")
+    if most is None:
+        return rows.groupBy("call_id").agg(found, said)
     place = F.row_number().over(Window.partitionBy("call_id").orderBy(*order))
-    shown = rows.select("call_id", text.alias("text"), place.alias("place"), F.count("*").over(Window.partitionBy("call_id")).alias("found"))
-    shown = shown if most is None else shown.where(F.col("place") <= most)
-    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), "; ")
-    return shown.groupBy("call_id").agg(F.max("found").cast("int").alias("found"), F.concat(F.lit(before), parts, F.lit(".")).alias("said"))
+    shown = rows.withColumn("place", place).where(F.col("place") <= most).groupBy("call_id").agg(said)
+    return rows.groupBy("call_id").agg(found).join(shown, "call_id")
+
+
+def _joined(entries: Column, before: str) -> Column:
+    return F.concat(F.lit(before), F.array_join(F.transform(entries, lambda x: x["text"]), "; "), F.lit("."))
 
 
 def _answer(calls: DataFrame, said: DataFrame, nothing: Column | str, error: Column | None = None) -> DataFrame:
@@ -85,39 +90,44 @@ def get_timetable(calls: DataFrame, t: Tables, today: Column) -> DataFrame:
 
 
 def get_deadlines(calls: DataFrame, t: Tables, today: Column) -> DataFrame:
+    """A course's deadlines within a span are listed once, and calls of all accounts take the lists of their courses."""
     asked = calls.withColumn("course", F.upper(_arg("course"))).withColumn("within", _arg("within_days").try_cast("int"))
     stamp = lambda d: F.date_format(d, "yyyy-MM-dd HH:mm")
     now = today.cast("timestamp")
-    rows = asked.join(t.enrollments, asked.account == t.enrollments.account_id).join(t.assignments, "course_code").where(F.col("due_at") >= stamp(now))
+    own = asked.join(t.enrollments, asked.account == t.enrollments.account_id).where(F.col("course").isNull() | (F.col("course") == F.col("course_code"))).select("call_id", "course_code", "within")
     until = stamp(now + F.make_dt_interval(days=F.col("within")))
-    rows = rows.where((F.col("within").isNull() | (F.col("due_at") <= until)) & (F.col("course").isNull() | (F.col("course") == F.col("course_code"))))
+    due = own.select("course_code", "within").distinct().join(t.assignments.where(F.col("due_at") >= stamp(now)), "course_code").where(F.col("within").isNull() | (F.col("due_at") <= until))
     text = F.concat("course_code", F.lit(" '"), "title", F.lit("' due "), "due_at", F.lit(" (weight "), F.round(F.col("weight") * 100).cast("int"), F.lit("%)"))
-    return _answer(asked, _said(rows, text, F.col("due_at"), F.col("course_code"), F.col("title"), before="Upcoming deadlines: "), "No upcoming deadlines match.")
+    listed = due.groupBy("course_code", "within").agg(F.count("*").alias("n"), F.collect_list(F.struct("due_at", "course_code", "title", text.alias("text"))).alias("entries"))
+    both = own.alias("o").join(listed.alias("l"), (F.col("o.course_code") == F.col("l.course_code")) & F.col("o.within").eqNullSafe(F.col("l.within")))
+    every = F.sort_array(F.flatten(F.collect_list("entries")))
+    said = both.groupBy("call_id").agg(F.sum("n").cast("int").alias("found"), _joined(every, "Upcoming deadlines: ").alias("said"))
+    return _answer(asked, said, "No upcoming deadlines match.")
 
 
 def find_free_rooms(calls: DataFrame, t: Tables, today: Column) -> DataFrame:
-    """Rooms are few: all of them, MOST_ROOMS at most, travel as one array, and each call filters it by what is taken at its date."""
-    n = t.rooms.count()
-    if n > MOST_ROOMS:
-        raise ValueError(f"{n} rooms are more than {MOST_ROOMS}")
+    """Every room that fits and isn't taken in the call's window. Windows meet bookings once however many calls name them; a call meets each room, as its answer may list them all."""
     asked = calls.withColumn("day", dates.resolve_date(F.coalesce(_arg("date"), F.lit("today")), today)).withColumn("from", _arg("start")).withColumn("to", _arg("end"))
     bad = F.when(~F.coalesce(dates.minutes_between(F.col("from"), F.col("to")) > 0, F.lit(False)), F.lit("Invalid time window.")).when(F.col("day").isNull(), F.lit("Unknown date."))
-    windows = asked.where(bad.isNull()).select("call_id", "day", "from", "to", dates.weekday_name(F.col("day")).alias("weekday"), F.col("day").cast("string").alias("date"))
-    meets = (F.col("start") < F.col("to")) & (F.col("from") < F.col("end"))
-    lessons = windows.join(t.sessions.select("weekday", "start", "end", "room_id"), "weekday").where(meets).select("call_id", "room_id")
-    booked = windows.join(t.bookings.where(F.col("status") == "confirmed").select("date", "start", "end", "room_id"), "date").where(meets).select("call_id", "room_id")
-    taken = lessons.unionByName(booked).groupBy("call_id").agg(F.collect_set("room_id").alias("taken"))
-    rooms = t.rooms.agg(F.array_sort(F.collect_list(F.struct("capacity", F.col("id").alias("room_id"), "has_projector", "has_pcs"))).alias("rooms"))
     yes = lambda name: F.coalesce(F.lower(_arg(name)) == "true", F.lit(False))
-    least, projector, pcs = F.coalesce(_arg("min_capacity").try_cast("int"), F.lit(0)), yes("needs_projector"), yes("needs_pcs")
-    held = asked.join(taken, "call_id", "left").crossJoin(F.broadcast(rooms))  # one row
-    none = F.array().cast("array<string>")
-    fits = lambda r: (r["capacity"] >= least) & (~projector | (r["has_projector"] == 1)) & (~pcs | (r["has_pcs"] == 1)) & ~F.array_contains(F.coalesce("taken", none), r["room_id"])
-    free = F.filter("rooms", fits)
-    name = lambda r: F.concat(r["room_id"], F.lit(" ("), r["capacity"], F.lit(" seats"), F.when(r["has_projector"] == 1, ", projector").otherwise(""), F.when(r["has_pcs"] == 1, ", PCs").otherwise(""), F.lit(")"))
-    window = F.concat(F.col("day").cast("string"), F.lit(" ("), F.initcap(dates.weekday_name(F.col("day"))), F.lit("), "), "from", F.lit("–"), "to")
-    said = held.where(bad.isNull()).select("call_id", F.size(free).alias("found"), F.concat(F.lit("Free rooms for "), window, F.lit(": "), F.array_join(F.transform(free, name), ", "), F.lit(".")).alias("said"))
-    return _answer(asked, said, F.concat(F.lit("No free room matches for "), window, F.lit(".")), bad)
+    needs = {"least": F.coalesce(_arg("min_capacity").try_cast("int"), F.lit(0)), "projector": yes("needs_projector"), "pcs": yes("needs_pcs")}
+    wanted = asked.where(bad.isNull()).select("call_id", "day", "from", "to", *(c.alias(n) for n, c in needs.items()))
+    windows = wanted.select("day", "from", "to").distinct().withColumns({"weekday": dates.weekday_name(F.col("day")), "date": F.col("day").cast("string")})
+    meets = (F.col("start") < F.col("to")) & (F.col("from") < F.col("end"))
+    window = ("day", "from", "to")
+    lessons = windows.join(t.sessions.select("weekday", "start", "end", "room_id"), "weekday").where(meets).select(*window, "room_id")
+    booked = windows.join(t.bookings.where(F.col("status") == "confirmed").select("date", "start", "end", "room_id"), "date").where(meets).select(*window, "room_id")
+    taken = lessons.unionByName(booked).distinct()
+    rooms = t.rooms.select("capacity", F.col("id").alias("room_id"), "has_projector", "has_pcs")
+    fits = (F.col("capacity") >= F.col("least")) & (~F.col("projector") | (F.col("has_projector") == 1)) & (~F.col("pcs") | (F.col("has_pcs") == 1))
+    free = wanted.join(rooms, fits).join(taken, [*window, "room_id"], "left_anti")
+    name = F.concat("room_id", F.lit(" ("), "capacity", F.lit(" seats"), F.when(F.col("has_projector") == 1, ", projector").otherwise(""), F.when(F.col("has_pcs") == 1, ", PCs").otherwise(""), F.lit(")"))
+    entries = F.sort_array(F.collect_list(F.struct("capacity", "room_id", "has_projector", "has_pcs", name.alias("text"))))
+    named = F.array_join(F.transform(entries, lambda r: r["text"]), ", ")
+    shown = F.concat(F.col("day").cast("string"), F.lit(" ("), F.initcap(dates.weekday_name(F.col("day"))), F.lit("), "), "from", F.lit("–"), "to")
+    said = free.groupBy("call_id", *window).agg(F.count("*").cast("int").alias("found"), named.alias("rooms"))
+    said = said.select("call_id", "found", F.concat(F.lit("Free rooms for "), shown, F.lit(": "), "rooms", F.lit(".")).alias("said"))
+    return _answer(asked, said, F.concat(F.lit("No free room matches for "), shown, F.lit(".")), bad)
 
 
 def check_book(calls: DataFrame, t: Tables, today: Column) -> DataFrame:
@@ -154,7 +164,7 @@ def get_calendar(calls: DataFrame, t: Tables, today: Column) -> DataFrame:
     days = asked.where(bad.isNull()).withColumn("day", F.explode(F.sequence("lo", "hi")))
     rows = days.join(t.events, days.day.cast("string") == t.events.date).where(F.col("kind_asked").isNull() | (F.col("kind_asked") == F.col("kind")))
     text = F.concat("date", F.lit(" "), "title", F.when(F.coalesce("start", F.lit("")) != "", F.concat(F.lit(" "), "start", F.lit("–"), F.coalesce("end", F.lit("")))).otherwise(""), F.when(F.coalesce("location", F.lit("")) != "", F.concat(F.lit(" at "), "location")).otherwise(""))
-    said = _said(rows, text, F.asc_nulls_first("date"), F.asc_nulls_first("start"), F.col("title"), before="Calendar: ")
+    said = _said(rows, text, F.col("date"), F.col("start"), F.col("title"), before="Calendar: ")
     return _answer(asked, said, F.concat(F.lit("No calendar entries between "), F.col("lo").cast("string"), F.lit(" and "), F.col("hi").cast("string"), F.lit(".")), bad)
 
 
@@ -234,13 +244,24 @@ TOOLS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
 }
 
 
+OWN = ("get_timetable", "get_deadlines", "get_loans")  # tools whose answer depends on the account
+
+
 def run_calls(calls: DataFrame, tables: Tables, today: Column) -> DataFrame:
-    """Every call's answer. Call ids have to be different."""
+    """Every call's answer. Call ids have to be different. Calls of one tool with the same arguments, and of the same account where it matters, are one question, answered once."""
     there = {f.name for f in fields(tables) if getattr(tables, f.name) is not None}
     able = {name: run for name, (run, needs) in TOOLS.items() if set(needs) <= there}
-    none = calls.where(~F.coalesce(F.col("tool").isin(list(able)), F.lit(False)))
+    known = F.coalesce(F.col("tool").isin(list(able)), F.lit(False))
     why = F.when(F.coalesce(F.col("tool").isin(list(TOOLS)), F.lit(False)), F.concat(F.lit("no data for "), "tool")).otherwise(F.concat(F.lit("unknown tool "), F.coalesce("tool", F.lit(""))))
-    out = none.select("call_id", "tool", F.lit(False).alias("ok"), why.alias("error"), F.lit(0).alias("found"), why.alias("summary"))
+    out = calls.where(~known).select("call_id", "tool", F.lit(False).alias("ok"), why.alias("error"), F.lit(0).alias("found"), why.alias("summary"))
+    if not able:
+        return out
+    own = F.when(F.col("tool").isin(*OWN), F.col("account"))
+    asked = calls.where(known).withColumn("question", F.to_json(F.struct(own.alias("account"), F.sort_array(F.map_entries("args")).alias("args"))))
+    answered = None
     for name, run in able.items():
-        out = out.unionByName(run(calls.where(F.col("tool") == name), tables, today))
-    return out
+        each = asked.where(F.col("tool") == name).groupBy("tool", F.col("question").alias("call_id")).agg(*(F.first(c).alias(c) for c in ("account", "args")))
+        done = run(each, tables, today)
+        answered = done if answered is None else answered.unionByName(done)
+    answered = answered.withColumnRenamed("call_id", "question")
+    return out.unionByName(asked.select("call_id", "tool", "question").join(answered, ["tool", "question"]).select(*out.columns))

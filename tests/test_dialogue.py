@@ -6,6 +6,7 @@ import datetime as dt
 import random
 import re
 from collections import defaultdict
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -367,6 +368,18 @@ def test_tool_calls(spark, tool_tables):
     assert lookups.run_calls(calls.limit(0), tool_tables, F.lit(TODAY)).isEmpty()
 
 
+def test_many_rooms_and_same_calls(spark, tool_tables):
+    """More rooms than any array should hold, and calls that ask the same: one question, an answer each, of the own account where it matters."""
+    rooms = spark.range(20_000).selectExpr("concat('N', id) AS id", "CAST(id % 50 AS INT) AS capacity", "1 AS has_projector", "0 AS has_pcs").unionByName(tool_tables.rooms)
+    free = {"date": "tomorrow", "start": "14:00", "end": "15:00"}
+    asked = [("A1", "find_free_rooms", free), ("A2", "find_free_rooms", {**free, "min_capacity": "49"}), ("A2", "find_free_rooms", dict(reversed(free.items()))), ("A1", "get_loans", {}), ("A2", "get_loans", {}), ("A1", "get_loans", {}), ("A1", "get_loans", None)]
+    calls = spark.createDataFrame([(k, *a) for k, a in enumerate(asked)], "call_id long, account string, tool string, args map<string,string>")
+    got = {r.call_id: (r.found, r.summary) for r in lookups.run_calls(calls, replace(tool_tables, rooms=rooms), F.lit(TODAY)).collect()}
+    assert len(got) == len(asked) and got[0] == got[2] and got[0][0] == 20_001 and got[1][0] == 400
+    assert got[0][1].startswith("Free rooms for 2026-03-03 (Tuesday), 14:00–15:00: N0 (0 seats, projector), N100 (0 seats, projector), ") and "R2 (10 seats, PCs), N10011 (11 seats" in got[0][1]
+    assert got[3] == got[5] == got[6] == (1, "Active loans: 'Deep Learning' due 2026-03-09.") and got[4] == (1, "Active loans: 'Deep Learning' due 2026-03-08.")
+
+
 def test_small_reports(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(rules.level_distribution(3, F.lit(1.25))) == {"0": 0.0, "1": 0.75, "2": 0.25}
