@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Search = Callable[[pa.RecordBatch], pa.RecordBatch]
@@ -20,7 +21,7 @@ def _streams(batches: Iterator[pa.RecordBatch], begin: Callable[[pa.Table], Sear
     now, held, search = None, [], None
     for batch in batches:
         block, part, side = (batch[c].to_numpy(zero_copy_only=False) for c in ("_block", "_slice", "_side"))
-        change = [k + 1 for k in range(len(block) - 1) if (block[k], part[k], side[k]) != (block[k + 1], part[k + 1], side[k + 1])]
+        change = np.flatnonzero(np.any([x[1:] != x[:-1] for x in (block, part, side)], axis=0)) + 1
         for a, b in zip([0, *change], [*change, len(block)], strict=True):
             if a == b:
                 continue
@@ -34,6 +35,12 @@ def _streams(batches: Iterator[pa.RecordBatch], begin: Callable[[pa.Table], Sear
                 yield search(rows.select([f"r_{c}" for c in right]).rename_columns(right))
 
 
+def _filler(rows: DataFrame, prefix: str) -> list[Column]:
+    """The columns of rows that aren't there: empty lists and texts, as for each null one in an Arrow batch Spark goes over all nulls before it, to know the batch's bytes."""
+    empty = lambda t: F.array() if t.startswith("array<") else F.lit("") if t == "string" else F.lit(None)
+    return [empty(t).cast(t).alias(f"{prefix}{c}") for c, t in rows.dtypes]
+
+
 def meet(left: DataFrame, right: DataFrame, key: str, begin: Callable[[pa.Table], Search], schema: str, block_rows: int, slice_rows: int, n_left: int | None = None) -> DataFrame:
     """What searches of blocks of left rows yield for slices of right rows. Left rows of one ``key`` are in one block.
 
@@ -42,10 +49,10 @@ def meet(left: DataFrame, right: DataFrame, key: str, begin: Callable[[pa.Table]
     n_left = left.select(key).distinct().count() if n_left is None else n_left
     blocks, slices = max(1, -(-n_left // block_rows)), max(1, -(-right.count() // slice_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = left.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block"), F.lit(0).alias("_side"), *(F.col(c).alias(f"l_{c}") for c in left.columns))
+    own = left.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block"), F.lit(0).alias("_side"), *(F.col(c).alias(f"l_{c}") for c in left.columns), *_filler(right, "r_"))
     own = own.withColumn("_slice", every(slices))
-    asked = right.select(F.pmod(F.xxhash64(right.columns[0]), F.lit(slices)).cast("int").alias("_slice"), F.lit(1).alias("_side"), *(F.col(c).alias(f"r_{c}") for c in right.columns))
+    asked = right.select(F.pmod(F.xxhash64(right.columns[0]), F.lit(slices)).cast("int").alias("_slice"), F.lit(1).alias("_side"), *(F.col(c).alias(f"r_{c}") for c in right.columns), *_filler(left, "l_"))
     asked = asked.withColumn("_block", every(blocks))
-    both = own.unionByName(asked, allowMissingColumns=True).repartition("_block", "_slice").sortWithinPartitions("_block", "_slice", "_side")
+    both = own.unionByName(asked).repartition("_block", "_slice").sortWithinPartitions("_block", "_slice", "_side")
     names = (left.columns, right.columns)
     return both.mapInArrow(lambda batches: _streams(batches, begin, *names), schema)

@@ -6,10 +6,14 @@ each of which keeps the first few of a query.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,20 +37,18 @@ def ranked(rows: DataFrame, k: int, *order: Column, name: str = "rank") -> DataF
 
 
 def postings(passages: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """term, doc_id, tf, length of the listed terms, written."""
+    """term, doc_id, tf, length of the listed terms, written; and of the empty term, which every passage has once.
+
+    An outer explode, as Spark would add a condition on the words to a plain one and split every text twice.
+    """
     base = passages.select(F.col(id_col).alias("doc_id"), T.words(F.coalesce(text_col, F.lit(""))).alias("ws"))
-    each = base.select("doc_id", F.size("ws").alias("length"), F.explode("ws").alias("term")).join(terms, "term", "left_semi")
+    listed = terms.select("term").unionByName(terms.sparkSession.range(1).select(F.lit("").alias("term")))
+    each = base.select("doc_id", F.size("ws").alias("length"), F.explode_outer(F.concat("ws", F.array(F.lit("")))).alias("term")).join(listed, "term", "left_semi")
     path = new_dir(passages.sparkSession, "postings")
     each.groupBy("term", "doc_id", "length").agg(F.count("*").cast("int").alias("tf")).write.parquet(path)
     return passages.sparkSession.read.parquet(path)
 
 
-def passage_lengths(passages: DataFrame, text_col: str = "text") -> tuple[int, float]:
-    """How many passages there are, and their mean length in words."""
-    n, words = passages.agg(F.count(F.lit(1)), F.sum(F.regexp_count(F.lower(F.coalesce(text_col, F.lit(""))), F.lit("[a-z0-9]+")))).first()
-    return n, (words or 0) / n if n else 0.0
-
-
 def containing(queries: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """query_id, doc_id: passages that hold a query's whole text.
 
@@ -98,15 +100,15 @@ def _by_terms(k: int) -> Callable[[pa.Table], Search]:
         at = term.indices.to_numpy()
         order = np.argsort(at, kind="stable")
         ends = np.searchsorted(at[order], np.arange(len(code) + 1))
+        doc, weight = doc[order], weight[order]
 
         def search(queries: pa.RecordBatch) -> pa.RecordBatch:
             out = []
             for query, terms in zip(queries["query_id"].to_pylist(), queries["terms"].to_pylist(), strict=True):
-                lists = [order[ends[c] : ends[c + 1]] for c in sorted(code[t] for t in terms if t in code)]
+                lists = [slice(ends[c], ends[c + 1]) for c in sorted(code[t] for t in terms if t in code)]
                 if lists:
-                    own = np.concatenate(lists)
-                    scores = np.bincount(doc[own], weight[own], len(ids))
-                    scores[np.bincount(doc[own], minlength=len(ids)) == 0] = np.nan
+                    scores = np.bincount(np.concatenate([doc[x] for x in lists]), np.concatenate([weight[x] for x in lists]), len(ids))
+                    scores[scores == 0] = np.nan  # weights are above 0
                     best, score = _best(scores, ids, k, 5)
                     out.append((query, ids[best], score))
             return _found(out)
@@ -123,8 +125,9 @@ def bm25(queries: DataFrame, passages: DataFrame, k: int = 10, id_col: str = "do
     passages then score queries as they stream by and keep the first k of each. Ids are integers.
     """
     asked = queries.select("query_id", search_terms(F.coalesce("text", F.lit(""))).alias("terms"))
-    index = postings(passages, asked.select(F.explode("terms").alias("term")).distinct(), id_col, text_col)
-    n, mean = passage_lengths(passages, text_col)
+    all_ = postings(passages, asked.select(F.explode("terms").alias("term")).distinct(), id_col, text_col)
+    index = all_.where("term <> ''")
+    n, mean = all_.where("term = ''").agg(F.count("*"), F.avg("length")).first()
     frequency = index.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.lit(n) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5)))
     weight = F.when(idf > 0, idf).otherwise(F.lit(1e-6))
@@ -136,9 +139,13 @@ def bm25(queries: DataFrame, passages: DataFrame, k: int = 10, id_col: str = "do
 
 def _vectors(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """A matrix of unit vectors, one row per list; a vector of zeros stays, a null or one of another length is of nans."""
-    rows = column.to_pylist()
-    width = max((len(r) for r in rows if r is not None), default=0)
-    out = np.array([r if r is not None and len(r) == width else [None] * width for r in rows], np.float64).reshape(len(rows), width)
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    width = pc.list_value_length(column).fill_null(-1).to_numpy(zero_copy_only=False)
+    most = max(width.max(initial=0), 0)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    out = np.full((len(width), most), np.nan)
+    own = width == most
+    out[own] = values[np.repeat(own, np.maximum(width, 0))].reshape(-1, most) if most else 0
     length = np.sqrt(np.einsum("ij,ij->i", out, out))
     return out / np.where(length == 0, 1.0, length)[:, None]
 
@@ -162,8 +169,9 @@ def _by_cosine(k: int) -> Callable[[pa.Table], Search]:
 
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, doc_id, score, rank: exact cosine of queries (query_id, vector) with all vectors, block by block; ids are integers."""
-    held = vectors.select(F.col(id_col).cast("long").alias("doc_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    plain = lambda rows, c: F.col(c) if dict(rows.dtypes)[c] == "array<float>" else F.col(c).cast("array<double>")
+    held = vectors.select(F.col(id_col).cast("long").alias("doc_id"), plain(vectors, vector_col).alias("vector"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), plain(queries, "vector").alias("vector"))
     found = meet(held, asked, "doc_id", _by_cosine(k), FOUND, BLOCK_PASSAGES, SLICE_QUERIES, n_left=held.count())
     return ranked(found, k, F.desc("score"), F.asc("doc_id"))
 
@@ -232,25 +240,41 @@ def hit_rate(results: DataFrame, truth: DataFrame, k: int = 3) -> DataFrame:
     return asked.agg(F.count("*").alias("n"), F.count("hit").alias("hits"), F.bround(F.count("hit") / F.count("*"), 3).alias("rate"))
 
 
-def hashing_features(text: Column) -> Column:
+WORD, KHMER_RUN, STOP = re.compile("[a-z0-9]+"), re.compile("[\u1780-\u17ff]+"), frozenset(T.EMBEDDING_STOP_WORDS)
+
+
+def hashing_features(text: str) -> list[str]:
     """Words, pairs of neighbours joined by _, and Khmer windows, each as often as it occurs."""
-    own = F.filter(T.words(text), lambda w: ~F.array_contains(F.array(*map(F.lit, T.EMBEDDING_STOP_WORDS)), w))
-    runs = F.regexp_extract_all(text, F.lit(f"[{T.KHMER}]+"), F.lit(0))
-    grams = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(r) - 2)), lambda k: F.substr(r, k, F.lit(3)))))
-    return F.concat(own, T.bigrams(own, "_"), grams)
+    own = [w for w in WORD.findall(text.lower()) if w not in STOP]
+    grams = [r[k : k + 3] for r in KHMER_RUN.findall(text) for k in range(max(1, len(r) - 2))]
+    return [*own, *map("_".join, zip(own, own[1:], strict=False)), *grams]
+
+
+@lru_cache(1 << 17)
+def _cell(feature: str, dims: int) -> int:
+    """A feature's place, of the second half of all if its sign is minus."""
+    m = md5(feature.encode(), usedforsecurity=False).digest()
+    return int.from_bytes(m[:4], "little") % dims + (0 if m[4] % 2 else dims)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            some = batch.slice(at, AT_ONCE)
+            out = np.zeros((some.num_rows, dims), np.float32)
+            for row, text in enumerate(some["text"]):
+                n = np.bincount([_cell(f, dims) for f in hashing_features(text.as_py() or "")] or [0, dims], minlength=2 * dims)
+                v = (n[:dims] - n[dims:]).astype(np.float64)
+                out[row] = v / (np.sqrt((v * v).sum()) or 1.0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dims), pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([some["id"], lists], names=["id", "embedding"])
 
 
 def hashing_embedding(rows: DataFrame, id_col: str, text_col: str, dims: int = 512) -> DataFrame:
     """id, embedding: md5 of each feature gives its place and sign; unit length, or zeros without features."""
-    features = rows.select(F.col(id_col), F.explode(hashing_features(F.col(text_col))).alias("feature"))
-    m = F.md5(F.col("feature").cast("binary"))
-    little = F.conv(F.concat(*(F.substr(m, F.lit(k), F.lit(2)) for k in (7, 5, 3, 1))), 16, 10).cast("long")
-    sign = F.conv(F.substr(m, F.lit(9), F.lit(2)), 16, 10).cast("int") % 2
-    cells = features.select(id_col, F.pmod(little, F.lit(dims)).alias("at"), F.when(sign == 1, 1).otherwise(-1).alias("v")).groupBy(id_col, "at").agg(F.sum("v").cast("double").alias("v"))
-    found = cells.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
-    value = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")), lambda k: F.coalesce(F.try_element_at("m", k) / F.when(F.col("n") == 0, 1.0).otherwise(F.col("n")), F.lit(0.0)).cast("float"))
-    zeros = F.array_repeat(F.lit(0.0).cast("float"), dims)
-    return rows.select(id_col).join(found.select(id_col, value.alias("embedding")), id_col, "left").select(id_col, F.coalesce("embedding", zeros).alias("embedding"))
+    given = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    made = given.mapInArrow(lambda batches: _hashed(batches, dims), f"id {dict(given.dtypes)['id']}, embedding array<float>")
+    return made.withColumnRenamed("id", id_col)
 
 
 def extractive_answer(passages: DataFrame, abstain_below: float = 0.6) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators import answers, retrieval
+from cairn.sources.shared import new_dir
 
 MODES = ("lexical", "dense", "hybrid", "dense+rerank", "hybrid+rerank", "dense+judge")
 SCORE_TYPES = {"lexical": "bm25 (higher is better)", "dense": "cosine", "hybrid": "reciprocal-rank fusion", "rerank": "local rerank heuristic (coverage, bigrams, first-stage rank)", "judge": "judge has_answer"}
@@ -44,37 +45,67 @@ class Retrieved:
     dropped: DataFrame
 
 
-def _first_stage(base: str, queries: DataFrame, store: Store, n: int, query_vectors: DataFrame | None) -> DataFrame:
-    deep = n * 3 if base == "hybrid" and n <= 10 else n
+@dataclass(frozen=True)
+class Lists:
+    """The first ``depth`` passages of each query by words and by vectors (query_id, doc_id, score, rank), written once for the modes that begin with them."""
+
+    words: DataFrame | None
+    near: DataFrame | None
+    depth: int
+
+
+def _sizes(mode: str, k: int, pool: int) -> tuple[int, int]:
+    """How many passages a mode's first stage keeps, and how deep its lists have to be."""
+    base, _, second = mode.partition("+")
+    n = max(k, pool) if second == "rerank" else 2 * k if second == "judge" else k
+    return n, n * 3 if base == "hybrid" and n <= 10 else n
+
+
+def searched(queries: DataFrame, store: Store, modes: tuple[str, ...] = MODES, k: int = 4, pool: int = 20, query_vectors: DataFrame | None = None) -> Lists:
+    """The lists that all of some modes need, searched for and written once."""
+    depth, bases, spark = max(_sizes(m, k, pool)[1] for m in modes), {m.partition("+")[0] for m in modes}, queries.sparkSession
+
+    def written(found: DataFrame) -> DataFrame:
+        path = new_dir(spark, "lists")
+        found.write.parquet(path)
+        return spark.read.parquet(path)
+
+    words = written(retrieval.bm25(queries, store.passages, depth)) if bases - {"dense"} else None
+    near = written(retrieval.dense(query_vectors if query_vectors is not None else store.asked(queries), store.vectors, depth, "doc_id")) if bases - {"lexical"} else None
+    return Lists(words, near, depth)
+
+
+def _first_stage(base: str, n: int, deep: int, lists: Lists) -> DataFrame:
     none = lambda *names: {c: F.lit(None).cast(SIGNALS[c]) for c in names}
-    if base != "dense":
-        words = retrieval.bm25(queries, store.passages, deep)
-    if base != "lexical":
-        asked = query_vectors if query_vectors is not None else store.asked(queries)
-        near = retrieval.dense(asked, store.vectors, deep, "doc_id")
+    first = lambda found: found.where(F.col("rank") <= deep)
     if base == "lexical":
-        return words.withColumns({"lexical_rank": F.col("rank"), "bm25": F.col("score"), **none("dense_rank", "cosine", "rrf")})
+        return first(lists.words).withColumns({"lexical_rank": F.col("rank"), "bm25": F.col("score"), **none("dense_rank", "cosine", "rrf")})
     if base == "dense":
-        return near.withColumns({"dense_rank": F.col("rank"), "cosine": F.bround("score", 5), "score": F.bround("score", 5), **none("lexical_rank", "bm25", "rrf")})
-    return retrieval.fused(words, near.withColumn("score", F.bround("score", 5)), n).withColumn("rrf", F.col("score"))
+        return first(lists.near).withColumns({"dense_rank": F.col("rank"), "cosine": F.bround("score", 5), "score": F.bround("score", 5), **none("lexical_rank", "bm25", "rrf")})
+    return retrieval.fused(first(lists.words), first(lists.near).withColumn("score", F.bround("score", 5)), n).withColumn("rrf", F.col("score"))
 
 
 def retrieve(
-    queries: DataFrame, store: Store, mode: str = "hybrid", k: int = 4, pool: int = 20, query_vectors: DataFrame | None = None, floor: float = 0.0, without_source: str | None = None
-) -> Retrieved:
+    queries: DataFrame, store: Store, mode: str = "hybrid", k: int = 4, pool: int = 20, query_vectors: DataFrame | None = None, floor: float = 0.0, without_source: str | None = None,
+    lists: Lists | None = None,
+) -> Retrieved:
     """The first ``k`` passages of each query (query_id, text) in a mode; ValueError for an unknown mode or a store that has no vectors for it.
 
     A reranker sees a pool of ``max(k, pool)`` passages, a judge twice ``k``. Sources
     that begin with ``without_source`` leave the first stage's list, so fewer than
     asked for may remain. A query without search terms finds nothing by words.
+    ``lists`` are those that ``searched`` found, where several modes share them.
     """
     if mode not in MODES:
         raise ValueError(f"unknown retrieval mode {mode!r}; modes: {', '.join(MODES)}")
     base, _, second = mode.partition("+")
     if base != "lexical" and store.vectors is None:
         raise ValueError(f"the store {store.name!r} has no vectors")
-    size = max(k, pool) if second == "rerank" else 2 * k if second == "judge" else k
-    found = _first_stage(base, queries, store, size, query_vectors)
+    size, deep = _sizes(mode, k, pool)
+    lists = lists or searched(queries, store, (mode,), k, pool, query_vectors)
+    if deep > lists.depth:
+        raise ValueError(f"{mode!r} needs {deep} passages of each list, not {lists.depth}")
+    found = _first_stage(base, size, deep, lists)
     found = found.join(store.passages.select("doc_id", "text", *[c for c in ("source_id",) if c in store.passages.columns]), "doc_id")
     if without_source is not None:
         found = found.where(~F.col("source_id").startswith(without_source)).drop("rank")
@@ -122,7 +153,8 @@ def describe(row: Column) -> Column:
 def compare(queries: DataFrame, stores: dict[str, Store], modes: tuple[str, ...] = MODES[:-1], k: int = 4) -> tuple[DataFrame, DataFrame]:
     """Every mode over every store: the chunks of all combinations, and how many ids each two share; words alone don't depend on the store."""
     runs = [(m, s) for m in modes for s in (list(stores)[:1] if m == "lexical" else stores)]
-    each = [retrieve(queries, stores[s], m, k).chunks.withColumn("combination", F.lit(m if m == "lexical" else f"{m} @ {s}")) for m, s in runs]
+    lists = {s: searched(queries, stores[s], own, k) for s in stores if (own := tuple(m for m, of in runs if of == s))}
+    each = [retrieve(queries, stores[s], m, k, lists=lists[s]).chunks.withColumn("combination", F.lit(m if m == "lexical" else f"{m} @ {s}")) for m, s in runs]
     whole = each[0]
     for some in each[1:]:
         whole = whole.unionByName(some)

@@ -19,13 +19,15 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _store(spark: SparkSession, sf_dir: str) -> retrieve.Store:
-    """Documents with their vectors written once, as several modes search them."""
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("source_id"))
-    made = retrieve.Store.hashing(docs)
-    path = new_dir(spark, "vectors")
+def _stored(passages: DataFrame) -> retrieve.Store:
+    """Passages with their vectors written once, as several modes search them."""
+    made, path = retrieve.Store.hashing(passages), new_dir(passages.sparkSession, "vectors")
     made.vectors.write.parquet(path)
-    return retrieve.Store(docs, spark.read.parquet(path), made.name)
+    return retrieve.Store(passages, passages.sparkSession.read.parquet(path), made.name)
+
+
+def _store(spark: SparkSession, sf_dir: str) -> retrieve.Store:
+    return _stored(_t(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("source_id")))
 
 
 def retrieve_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,9 +39,9 @@ def retrieve_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieve_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All six modes, kept and dropped passages; a floor of 0.5 drops some of the reranked."""
     queries, store = _queries(spark, sf_dir), _store(spark, sf_dir)
-    out = None
+    lists, out = retrieve.searched(queries, store), None
     for mode in retrieve.MODES:
-        r = retrieve.retrieve(queries, store, mode, floor=0.5)
+        r = retrieve.retrieve(queries, store, mode, floor=0.5, lists=lists)
         rows = r.chunks.withColumn("reason", F.lit("")).unionByName(r.dropped, allowMissingColumns=True).withColumn("mode", F.lit(mode))
         out = rows if out is None else out.unionByName(rows)
     return out.select("mode", "query_id", "doc_id", F.coalesce("rank", F.lit(-1)).alias("rank"), F.round("score", 3).alias("score"), "reason")
@@ -49,7 +51,7 @@ def retrieval_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many passages each two modes share, over a store of all documents and one of the first half of each text."""
     store = _store(spark, sf_dir)
     halves = store.passages.withColumn("text", F.expr("left(text, char_length(text) div 2)"))
-    other = retrieve.Store.hashing(halves)
+    other = _stored(halves)
     return retrieve.compare(_queries(spark, sf_dir), {"whole": store, "half": other}, ("lexical", "dense", "hybrid"))[1]
 
 
