@@ -61,6 +61,12 @@ def converted(value: Column, rate: Column, direction: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Composed characters; Spark has no function for it."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFC", t))
+
+
+def nfc(text: Column | str) -> Column:
+    """Composed characters; Spark has no function for it. Characters below U+0300 are composed, so texts of such alone don't go to Python."""
+    text = F.col(text) if isinstance(text, str) else text
+    open_ = F.rlike(text, F.lit(r"[^\x{0}-\x{2FF}]"))
+    return F.when(open_, _composed(F.when(open_, text).otherwise(""))).otherwise(text)

@@ -6,11 +6,12 @@ import datetime as dt
 import hashlib
 import re
 import struct
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.functions import dates
+from cairn.functions import arguments, dates
 from cairn.functions import text as T
 from cairn.functions.stats import nearest_rank
 from cairn.operators import retrieval
@@ -93,3 +94,14 @@ def test_coverage_and_answer(spark):
     assert got == {(1, 1): 1.0, (1, 2): 0.0, (2, 3): 0.0}
     answers = {r.query_id: r.answer for r in retrieval.extractive_answer(rows).collect()}
     assert answers == {1: "Parking costs money. The fee is five dollars.", 2: None}
+
+
+def test_nfc_of_open_texts_alone(spark, monkeypatch):
+    """Only texts with characters from U+0300 on travel to Python."""
+    texts = ["plain", "caf\u00e9 \u02ff", "cafe\u0301", "\u212b", "", None, "\u1100\u1161", "a\U0001d15e"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {r.id: r.x for r in rows.select("id", arguments.nfc("text").alias("x")).collect()}
+    assert got == {k: None if t is None else unicodedata.normalize("NFC", t) for k, t in enumerate(texts)}
+    monkeypatch.setattr(arguments, "_composed", lambda c: F.lit("sent"))
+    got = [r.x for r in rows.select("id", arguments.nfc("text").alias("x")).orderBy("id").collect()]
+    assert got == ["plain", "caf\u00e9 \u02ff", "sent", "sent", "", None, "sent", "sent"]
