@@ -165,8 +165,8 @@ def policy_action(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _t(spark, sf_dir, "documents")
-    docs = d.select(F.col("doc_id").cast("string").alias("source_id"), documents.clean_markdown(F.col("text")).alias("text"), F.concat(F.lit("Document "), "doc_id").alias("title"), F.col("lang").alias("language"))
+    d = documents.cleaned_markdown(_t(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    docs = d.select(F.col("doc_id").cast("string").alias("source_id"), "text", F.concat(F.lit("Document "), "doc_id").alias("title"), F.col("lang").alias("language"))
     return documents.chunks(docs).select("chunk_id", "source_id", "position", F.col("token_count").cast("long").alias("token_count"), "language")
 
 

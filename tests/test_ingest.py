@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from cairn.operators import ingest, judging, notices
+from cairn.operators import documents, ingest, judging, notices
 
 UNITS = "source_id string, format string, page int, text string"
 
@@ -96,3 +96,10 @@ def test_report_of_random_units(spark):
     for r in ingest.clean_stats(cleaned).collect():
         own = [x for x in rows if x.format == r.format]
         assert r.units == len(own) and all(r[c] == sum(x[c] for x in own) for c in ("chars_before", "chars_after", *ingest.COUNTERS))
+
+
+def test_cleaned_markdown_cleans_once(spark):
+    rows = spark.createDataFrame([(1, "## 1. One\n\n\n\n## 2.1. Two \n| a |  b |\n|:--|---|\n<!-- c -->"), (2, None)], "id int, text string")
+    done = documents.cleaned_markdown(rows)
+    assert sorted(map(tuple, done.collect())) == sorted(map(tuple, rows.withColumn("text", documents.clean_markdown(F.col("text"))).collect()))
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("<!--") == 3
