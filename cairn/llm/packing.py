@@ -23,14 +23,14 @@ import os
 import string
 import zlib
 from array import array
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache, partial
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +42,7 @@ END_ID = 1
 CAPACITY = 2048
 GROUP_DOCS = 512
 MEMO_BYTES = 64 << 20
+ENCODE_BYTES = 2 << 20
 MARKS = string.punctuation.encode()
 
 
@@ -53,10 +54,15 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
         self.tokenizer = Tokenizer.from_file(path)
+        self._plain = Tokenizer(self.tokenizer.model)  # for a-z alone, which the tokenizer neither changes nor splits
+        self._plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary, suffix = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        self._last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self._last[[k for t, k in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self._special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._known: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
@@ -66,19 +72,20 @@ class WordIds:
         for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False):
             yield array("I", e.ids).tobytes()
 
-    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
+    def _encode_words(self, words: list[str], plain: bool) -> Iterator[bytes]:
         """Words of letters alone, which the tokenizer doesn't split: many at once, as a text of words."""
+        tokenizer = self._plain if plain else self.tokenizer
         for k in range(0, len(words), 256):
             some = words[k : k + 256]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, ends = array("I", e.ids), Counter(e.word_ids)
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self._last[ids])
             if len(ends) != len(some):  # letters to Python, but not to the tokenizer
                 yield from self._encode_runs(some)
                 continue
-            at = 0
-            for j in range(len(some)):
-                yield ids[at : at + ends[j]].tobytes()
-                at += ends[j]
+            data, at = ids.tobytes(), 0
+            for end in (4 * ends + 4).tolist():
+                yield data[at:end]
+                at = end
 
     def _runs(self, text: bytes) -> list[bytes]:
         """The runs of a text. The tokenizer lowers letters, so A-Z can be lowered before; only its special tokens' strings keep their case."""
@@ -87,46 +94,80 @@ class WordIds:
             return low.split()
         return [run if any(s in run.lower() for s in self._special) else run.lower() for run in text.split()]
 
-    def _learn(self, runs: set[bytes]) -> None:
+    def _learn(self, runs: Iterable[bytes]) -> None:
         """Encode runs that aren't known. Letters and the ASCII marks after them are encoded apart, as the tokenizer splits them."""
-        known, words, others, apart = self._known, {}, {}, []
+        known, plain, words, others, apart = self._known, {}, {}, {}, []
         for run in runs:
             word = run.rstrip(MARKS)
-            text = word.decode("utf-8", "replace")
-            if not text.isalpha():
+            if word.isalpha() and word.islower():
+                if word not in known:
+                    plain[word] = word.decode()
+            elif (text := word.decode("utf-8", "replace")).isalpha():
+                if word not in known:
+                    words[word] = text
+            else:
                 others[run] = run.decode("utf-8", "replace")
                 continue
-            if word not in known:
-                words[word] = text
             if len(word) < len(run):
                 apart.append((run, word, marks := run[len(word) :]))
                 if marks not in known:
                     others[marks] = marks.decode()
-        new = dict(zip(words, self._encode_words(list(words.values()))))
+        new = dict(zip(plain, self._encode_words(list(plain.values()), True)))
+        new.update(zip(words, self._encode_words(list(words.values()), False)))
         new.update(zip(others, self._encode_runs(list(others.values()))))
         known.update(new)
         new.update((run, known[word] + known[marks]) for run, word, marks in apart)
         known.update(new)
-        self._size += sum(_held(run, ids) for run, ids in new.items())
+        self._size += _held(new)
+
+    def _ids_of(self, runs: list[bytes]) -> list[bytes]:
+        """The ids of distinct runs, from the memo or by encoding them."""
+        if self._size >= MEMO_BYTES // 2:
+            self._known, self._old, self._size = {}, self._known, 0
+        new = [run for run in runs if run not in self._known]
+        again = {run: ids for run in new if (ids := self._old.get(run)) is not None}
+        self._known.update(again)
+        self._size += _held(again)
+        self._learn(run for run in new if run not in again)
+        return list(map(self._known.__getitem__, runs))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        for k in range(0, len(texts), 128):  # new runs are encoded for many texts at once
-            if self._size >= MEMO_BYTES // 2:
-                self._known, self._old, self._size = {}, self._known, 0
-            runs = list(map(self._runs, texts[k : k + 128]))
-            found = [list(map(self._known.get, x)) for x in runs]
-            new = {run for x, ids in zip(runs, found, strict=True) if None in ids for run, own in zip(x, ids, strict=True) if own is None}
-            again = {run: ids for run in new if (ids := self._old.get(run)) is not None}
-            self._known.update(again)
-            self._size += sum(_held(run, ids) for run, ids in again.items())
-            self._learn(new.difference(again))
-            known = self._known
-            yield from (b"".join([known[run] if own is None else own for run, own in zip(x, ids, strict=True)] if None in ids else ids) for x, ids in zip(runs, found, strict=True))
-
-
-def _held(run: bytes, ids: bytes) -> int:
-    """About how many bytes a memo's entry takes."""
-    return 170 + len(run) + len(ids)
+        """The texts' ids, many texts at once: each distinct run of theirs is looked up once."""
+        at = 0
+        while at < len(texts):
+            end, held = at + 1, len(texts[at])
+            while end < len(texts) and held + len(texts[end]) <= ENCODE_BYTES:
+                held += len(texts[end])
+                end += 1
+            yield from self._encode_some(texts[at:end])
+            at = end
+
+    def _encode_some(self, texts: list[bytes]) -> Iterator[bytes]:
+        low = [text.lower() for text in texts]
+        if any(s in text for s in self._special for text in low):
+            lists = list(map(self._runs, texts))
+            ends = np.cumsum([0, *map(len, lists)])
+            flat = pa.array([run for own in lists for run in own], pa.binary())
+        else:
+            # Split as strings, but never checked or decoded: Arrow splits at the white space that bytes.split() knows.
+            _, offsets, data = pa.array(low, pa.binary()).buffers()
+            split = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(low), offsets, data))
+            ends, flat = split.offsets.to_numpy(), split.values.cast(pa.binary())
+        coded = flat.dictionary_encode()
+        each = self._ids_of(coded.dictionary.to_pylist())
+        ids = np.frombuffer(b"".join(each), "<u4")
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        begins, which = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        own = sizes[which]
+        after = np.cumsum(own)
+        every = ids[np.repeat(begins[which] - after + own, own) + np.arange(after[-1] if len(after) else 0)]
+        bounds = np.concatenate([[0], after])[ends].tolist()
+        yield from (every[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+
+
+def _held(memo: dict[bytes, bytes]) -> int:
+    """About how many bytes a memo's entries take."""
+    return 170 * len(memo) + sum(map(len, memo)) + sum(map(len, memo.values()))
 
 
 @cache

@@ -69,6 +69,23 @@ def test_word_ids():
         assert ids == ids_of(text).tobytes(), text
 
 
+def test_word_ids_of_plain_words(monkeypatch):
+    """Words of a-z don't pass the whole tokenizer, whatever the memo holds; batches of any size give the same ids."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randint(1, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=200)).encode() for _ in range(40)]
+    wanted = [ids_of(t.decode()).tobytes() for t in texts]
+    for memo, size in ((packing.MEMO_BYTES, packing.ENCODE_BYTES), (40_000, 1), (40_000, 3_000)):
+        monkeypatch.setattr(packing, "MEMO_BYTES", memo)
+        monkeypatch.setattr(packing, "ENCODE_BYTES", size)
+        own = packing.WordIds(WORDS)
+        own.tokenizer = None
+        assert list(own.encode(texts)) == wanted
+    # Letters of other scripts, marks and special tokens, over several batches.
+    mixed = [t + " é日 ".encode() + w.encode() + b",. <|ENDOFTEXT|>x" * (k % 3) for k, (t, w) in enumerate(zip(texts, words))]
+    assert list(packing.WordIds(WORDS).encode(mixed)) == [ids_of(t.decode()).tobytes() for t in mixed]
+
+
 def test_packing(docs, rows, no_docs):
     capacity = 256
     got = packing.pack(docs, WORDS, capacity=capacity, group_docs=16).collect()
