@@ -42,7 +42,7 @@ END_ID = 1
 CAPACITY = 2048
 GROUP_DOCS = 512
 MEMO_BYTES = 64 << 20
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 4 << 20
 MARKS = string.punctuation.encode()
 
 
@@ -72,15 +72,15 @@ class WordIds:
         for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False):
             yield array("I", e.ids).tobytes()
 
-    def _encode_words(self, words: list[str], plain: bool) -> Iterator[bytes]:
+    def _encode_words(self, words: list[bytes], plain: bool) -> Iterator[bytes]:
         """Words of letters alone, which the tokenizer doesn't split: many at once, as a text of words."""
         tokenizer = self._plain if plain else self.tokenizer
         for k in range(0, len(words), 256):
             some = words[k : k + 256]
-            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self._last[ids])
             if len(ends) != len(some):  # letters to Python, but not to the tokenizer
-                yield from self._encode_runs(some)
+                yield from self._encode_runs([word.decode() for word in some])
                 continue
             data, at = ids.tobytes(), 0
             for end in (4 * ends + 4).tolist():
@@ -96,15 +96,15 @@ class WordIds:
 
     def _learn(self, runs: Iterable[bytes]) -> None:
         """Encode runs that aren't known. Letters and the ASCII marks after them are encoded apart, as the tokenizer splits them."""
-        known, plain, words, others, apart = self._known, {}, {}, {}, []
+        known, plain, words, others, apart = self._known, set(), set(), {}, []
         for run in runs:
             word = run.rstrip(MARKS)
             if word.isalpha() and word.islower():
                 if word not in known:
-                    plain[word] = word.decode()
-            elif (text := word.decode("utf-8", "replace")).isalpha():
+                    plain.add(word)
+            elif word.decode("utf-8", "replace").isalpha():
                 if word not in known:
-                    words[word] = text
+                    words.add(word)
             else:
                 others[run] = run.decode("utf-8", "replace")
                 continue
@@ -112,8 +112,8 @@ class WordIds:
                 apart.append((run, word, marks := run[len(word) :]))
                 if marks not in known:
                     others[marks] = marks.decode()
-        new = dict(zip(plain, self._encode_words(list(plain.values()), True)))
-        new.update(zip(words, self._encode_words(list(words.values()), False)))
+        new = dict(zip(plain, self._encode_words(list(plain), True)))
+        new.update(zip(words, self._encode_words(list(words), False)))
         new.update(zip(others, self._encode_runs(list(others.values()))))
         known.update(new)
         new.update((run, known[word] + known[marks]) for run, word, marks in apart)
@@ -150,8 +150,8 @@ class WordIds:
             flat = pa.array([run for own in lists for run in own], pa.binary())
         else:
             # Split as strings, but never checked or decoded: Arrow splits at the white space that bytes.split() knows.
-            _, offsets, data = pa.array(low, pa.binary()).buffers()
-            split = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(low), offsets, data))
+            offsets, data = _marks_apart(low)
+            split = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(low), pa.py_buffer(offsets), pa.py_buffer(data)))
             ends, flat = split.offsets.to_numpy(), split.values.cast(pa.binary())
         coded = flat.dictionary_encode()
         each = self._ids_of(coded.dictionary.to_pylist())
@@ -165,6 +165,17 @@ class WordIds:
         yield from (every[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True))
 
 
+def _marks_apart(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' offsets and bytes, with a space before each comma or full stop between a-z and a blank or line end: the tokenizer splits there, and the word is a run that is known."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    inner = data[1:-1]
+    at = np.flatnonzero((inner == ord(",")) | (inner == ord("."))) + 1
+    before, after = data[at - 1], data[at + 1]
+    at = at[(before >= ord("a")) & (before <= ord("z")) & ((after == ord(" ")) | (after == ord("\n")))]
+    return (offsets + np.searchsorted(at, offsets)).astype(np.int32), np.insert(data, at, ord(" "))
+
+
 def _held(memo: dict[bytes, bytes]) -> int:
     """About how many bytes a memo's entries take."""
     return 170 * len(memo) + sum(map(len, memo)) + sum(map(len, memo.values()))
