@@ -86,6 +86,15 @@ def test_word_ids_of_plain_words(monkeypatch):
     assert list(packing.WordIds(WORDS).encode(mixed)) == [ids_of(t.decode()).tobytes() for t in mixed]
 
 
+def test_marks_apart():
+    """A comma or full stop after a word is no run of its own with it; groups of marks, and marks at a text's ends, stay as they are."""
+    texts = ["one, two. one.\ntwo, x.., one., a.b", ",", "one,", ", one.", " .", "", "é, one, don't, 3. 's. "]
+    own = packing.WordIds(WORDS)
+    for text, ids in zip(texts, own.encode([t.encode() for t in texts]), strict=True):
+        assert ids == ids_of(text).tobytes(), text
+    assert not {b"one.", b"two,", b"two."} & set(own._known)
+
+
 def test_packing(docs, rows, no_docs):
     capacity = 256
     got = packing.pack(docs, WORDS, capacity=capacity, group_docs=16).collect()
